@@ -23,6 +23,7 @@ RUN_LOG_SCHEMA = (
 )
 
 _local_roots: dict[str, str] = {}
+_mounts: dict[tuple[str, str], str] = {}
 
 
 class StrataError(ValueError):
@@ -76,7 +77,11 @@ def is_empty(df: DataFrame) -> bool:
 
 @dataclass
 class Workbench:
-    """A session with the layer databases and the tables kept in them."""
+    """A session with the layer databases and the tables kept in them.
+
+    `root` is the folder of the layers. Name a lasting one to keep layers in a lasting catalog;
+    without it they live in the shared work folder, apart from those of other applications.
+    """
 
     spark: SparkSession
     root: str = ""
@@ -84,7 +89,7 @@ class Workbench:
 
     def __post_init__(self) -> None:
         if not self.root:
-            self.root = f"{work_root(self.spark)}/strata-layers"
+            self.root = f"{work_root(self.spark)}/strata-layers/{self.spark.sparkContext.applicationId}"
 
     def init_layers(self) -> "Workbench":
         """Create the layer databases and the run log; existing ones are kept."""
@@ -111,6 +116,7 @@ class Workbench:
 
     def drop(self, fqn: str) -> None:
         kind = self.kind(fqn)
+        _mounts.pop((self.spark.sparkContext.applicationId, fqn), None)
         if kind is not None:
             self.spark.sql(f"DROP {'VIEW' if kind == 'VIEW' else 'TABLE'} IF EXISTS {fqn}")
 
@@ -151,8 +157,11 @@ class Workbench:
 
     def mount(self, fqn: str, path: str) -> None:
         """Give parquet files that live elsewhere a table name; dropping it leaves the files."""
-        self.drop(fqn)
-        self.spark.catalog.createTable(fqn, path=path, source="parquet")
+        key = (self.spark.sparkContext.applicationId, fqn)
+        if _mounts.get(key) != path or not self.exists(fqn):
+            self.drop(fqn)
+            self.spark.catalog.createTable(fqn, path=path, source="parquet")
+            _mounts[key] = path
 
 
 def open_workbench(spark: SparkSession, root: str = "") -> Workbench:
