@@ -36,32 +36,21 @@ _NESTED = (T.ArrayType, T.StructType, T.MapType)
 
 
 def _double_text(c: Column) -> Column:
-    """A double as JavaScript prints it: 23, 0.05, 12345678.9, 1e+21, 1.5e-7."""
-    shown = F.abs(c).cast("string")
-    mantissa = F.substring_index(shown, "E", 1)
-    exponent = F.substring_index(shown, "E", -1).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.", ""), r"(?<=.)0+$", "")
-    size = F.length(digits)
-    rest = F.substring(digits, F.lit(2), size)
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(size > 1, F.concat(F.lit("."), rest)).otherwise(""),
-        F.when(exponent > 0, F.lit("e+")).otherwise(F.lit("e")),
-        exponent.cast("string"),
-    )
-    whole = F.rpad(digits, exponent + 1, F.lit("0"))
-    pointed = F.concat(
-        F.substring(digits, F.lit(1), exponent + 1), F.lit("."), F.substring(digits, exponent + 2, size)
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    text = (
-        F.when(~shown.contains("E"), F.regexp_replace(shown, r"\.0$", ""))
-        .when((exponent >= 21) | (exponent <= -7), scientific)
-        .when(exponent < 0, small)
-        .when(size <= exponent + 1, whole)
-        .otherwise(pointed)
+    """A double as JavaScript prints it: 23, 0.05, 12345678.9, 1e+21, 1.5e-7.
+
+    Java prints the same digits but goes to exponents earlier; those are spelled out through a
+    decimal wide enough for every digit.
+    """
+    size, shown = F.abs(c), c.cast("string")
+    spelled = lambda scale: shown.cast(f"decimal(38,{scale})").cast("string")
+    scientific = F.regexp_replace(F.regexp_replace(shown, r"\.0E", "E"), r"E(\d)", "E+$1")
+    return (
+        F.when(c == 0, "0")
+        .when((size >= 1e21) | (size < 1e-6), F.replace(scientific, F.lit("E"), F.lit("e")))
+        .when(size >= 1e7, F.regexp_replace(spelled(12), r"\.?0+$", ""))
+        .when(size < 1e-3, F.regexp_replace(spelled(24), "0+$", ""))
+        .otherwise(F.regexp_replace(shown, r"\.0$", ""))
     )
-    return F.when(c < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
 def number_text(c: Column, dtype: T.DataType) -> Column:

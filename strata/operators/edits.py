@@ -48,9 +48,10 @@ def _any(conditions: list[Column]) -> Column:
 def _checked_edits(edits: DataFrame, schema: T.StructType, keys: list[str], editable: list[str]) -> DataFrame:
     """Normalized edits with ``_bad``: null key, unreadable value, or a cell edited twice.
 
-    `edits` must already spell the key columns as the table does.
+    `edits` must already spell the key columns as the table does. They are kept in the shared
+    folder, since the steps that follow read them several times.
     """
-    norm = edit_normalize(edits, editable, keys).withColumn("column", F.lower("column"))
+    norm = cut(edit_normalize(edits, editable, keys).withColumn("column", F.lower("column")), "edits")
     types = {c.lower(): schema[c].dataType for c in editable}
 
     def unreadable(name: str, value: str) -> Column:
@@ -61,7 +62,7 @@ def _checked_edits(edits: DataFrame, schema: T.StructType, keys: list[str], edit
     broken = broken | _any([unreadable(n, v) for n in types for v in ("old_value", "new_value")])
     twice = norm.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     flagged = spread_join(norm, twice.withColumn("_twice", F.lit(True)), [*keys, "column"], "left")
-    return flagged.withColumn("_bad", broken | F.coalesce("_twice", F.lit(False))).drop("_twice")
+    return cut(flagged.withColumn("_bad", broken | F.coalesce("_twice", F.lit(False))).drop("_twice"), "edits")
 
 
 def _bad_edits(checked: DataFrame) -> DataFrame:

@@ -19,9 +19,9 @@ def drop_object(
 ) -> DataFrame | None:
     """Drop a table or view with its companion view; returns the lineage with it marked deleted."""
     schema, name = fqn.split(".")
-    wb.drop(fqn)
     if schema in COMPANIONS:
         wb.drop(f"{COMPANIONS[schema]}{name}")
+    wb.drop(fqn)
     if lineage is None or schema not in PIPELINE_LAYERS:
         return lineage
     return mark_deleted(lineage, by, at or datetime.now(), fqn=fqn)

@@ -48,8 +48,17 @@ def work_root(spark: SparkSession) -> str:
     return _local_roots[app]
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return f"{work_root(spark)}/strata-scratch/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{work_root(spark)}/strata-scratch/{label}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the cuts of this application; frames that read them end with it."""
+    delete_path(spark, scratch_root(spark))
 
 
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:

@@ -18,7 +18,8 @@ def export_csv(df: DataFrame, folder: str) -> DataFrame:
     """Write a whole table as CSV files with header and read them back."""
     options = {"header": True, "escape": '"', "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     df.write.mode("error").options(**options, emptyValue='""').csv(folder)
-    return df.sparkSession.read.options(**options).schema(df.schema).csv(folder)
+    # Values may hold line ends, so a file is read back by one task; a file is one write task's part.
+    return df.sparkSession.read.options(**options, multiLine=True).schema(df.schema).csv(folder)
 
 
 def _quote_name(name: str) -> str:

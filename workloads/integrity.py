@@ -1 +1,317 @@
+"""Rule checks, key effects, profiles and schema changes over given tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strata.operators import evolve, integrity, profile
+from workloads.registry import derive, query, read, with_inputs
+
+# Orders with null customers, doubled keys and orphans.
+BROKEN = """
+SELECT CASE WHEN o_orderkey % 50 = 7 THEN NULL ELSE o_orderkey END AS o_orderkey,
+  CASE WHEN o_orderkey % 40 = 3 THEN NULL WHEN o_orderkey % 3 = 0 THEN 1 WHEN o_orderkey % 60 = 5 THEN -o_orderkey ELSE o_custkey END AS o_custkey,
+  o_orderstatus, o_totalprice FROM {orders}
+UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, NULL FROM {orders} WHERE o_orderkey % 25 = 0
+"""
+
+
+@query(
+    "check_not_null",
+    with_inputs("SELECT * FROM broken WHERE o_custkey IS NULL OR o_totalprice IS NULL", broken=BROKEN),
+)
+def check_not_null(spark, sf):
+    return integrity.check_not_null(derive(spark, sf, BROKEN), ["O_CUSTKEY", "o_totalprice"])
+
+
+@query(
+    "check_primary_key",
+    with_inputs(
+        """SELECT o_orderkey, count(*) AS n_rows, CASE WHEN o_orderkey IS NULL THEN 'null' ELSE 'duplicate' END AS reason
+        FROM broken GROUP BY o_orderkey HAVING count(*) > 1 OR o_orderkey IS NULL""",
+        broken=BROKEN,
+    ),
+)
+def check_primary_key(spark, sf):
+    return integrity.check_primary_key(derive(spark, sf, BROKEN), ["o_orderkey"])
+
+
+@query(
+    "check_unique",
+    """SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1""",
+)
+def check_unique(spark, sf):
+    return integrity.check_unique(read(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(
+    "check_expression",
+    with_inputs("SELECT * FROM broken WHERE NOT (o_totalprice < 450000 AND length(o_orderstatus) = 1)", broken=BROKEN),
+)
+def check_expression(spark, sf):
+    return integrity.check_expression(derive(spark, sf, BROKEN), "o_totalprice < 450000 AND length(o_orderstatus) = 1")
+
+
+@query(
+    "check_foreign_key",
+    with_inputs(
+        "SELECT * FROM broken WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)", broken=BROKEN
+    ),
+)
+def check_foreign_key(spark, sf):
+    return integrity.check_foreign_key(derive(spark, sf, BROKEN), read(spark, sf, "customer"), ["o_custkey"], ["c_custkey"])
+
+
+DELETED = "SELECT c_custkey FROM {customer} WHERE c_custkey % 10 = 1"
+
+
+def _on_delete(key: str, action: str, oracle: str, default=None):
+    @query(key, with_inputs(oracle, broken=BROKEN, deleted=DELETED))
+    def run(spark, sf):
+        child, gone = derive(spark, sf, BROKEN), derive(spark, sf, DELETED)
+        return integrity.fk_on_delete(child, gone, ["o_custkey"], ["c_custkey"], action, default)
+
+
+_HIT = "o_custkey IN (SELECT c_custkey FROM deleted)"
+_on_delete("fk_on_delete", "CASCADE", f"SELECT * FROM broken WHERE coalesce({_HIT}, false) = false")
+_on_delete("fk_on_delete_restrict", "restrict", f"SELECT * FROM broken WHERE {_HIT}")
+_on_delete(
+    "fk_on_delete_set_null",
+    "SET NULL",
+    f"SELECT o_orderkey, CASE WHEN {_HIT} THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM broken",
+)
+_on_delete(
+    "fk_on_delete_set_default",
+    "SET DEFAULT",
+    f"SELECT o_orderkey, CASE WHEN {_HIT} THEN 0 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM broken",
+    {"o_custkey": 0},
+)
+
+MOVES = "SELECT c_custkey AS old_key, c_custkey + 100000 AS new_key FROM {customer} WHERE c_custkey % 7 = 1"
+
+
+@query(
+    "fk_on_update",
+    with_inputs(
+        """SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT old_key FROM moves) THEN o_custkey + 100000 ELSE o_custkey END AS o_custkey,
+        o_orderstatus, o_totalprice FROM broken""",
+        broken=BROKEN,
+        moves=MOVES,
+    ),
+)
+def fk_on_update(spark, sf):
+    return integrity.fk_on_update(derive(spark, sf, BROKEN), derive(spark, sf, MOVES), "o_custkey")
+
+
+@query(
+    "column_defaults",
+    with_inputs(
+        """SELECT o_orderkey, coalesce(o_custkey, 0) AS o_custkey, o_orderstatus, coalesce(o_totalprice, 10.5) AS o_totalprice,
+        'web' AS channel FROM broken""",
+        broken=BROKEN,
+    ),
+)
+def column_defaults(spark, sf):
+    return integrity.column_defaults(
+        derive(spark, sf, BROKEN), {"O_CustKey": "0", "o_totalprice": "21 / 2.0D", "channel": "'web'"}
+    )
+
+
+# -- profiles ------------------------------------------------------------------------------------
+
+
+def _profile_row(c: str, text: str) -> str:
+    return f"""SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_present, count(DISTINCT {c}) AS n_distinct,
+    min({text}) AS min_text, max({text}) AS max_text, coalesce(bool_or(regexp_matches({text}, '^[^@\\s]+@[^@\\s]+\\.[A-Za-z]{{2,}}$')), false) AS pii,
+    count(*) = count({c}) AND count(*) = count(DISTINCT {c}) AS candidate_key FROM people"""
+
+
+PEOPLE = """
+SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat('user', c_custkey, '@mail', c_nationkey, '.org') END AS contact,
+  c_acctbal > 0 AS in_credit FROM {customer}
+"""
+
+
+@query(
+    "column_profile",
+    with_inputs(
+        "\nUNION ALL ".join(
+            _profile_row(c, t)
+            for c, t in (
+                ("c_custkey", "CAST(c_custkey AS varchar)"),
+                ("c_mktsegment", "c_mktsegment"),
+                ("contact", "contact"),
+                ("in_credit", "CAST(in_credit AS varchar)"),
+            )
+        ),
+        people=PEOPLE,
+    ),
+)
+def column_profile(spark, sf):
+    return profile.column_profile(derive(spark, sf, PEOPLE))
+
+
+@query("column_profile_approx")
+def column_profile_approx(spark, sf):
+    return profile.column_profile(read(spark, sf, "lineitem"), exact=False)
+
+
+@query(
+    "table_grain",
+    """WITH c AS (SELECT 0 AS candidate_no, 'l_orderkey' AS key_columns, 1 AS n_columns, count(*) AS n_rows,
+      count(DISTINCT l_orderkey) AS n_distinct FROM lineitem
+    UNION ALL SELECT 1, 'l_orderkey,l_linenumber', 2, count(*), count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem
+    UNION ALL SELECT 2, 'l_orderkey,l_linenumber,l_partkey,l_suppkey,l_extendedprice', 5, count(*),
+      count(DISTINCT (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice)) FROM lineitem),
+    u AS (SELECT *, n_rows = n_distinct AS is_unique FROM c)
+    SELECT *, is_unique AND candidate_no = (SELECT candidate_no FROM u WHERE is_unique ORDER BY n_columns, candidate_no LIMIT 1) AS grain FROM u""",
+)
+def table_grain(spark, sf):
+    sets = [["l_orderkey"], ["l_orderkey", "l_linenumber"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]]
+    return profile.table_grain(read(spark, sf, "lineitem"), sets)
+
+
+@query(
+    "relationship_profile",
+    with_inputs(
+        """SELECT CASE WHEN max_child > 1 AND max_parent > 1 THEN 'many-to-many' WHEN max_child > 1 THEN 'many-to-one'
+          WHEN max_parent > 1 THEN 'one-to-many' ELSE 'one-to-one' END AS relationship,
+          round(n_matched / n_child, 6) AS confidence, n_child, n_matched FROM (
+          SELECT (SELECT max(n) FROM (SELECT count(*) AS n FROM broken WHERE o_custkey IS NOT NULL GROUP BY o_custkey)) AS max_child,
+          1 AS max_parent, (SELECT count(o_custkey) FROM broken) AS n_child,
+          (SELECT count(*) FROM broken WHERE o_custkey IN (SELECT c_custkey FROM customer)) AS n_matched)""",
+        broken=BROKEN,
+    ),
+)
+def relationship_profile(spark, sf):
+    return profile.relationship_profile(derive(spark, sf, BROKEN), read(spark, sf, "customer"), "o_custkey", "c_custkey")
+
+
+# -- schema changes ------------------------------------------------------------------------------
+
+# Each order is a table whose columns are its lines; the new state drops, adds and changes some.
+OLD_COLUMNS = """
+SELECT 'silver' AS table_schema, concat('t', l_orderkey) AS table_name, concat('c', l_linenumber) AS column_name,
+  CASE WHEN max(l_partkey) % 2 = 0 THEN 'bigint' ELSE 'varchar' END AS data_type, CASE WHEN min(l_suppkey) % 2 = 0 THEN 'YES' ELSE 'NO' END AS is_nullable,
+  CASE WHEN count(*) > 1 THEN 'several' END AS comment
+FROM {lineitem} WHERE l_orderkey % 50 <> 1 GROUP BY l_orderkey, l_linenumber
+"""
+NEW_COLUMNS = """
+SELECT 'silver' AS table_schema, concat('t', l_orderkey) AS table_name, concat('c', l_linenumber) AS column_name,
+  CASE WHEN max(l_partkey) % 2 = 0 AND l_orderkey % 5 <> 0 THEN 'bigint' ELSE 'varchar' END AS data_type,
+  CASE WHEN min(l_suppkey) % 2 = 0 OR l_orderkey % 9 = 0 THEN 'YES' ELSE 'NO' END AS is_nullable,
+  CASE WHEN count(*) > 1 AND l_orderkey % 13 <> 0 THEN 'several' END AS comment
+FROM {lineitem} WHERE l_orderkey % 50 <> 2 AND (l_orderkey + l_linenumber) % 11 <> 0 GROUP BY l_orderkey, l_linenumber
+UNION ALL SELECT 'silver', concat('t', o_orderkey), 'added', 'double', 'YES', NULL FROM {orders} WHERE o_orderkey % 17 = 3
+"""
+
+
+@query(
+    "schema_diff",
+    with_inputs(
+        """SELECT table_schema, table_name, column_name, change, detail, old_data_type, old_is_nullable, old_comment,
+          new_data_type, new_is_nullable, new_comment FROM (
+          SELECT coalesce(o.table_schema, n.table_schema) AS table_schema, coalesce(o.table_name, n.table_name) AS table_name,
+          coalesce(o.column_name, n.column_name) AS column_name,
+          CASE WHEN o.table_name IS NULL THEN 'added' WHEN n.table_name IS NULL THEN 'removed' WHEN o.data_type IS DISTINCT FROM n.data_type
+            OR o.is_nullable IS DISTINCT FROM n.is_nullable OR o.comment IS DISTINCT FROM n.comment THEN 'changed' END AS change,
+          CASE WHEN o.table_name IS NOT NULL AND n.table_name IS NOT NULL THEN concat_ws(',', CASE WHEN o.data_type IS DISTINCT FROM n.data_type THEN 'data_type' END,
+            CASE WHEN o.is_nullable IS DISTINCT FROM n.is_nullable THEN 'is_nullable' END, CASE WHEN o.comment IS DISTINCT FROM n.comment THEN 'comment' END) END AS detail,
+          o.data_type AS old_data_type, o.is_nullable AS old_is_nullable, o.comment AS old_comment,
+          n.data_type AS new_data_type, n.is_nullable AS new_is_nullable, n.comment AS new_comment
+          FROM oldc o FULL JOIN newc n ON o.table_schema = n.table_schema AND o.table_name = n.table_name AND o.column_name = n.column_name)
+        WHERE change IS NOT NULL
+        UNION ALL SELECT 'silver', t, NULL, CASE WHEN t IN (SELECT table_name FROM newc) THEN 'table added' ELSE 'table removed' END,
+          NULL, NULL, NULL, NULL, NULL, NULL, NULL
+        FROM (SELECT DISTINCT table_name AS t FROM oldc UNION SELECT table_name FROM newc)
+        WHERE (t IN (SELECT table_name FROM oldc)) <> (t IN (SELECT table_name FROM newc))""",
+        oldc=OLD_COLUMNS,
+        newc=NEW_COLUMNS,
+    ),
+)
+def schema_diff(spark, sf):
+    return evolve.schema_diff(derive(spark, sf, OLD_COLUMNS), derive(spark, sf, NEW_COLUMNS))
+
+
+@query(
+    "normalized_order",
+    with_inputs("SELECT * FROM oldc", oldc=OLD_COLUMNS),
+)
+def normalized_order(spark, sf):
+    return evolve.normalized_order(derive(spark, sf, OLD_COLUMNS))
+
+
+# Table drafts: columns from the lines of an order, keys and checks from the order itself.
+OLD_DRAFT = """
+SELECT concat('t', l_orderkey) AS table_name, 'column' AS kind, concat('c', l_linenumber) AS name,
+  CASE WHEN max(l_partkey) % 2 = 0 THEN 'BIGINT' ELSE 'VARCHAR' END AS definition, max(l_suppkey) % 2 = 0 AS nullable,
+  CASE WHEN max(l_suppkey) % 3 = 0 THEN '0' END AS default_value FROM {lineitem} GROUP BY l_orderkey, l_linenumber
+UNION ALL SELECT concat('t', o_orderkey), 'primary_key', NULL, 'c1, c2', NULL, NULL FROM {orders}
+UNION ALL SELECT concat('t', o_orderkey), 'check', 'positive', 'c1 > 0', NULL, NULL FROM {orders} WHERE o_orderkey % 2 = 0
+UNION ALL SELECT concat('t', o_orderkey), 'unique', CASE WHEN o_orderkey % 4 = 0 THEN 'u' END, 'C3,c1', NULL, NULL FROM {orders} WHERE o_orderkey % 2 = 0
+"""
+NEW_DRAFT = """
+SELECT concat('t', l_orderkey) AS table_name, 'column' AS kind, concat(CASE WHEN l_orderkey % 2 = 0 THEN 'C' ELSE 'c' END, l_linenumber) AS name,
+  CASE WHEN max(l_partkey) % 2 = 0 OR l_orderkey % 6 = 0 THEN 'BIGINT' ELSE 'VARCHAR' END AS definition, max(l_suppkey) % 2 = 0 OR l_orderkey % 7 = 0 AS nullable,
+  CASE WHEN max(l_suppkey) % 3 = 0 AND l_orderkey % 5 <> 0 THEN '0' END AS default_value FROM {lineitem}
+  WHERE l_orderkey % 8 <> 0 OR l_linenumber <> 4 GROUP BY l_orderkey, l_linenumber
+UNION ALL SELECT concat('t', o_orderkey), 'column', 'extra', 'DATE', true, NULL FROM {orders} WHERE o_orderkey % 9 = 0
+UNION ALL SELECT concat('t', o_orderkey), 'primary_key', NULL, CASE WHEN o_orderkey % 3 = 0 THEN 'c1' ELSE 'C2,c1' END, NULL, NULL FROM {orders}
+UNION ALL SELECT concat('t', o_orderkey), 'check', CASE WHEN o_orderkey % 4 = 0 THEN 'positive' ELSE 'other' END, 'c1 > 1', NULL, NULL FROM {orders} WHERE o_orderkey % 2 = 0
+UNION ALL SELECT concat('t', o_orderkey), 'foreign_key', 'fk', 'c2', NULL, NULL FROM {orders} WHERE o_orderkey % 10 = 0
+UNION ALL SELECT concat('t', o_orderkey), 'unique', 'u', 'c1,c3', NULL, NULL FROM {orders} WHERE o_orderkey % 12 = 0
+"""
+
+
+@query(
+    "alter_plan",
+    with_inputs(
+        """, c AS (SELECT coalesce(o.table_name, n.table_name) AS table_name, o.name AS oname, n.name AS nname, o.definition AS od, n.definition AS nd,
+          o.nullable AS onul, n.nullable AS nnul, coalesce(o.default_value, '') AS odef, coalesce(n.default_value, '') AS ndef
+          FROM (SELECT * FROM oldd WHERE kind = 'column') o FULL JOIN (SELECT * FROM newd WHERE kind = 'column') n
+          ON o.table_name = n.table_name AND lower(o.name) = lower(n.name)),
+        k AS (SELECT o_orderkey AS k, concat('t', o_orderkey) AS table_name FROM orders)
+        SELECT table_name, 1 AS step, 'drop column' AS action, oname AS name, od AS old_value, NULL AS new_value FROM c WHERE nname IS NULL
+        UNION ALL SELECT table_name, 2, 'add column', nname, NULL, nd FROM c WHERE oname IS NULL
+        UNION ALL SELECT table_name, 3, 'alter type', nname, od, nd FROM c WHERE od <> nd
+        UNION ALL SELECT table_name, 4, 'set nullability', nname, CAST(onul AS varchar), CAST(nnul AS varchar) FROM c WHERE onul <> nnul
+        UNION ALL SELECT table_name, 5, 'set default', nname, odef, ndef FROM c WHERE oname IS NOT NULL AND nname IS NOT NULL AND odef <> ndef
+        UNION ALL SELECT table_name, 6, 'drop primary_key', NULL, 'c1, c2', NULL FROM k WHERE k % 3 = 0
+        UNION ALL SELECT table_name, 7, 'add primary_key', NULL, NULL, 'c1' FROM k WHERE k % 3 = 0
+        UNION ALL SELECT table_name, 8, 'drop unique', 'u', 'C3,c1', NULL FROM k WHERE k % 4 = 0 AND k % 12 <> 0
+        UNION ALL SELECT table_name, 11, 'add foreign_key', 'fk', NULL, 'c2' FROM k WHERE k % 10 = 0
+        UNION ALL SELECT table_name, 12, 'drop check', 'positive', 'c1 > 0', NULL FROM k WHERE k % 4 = 2
+        UNION ALL SELECT table_name, 13, 'add check', 'other', NULL, 'c1 > 1' FROM k WHERE k % 4 = 2""",
+        oldd=OLD_DRAFT,
+        newd=NEW_DRAFT,
+    ).replace(")\n, c AS", "),\nc AS"),
+)
+def alter_plan(spark, sf):
+    return evolve.alter_plan(derive(spark, sf, OLD_DRAFT), derive(spark, sf, NEW_DRAFT))
+
+
+def _evolved(spark, sf):
+    d = read(spark, sf, "documents").withColumn(
+        "mark", F.when(F.col("doc_id") % 4 == 0, F.col("source")).otherwise(F.col("n_chars").cast("string"))
+    )
+    return evolve.evolve_table(
+        d, drop=["LANG"], add={"reviewed": ("boolean", "false"), "note": ("string", None)}, cast={"mark": "int", "N_CHARS": "double"}
+    )
+
+
+@query(
+    "evolve_table",
+    """SELECT doc_id, text, source, CAST(n_chars AS double) AS n_chars, CASE WHEN doc_id % 4 <> 0 THEN CAST(n_chars AS integer) END AS mark,
+    false AS reviewed, CAST(NULL AS varchar) AS note FROM documents""",
+)
+def evolve_table(spark, sf):
+    return _evolved(spark, sf).rows
+
+
+@query(
+    "evolve_failures",
+    """SELECT 'mark' AS column_name, count(*) FILTER (doc_id % 4 = 0) AS n_failed FROM documents
+    UNION ALL SELECT 'n_chars', CAST(0 AS bigint) FROM (SELECT count(*) FROM documents)""",
+)
+def evolve_failures(spark, sf):
+    return _evolved(spark, sf).failures
