@@ -32,7 +32,8 @@ REFERENCE = (
 _NO_ALIAS = rf"(?!(?:{'|'.join(KEYWORDS + TABLE_FOLLOWERS)}){WORD_END})"
 _SOURCE = rf"{PART}(?:\.{PART})*(?:{WS}+(?:AS{WS}+)?{_NO_ALIAS}{PART})?"
 SOURCE_LIST = rf"(?i){WORD_START}(?:FROM|JOIN){WS}+({_SOURCE}(?:{WS}*,{WS}*{_SOURCE})*)"
-TOKEN = rf"'[^']*'|[A-Za-z0-9_]+|[^A-Za-z0-9_]"
+# Few and long tokens: literals, the word FROM, and runs up to the next sign or f that matters.
+TOKEN = rf"(?s)'[^']*'|{WORD_START}[fF][rR][oO][mM]{WORD_END}|[^'(),fF]++|."
 STRING = "'[^']*'"
 
 

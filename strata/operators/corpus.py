@@ -294,7 +294,9 @@ def description_blocks(texts: DataFrame, key: str, text: str = "text") -> DataFr
     valid = lambda b: b["table"].isNotNull() | b["columns"].isNotNull()
     whole = F.when(clean.startswith("["), listed).otherwise(F.array(one))
     good = F.filter(F.coalesce(whole, F.array().cast(f"array<{_BLOCK}>")), valid)
-    blocks = F.when(F.try_parse_json(clean).isNotNull(), good).otherwise(F.filter(pieces, valid))
+    # As the only element of an array the text parses to its end or not at all.
+    single = F.json_array_length(F.concat(F.lit("["), clean, F.lit("]"))) == 1
+    blocks = F.when(single, good).otherwise(F.filter(pieces, valid))
     rows = texts.select(key, F.posexplode(blocks).alias("block_no", "b"))
     none = F.lit(None).cast("string")
     table = F.array(

@@ -68,32 +68,31 @@ def lineage_column_edges(cells: DataFrame, columns: DataFrame, min_rows: int = H
         .withColumn("tables", F.array_distinct(F.transform("sources", lambda s: s["fqn"])))
         .withColumn("i", F.explode(sqlparts.select_items(F.col("clean"))))
     )
-    stars = parsed.where("i.is_wildcard").select(
-        *CELL,
-        F.explode("tables").alias("source"),
-        F.lit("*").alias("source_column"),
-        F.col("fqn").alias("target"),
-        F.lit("*").alias("target_column"),
-        F.lit("*").alias("transform"),
-        F.lit(sqlparts.WILDCARD_SCORE).alias("confidence"),
-        F.lit("wildcard").alias("reason"),
-    )
     refs = sqlparts.column_refs(F.col("i.expression"), F.col("aliases"), F.col("tables"))
-    named = parsed.where(~F.col("i.is_wildcard")).select(
-        *CELL,
-        F.explode(refs).alias("r"),
-        F.col("fqn").alias("target"),
-        F.col("i.alias").alias("target_column"),
-        F.col("i.expression").alias("transform"),
-        F.col("i.confidence").alias("confidence"),
+    star_refs = F.transform("tables", lambda t: F.struct(t.alias("table"), F.lit("*").alias("column")))
+    # Parsing is the costly part and what follows reads it more than once.
+    found = cut(
+        parsed.select(
+            *CELL,
+            F.explode(F.when(F.col("i.is_wildcard"), star_refs).otherwise(refs)).alias("r"),
+            F.col("fqn").alias("target"),
+            F.col("i.alias").alias("target_column"),
+            F.col("i.expression").alias("transform"),
+            F.col("i.confidence").alias("confidence"),
+            F.col("i.is_wildcard").alias("star"),
+        ),
+        "refs",
+    ).select(*CELL, F.col("r.table").alias("source"), F.col("r.column").alias("source_column"),
+             "target", "target_column", "transform", "confidence", "star")
+    edge = [c for c in found.columns if c != "star"]
+    stars = found.where("star").select(
+        *[F.lit("*").alias(c) if c == "transform" else F.col(c) for c in edge], F.lit("wildcard").alias("reason")
     )
     known = columns.select(
         F.concat_ws(".", "table_schema", "table_name").alias("target"), F.col("column_name").alias("target_column")
     ).distinct()
-    edges = spread_join(named, known, ["target", "target_column"], "left_semi", min_rows).select(
-        *CELL, F.col("r.table").alias("source"), F.col("r.column").alias("source_column"),
-        "target", "target_column", "transform", "confidence", F.lit("select_expr").alias("reason"),
-    )
+    named = spread_join(found.where("NOT star").select(*edge), known, ["target", "target_column"], "left_semi", min_rows)
+    edges = named.select(*edge, F.lit("select_expr").alias("reason"))
     return edges.unionByName(stars)
 
 

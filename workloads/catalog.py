@@ -238,9 +238,12 @@ def relationship_upsert(spark, sf):
     return relations.relationship_add(declared.distinct(), derive(spark, sf, CUSTOM))
 
 
+GONE = CUSTOM.replace("c.k % 10 < 5", "c.k % 20 < 10")
+
+
 @query(
     "relationship_remove",
-    with_inputs(f"SELECT * FROM ({DECLARED}) EXCEPT SELECT * FROM custom", fks=FOREIGN, custom=CUSTOM),
+    with_inputs(f"SELECT * FROM ({DECLARED}) EXCEPT SELECT * FROM gone", fks=FOREIGN, gone=GONE),
 )
 def relationship_remove(spark, sf):
     foreign = derive(spark, sf, FOREIGN)
@@ -248,7 +251,7 @@ def relationship_remove(spark, sf):
         F.concat_ws(".", "table_schema", "table_name").alias("source"), F.col("column_name").alias("source_column"),
         F.concat_ws(".", "foreign_schema", "foreign_table").alias("target"), F.col("foreign_column").alias("target_column"),
     )
-    return relations.relationship_remove(declared, derive(spark, sf, CUSTOM))
+    return relations.relationship_remove(declared, derive(spark, sf, GONE))
 
 
 _WEIGHT = "CAST(sum(CAST(('0x' || substr(sha256(kind || ':' || item), {at}, 15)) AS bigint)) AS varchar)"

@@ -1 +1,47 @@
+"""Change streams over given events."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strata.session import scratch_path
+from strata.streaming import index_stream
+from workloads.edits import FIELDS, INDEX, feed_text
+from workloads.registry import derive, query, read, with_inputs
+from workloads.scalars import NOW, now
+
+
+@query(
+    "stream_index_upsert",
+    with_inputs(
+        """SELECT key, title, score, seq FROM (
+          SELECT key, op, title, score, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM (
+            SELECT key, 'upsert' AS op, title, score, CAST(-1 AS bigint) AS seq FROM idx
+            UNION ALL SELECT key, op, title, score, seq FROM feed)) WHERE rn = 1 AND op <> 'delete'""",
+        idx=INDEX,
+        feed=feed_text("varchar"),
+    ),
+)
+def stream_index_upsert(spark, sf):
+    """The feed arrives in several files, so late older events come in later batches."""
+    incoming, log, point = (scratch_path(spark, n) for n in ("feed", "change-log", "stream-point"))
+    feed = derive(spark, sf, feed_text("string"))
+    feed.repartition(4, F.col("seq") % 4).write.parquet(incoming)
+    source = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(incoming)
+    index_stream.stream_changes(source, log, point).awaitTermination()
+    base = derive(spark, sf, INDEX).withColumn("seq", F.lit(None).cast("bigint"))
+    return index_stream.current_index(base, log, feed.schema, FIELDS)
+
+
+@query(
+    "stream_history_append",
+    f"""SELECT event_id, ts, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS rn FROM events)
+    WHERE rn <= 20 OR ts > {NOW} - INTERVAL 7 DAY""",
+)
+def stream_history_append(spark, sf):
+    incoming, log, point = (scratch_path(spark, n) for n in ("runs", "run-log", "stream-point"))
+    runs = read(spark, sf, "events").select("event_id", "ts", "event_type")
+    runs.repartition(3).write.parquet(incoming)
+    source = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(incoming)
+    index_stream.stream_history(source, log, point).awaitTermination()
+    return index_stream.current_history(spark, log, runs.schema, "ts", "event_id", now())
