@@ -137,46 +137,57 @@ def is_keyword(c: Column) -> Column:
 
 def select_items(clean: Column) -> Column:
     """Items of the select list: structs of position, expression, alias, confidence, is_wildcard."""
-    texts = F.transform(select_clause(clean), lambda s: strip(s))
-
-    def item(text: Column, i: Column) -> Column:
-        wildcard = (text == "*") | text.endswith(".*")
-        with_as = rf"(?is)^(.*?){WS}+AS{WS}+({PART})\z"
-        trailing = rf"(?s)^(.*){WS}+({PART})\z"
-        has_as = text.rlike(with_as)
-        last = F.regexp_extract(text, trailing, 2)
-        has_trailing = (
-            text.rlike(trailing) & (strip(F.regexp_extract(text, trailing, 1)) != "")
-            & ~is_keyword(last) & ~last.rlike("^[0-9]+$")
-        )
-        expression = (
-            F.when(wildcard, text)
-            .when(has_as, strip(F.regexp_extract(text, with_as, 1)))
-            .when(has_trailing, strip(F.regexp_extract(text, trailing, 1)))
-            .otherwise(text)
+    # Each step binds what the next one uses several times.
+    ending = rf"(?is){WS}+(?:AS{WS}+)?{PART}\z"
+    texts = F.transform(
+        select_clause(clean),
+        lambda s, i: F.struct(i.cast("int").alias("position"), strip(s).alias("raw")),
+    )
+    cut = F.transform(
+        F.filter(texts, lambda s: s["raw"] != ""),
+        lambda s: F.struct(s["position"], s["raw"], F.regexp_extract(s["raw"], ending, 0).alias("end")),
+    )
+
+    def split(s: Column) -> Column:
+        head = strip(F.substring(s["raw"], F.lit(1), F.length(s["raw"]) - F.length(s["end"])))
+        return F.struct(
+            s["position"],
+            s["raw"],
+            head.alias("head"),
+            F.regexp_extract(s["end"], rf"({PART})\z", 1).alias("name"),
+            s["end"].rlike(rf"(?i)^{WS}+AS{WS}").alias("marked"),
         )
-        own = F.element_at(F.split(text, r"\."), -1)
-        own_ok = own.rlike(rf"^{PART}$") & ~is_keyword(own) & ~text.contains("(")
-        alias = (
-            F.when(wildcard, F.lit("*"))
-            .when(has_as, F.regexp_extract(text, with_as, 2))
-            .when(has_trailing, last)
-            .when(own_ok, own)
-            .otherwise(F.concat(F.lit("__unnamed_"), i.cast("string")))
+
+    def named(s: Column) -> Column:
+        free = (s["head"] != "") & ~is_keyword(s["name"]) & ~s["name"].rlike("^[0-9]+$")
+        return F.struct(
+            s["position"],
+            s["raw"],
+            ((s["raw"] == "*") | s["raw"].endswith(".*")).alias("is_wildcard"),
+            F.when((s["name"] != "") & (s["marked"] | free), s["head"]).otherwise(s["raw"]).alias("expression"),
+            F.when((s["name"] != "") & (s["marked"] | free), s["name"]).alias("alias"),
         )
+
+    def scored(s: Column) -> Column:
+        e = s["expression"]
+        own = F.element_at(F.split(e, r"\."), -1)
+        own_ok = own.rlike(rf"^{PART}$") & ~is_keyword(own) & ~e.contains("(")
+        unnamed = F.concat(F.lit("__unnamed_"), s["position"].cast("string"))
         score = (
-            F.when(wildcard, WILDCARD_SCORE)
-            .when(expression.rlike(rf"^{PART}\.{PART}$"), QUALIFIED_SCORE)
-            .when(expression.rlike(rf"^{PART}$"), BARE_SCORE)
-            .when(expression.contains("("), CALL_SCORE)
+            F.when(e.rlike(rf"^{PART}\.{PART}$"), QUALIFIED_SCORE)
+            .when(e.rlike(rf"^{PART}$"), BARE_SCORE)
+            .when(e.contains("("), CALL_SCORE)
             .otherwise(OTHER_SCORE)
         )
         return F.struct(
-            i.cast("int").alias("position"), expression.alias("expression"), alias.alias("alias"),
-            score.alias("confidence"), wildcard.alias("is_wildcard"), text.alias("raw"),
+            s["position"],
+            F.when(s["is_wildcard"], s["raw"]).otherwise(e).alias("expression"),
+            F.when(s["is_wildcard"], "*").otherwise(F.coalesce(s["alias"], F.when(own_ok, own), unnamed)).alias("alias"),
+            F.when(s["is_wildcard"], WILDCARD_SCORE).otherwise(score).alias("confidence"),
+            s["is_wildcard"],
         )
 
-    return F.filter(F.transform(texts, item), lambda s: s["raw"] != "")
+    return F.transform(F.transform(F.transform(cut, split), named), scored)
 
 
 def column_refs(expression: Column, aliases: Column, tables: Column) -> Column:

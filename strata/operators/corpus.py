@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from strata.functions import text as tx
 from strata.functions.sqlparts import table_refs
 from strata.operators.spread import HOT_ROWS, spread_join, top_per_key
+from strata.session import cut
 
 # Scores of a token by where it is found, and sizes.
 TITLE_EQUAL, TITLE_PREFIX, TITLE_PART = 100, 80, 60
@@ -199,12 +200,12 @@ def describe_join(refs: DataFrame, columns: DataFrame, table_texts: DataFrame, c
     """
     wanted = refs.select("table_ref").distinct()
     table_key = F.concat_ws(".", "table_schema", "table_name")
-    keyed = spread_join(columns.withColumn("table_ref", table_key), wanted, ["table_ref"], "left_semi")
+    keyed = columns.withColumn("table_ref", table_key).join(wanted, "table_ref", "left_semi")
     keyed = keyed.withColumn("column_key", F.concat_ws(".", "table_ref", "column_name"))
     t = table_texts.select(F.col("key").alias("table_ref"), F.col("description").alias("table_description"))
     c = column_texts.select(F.col("key").alias("column_key"), F.col("description").alias("column_description"))
     return (
-        spread_join(keyed, t, ["table_ref"], "left")
+        keyed.join(t, "table_ref", "left")
         .join(c, "column_key", "left")
         .select("table_ref", "table_description", "column_name", "data_type", "ordinal", "column_description")
     )
@@ -237,7 +238,7 @@ def query_context(texts: DataFrame, key: str, described: DataFrame, max_chars: i
         F.transform("_cols", lambda x: x["c"]).alias("columns"),
     )
     shown = tables.select("table_ref", F.to_json(entry).alias("entry"))
-    refs = texts.select(key, F.explode(table_refs("sql")).alias("table_ref"))
+    refs = cut(texts.select(key, F.explode(table_refs("sql")).alias("table_ref")), "refs")
     listed = (
         top_per_key(spread_join(refs, shown, ["table_ref"], "inner"), [key], [F.col("table_ref")], enough)
         .groupBy(key)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.values import value_text
-from strata.operators.spread import HOT_ROWS, spread_join
 from strata.session import StrataError, cut, is_empty
 
 
@@ -61,7 +60,7 @@ def _checked_edits(edits: DataFrame, schema: T.StructType, keys: list[str], edit
     broken = _any([F.col(k).isNull() for k in keys])
     broken = broken | _any([unreadable(n, v) for n in types for v in ("old_value", "new_value")])
     twice = norm.groupBy(*keys, "column").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
-    flagged = spread_join(norm, twice.withColumn("_twice", F.lit(True)), [*keys, "column"], "left")
+    flagged = norm.join(twice.withColumn("_twice", F.lit(True)), [*keys, "column"], "left")
     return cut(flagged.withColumn("_bad", broken | F.coalesce("_twice", F.lit(False))).drop("_twice"), "edits")
 
 
@@ -120,7 +119,7 @@ def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str], editable: li
     """
     keys, editable, checked = _prepare(base, edits, keys, editable)
     wide = _wide_edits(checked, base.schema, keys, editable)
-    joined = spread_join(base, wide, keys, "left").withColumn("_missed", _missed(editable))
+    joined = base.join(wide, keys, "left").withColumn("_missed", _missed(editable))
 
     def value(name: str) -> Column:
         if name not in editable:
@@ -138,7 +137,8 @@ def edit_status(base: DataFrame, edits: DataFrame, keys: list[str], editable: li
     wide = _wide_edits(checked, base.schema, keys, editable)
     ids = F.array_distinct(F.array_compact(F.array(*[F.col(f"_e_{c}.edit_id") for c in editable])))
     hits = (
-        spread_join(base.select(*keys, *editable), wide, keys, "inner")
+        base.select(*keys, *editable)
+        .join(wide, keys)
         .select(F.explode(F.array_except(ids, _missed(editable))).alias("edit_id"))
         .distinct()
         .withColumn("_hit", F.lit(True))

@@ -56,7 +56,7 @@ def select_items(texts: DataFrame, key: str, sql: str = "sql") -> DataFrame:
     )
 
 
-def lineage_column_edges(cells: DataFrame, columns: DataFrame, min_rows: int = HOT_ROWS) -> DataFrame:
+def lineage_column_edges(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """Input column -> output column, with the transforming expression and a confidence.
 
     `columns` is the catalog (table_schema, table_name, column_name): an edge needs an output
@@ -91,7 +91,7 @@ def lineage_column_edges(cells: DataFrame, columns: DataFrame, min_rows: int = H
     known = columns.select(
         F.concat_ws(".", "table_schema", "table_name").alias("target"), F.col("column_name").alias("target_column")
     ).distinct()
-    named = spread_join(found.where("NOT star").select(*edge), known, ["target", "target_column"], "left_semi", min_rows)
+    named = found.where("NOT star").select(*edge).join(known, ["target", "target_column"], "left_semi")
     edges = named.select(*edge, F.lit("select_expr").alias("reason"))
     return edges.unionByName(stars)
 
@@ -129,7 +129,9 @@ def lineage_column_nodes(cells: DataFrame, columns: DataFrame, edges: DataFrame
     return own.unionByName(outside.withColumn("data_type", F.lit("unknown")))
 
 
-def lineage_valid_edges(edges: DataFrame, nodes: DataFrame, columns: DataFrame) -> DataFrame:
+def lineage_valid_edges(
+    edges: DataFrame, nodes: DataFrame, columns: DataFrame, min_rows: int = HOT_ROWS
+) -> DataFrame:
     """Column edges that can be drawn: both ends are columns of nodes, with a short label.
 
     `nodes`: pipeline_id, fqn. `columns`: pipeline_id, table_fqn, column_name. A wildcard counts
@@ -143,9 +145,9 @@ def lineage_valid_edges(edges: DataFrame, nodes: DataFrame, columns: DataFrame)
     def end(side: str) -> DataFrame:
         return ends.select("pipeline_id", F.col("table_fqn").alias(side), F.col("column_name").alias(f"{side}_column"))
 
-    kept = edges
-    for side in ("source", "target"):
-        kept = spread_join(kept, end(side), ["pipeline_id", side, f"{side}_column"], "left_semi")
+    # Many edges may start from one column.
+    kept = spread_join(edges, end("source"), ["pipeline_id", "source", "source_column"], "left_semi", min_rows)
+    kept = kept.join(end("target"), ["pipeline_id", "target", "target_column"], "left_semi")
     full = F.when((F.col("transform") != "*") & (F.col("transform") != F.col("source_column")), F.col("transform"))
     return kept.select(*edges.columns, edge_label(full).alias("label"))
 

@@ -37,10 +37,9 @@ def existing_edges(columns: DataFrame, edges: DataFrame, min_rows: int = HOT_ROW
     """Edges whose both ends are columns of the catalog."""
     known = columns.select(_table_id("table_schema", "table_name").alias("t"), F.col("column_name").alias("c")).distinct()
     ends = lambda side: known.select(F.col("t").alias(side), F.col("c").alias(f"{side}_column"))
-    kept = spread_join(edges, ends("source"), ["source", "source_column"], "left_semi", min_rows)
-    return spread_join(kept, ends("target"), ["target", "target_column"], "left_semi", min_rows).select(
-        *edges.columns
-    )
+    # Many edges may share a target, such as the key of one central table.
+    kept = spread_join(edges, ends("target"), ["target", "target_column"], "left_semi", min_rows)
+    return kept.join(ends("source"), ["source", "source_column"], "left_semi").select(*edges.columns)
 
 
 def inferred_relationships(
@@ -49,38 +48,34 @@ def inferred_relationships(
     """Edges guessed from names: ``x_id`` refers to table x, xs or xes with an ``id`` or ``x_id``.
 
     Tables with declared foreign keys are left to those. The first fitting key column, by
-    position, is the target. Names count without regard to case.
+    position, is the target. Names count without regard to case; a column is listed once.
     """
-    name = F.lower("column_name")
+    c, t = F.col("c"), F.col("t")
     cols = columns.select(
         _table_id("table_schema", "table_name").alias("table_id"),
-        F.lower("table_name").alias("t"), "column_name", name.alias("c"), "ordinal",
+        F.lower("table_name").alias("t"), "column_name", F.lower("column_name").alias("c"), "ordinal",
     )
-    base = F.regexp_replace("c", "_id$", "")
-    sources = cols.where(F.col("c").endswith("_id"))
+    cut_end = lambda s, n: F.substring(s, F.lit(1), F.length(s) - n)
+    sources = cols.where(c.endswith("_id"))
     if foreign_keys is not None:
         declared = foreign_keys.select(_table_id("table_schema", "table_name").alias("table_id")).distinct()
         sources = sources.join(declared, "table_id", "left_anti")
     wanted = sources.select(
-        F.col("table_id").alias("source"), F.col("column_name").alias("source_column"), base.alias("base"),
-        F.explode(F.array(base, F.concat(base, F.lit("s")), F.concat(base, F.lit("es")))).alias("t"),
-    )
-    # Target side: what a table offers for each base its name can stand for. At most one row per
-    # (table, base): its first column called id or <base>_id.
-    stems = F.array(
-        F.col("t"),
-        F.when(F.col("t").endswith("s"), F.regexp_replace("t", "s$", "")),
-        F.when(F.col("t").endswith("es"), F.regexp_replace("t", "es$", "")),
+        F.col("table_id").alias("source"), F.col("column_name").alias("source_column"), cut_end(c, 3).alias("base")
     )
+    # Target side: each base a table name can stand for, with the table's first column called id
+    # or <base>_id; one row per (table, base). So only the base has to match.
+    stems = F.array(t, F.when(t.endswith("s"), cut_end(t, 1)), F.when(t.endswith("es"), cut_end(t, 2)))
     offers = (
-        cols.withColumn("base", F.explode(F.array_compact(stems)))
-        .where((F.col("c") == "id") | (F.col("c") == F.concat(F.col("base"), F.lit("_id"))))
-        .groupBy("table_id", "t", "base")
+        cols.where((c == "id") | c.endswith("_id"))
+        .withColumn("base", F.explode(F.array_compact(stems)))
+        .where((c == "id") | (c == F.concat(F.col("base"), F.lit("_id"))))
+        .groupBy("table_id", "base")
         .agg(F.min_by("column_name", "ordinal").alias("target_column"))
         .withColumnRenamed("table_id", "target")
     )
-    found = spread_join(wanted, offers, ["base", "t"], "inner", min_rows)
-    return found.where(F.col("source") != F.col("target")).select(*EDGE).distinct()
+    found = spread_join(wanted, offers, ["base"], "inner", min_rows)
+    return found.where(F.col("source") != F.col("target")).select(*EDGE)
 
 
 def key_flags(columns: DataFrame, foreign_keys: DataFrame | None = None) -> DataFrame:

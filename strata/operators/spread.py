@@ -14,6 +14,16 @@ HOT_ROWS = 1_000_000
 SALTS = 64
 
 
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores.
+
+    For costly row work on a few large files. Meant for plans without a shuffle, whose number of
+    partitions is known from the files.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS, top: int = HOT_KEYS) -> DataFrame:
     """The most frequent keys with at least `min_rows` rows, never more than `top` of them.
 
@@ -37,7 +47,9 @@ def spread_join(
     Rows of a hot key get a salt and the few right rows of that key are repeated once per salt,
     so the key is worked on by `salts` tasks. Rows with a null key are spread the same way; they
     match nothing. `how`: inner, left, left_semi or left_anti. The salt comes from the input
-    partition, so a task that runs again gives the same salt.
+    partition, so a task that runs again gives the same salt. The keys of `left` are read twice,
+    so pass a stored table, or `cut` what is costly to compute. Elsewhere plain joins are left to
+    adaptive execution, which splits skewed partitions.
     """
     hot = F.broadcast(hot_keys(left, on, min_rows).withColumn("_hot", F.lit(True)))
     some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.operators import metadata, relations
-from workloads.registry import derive, query, read, with_inputs
+from workloads.registry import derive, query, read, stored, with_inputs
 from workloads.scalars import NOW, now
 
 # Every order is a table or view; its columns come from its lines and point to other tables by
@@ -163,7 +163,7 @@ KNOWN = "(SELECT concat(table_schema, '.', table_name) AS t, column_name AS c FR
     ),
 )
 def declared_relationships(spark, sf):
-    return relations.declared_relationships(derive(spark, sf, COLUMNS), derive(spark, sf, FOREIGN))
+    return relations.declared_relationships(stored(spark, sf, COLUMNS), stored(spark, sf, FOREIGN))
 
 
 INFERRED = """SELECT DISTINCT concat(s.table_schema, '.', s.table_name) AS source, s.column_name AS source_column,
@@ -176,7 +176,7 @@ GROUP BY s.table_schema, s.table_name, s.column_name, t.table_schema, t.table_na
 
 @query("inferred_relationships", with_inputs(INFERRED, cols=COLUMNS, fks=FOREIGN))
 def inferred_relationships(spark, sf):
-    return relations.inferred_relationships(derive(spark, sf, COLUMNS), derive(spark, sf, FOREIGN))
+    return relations.inferred_relationships(stored(spark, sf, COLUMNS), stored(spark, sf, FOREIGN))
 
 
 @query(
@@ -220,7 +220,7 @@ def relationship_union(spark, sf):
         F.concat_ws(".", "table_schema", "table_name").alias("source"), F.col("column_name").alias("source_column"),
         F.concat_ws(".", "foreign_schema", "foreign_table").alias("target"), F.col("foreign_column").alias("target_column"),
     )
-    return relations.relationship_union(derive(spark, sf, COLUMNS), detected, derive(spark, sf, CUSTOM))
+    return relations.relationship_union(stored(spark, sf, COLUMNS), detected, stored(spark, sf, CUSTOM))
 
 
 @query(

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as tx
 from strata.operators import corpus
+from strata.session import cut
 from workloads.catalog import COLUMNS
-from workloads.registry import derive, query, with_inputs
+from workloads.registry import derive, query, texts, with_inputs
 from workloads.scalars import CANONICAL, SQL_TEXTS
 
 # One query text per document; two thirds have a note, which is the whole document.
@@ -67,8 +68,8 @@ FIRST_LINE = rf"""list_filter(list_transform(string_split_regex(body, '\r?\n'),
     ),
 )
 def corpus_index(spark, sf):
-    texts = corpus.companion_join(derive(spark, sf, QUERIES_OF_DOCS), derive(spark, sf, NOTES_OF_DOCS))
-    index = corpus.corpus_index(texts).withColumn("tags", F.array_join("tags", " "))
+    joined = corpus.companion_join(derive(spark, sf, QUERIES_OF_DOCS), derive(spark, sf, NOTES_OF_DOCS))
+    index = corpus.corpus_index(joined).withColumn("tags", F.array_join("tags", " "))
     return index.select("path", "sql_hash", "title", "md_title", "tags", "md_body", "md_summary", "search_text")
 
 
@@ -147,7 +148,7 @@ HASHED = f"(SELECT path, sha256({CANONICAL}) AS sql_hash FROM texts)"
 
 
 def hashed_texts(spark, sf):
-    return derive(spark, sf, SQL_TEXTS).select("path", tx.sql_hash("sql").alias("sql_hash"))
+    return texts(spark, sf, SQL_TEXTS).select("path", tx.sql_hash("sql").alias("sql_hash"))
 
 
 @query(
@@ -170,7 +171,7 @@ def hash_groups(spark, sf):
     ),
 )
 def hash_members(spark, sf):
-    return corpus.hash_members(hashed_texts(spark, sf))
+    return corpus.hash_members(cut(hashed_texts(spark, sf), "hashes"))
 
 
 @query(
@@ -182,7 +183,7 @@ def hash_members(spark, sf):
     ),
 )
 def similar_queries(spark, sf):
-    path = derive(spark, sf, SQL_TEXTS).where("qid = 9").select("path").first()[0]
+    path = texts(spark, sf, SQL_TEXTS).where("qid = 9").select("path").first()[0]
     return corpus.similar_queries(hashed_texts(spark, sf), path)
 
 
@@ -290,10 +291,10 @@ SELECT o_orderkey AS qid, concat('SELECT * FROM bronze.Ent', o_custkey * 15, 's
     ).replace(")\n, j AS", "),\nj AS"),
 )
 def query_context(spark, sf):
-    texts = derive(spark, sf, CONTEXT_TEXTS)
-    refs = texts.select(F.explode(corpus.table_refs("sql")).alias("table_ref"))
+    queries = texts(spark, sf, CONTEXT_TEXTS)
+    refs = queries.select(F.explode(corpus.table_refs("sql")).alias("table_ref"))
     described = corpus.describe_join(refs, *[derive(spark, sf, x) for x in (COLUMNS, DESCRIBED, COLUMN_TEXTS)])
-    return corpus.query_context(texts, "qid", described, 600)
+    return corpus.query_context(queries, "qid", described, 600)
 
 
 # Answers in text form with JSON blocks: bare, fenced, several in one text, and broken ones.
@@ -316,4 +317,4 @@ SELECT o_orderkey AS answer_id, CASE o_orderkey % 5
       ) t(m, b, kind, p, x, d, v) ON o_orderkey % 5 = m""",
 )
 def description_blocks(spark, sf):
-    return corpus.description_blocks(derive(spark, sf, ANSWERS), "answer_id")
+    return corpus.description_blocks(texts(spark, sf, ANSWERS), "answer_id")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from strata.operators import lineage
 from strata.plans import cells as run
 from strata.plans import lifecycle
+from strata.session import cut
 from strata.sources import catalog
-from workloads.registry import derive, mounted, query, with_inputs
+from workloads.registry import derive, mounted, query, stored, texts, with_inputs
 from workloads.scalars import NOW, SQL_TEXTS, now
 
 # One cell per order, in six shapes; a few are notes or aim at a layer that is not allowed.
@@ -49,7 +50,7 @@ FROM {orders} JOIN (VALUES ('id', 1), ('total', 4), ('nm', 1), ('five', 3), ('ot
     ).replace(")\n, good", "),\ngood"),
 )
 def lineage_table_edges(spark, sf):
-    return lineage.lineage_table_edges(derive(spark, sf, CELLS))
+    return lineage.lineage_table_edges(texts(spark, sf, CELLS))
 
 
 # Expected items by shape: table prefix, column, output column, expression, confidence.
@@ -76,7 +77,7 @@ def cell_check(body: str) -> str:
 
 @query("lineage_column_edges", cell_check("SELECT * FROM edges"))
 def lineage_column_edges(spark, sf):
-    return lineage.lineage_column_edges(derive(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS))
+    return lineage.lineage_column_edges(texts(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS))
 
 
 TABLE_NODES = """SELECT pipeline_id, fqn, CASE WHEN materialize = 'view' THEN 'view' ELSE 'table' END AS node_type, cell_id FROM good
@@ -85,7 +86,7 @@ TABLE_NODES = """SELECT pipeline_id, fqn, CASE WHEN materialize = 'view' THEN 'v
 
 @query("lineage_nodes", cell_check(TABLE_NODES))
 def lineage_nodes(spark, sf):
-    return lineage.lineage_table_nodes(derive(spark, sf, CELLS))
+    return lineage.lineage_table_nodes(texts(spark, sf, CELLS))
 
 
 COLUMN_NODES = """SELECT pipeline_id, fqn AS table_fqn, column_name, data_type FROM good JOIN cols ON table_schema = lay AND table_name = output_name
@@ -94,7 +95,7 @@ COLUMN_NODES = """SELECT pipeline_id, fqn AS table_fqn, column_name, data_type F
 
 @query("lineage_column_nodes", cell_check(COLUMN_NODES))
 def lineage_column_nodes(spark, sf):
-    return lineage.lineage_column_nodes(derive(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS))
+    return lineage.lineage_column_nodes(texts(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS))
 
 
 @query(
@@ -107,8 +108,8 @@ def lineage_column_nodes(spark, sf):
     ),
 )
 def lineage_valid_edges(spark, sf):
-    found, columns = derive(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS)
-    edges = lineage.lineage_column_edges(found, columns)
+    found, columns = texts(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS)
+    edges = cut(lineage.lineage_column_edges(found, columns), "edges")
     nodes = lineage.lineage_table_nodes(found)
     return lineage.lineage_valid_edges(edges, nodes, lineage.lineage_column_nodes(found, columns, edges))
 
@@ -122,7 +123,7 @@ def lineage_valid_edges(spark, sf):
     ),
 )
 def table_refs(spark, sf):
-    return lineage.table_refs(derive(spark, sf, SQL_TEXTS), "qid")
+    return lineage.table_refs(texts(spark, sf, SQL_TEXTS), "qid")
 
 
 @query(
@@ -136,7 +137,7 @@ def table_refs(spark, sf):
     ),
 )
 def select_items(spark, sf):
-    return lineage.select_items(derive(spark, sf, CELLS), "cell_id")
+    return lineage.select_items(texts(spark, sf, CELLS), "cell_id")
 
 
 # Table nodes of many pipelines, and the tables that exist.
@@ -178,7 +179,7 @@ def mark_layer_deleted(spark, sf):
     ),
 )
 def reconcile_lineage(spark, sf):
-    return lineage.reconcile_lineage(derive(spark, sf, NODES), derive(spark, sf, EXISTING))
+    return lineage.reconcile_lineage(stored(spark, sf, NODES), derive(spark, sf, EXISTING))
 
 
 # Column edges between numbered tables: lines of an order point from parts to orders, so there

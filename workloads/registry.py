@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strata import Workbench, open_workbench
+from strata.operators.spread import spread_scan
+from strata.session import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +40,16 @@ def derive(spark: SparkSession, sf: str, text: str) -> DataFrame:
     return spark.sql(text, **{n: read(spark, sf, n) for n in names})
 
 
+def texts(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    """A derived input of texts that are costly to work on; the derivation is a plain scan."""
+    return spread_scan(derive(spark, sf, text))
+
+
+def stored(spark: SparkSession, sf: str, text: str) -> DataFrame:
+    """A derived input as a stored table, for operators that read it more than once."""
+    return cut(derive(spark, sf, text), "input")
+
+
 class _Same(dict):
     def __missing__(self, key: str) -> str:
         return key

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import text as tx
 from strata.functions import values as v
-from workloads.registry import derive, plain, query, read, with_inputs
+from workloads.registry import query, read, texts, with_inputs
 
 # SQL texts of many shapes, one per order.
 SQL_TEXTS = """
@@ -35,7 +35,7 @@ def on_texts(key: str, column, oracle: str) -> None:
 
     @query(key, with_inputs(f"SELECT qid, {oracle} AS value FROM texts", texts=SQL_TEXTS))
     def run(spark, sf):
-        return derive(spark, sf, SQL_TEXTS).select("qid", column(F.col("sql")).alias("value"))
+        return texts(spark, sf, SQL_TEXTS).select("qid", column(F.col("sql")).alias("value"))
 
 
 CANONICAL = rf"""lower(regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(sql, '/\*.*?\*/', ' ', 'gs'),
@@ -107,7 +107,7 @@ EDGES = r"chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' '"
     ),
 )
 def front_matter(spark, sf):
-    notes = derive(spark, sf, FENCED).select("doc_id", tx.front_matter("note").alias("m"))
+    notes = texts(spark, sf, FENCED).select("doc_id", tx.front_matter("note").alias("m"))
     return notes.select(
         "doc_id", "m.title", F.array_join("m.tags", "|").alias("tags"), "m.connection_id", "m.connection_name", "m.dialect"
     )
@@ -123,7 +123,7 @@ def front_matter(spark, sf):
     ),
 )
 def body_normalize(spark, sf):
-    notes = derive(spark, sf, FENCED)
+    notes = texts(spark, sf, FENCED)
     return notes.select("doc_id", tx.body_normalize(tx.note_body("note")).alias("body"))
 
 
@@ -139,7 +139,7 @@ def body_normalize(spark, sf):
     ),
 )
 def body_summary(spark, sf):
-    return derive(spark, sf, FENCED).select("doc_id", tx.body_summary(tx.note_body("note")).alias("summary"))
+    return texts(spark, sf, FENCED).select("doc_id", tx.body_summary(tx.note_body("note")).alias("summary"))
 
 
 @query(
