@@ -39,7 +39,8 @@ def _double_text(c: Column) -> Column:
     """A double as JavaScript prints it: 23, 0.05, 12345678.9, 1e+21, 1.5e-7.
 
     Java prints the same digits but goes to exponents earlier; those are spelled out through a
-    decimal wide enough for every digit.
+    decimal wide enough for every digit. (Before version 19 it gives a few doubles one digit more
+    than needed; such a text still reads back as the same double.)
     """
     size, shown = F.abs(c), c.cast("string")
     spelled = lambda scale: shown.cast(f"decimal(38,{scale})").cast("string")

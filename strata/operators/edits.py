@@ -164,11 +164,14 @@ def edit_summary(status: DataFrame) -> DataFrame:
 
 def edit_diff(baseline: DataFrame, edited: DataFrame, keys: list[str]) -> DataFrame:
     """Cells that differ between two states of a table, in the long form of edits."""
-    cells = [c for c in baseline.columns if c not in keys and c in edited.columns]
+    barred = {k.lower() for k in keys}
+    theirs = {c.lower() for c in edited.columns}
+    cells = [c for c in baseline.columns if c.lower() not in barred and c.lower() in theirs]
 
     def as_text(df: DataFrame) -> DataFrame:
+        types = {f.name.lower(): f.dataType for f in df.schema.fields}
         return df.select(
-            *keys, *[value_text(F.col(f"`{c}`"), df.schema[c].dataType).alias(c) for c in cells]
+            *keys, *[value_text(F.col(f"`{c}`"), types[c.lower()]).alias(c) for c in cells]
         )
 
     old = as_text(baseline).select(*keys, F.struct(*cells).alias("_old"))

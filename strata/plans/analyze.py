@@ -11,7 +11,7 @@ BARE = re.compile(r"^\s*(SHOW|DESCRIBE|DESC|EXPLAIN)\b", re.IGNORECASE)
 
 
 def strip_statement(sql: str) -> str:
-    return sql.strip().rstrip(";").rstrip()
+    return re.sub(r"[;\s]+\Z", "", sql.strip())
 
 
 def analyze(spark: SparkSession, sql: str) -> DataFrame:
