@@ -6,6 +6,7 @@ Cells are rows of pipeline_id, cell_id, ordinal, cell_type, layer, output_name,
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from strata.functions import sqlparts
 from strata.functions.text import edge_label
 from strata.operators.spread import HOT_ROWS, spread_join
-from strata.session import PIPELINE_LAYERS, cut, is_empty
+from strata.session import PIPELINE_LAYERS, cut, scratch_path, write_counted
 
 CELL = ["pipeline_id", "cell_id"]
 
@@ -188,28 +189,34 @@ def reconcile_lineage(tables: DataFrame, catalog: DataFrame, min_rows: int = HOT
 
 
 def upstream_trace(
-    edges: DataFrame, table: str, column: str, max_rounds: int = 10_000
+    edges: DataFrame, table: str, column: str, hops: int = 2, max_rounds: int = 10_000
 ) -> tuple[DataFrame, DataFrame]:
     """Columns and edges that feed one column, breadth first; safe on cycles.
 
-    Returns (columns with their distance, edges). Only the frontier is joined in each round, it
-    is cut free of its lineage, and a column is visited once.
+    Returns (columns with their distance, edges). A round starts from the columns found last and
+    takes `hops` steps in one plan; only what is new is written, to a sub-folder of its own, so
+    what was seen stays one scan and no lineage builds up.
     """
     spark = edges.sparkSession
-    ends = ["source", "source_column", "target", "target_column"]
+    ends, key = ["source", "source_column", "target", "target_column"], ["target", "target_column"]
+    folder = scratch_path(spark, "trace")
     slim = cut(edges.select(*ends).distinct(), "trace")
-    frontier = spark.createDataFrame([(table, column)], "target string, target_column string")
-    seen = frontier.withColumn("distance", F.lit(0))
-    used = slim.limit(0)
-    for depth in range(1, max_rounds + 1):
-        # `frontier` is distinct, so an edge is found once and its target is never asked again.
-        step = cut(slim.join(frontier, ["target", "target_column"], "left_semi"), "trace")
-        reached = step.select(F.col("source").alias("target"), F.col("source_column").alias("target_column")).distinct()
-        fresh = cut(reached.join(seen, ["target", "target_column"], "left_anti"), "trace")
-        used = used.unionByName(step)
-        if is_empty(fresh):
+    seen = lambda: spark.read.schema("target string, target_column string, distance int").parquet(folder)
+    start = spark.sql("SELECT :t AS target, :c AS target_column, 0 AS distance", {"t": table, "c": column})
+    start.write.parquet(f"{folder}/round=0")
+    for done in range(0, max_rounds * hops, hops):
+        level = seen().where(F.col("distance") == done).select(*key)
+        found = []
+        for step in range(1, hops + 1):
+            level = slim.join(level, key, "left_semi").select(
+                F.col("source").alias("target"), F.col("source_column").alias("target_column")
+            ).distinct()
+            found.append(level.withColumn("distance", F.lit(done + step)))
+        nearest = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("distance").alias("distance"))
+        fresh = nearest.join(seen().select(*key), key, "left_anti")
+        last = F.col("distance") == done + hops
+        if write_counted(fresh, f"{folder}/round={done + hops}", last) == 0:
             break
-        seen = seen.unionByName(fresh.withColumn("distance", F.lit(depth)))
-        frontier = fresh
-    columns = seen.select(F.col("target").alias("table_fqn"), F.col("target_column").alias("column_name"), "distance")
-    return columns, used.select(*ends)
+    columns = seen().select(F.col("target").alias("table_fqn"), F.col("target_column").alias("column_name"), "distance")
+    # Every edge into a column that was reached has been followed.
+    return columns, slim.join(seen().select(*key), key, "left_semi").select(*ends)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 INPUT_LAYERS = ("imports", "data_cache")
@@ -24,6 +24,7 @@ RUN_LOG_SCHEMA = (
 
 _local_roots: dict[str, str] = {}
 _mounts: dict[tuple[str, str], str] = {}
+_versions: dict[tuple[str, str], list[str]] = {}
 
 
 class StrataError(ValueError):
@@ -73,6 +74,14 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_counted(df: DataFrame, path: str, condition: Column | None = None) -> int:
+    """Write `df` as parquet and give the number of rows (that meet `condition`), taken on the way."""
+    seen = Observation()
+    met = F.count(F.lit(1)) if condition is None else F.count_if(condition)
+    df.observe(seen, met.alias("rows")).write.parquet(path)
+    return int(seen.get["rows"])
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove one folder this toolkit wrote."""
     jvm = spark.sparkContext._jvm
@@ -94,7 +103,6 @@ class Workbench:
 
     spark: SparkSession
     root: str = ""
-    versions: dict[str, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if not self.root:
@@ -141,18 +149,13 @@ class Workbench:
         leaves everything untouched.
         """
         path = f"{self.root}/{fqn.replace('.', '/')}/{uuid.uuid4().hex}"
-        seen = Observation()
-        counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-        if cluster_by:
-            counted = counted.sortWithinPartitions(*cluster_by)
-        counted.write.parquet(path)
-        rows = int(seen.get["rows"])
+        rows = write_counted(df.sortWithinPartitions(*cluster_by) if cluster_by else df, path)
         if rows == 0 and not keep_empty:
             delete_path(self.spark, path)
             return 0
         self.drop(fqn)
         self.spark.catalog.createTable(fqn, path=path, source="parquet", schema=df.schema)
-        history = self.versions.setdefault(fqn, [])
+        history = _versions.setdefault((self.spark.sparkContext.applicationId, path.rsplit("/", 1)[0]), [])
         history.append(path)
         while len(history) > 2:
             delete_path(self.spark, history.pop(0))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strata.session import StrataError, Workbench, error_text
+from strata.session import StrataError, Workbench, error_text, is_empty
 
 REPORT_SCHEMA = "file string, target string, status string, rows bigint, message string"
 # Separators tried on .txt files, and suffixes of query texts.
@@ -55,16 +55,23 @@ def widen(schema: T.StructType) -> T.StructType:
     return T.StructType(fields)
 
 
+def has_line_ends_in_fields(spark: SparkSession, path: str) -> bool:
+    """Whether some quoted field goes over several lines: then a line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not is_empty(spark.read.text(path).where(quotes % 2 == 1))
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Delimited text with a header. Types come from a full pass unless `schema` is given.
 
-    A schema read off a sample could turn later values into nulls, so none is sampled.
+    A schema read off a sample could turn later values into nulls, so none is sampled. Files are
+    split among tasks unless a field holds line ends, in which case each file is one task's.
     """
     reader = (
         spark.read.option("header", True)
         .option("sep", pick_separator(spark, path))
         .option("escape", '"')
-        .option("multiLine", False)
+        .option("multiLine", has_line_ends_in_fields(spark, path))
         .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]")
     )
     if schema is None:

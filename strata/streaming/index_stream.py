@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.edits import apply_change_feed
@@ -19,9 +20,9 @@ def _batch_path(folder: str, batch_id: int) -> str:
     return f"{folder}/batch={batch_id:012d}"
 
 
-def read_log(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """All batches written so far."""
-    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(folder)
+def read_log(spark: SparkSession, folder: str, schema, after: int = -1) -> DataFrame:
+    """The batches written so far, those up to `after` left out."""
+    return spark.read.schema(schema).parquet(folder).where(F.col("batch") > after).drop("batch")
 
 
 def _start(feed: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, once: bool) -> StreamingQuery:
@@ -42,9 +43,14 @@ def stream_changes(feed: DataFrame, folder: str, checkpoint: str, once: bool = T
     return _start(feed, write, checkpoint, once)
 
 
-def current_index(base: DataFrame, folder: str, feed_schema, fields: list[str]) -> DataFrame:
-    """The index after all changes logged so far."""
-    return apply_change_feed(base, read_log(base.sparkSession, folder, feed_schema), fields)
+def current_index(base: DataFrame, folder: str, feed_schema, fields: list[str], after: int = -1) -> DataFrame:
+    """The index after the changes logged so far.
+
+    To keep the fold short, store the result now and then and pass it as the new `base` with the
+    last batch it holds as `after`. A stored entry keeps the order number of its last change, so
+    late older events still lose; only a deleted key is forgotten by then.
+    """
+    return apply_change_feed(base, read_log(base.sparkSession, folder, feed_schema, after), fields)
 
 
 def stream_history(runs: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:

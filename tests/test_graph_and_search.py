@@ -122,10 +122,10 @@ def test_mark_and_reconcile(spark, rows):
 
 def test_visible_schemas_of_an_empty_database(spark):
     empty = spark.createDataFrame([], "catalog_name string, schema_name string")
-    got = [r.name for r in metadata.visible_schemas(empty, "dp").orderBy("place", "name").collect()]
+    got = [r.name for r in metadata.visible_schemas(empty, "own").orderBy("place", "name").collect()]
     assert got == ["imports", "data_cache", "bronze", "silver", "gold"]
-    other = spark.createDataFrame([("x", "main"), ("x", "s"), ("dp", "main"), ("dp", "ops")], empty.schema)
-    assert sorted(r.name for r in metadata.visible_schemas(other, "dp", local=False).collect()) == ["main", "x", "x.s"]
+    other = spark.createDataFrame([("x", "main"), ("x", "s"), ("own", "main"), ("own", "ops")], empty.schema)
+    assert sorted(r.name for r in metadata.visible_schemas(other, "own", local=False).collect()) == ["main", "x", "x.s"]
 
 
 def test_registry_keeps_creation_time(spark):
@@ -271,3 +271,7 @@ def test_late_events_and_repeated_batches(spark):
     batch([(3, "delete", "a", None, None), (6, "rename", "x", "y", "none")])
     assert run() == [("a", "five", 5), ("y", "old", 6)]
     assert run() == [("a", "five", 5), ("y", "old", 6)]
+    # The first batch as stored base, the second from the log.
+    stored = spark.createDataFrame([("x", "old", -1), ("a", "five", 5)], base.schema)
+    rest = index_stream.current_index(stored, log, schema, ["title"], after=0)
+    assert sorted(tuple(r) for r in rest.collect()) == [("a", "five", 5), ("y", "old", 6)]

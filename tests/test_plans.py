@@ -125,6 +125,9 @@ def test_import_text_files(wb, tmp_path):
     assert wb.table(files.import_file(wb, str(tmp_path / "t.tsv")).target).dtypes == [("a", "bigint"), ("b", "double")]
     row = wb.table(files.import_file(wb, str(tmp_path / "semi.txt")).target).first()
     assert tuple(row) == (1, "x,y", True)
+    (tmp_path / "lines.csv").write_text('a,b\n1,"x\ny, ""z"""\n2,w\n')
+    lines = wb.table(files.import_file(wb, str(tmp_path / "lines.csv")).target)
+    assert [tuple(r) for r in lines.orderBy("a").collect()] == [(1, 'x\ny, "z"'), (2, "w")]
     kept = files.import_file(wb, str(tmp_path / "t.tsv"), name="my data", overwrite=False)
     assert (kept.status, kept.rows) == ("kept", 2)
 

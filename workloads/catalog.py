@@ -124,7 +124,7 @@ def index_columns(spark, sf):
 
 
 SCHEMATA = """
-SELECT CASE c_nationkey % 4 WHEN 0 THEN 'dp' WHEN 1 THEN 'memory' WHEN 2 THEN 'data_cache' ELSE concat('db', c_nationkey) END AS catalog_name,
+SELECT CASE c_nationkey % 4 WHEN 0 THEN 'own' WHEN 1 THEN 'memory' WHEN 2 THEN 'data_cache' ELSE concat('db', c_nationkey) END AS catalog_name,
   CASE c_custkey % 9 WHEN 0 THEN 'main' WHEN 1 THEN 'information_schema' WHEN 2 THEN 'ops' WHEN 3 THEN 'gold' WHEN 4 THEN 'imports'
   ELSE concat('s', c_custkey % 30) END AS schema_name FROM {customer}
 """
@@ -133,16 +133,16 @@ SELECT CASE c_nationkey % 4 WHEN 0 THEN 'dp' WHEN 1 THEN 'memory' WHEN 2 THEN 'd
 @query(
     "visible_schemas",
     with_inputs(
-        """, shown AS (SELECT DISTINCT CASE WHEN catalog_name IN ('dp', 'memory') THEN schema_name WHEN schema_name = 'main' THEN catalog_name
+        """, shown AS (SELECT DISTINCT CASE WHEN catalog_name IN ('own', 'memory') THEN schema_name WHEN schema_name = 'main' THEN catalog_name
           ELSE concat(catalog_name, '.', schema_name) END AS name FROM sch WHERE schema_name NOT IN ('information_schema', 'pg_catalog', 'ops')
-          AND catalog_name <> 'data_cache' AND NOT (catalog_name IN ('dp', 'memory') AND schema_name = 'main'))
+          AND catalog_name <> 'data_cache' AND NOT (catalog_name IN ('own', 'memory') AND schema_name = 'main'))
         SELECT name, CASE name WHEN 'imports' THEN 0 WHEN 'data_cache' THEN 1 WHEN 'bronze' THEN 2 WHEN 'silver' THEN 3 WHEN 'gold' THEN 4 ELSE 5 END AS place
         FROM (SELECT name FROM shown UNION SELECT unnest(['imports', 'data_cache', 'bronze', 'silver', 'gold']))""",
         sch=SCHEMATA,
     ).replace(")\n, shown", "),\nshown"),
 )
 def visible_schemas(spark, sf):
-    return metadata.visible_schemas(derive(spark, sf, SCHEMATA), "dp")
+    return metadata.visible_schemas(derive(spark, sf, SCHEMATA), "own")
 
 
 # -- relationships -------------------------------------------------------------------------------

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.plans import cells, lifecycle, script
@@ -78,12 +81,18 @@ def catalog_tables(spark, sf):
     wb = mounted(spark, sf, "orders", "customer")
     cells.transform(wb, "SELECT * FROM imports.orders", "bronze", "listed_orders", "view")
     cells.transform(wb, "SELECT * FROM imports.customer", "silver", "listed_customers")
-    found = catalog.catalog_tables(wb).where(F.col("table_name").startswith("listed_"))
-    counts = None
-    for schema, name in (("bronze", "listed_orders"), ("silver", "listed_customers")):
-        one = wb.table(f"{schema}.{name}").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit(name))
-        counts = one if counts is None else counts.unionByName(one)
-    return found.join(counts, "table_name").select("table_schema", "table_name", "table_type", "n_rows")
+    return object_counts(wb, catalog.catalog_tables(wb).where(F.col("table_name").startswith("listed_")))
+
+
+def object_counts(wb, listing):
+    """A short listing of catalog objects with the rows of each."""
+    counts = [
+        wb.table(f"{o.table_schema}.{o.table_name}").agg(F.count(F.lit(1)).alias("n_rows")).select(
+            *[F.lit(o[c]).alias(c) for c in listing.columns], "n_rows"
+        )
+        for o in listing.collect()
+    ]
+    return reduce(DataFrame.unionByName, counts)
 
 
 @query(
@@ -294,5 +303,4 @@ def drop_object(spark, sf):
     cells.transform(wb, "SELECT * FROM imports.dropped_orders", "silver", "kept_orders")
     lifecycle.drop_object(wb, "imports.dropped_orders")
     left = catalog.catalog_tables(wb).where(F.col("table_name").rlike("(dropped|kept)_orders"))
-    n = wb.table("silver.kept_orders").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("table_name", F.lit("kept_orders"))
-    return left.join(n, "table_name", "left").select("table_schema", "table_name", "n_rows")
+    return object_counts(wb, left).select("table_schema", "table_name", "n_rows")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.operators import lineage
 from strata.plans import cells as run
 from strata.plans import lifecycle
 from strata.session import cut
-from strata.sources import catalog
 from workloads.registry import derive, mounted, query, stored, texts, with_inputs
 from workloads.scalars import NOW, SQL_TEXTS, now
 
@@ -36,11 +38,11 @@ READS = """SELECT pipeline_id, cell_id, fqn, concat(p, m) AS source FROM good JO
   (0, 'bronze.a'), (0, 'silver.b'), (1, 'imports.src'), (2, 'bronze.a'), (2, 'silver.b'), (3, 'data_cache.d'), (3, 'bronze.a'),
   (5, 'bronze.a'), (5, 'gold.g')) v(s, p) ON s = shape"""
 # Columns of the outputs; some are missing from the catalog.
-OUT_COLUMNS = """
-SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'bronze' WHEN o_orderkey % 2 = 0 THEN 'silver' ELSE 'gold' END AS table_schema,
-  concat('out', o_orderkey) AS table_name, col AS column_name, 'bigint' AS data_type
-FROM {orders} JOIN (VALUES ('id', 1), ('total', 4), ('nm', 1), ('five', 3), ('other', 5)) v(col, m) ON o_orderkey % m <> 2
-"""
+OUT_COLUMNS = "\nUNION ALL ".join(
+    f"""SELECT CASE WHEN o_orderkey % 17 = 0 THEN 'bronze' WHEN o_orderkey % 2 = 0 THEN 'silver' ELSE 'gold' END AS table_schema,
+  concat('out', o_orderkey) AS table_name, '{name}' AS column_name, 'bigint' AS data_type FROM {{orders}} WHERE o_orderkey % {gap} <> 2"""
+    for name, gap in (("id", 1), ("total", 4), ("nm", 1), ("five", 3), ("other", 5))
+)
 
 
 @query(
@@ -234,8 +236,9 @@ def reset_outputs(spark, sf):
         "pipeline_id string, fqn string, schema_name string, status string, deleted_at timestamp, deleted_by string, cell_id string",
     )
     _, marked = lifecycle.reset_outputs(wb, nodes, "p1")
-    left = wb.table("silver.reset_c").agg(F.count(F.lit(1)).alias("_n")).withColumn("fqn", F.lit("silver.reset_c"))
-    gone = catalog.catalog_tables(wb).where(F.col("table_name").isin("reset_a", "reset_b"))
-    gone = gone.select(F.concat_ws(".", "table_schema", "table_name").alias("fqn"), F.lit(-1).cast("bigint").alias("_bad"))
-    rows = marked.join(left, "fqn", "left").join(gone, "fqn", "left")
-    return rows.select("fqn", "status", "deleted_by", F.coalesce("_bad", "_n", F.lit(0)).cast("bigint").alias("n_rows"))
+    # Rows of each output that is still there.
+    left = {t: wb.table(t) for t in ("gold.reset_a", "silver.reset_b", "silver.reset_c") if wb.exists(t)}
+    counts = [df.select(F.lit(t).alias("fqn")) for t, df in left.items()]
+    kept = reduce(DataFrame.unionByName, counts).groupBy("fqn").agg(F.count(F.lit(1)).alias("_n"))
+    rows = marked.join(kept, "fqn", "left")
+    return rows.select("fqn", "status", "deleted_by", F.coalesce("_n", F.lit(0)).cast("bigint").alias("n_rows"))
