@@ -112,8 +112,9 @@ def lineage_column_nodes(spark, sf):
 def lineage_valid_edges(spark, sf):
     found, columns = texts(spark, sf, CELLS), derive(spark, sf, OUT_COLUMNS)
     edges = cut(lineage.lineage_column_edges(found, columns), "edges")
-    nodes = lineage.lineage_table_nodes(found)
-    return lineage.lineage_valid_edges(edges, nodes, lineage.lineage_column_nodes(found, columns, edges))
+    nodes = cut(lineage.lineage_table_nodes(found), "nodes")
+    ends = cut(lineage.lineage_column_nodes(found, columns, edges), "ends")
+    return lineage.lineage_valid_edges(edges, nodes, ends)
 
 
 @query(
