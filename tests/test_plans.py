@@ -162,9 +162,11 @@ def test_cache(wb):
         cache.cache_table(wb, "bronze.raw__my_db__top_rows", "db")
 
 
-def test_cached_table_is_sorted_by_its_keys(wb):
-    wb.spark.range(100).select((99 - F.col("id")).alias("k")).write.mode("overwrite").saveAsTable("default.shuffled")
-    done = cache.cache_table(wb, "default.shuffled", "db", keys=["k"])
+def test_cached_table_is_sorted_by_its_keys(wb, tmp_path):
+    wb.spark.range(100).select((99 - F.col("id")).alias("k")).write.parquet(str(tmp_path / "t"))
+    wb.spark.sql(f"CREATE DATABASE IF NOT EXISTS elsewhere LOCATION '{tmp_path}/db'")
+    wb.mount("elsewhere.shuffled", str(tmp_path / "t"))
+    done = cache.cache_table(wb, "elsewhere.shuffled", "db", keys=["k"])
     assert [r.k for r in wb.table(done.target).limit(3).collect()] == [0, 1, 2]
 
 
