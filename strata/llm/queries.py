@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import exact_dedup, mixing, quality_rules
-from strata.llm.common import table
+from strata.llm import exact_dedup, mixing, packing, quality_rules, token_store, warc
+from strata.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +141,41 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
+
+
+@query()
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_store.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP10_SQL = r"""
+WITH sums AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hex, coalesce(html, '') AS html FROM pages
+), firsts AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM sums
+), fives AS (
+  SELECT *, [CAST('0x' || substr(hex, 5 * i + 1, 5) AS INT) FOR i IN range(8)] AS parts FROM firsts
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string([
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (p >> 15) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (p >> 10) % 32 + 1, 1)
+    || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (p >> 5) % 32 + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', p % 32 + 1, 1)
+    FOR p IN parts], '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM fives
+"""
+
+
+@query(OP10_SQL)
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    names = warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, names).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
