@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import exact_dedup, kn_model, mixing, near_dup, packing, quality_rules, suffix_dedup, token_store, warc
+from strata.llm import edit_counts, exact_dedup, kn_model, mixing, near_dup, packing, quality_rules, suffix_dedup, token_store, warc
 from strata.llm.common import scratch_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,29 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_copies(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("__row")
 
 
+def document_edits(docs: DataFrame) -> DataFrame:
+    """Three edits per document, taken from its own text: a passage goes, one is put in twice, one is replaced by blanks."""
+
+    def place(salt: int, size) -> Column:
+        return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(salt)), size)
+
+    n = F.length(F.coalesce(F.col("text"), F.lit("")))
+    piece = F.substring(F.col("text"), place(4, n + 1).cast("int"), place(5, F.lit(40)).cast("int"))
+    edits = F.array(
+        F.struct(place(1, n + 1).alias("at"), place(6, F.lit(60)).alias("remove"), F.lit("").alias("put")),
+        F.struct(place(2, n + 1).alias("at"), F.lit(0).cast("bigint").alias("remove"), piece.alias("put")),
+        F.struct(place(3, n + 1).alias("at"), place(7, F.lit(12)).alias("remove"), F.lit(" \n ").alias("put")),
+    )
+    return docs.select("doc_id", F.inline(edits))
+
+
+@query()
+def op8_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = edit_counts.recount(docs, edit_counts.stored_trees(docs), document_edits(docs))
+    return counted.select("doc_id", "n_tokens_before", "n_tokens", "n_chars", "n_edits", "n_refused", "chars_encoded")
+
+
 OP9_SQL = r"""
 WITH parts AS (
   SELECT doc_id, lang, source, coalesce(text, '') AS text,

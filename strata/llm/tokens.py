@@ -93,13 +93,35 @@ class Encoder:
             self._new[word] = found
         return found
 
+    def words(self, text: str) -> list[str]:
+        """The parts that are encoded on their own; each but the first stands behind one space that belongs to it."""
+        if not self.by_word:
+            return [text]
+        return _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
+
+    def counts(self, text: str) -> tuple[list[int], list[int]]:
+        """Code points (with the space) and number of ids of each of the parts of a text."""
+        first, *words = self.words(text)
+        if any(s in text for s in self.special):
+            ids = [len(self.whole(first)), *(len(self.whole(" " + w)) for w in words)]
+        else:
+            known = self._new
+            ids = [len(self.whole(first))]
+            for word in words:
+                found = known.get(word)
+                if found is None:
+                    found = self._spaced(word)
+                    known = self._new
+                ids.append(len(found))
+        return [len(first), *(len(w) + 1 for w in words)], [n // 4 for n in ids]
+
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text; null counts as empty."""
         if not text:
             return b""
         if not self.by_word or any(s in text for s in self.special):
             return self.whole(text)
-        first, *words = _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
+        first, *words = self.words(text)
         known = self._new
         out = [self.whole(first)]
         for word in words:
