@@ -116,7 +116,7 @@ def write_archives(
                     if file is not None:
                         file.close()
                     names.append(f"pages-{task:06d}-{len(names):04d}-{uuid.uuid4().hex}.warc.zst")
-                    file = out.open_output_stream(f"{folder}/{names[-1]}")
+                    file = out.open_output_stream(f"{folder}/{names[-1]}", compression=None)
                     file.write(struct.pack("<II", SKIPPABLE, len(words)) + words)
                     size = 0
                 frame = pack(record(page, url, payload, first, first is not None, date))
@@ -181,7 +181,7 @@ def read_archives(spark: SparkSession, path: str, names: list[str], block: int =
             for name in batch.column(0).to_pylist():
                 fs, root = open_fs(path)
                 found: list[tuple] = []
-                with fs.open_input_stream(f"{root}/{name}") as file:
+                with fs.open_input_stream(f"{root}/{name}", compression=None) as file:
                     for head, content in records_of(file):
                         http, _, payload = content.partition(b"\r\n\r\n")
                         kind = head["warc-type"]
