@@ -12,7 +12,7 @@ function of the rank, the cells' word sums give the cell of the cut, and only th
 
 Defined results: a null text has size 0; null sources form one source, last in order; a null or
 non-positive weight counts as never taken; equal ranks are ordered by id, then by size, and rows
-that repeat an id share its u. Empty tables give empty results.
+that repeat an id share its u. Input columns are kept by `take`; names with two leading underscores are its own. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -71,12 +71,12 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weight_col: str | None = None, seed: str = SEED, share: float = SHARE, bins: int = BINS,
 ) -> DataFrame:
-    """One row per document: the id, `source`, `size`, `source_size`, `target` and `copies` (0 to 2)."""
+    """One row per document: the id, `source`, `size`, `source_size`, `target`, `copies` (0 to 2) and `__row`, its place in the scan."""
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     sized = cut(
         docs.select(
             F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-            weight.alias("weight"), uniform(id_col, seed).alias("u"),
+            weight.alias("weight"), uniform(id_col, seed).alias("u"), F.monotonically_increasing_id().alias("__row"),
         ),
         "sizes",
     )
@@ -114,5 +114,12 @@ def mix(
     clear = placed.where(~F.coalesce(crossing, F.lit(False))).withColumn(
         "drawn", F.coalesce((F.col("before") + F.col("words") <= F.col("need")).cast("int"), F.lit(0))
     )
-    out = [F.col("__id").alias(id_col), "source", "size", "source_size", "target", (F.col("whole") + F.col("drawn")).cast("int").alias("copies")]
+    out = [F.col("__id").alias(id_col), "source", "size", "source_size", "target", (F.col("whole") + F.col("drawn")).cast("int").alias("copies"), "__row"]
     return clear.select(*out).unionByName(edge.select(*out))
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The mix itself: `docs` (a stored table) with all its columns, each row as often as the mix takes it."""
+    copies = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
+    rows = docs.drop("__row", "__copies").withColumn("__row", F.monotonically_increasing_id()).join(copies, "__row")
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__row", "__copies", "__copy")
