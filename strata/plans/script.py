@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from strata.functions.text import RESULT_HEADS
 from strata.operators.grid import Capped, row_cap
-from strata.plans.analyze import analyze, strip_statement
+from strata.plans.analyze import analyze, own_limit, strip_statement
 from strata.session import Workbench, error_text
 
 STATUS_SCHEMA = (
@@ -18,7 +18,6 @@ STATUS_SCHEMA = (
 )
 ROW_CAP = 10_000
 TABULAR = re.compile(rf"^({RESULT_HEADS})\b", re.IGNORECASE)
-OWN_LIMIT = re.compile(r"LIMIT\s+(\d+)(?:\s+OFFSET\s+\d+)?\s*;?\s*$", re.IGNORECASE)
 
 
 @dataclass(frozen=True)
@@ -30,8 +29,8 @@ class ScriptRun:
 
 def capped_query(wb: Workbench, sql: str, cap: int = ROW_CAP) -> Capped:
     """A query under the row cap; its own closing LIMIT counts when it is smaller."""
-    own = OWN_LIMIT.search(sql.strip())
-    return row_cap(analyze(wb.spark, sql), cap, int(own.group(1)) if own else None)
+    df = analyze(wb.spark, sql)
+    return row_cap(df, cap, own_limit(df))
 
 
 def run_script(wb: Workbench, statements: list[str], max_rows: int = ROW_CAP) -> ScriptRun:

@@ -9,12 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from strata.plans.analyze import analyze
-from strata.session import RESERVED_SCHEMAS, StrataError, Workbench
-
-# Fixed values.
-CACHE_ROWS = 100_000
-HAS_LIMIT = re.compile(r"limit\s+\d+|top\s+\d+|fetch\s+first", re.IGNORECASE)
+from strata.plans.analyze import analyze, own_limit
+from strata.session import RESERVED_SCHEMAS, StrataError, Workbench, is_empty
 
 
 @dataclass(frozen=True)
@@ -22,6 +18,7 @@ class Cached:
     target: str
     view: str
     rows: int
+    capped: bool = False
 
 
 def slug(text: str) -> str:
@@ -32,16 +29,22 @@ def slug(text: str) -> str:
 
 
 def _store(
-    wb: Workbench, df: DataFrame, source: str, name: str, overwrite: bool, keys: list[str] | None = None
+    wb: Workbench,
+    df: DataFrame,
+    source: str,
+    name: str,
+    overwrite: bool,
+    keys: list[str] | None = None,
+    max_rows: int = 0,
 ) -> Cached:
     full = f"{slug(source)}__{slug(name)}".replace("-", "_")
     target, view = f"data_cache.{full}", f"bronze.raw__{full}"
     if not overwrite and wb.exists(target):
         return Cached(target, view, 0)
-    rows = wb.replace_table(target, df, cluster_by=keys, keep_empty=False)
+    rows = wb.replace_table(target, df.limit(max_rows) if max_rows else df, cluster_by=keys, keep_empty=False)
     if rows:
         wb.replace_view(view, f"SELECT * FROM {target}")
-    return Cached(target, view, rows)
+    return Cached(target, view, rows, bool(max_rows) and rows == max_rows and not is_empty(df.offset(max_rows)))
 
 
 def cache_query(
@@ -49,16 +52,16 @@ def cache_query(
     query: str | DataFrame,
     source: str,
     name: str,
-    max_rows: int = CACHE_ROWS,
+    max_rows: int = 0,
     overwrite: bool = True,
 ) -> Cached:
-    """Store a result, at most `max_rows` rows unless its text has a limit of its own.
+    """Store a result, whole unless a cap is asked for.
 
-    The cap is the feature (0 lifts it). An empty result stores nothing.
+    `max_rows` caps queries that do not end in a limit of their own; `Cached.capped` says whether
+    rows were left out. An empty result stores nothing.
     """
-    capped = max_rows > 0 and not (isinstance(query, str) and HAS_LIMIT.search(query))
     df = analyze(wb.spark, query) if isinstance(query, str) else query
-    return _store(wb, df.limit(max_rows) if capped else df, source, name, overwrite)
+    return _store(wb, df, source, name, overwrite, max_rows=max_rows if max_rows and own_limit(df) is None else 0)
 
 
 def cache_rows(
@@ -74,13 +77,10 @@ def cache_table(
     source: str,
     name: str | None = None,
     keys: list[str] | None = None,
-    max_rows: int = CACHE_ROWS,
+    max_rows: int = 0,
 ) -> Cached:
-    """Store a table under the cache cap. `keys` sorts the files, which serves key look-ups."""
-    schema = table.split(".")[0] if "." in table else ""
-    if schema in RESERVED_SCHEMAS:
-        raise StrataError(f"tables of the reserved schema '{schema}' are not cached")
-    df = wb.table(table)
-    return _store(
-        wb, df.limit(max_rows) if max_rows else df, source, name or table.split(".")[-1], True, keys
-    )
+    """Store a table, whole unless a cap is asked for. `keys` sorts the files, which serves key look-ups."""
+    path = [part.strip("`") for part in table.split(".")]
+    if len(path) > 1 and path[-2].lower() in RESERVED_SCHEMAS:
+        raise StrataError(f"tables of the reserved schema '{path[-2]}' are not cached")
+    return _store(wb, wb.table(table), source, name or path[-1], True, keys, max_rows)

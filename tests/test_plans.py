@@ -153,6 +153,10 @@ def test_cache(wb):
     done = cache.cache_query(wb, "SELECT id FROM range(30);", "My DB", "Top Rows", max_rows=10)
     assert (done.target, done.view, done.rows) == ("data_cache.my_db__top_rows", "bronze.raw__my_db__top_rows", 10)
     assert cache.cache_query(wb, "SELECT id FROM range(30) LIMIT 20", "My DB", "own limit", max_rows=10).rows == 20
+    assert done.capped and not cache.cache_query(wb, "SELECT id FROM range(10)", "My DB", "full", max_rows=10).capped
+    assert cache.cache_query(wb, "SELECT id, 'limit 5' AS note FROM range(30)", "My DB", "note", max_rows=10).rows == 10
+    assert cache.cache_query(wb, "SELECT * FROM (SELECT id FROM range(30) LIMIT 20) JOIN range(2) b", "My DB", "sub", max_rows=10).rows == 10
+    assert cache.cache_query(wb, "SELECT id FROM range(200000); -- all of them", "My DB", "whole").rows == 200_000
     empty = cache.cache_query(wb, "SELECT id FROM range(0)", "My DB", "empty")
     assert empty.rows == 0 and not wb.exists(empty.target)
     assert cache.cache_query(wb, "SELECT 1 AS id", "My DB", "Top Rows", overwrite=False).rows == 0
@@ -160,6 +164,8 @@ def test_cache(wb):
     assert cache.cache_rows(wb, [(1, None), (2, "x")], "a int, b string", "db").rows == 2
     with pytest.raises(StrataError, match="reserved"):
         cache.cache_table(wb, "bronze.raw__my_db__top_rows", "db")
+    with pytest.raises(StrataError):
+        cache.cache_table(wb, "BRONZE.raw__my_db__top_rows", "db")
 
 
 def test_cached_table_is_sorted_by_its_keys(wb, tmp_path):

@@ -52,19 +52,27 @@ def import_many(spark, sf):
     )
 
 
-@query("cache_query", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'O'")
+@query("cache_query", "SELECT l_orderkey, l_linenumber, l_extendedprice, 'limit 5' AS note FROM lineitem WHERE l_linestatus = 'O'")
 def cache_query(spark, sf):
+    wb = mounted(spark, sf, "lineitem")
+    sql = "SELECT l_orderkey, l_linenumber, l_extendedprice, 'limit 5' AS note FROM imports.lineitem WHERE l_linestatus = 'O'; -- all"
+    return spark.table(cache.cache_query(wb, sql, "Main DB", "Open items").view)
+
+
+@query("cache_query_capped", "SELECT least(count(*), 500) AS n, count(*) > 500 AS capped FROM orders WHERE o_orderstatus = 'O'")
+def cache_query_capped(spark, sf):
     wb = mounted(spark, sf, "orders")
-    sql = "SELECT o_orderkey, o_custkey, o_totalprice FROM imports.orders WHERE o_orderstatus = 'O';"
-    return spark.table(cache.cache_query(wb, sql, "Main DB", "Open orders").view)
+    sql = "SELECT * FROM imports.orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT -1 LIMIT 1)"
+    done = cache.cache_query(wb, sql, "Main DB", "Some orders", max_rows=500)
+    return spark.table(done.view).agg(F.count(F.lit(1)).alias("n"), F.lit(done.capped).alias("capped"))
 
 
-@query("cache_table", "SELECT * FROM customer")
+@query("cache_table", "SELECT * FROM lineitem")
 def cache_table(spark, sf):
     wb = workbench(spark)
     spark.sql(f"CREATE DATABASE IF NOT EXISTS remote LOCATION '{wb.root}/remote'")
-    wb.mount("remote.customer", f"{sf}/customer.parquet")
-    return spark.table(cache.cache_table(wb, "remote.customer", "Main DB", keys=["c_custkey"]).target)
+    wb.mount("remote.lineitem", f"{sf}/lineitem.parquet")
+    return spark.table(cache.cache_table(wb, "remote.lineitem", "Main DB", keys=["l_orderkey"]).target)
 
 
 @query("table_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
@@ -211,11 +219,11 @@ def transform_preview(spark, sf):
     return cells.preview(workbench(spark), done.fqn)
 
 
-@query("materialize_row_count", f"SELECT count(*) AS n FROM ({CLEAN.format(source='lineitem')})")
+@query("materialize_row_count", f"SELECT count(*) AS n, count(*) AS written FROM ({CLEAN.format(source='lineitem')})")
 def materialize_row_count(spark, sf):
     wb = mounted(spark, sf, "lineitem")
     done = cells.transform(wb, CLEAN.format(source="imports.lineitem"), "silver", "counted")
-    return cells.materialize_row_count(wb, done.fqn)
+    return cells.materialize_row_count(wb, done.fqn).withColumn("written", F.lit(done.rows).cast("bigint"))
 
 
 @query("transform_view", "SELECT o_custkey, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY o_custkey")
