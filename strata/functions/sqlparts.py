@@ -1,52 +1,70 @@
 """Parts of SQL texts as column expressions: table references, aliases, select items.
 
-These are heuristics over a column of texts, all in built-in functions. A text is cut into tokens
-once by a pattern, and one fold over the tokens follows parentheses; nothing is looked up across
-rows.
+These are heuristics over a column of texts. All but one are built-in functions, whose patterns
+read a text in one go whatever its length; following parentheses takes a state, which is what the
+one vectorized function here is for. Nothing is looked up across rows.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strata.functions.text import BLOCK_COMMENT, LINE_COMMENT, WORD_END, WORD_START, WS, col, strip
 from strata.session import LAYERS
 
 # Words that are no table alias and no column, and scores of select items.
 KEYWORDS = (
-    "SELECT FROM WHERE JOIN ON AND OR AS CASE WHEN THEN ELSE END GROUP BY ORDER HAVING LIMIT OFFSET "
-    "INNER LEFT RIGHT OUTER CROSS UNION ALL DISTINCT COUNT SUM AVG MIN MAX CAST TRUE FALSE NULL IS NOT "
-    "IN BETWEEN LIKE ILIKE SIMILAR TO TRIM UPPER LOWER SUBSTRING CONCAT COALESCE NULLIF INITCAP "
-    "REGEXP_REPLACE"
-).split()
+    "SELECT", "FROM", "WHERE", "JOIN", "ON", "AND", "OR", "AS", "CASE", "WHEN", "THEN", "ELSE",
+    "END", "GROUP", "BY", "ORDER", "HAVING", "LIMIT", "OFFSET", "INNER", "LEFT", "RIGHT", "OUTER",
+    "CROSS", "UNION", "ALL", "DISTINCT", "COUNT", "SUM", "AVG", "MIN", "MAX", "CAST", "TRUE",
+    "FALSE", "NULL", "IS", "NOT", "IN", "BETWEEN", "LIKE", "ILIKE", "SIMILAR", "TO", "TRIM",
+    "UPPER", "LOWER", "SUBSTRING", "CONCAT", "COALESCE", "NULLIF", "INITCAP", "REGEXP_REPLACE",
+)
 # Words that can follow a table in FROM and would otherwise pass for an alias.
-TABLE_FOLLOWERS = ["FULL", "USING", "NATURAL"]
+TABLE_FOLLOWERS = ("FULL", "USING", "NATURAL")
+# Words that end a list of tables.
+LIST_ENDS = (
+    "SELECT", "FROM", "WHERE", "JOIN", "ON", "USING", "GROUP", "ORDER", "HAVING", "LIMIT", "OFFSET", "UNION",
+    "INTERSECT", "EXCEPT", "INNER", "LEFT", "RIGHT", "FULL", "OUTER", "CROSS", "NATURAL", "LATERAL", "WINDOW", "SET",
+)
+# Words behind which an expression may end.
+CLOSING_WORDS = ("END", "NULL", "TRUE", "FALSE")
 QUALIFIED_SCORE, CALL_SCORE, BARE_SCORE, OTHER_SCORE, WILDCARD_SCORE = 0.9, 0.8, 0.6, 0.5, 0.4
 
 NAME = "[a-zA-Z_][A-Za-z0-9_]*"
 PART = "[a-zA-Z0-9_]+"
-REFERENCE = (
-    rf"(?i){WORD_START}(?:from|join|into|update|table){WS}+{NAME}(?:{WS}*\.{WS}*{NAME}){{0,2}}"
-)
+TARGET = rf"(?i){WORD_START}(?:into|update|table){WS}+({NAME}(?:{WS}*\.{WS}*{NAME}){{0,2}})"
 _NO_ALIAS = rf"(?!(?:{'|'.join(KEYWORDS + TABLE_FOLLOWERS)}){WORD_END})"
-_SOURCE = rf"{PART}(?:\.{PART})*(?:{WS}+(?:AS{WS}+)?{_NO_ALIAS}{PART})?"
-SOURCE_LIST = rf"(?i){WORD_START}(?:FROM|JOIN){WS}+({_SOURCE}(?:{WS}*,{WS}*{_SOURCE})*)"
-# Few and long tokens: literals, the word FROM, and runs up to the next sign or f that matters.
-TOKEN = rf"(?s)'[^']*'|{WORD_START}[fF][rR][oO][mM]{WORD_END}|[^'(),fF]++|."
+# Marks for the start and the end of a list of tables; a run between them is one character class, which
+# a pattern reads without recursion.
+_OPEN, _CLOSE = "\u0002", "\u0003"
+_LONE = r"(?<![A-Za-z0-9_.])(?:{})(?![A-Za-z0-9_.])"
 STRING = "'[^']*'"
 
 
+def _lists(flat: Column) -> Column:
+    """Runs of text between FROM or JOIN and the next clause word, parenthesis or semicolon, cut at commas."""
+    ended = F.regexp_replace(flat, rf"(?i)[();]|{_LONE.format('|'.join(w for w in LIST_ENDS if w not in ('FROM', 'JOIN')))}", _CLOSE)
+    marked = F.regexp_replace(ended, rf"(?i){_LONE.format('FROM|JOIN')}(?={WS})", _OPEN)
+    runs = F.regexp_extract_all(marked, F.lit(rf"{_OPEN}([^{_OPEN}{_CLOSE}]*+)"), F.lit(1))
+    return F.flatten(F.transform(runs, lambda run: F.split(run, ",")))
+
+
 def table_refs(c: Column | str) -> Column:
-    """``schema.table`` names after FROM, JOIN, INTO, UPDATE and TABLE, each once.
+    """``schema.table`` names in the lists after FROM and JOIN and after INTO, UPDATE and TABLE, each once.
 
     Of three parts the last two count; a bare name does not.
     """
     bare = F.regexp_replace(F.regexp_replace(col(c), LINE_COMMENT, ""), BLOCK_COMMENT, " ")
-    found = F.regexp_extract_all(bare, F.lit(REFERENCE), F.lit(0))
-    names = F.transform(
-        found, lambda m: F.split(F.regexp_replace(F.regexp_replace(m, rf"^{PART}{WS}+", ""), WS, ""), r"\.")
-    )
+    listed = F.transform(_lists(bare), lambda t: F.regexp_extract(t, rf"^{WS}*({NAME}(?:{WS}*\.{WS}*{NAME}){{0,2}})", 1))
+    found = F.concat(listed, F.regexp_extract_all(bare, F.lit(TARGET), F.lit(1)))
+    names = F.transform(found, lambda m: F.split(F.regexp_replace(m, WS, ""), r"\."))
     dotted = F.filter(names, lambda p: F.size(p) >= 2)
     return F.array_distinct(F.transform(dotted, lambda p: F.array_join(F.slice(p, -2, 2), ".")))
 
@@ -63,13 +81,12 @@ def sources(clean: Column) -> Column:
     `clean` has no comments; literals are ignored. Comma lists are read to the end.
     """
     flat = F.regexp_replace(F.regexp_replace(clean, STRING, "''"), WS + "+", " ")
-    lists = F.regexp_extract_all(flat, F.lit(SOURCE_LIST), F.lit(1))
-    each = F.flatten(F.transform(lists, lambda s: F.split(s, ",")))
+    each = _lists(flat)
 
     def parts(text: Column) -> Column:
         text = strip(text)
-        name = F.regexp_extract(text, rf"^({PART}(?:\.{PART})*)", 1)
-        alias = F.regexp_extract(text, rf"(?i)^{PART}(?:\.{PART})*{WS}+(?:AS{WS}+)?({PART})$", 1)
+        name = F.regexp_extract(text, rf"^({PART}(?:\.{PART}){{0,3}}+)(?![.A-Za-z0-9_])", 1)
+        alias = F.regexp_extract(text, rf"(?i)^{PART}(?:\.{PART}){{0,3}}+{WS}+(?:AS{WS}+)?{_NO_ALIAS}({PART})", 1)
         return F.struct(
             F.split(name, r"\.").alias("path"), F.nullif(alias, F.lit("")).alias("alias")
         )
@@ -98,37 +115,45 @@ def alias_map(found: Column) -> Column:
     return F.aggregate(found, empty, add)
 
 
+_LAST_SELECT = re.compile(rf"{WORD_START}SELECT{WORD_END}", re.IGNORECASE)
+_SIGN = re.compile(rf"'[^']*'|{WORD_START}FROM{WORD_END}|[(),']", re.IGNORECASE)
+
+
+def split_select(text: str | None) -> list[str] | None:
+    """Item texts between the last SELECT and its FROM; null without them or behind an open literal."""
+    start = None
+    for start in _LAST_SELECT.finditer(text or ""):
+        pass
+    if start is None:
+        return None
+    items, depth, begin = [], 0, start.end()
+    for sign in _SIGN.finditer(text, begin):
+        mark = sign[0]
+        if mark in "()":
+            depth += 1 if mark == "(" else -1
+        elif mark == "'":
+            return None
+        elif mark == "," and depth == 0:
+            items.append(text[begin : sign.start()])
+            begin = sign.end()
+        elif mark[0] in "fF" and depth == 0:
+            last = text[begin : sign.start()]
+            return [*items, last] if last.strip() else items
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _split_selects(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(split_select)
+
+
 def select_clause(clean: Column) -> Column:
-    """Tokens of the select list of the last SELECT, as an array of item texts; null without FROM.
+    """The select list of the last SELECT as an array of item texts; null without FROM.
 
     The last SELECT is the outer one of a text whose subqueries are CTEs.
     """
-    tail = F.regexp_extract(clean, rf"(?is){WORD_START}SELECT{WORD_END}(?!.*{WORD_START}SELECT{WORD_END})(.*)\z", 1)
-    tokens = F.regexp_extract_all(tail, F.lit(TOKEN), F.lit(0))
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit("open").alias("state"),
-        F.lit("").alias("item"),
-        F.array().cast("array<string>").alias("items"),
-    )
-
-    def step(acc: Column, t: Column) -> Column:
-        top = acc["depth"] == 0
-        closes = top & (F.upper(t) == "FROM")
-        splits = top & (t == ",")
-        state = F.when(closes, "found").when(t == "'", "broken").otherwise("open")
-        moved = F.struct(
-            (acc["depth"] + F.when(t == "(", 1).when(t == ")", -1).otherwise(0)).alias("depth"),
-            state.alias("state"),
-            F.when(splits | closes, F.lit("")).otherwise(F.concat(acc["item"], t)).alias("item"),
-            F.when(splits | (closes & (strip(acc["item"]) != "")), F.array_append(acc["items"], acc["item"]))
-            .otherwise(acc["items"])
-            .alias("items"),
-        )
-        return F.when(acc["state"] == "open", moved).otherwise(acc)
-
-    end = F.aggregate(tokens, start, step)
-    return F.when(end["state"] == "found", end["items"])
+    return _split_selects(clean)
 
 
 def is_keyword(c: Column) -> Column:
@@ -159,7 +184,9 @@ def select_items(clean: Column) -> Column:
         )
 
     def named(s: Column) -> Column:
-        free = (s["head"] != "") & ~is_keyword(s["name"]) & ~s["name"].rlike("^[0-9]+$")
+        last_word = F.upper(F.regexp_extract(s["head"], rf"({PART})\z", 1))
+        closed = s["head"].rlike(r"""[A-Za-z0-9_)\]"'`]\z""") & (~is_keyword(last_word) | last_word.isin(*CLOSING_WORDS))
+        free = closed & ~is_keyword(s["name"]) & ~s["name"].rlike("^[0-9]+$")
         return F.struct(
             s["position"],
             s["raw"],

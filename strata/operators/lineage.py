@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -189,7 +190,7 @@ def reconcile_lineage(tables: DataFrame, catalog: DataFrame, min_rows: int = HOT
 
 
 def upstream_trace(
-    edges: DataFrame, table: str, column: str, hops: int = 4, max_rounds: int = 10_000
+    edges: DataFrame, table: str, column: str, hops: int = 4
 ) -> tuple[DataFrame, DataFrame]:
     """Columns and edges that feed one column, breadth first; safe on cycles.
 
@@ -205,7 +206,8 @@ def upstream_trace(
     seen = lambda: spark.read.schema("target string, target_column string, distance int").parquet(folder)
     start = spark.sql("SELECT :t AS target, :c AS target_column, 0 AS distance", {"t": table, "c": column})
     start.write.parquet(f"{folder}/round=0")
-    for done in range(0, max_rounds * hops, hops):
+    # Ends by itself: a round that finds nothing new is the last, and columns are finite.
+    for done in count(0, hops):
         level = seen().where(F.col("distance") == done).select(*key)
         found = []
         for step in range(1, hops + 1):

@@ -22,7 +22,8 @@ def fqns(found):
         ("SELECT * FROM a.b JOIN c.d.e ON 1=1", ["a.b", "d.e"]),
         ("select * from bare", []),
         ("INSERT INTO x . y SELECT 1; UPDATE z.w SET a=1; create TABLE q.r (a int)", ["x.y", "z.w", "q.r"]),
-        ("-- from no.no\nSELECT 1 /* from no.no */ FROM a.b, c.d", ["a.b"]),
+        ("-- from no.no\nSELECT 1 /* from no.no */ FROM a.b, c.d", ["a.b", "c.d"]),
+        ("SELECT 1 FROM a.b x , c . d AS y, (SELECT 2 FROM e.f) WHERE count.x = 1", ["a.b", "c.d", "e.f"]),
         ("FROM a.b FROM a.b", ["a.b"]),
     ],
 )
@@ -73,7 +74,7 @@ def test_select_items(parts):
         ("*", "*", 0.4, True),
         ("5", "5", 0.6, False),
         ("CASE\n      WHEN 1 THEN 2 END", "k", 0.5, False),
-        ("a +", "b", 0.5, False),
+        ("a + b", "__unnamed_9", 0.5, False),
     ]
 
 
@@ -112,3 +113,17 @@ def test_alias_map_first_use_wins(spark):
     df = spark.createDataFrame([("SELECT 1 FROM bronze.a x JOIN silver.b x JOIN gold.b",)], "s string")
     found = df.select(sp.alias_map(sp.sources(F.col("s"))).alias("m")).first()[0]
     assert found == {"x": "bronze.a", "b": "gold.b"}
+
+
+def test_a_trailing_word_is_an_alias_only_behind_a_closed_operand(parts):
+    sql = "SELECT a LIKE b, x AND y, CASE WHEN 1 THEN 2 END c, f(x) d, 'l' e, a || g FROM t"
+    assert [i[1] for i in items(parts, sql)] == ["__unnamed_0", "__unnamed_1", "c", "d", "e", "__unnamed_5"]
+
+
+def test_long_texts(parts, one):
+    tables = [f"silver.t{i}" for i in range(10_000)]
+    sql = "SELECT " + ", ".join(f"f(c{i}, 1) AS a{i}" for i in range(10_000)) + " FROM " + ", ".join(f"{t} x{i}" for i, t in enumerate(tables))
+    assert fqns(parts(sql, sp.sources)) == [(t, f"x{i}") for i, t in enumerate(tables)]
+    assert one(sp.table_refs, sql) == tables
+    assert [i[1] for i in items(parts, sql)] == [f"a{i}" for i in range(10_000)]
+    assert fqns(parts("SELECT 1 FROM silver.t WHERE x IN (" + "(" * 5000 + "FROM gold.u " + ")" * 5000, sp.sources)) == [("silver.t", None), ("gold.u", None)]
