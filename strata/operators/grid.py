@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +13,6 @@ from strata.functions.values import chart_number
 from strata.operators.spread import number_rows
 
 PAGE_ROWS = 100
-# Up to this many rows a page is a top-k; deeper pages go by row numbers.
-TOP_K_ROWS = 100_000
 
 
 @dataclass(frozen=True)
@@ -73,13 +72,18 @@ def grid_sort(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
 
 
 def grid_page(df: DataFrame, keys: list[tuple[str, str]], page: int, size: int = PAGE_ROWS) -> DataFrame:
-    """One page of a sorted grid, counted from 1."""
+    """One page of a sorted grid, counted from 1, by one plan for any depth.
+
+    Only the sort columns are numbered; the page's sort values then fetch its rows. The list of sort
+    columns must end in a unique one, as for `grid_sort`.
+    """
     first = (page - 1) * size
-    order = grid_order(keys)
-    if first + size <= TOP_K_ROWS:
-        return df.orderBy(*order).offset(first).limit(size)
-    numbered = number_rows(df, order, "_row")
-    return numbered.where(F.col("_row").between(first + 1, first + size)).drop("_row")
+    order, names = grid_order(keys), [name for name, _ in keys]
+    numbered = number_rows(df.select(*[F.col(f"`{n}`") for n in names]), order, "_row")
+    wanted = numbered.where(F.col("_row").between(first + 1, first + size)).drop("_row")
+    wanted = wanted.select(*[F.col(f"`{n}`").alias(f"_at{i}") for i, n in enumerate(names)])
+    same = [F.col(f"`{n}`").eqNullSafe(F.col(f"_at{i}")) for i, n in enumerate(names)]
+    return df.join(wanted, reduce(lambda a, b: a & b, same), "left_semi").orderBy(*order).limit(size)
 
 
 def chart_columns(df: DataFrame, label: str | None, series: list[str] | None) -> tuple[str, list[str]]:

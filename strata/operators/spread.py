@@ -9,80 +9,74 @@ from pyspark.sql import functions as F
 
 from strata.session import cut
 
-HOT_KEYS = 256
+#: Rows of one key that a single task should have to take.
 HOT_ROWS = 1_000_000
-SALTS = 64
+#: Bytes that a partition of a sorted copy should have.
+PART_BYTES = 128 << 20
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
     """Give every core a share of a scan that has fewer splits than there are cores.
 
-    For costly row work on a few large files. Meant for plans without a shuffle, whose number of
-    partitions is known from the files.
+    For costly row work on a few large files, which cannot be split. Meant for plans without a shuffle,
+    whose number of partitions is known from the files.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS, top: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys with at least `min_rows` rows, never more than `top` of them.
+def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than `min_rows` rows, and the number of tasks (``_salts``) that should share each.
 
-    A key left out holds less than 1/`top` of the rows, so `top` rows are all a join needs to
-    know; that is also why the result may be broadcast.
+    There are at most rows / `min_rows` of them. Keys with a null are left out: they match nothing.
     """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") >= min_rows).orderBy(F.col("_n").desc()).limit(top).select(*on)
+    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
+    return counts.select(*on, F.ceil(F.col("_n") / min_rows).cast("int").alias("_salts"))
 
 
 def spread_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: list[str],
-    how: str = "left",
-    min_rows: int = HOT_ROWS,
-    salts: int = SALTS,
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", min_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Equi-join for a left side whose keys may be badly skewed and a right side that is not.
 
-    Rows of a hot key get a salt and the few right rows of that key are repeated once per salt,
-    so the key is worked on by `salts` tasks. Rows with a null key are spread the same way; they
-    match nothing. `how`: inner, left, left_semi or left_anti. The salt comes from the input
-    partition, so a task that runs again gives the same salt. The keys of `left` are read twice,
-    so pass a stored table, or `cut` what is costly to compute. Elsewhere plain joins are left to
-    adaptive execution, which splits skewed partitions.
+    Every key with more than `min_rows` rows is dealt to as many salts as it has times that many, and
+    the few right rows of that key are repeated once per salt, so a task takes about `min_rows` rows of
+    it at any size. Rows with a null key are spread over all tasks; they match nothing. `how`: inner,
+    left, left_semi or left_anti. The salt comes from a row's place in the scan, so a task that runs
+    again gives the same salt. The keys of `left` are read twice, so pass a stored table, or `cut`
+    what is costly to compute. The list of hot keys is stored: Spark sees its size when it joins it.
+    Elsewhere plain joins are left to adaptive execution, which splits skewed partitions.
     """
-    hot = F.broadcast(hot_keys(left, on, min_rows).withColumn("_hot", F.lit(True)))
+    hot = cut(hot_keys(left, on, min_rows), "hot")
     some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
-    spot = F.pmod(F.hash(F.spark_partition_id()), F.lit(salts))
-    salted_left = left.withColumn("_spot", spot).join(hot, on, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | some_null, F.col("_spot")).otherwise(F.lit(0))
-    ).drop("_hot", "_spot")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    placed = left.withColumn("_spot", F.xxhash64(F.monotonically_increasing_id())).join(hot, on, "left")
+    salt = F.when(some_null, F.col("_spot")).otherwise(F.pmod("_spot", F.coalesce("_salts", F.lit(1))).cast("bigint"))
+    salted_left = placed.withColumn("_salt", salt).drop("_salts", "_spot")
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce("_salts", F.lit(1)).cast("bigint") - 1)
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_salts")
     joined = salted_left.join(salted_right, on + ["_salt"], how)
     return joined.drop("_salt")
 
 
-# Up to this rank Spark itself limits each group before the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
-
-
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "_rn") -> DataFrame:
     """The first `k` rows of each key by a total order, with their rank in `name`.
 
-    Only the candidates of a key meet in one task: Spark limits groups before the shuffle for
-    small ranks, and for larger ones the rows are first ranked within salted parts of a key.
+    Rows are ranked within their input partition first, so a key sends at most `k` rows per partition
+    to the task that ranks them all.
     """
-    if k > GROUP_LIMIT:
-        salt = F.pmod(F.hash(F.spark_partition_id()), F.lit(SALTS))
-        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", salt).withColumn("_part", F.row_number().over(part))
-        df = df.where(F.col("_part") <= k).drop("_salt", "_part")
-    ranked = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    part = Window.partitionBy(*keys, "_part").orderBy(*order)
+    near = df.withColumn("_part", F.spark_partition_id()).withColumn("_near", F.row_number().over(part))
+    near = near.where(F.col("_near") <= k).drop("_part", "_near")
+    ranked = near.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where(F.col(name) <= k)
 
 
+def sized_parts(df: DataFrame) -> int:
+    """Partitions of about `PART_BYTES`, by the plan's estimate, and no fewer than the session's."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 1_000_000))
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """1-based row number over the whole order, without a window in one task.
 
@@ -90,35 +84,18 @@ def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", partit
     the partition; the offsets of the partitions (one row each) are then joined on. `order` must
     name a total order.
     """
-    spark = df.sparkSession
-    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = (
-        df.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .withColumn("_place", F.monotonically_increasing_id())
-    )
-    placed = cut(placed, "ranked")
+    parts = partitions or sized_parts(df)
+    return number_sorted(df.repartitionByRange(parts, *order).sortWithinPartitions(*order), name)
+
+
+def number_sorted(df: DataFrame, name: str = "row_no") -> DataFrame:
+    """1-based number of each row in the order in which `df` has its rows."""
+    placed = cut(df.withColumn("_place", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("_place", 33)
     sizes = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # At most `parts` rows, whatever the size of the data.
-    before = F.collect_list(F.struct("_part", "_n"))
-    offsets = (
-        sizes.agg(F.array_sort(before).alias("_s"))
-        .select(
-            F.explode(
-                F.transform(
-                    "_s",
-                    lambda x, i: F.struct(
-                        x["_part"].alias("_part"),
-                        F.aggregate(
-                            F.slice("_s", F.lit(1), i), F.lit(0).cast("bigint"), lambda acc, y: acc + y["_n"]
-                        ).alias("_offset"),
-                    ),
-                )
-            ).alias("_o")
-        )
-        .select("_o.*")
-    )
+    # The only window in one task; it has one row per partition.
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
     numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
     place = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
     return numbered.withColumn(name, F.col("_offset") + place + 1).drop("_part", "_place", "_offset")

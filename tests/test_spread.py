@@ -19,7 +19,7 @@ def skewed(spark):
 @pytest.mark.parametrize("min_rows", [1, 200, 10**9])
 def test_spread_join_equals_join(skewed, rows, how, min_rows):
     left, right = skewed
-    got = spread_join(left, right, ["k"], how, min_rows, salts=5)
+    got = spread_join(left, right, ["k"], how, min_rows)
     want = left.join(right, ["k"], how)
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got, *sorted(got.columns)) == rows(want, *sorted(want.columns))
@@ -28,20 +28,23 @@ def test_spread_join_equals_join(skewed, rows, how, min_rows):
 def test_spread_join_of_two_keys_and_double_matches(spark, rows):
     left = spark.range(200).select((F.col("id") % 2).alias("a"), (F.col("id") % 3).alias("b"), "id")
     right = spark.createDataFrame([(0, 0, "x"), (0, 0, "y"), (1, 2, "z")], "a long, b long, v string")
-    got = spread_join(left, right, ["a", "b"], "left", 10, 4)
+    got = spread_join(left, right, ["a", "b"], "left", 10)
     assert rows(got, "id", "v") == rows(left.join(right, ["a", "b"], "left"), "id", "v")
 
 
-def test_hot_keys_are_bounded(skewed):
+def test_every_hot_key_gets_tasks_by_its_rows(skewed, spark):
     left, _ = skewed
-    assert hot_keys(left, ["k"], 1, top=3).count() == 3
     assert hot_keys(left, ["k"], 10**6).count() == 0
+    counts = {r.k: r["count"] for r in left.dropna().groupBy("k").count().collect()}
+    assert {r.k: r._salts for r in hot_keys(left, ["k"], 50).collect()} == {k: -(-n // 50) for k, n in counts.items() if n > 50}
+    many = spark.range(0, 60_000, 1, 20).select((F.col("id") % 600).alias("k"))
+    assert hot_keys(many, ["k"], 40).groupBy("_salts").count().collect() == [(3, 600)]
 
 
 def test_hot_rows_go_to_many_partitions(spark):
     left = spark.range(0, 20000, 1, 40).select(F.lit(1).alias("k"), "id")
     right = spark.createDataFrame([(1, "x")], "k int, v string")
-    joined = spread_join(left, right.hint("shuffle_hash"), ["k"], "inner", 100, salts=16)
+    joined = spread_join(left, right.hint("shuffle_hash"), ["k"], "inner", 100)
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         parts = joined.groupBy(F.spark_partition_id().alias("p")).count().collect()

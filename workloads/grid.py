@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.operators import grid, history, metadata, profile
-from strata.operators.spread import number_rows
+from strata.operators.spread import number_rows, number_sorted
 from workloads.registry import derive, query, read, with_inputs
 from workloads.scalars import NOW, now
 
 
-@query("row_cap", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10000")
+@query(
+    "row_cap",
+    """SELECT o_orderkey, o_totalprice, true AS clamped, 10000 AS effective_limit FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10000""",
+)
 def row_cap(spark, sf):
     df = read(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy("o_totalprice", "o_orderkey")
-    return grid.row_cap(df, user_limit=12000).rows
+    capped = grid.row_cap(df, user_limit=12000)
+    return capped.rows.select("*", F.lit(capped.clamped).alias("clamped"), F.lit(capped.effective_limit).alias("effective_limit"))
 
 
 @query(
@@ -27,10 +31,14 @@ def grid_filter(spark, sf):
     return grid.grid_filter(df, spec).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("grid_sort", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+@query(
+    "grid_sort",
+    """SELECT o_orderkey, o_orderstatus, o_totalprice, row_number() OVER (ORDER BY o_orderstatus, o_totalprice DESC, o_orderkey) AS position
+    FROM orders""",
+)
 def grid_sort(spark, sf):
     df = read(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
-    return grid.grid_sort(df, [("o_orderstatus", "asc"), ("o_totalprice", "desc"), ("o_orderkey", "asc")])
+    return number_sorted(grid.grid_sort(df, [("o_orderstatus", "asc"), ("o_totalprice", "desc"), ("o_orderkey", "asc")]), "position")
 
 
 @query(
