@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.functions.values import value_text
+from strata.operators.spread import sized_parts
 from strata.session import StrataError, cut, is_empty
 
 
@@ -88,10 +89,10 @@ def _wide_edits(checked: DataFrame, schema: T.StructType, keys: list[str], edita
 
 
 def _missed(editable: list[str]) -> Column:
-    """Ids of the edits that do not fit a base row, because some cell has changed since."""
+    """Ids of the edits that do not fit a base row, because the row is gone or a cell has changed since."""
     misses = [
         F.when(
-            F.col(f"_e_{c}").isNotNull() & ~F.col(f"`{c}`").eqNullSafe(F.col(f"_e_{c}.old")),
+            F.col(f"_e_{c}").isNotNull() & (F.col("_there").isNull() | ~F.col(f"`{c}`").eqNullSafe(F.col(f"_e_{c}.old"))),
             F.col(f"_e_{c}.edit_id"),
         )
         for c in editable
@@ -111,15 +112,28 @@ def _prepare(base: DataFrame, edits: DataFrame, keys: list[str], editable: list[
     return keys, editable, checked
 
 
+def _refused(base: DataFrame, wide: DataFrame, keys: list[str], editable: list[str]) -> DataFrame:
+    """``edit_id`` of the edits that miss under some key, whatever their other keys say.
+
+    Where a key has several rows, an edit of it hits if one of them fits.
+    """
+    probe = wide.join(base.select(*keys, *editable, F.lit(True).alias("_there")), keys, "left")
+    ids = F.array_distinct(F.array_compact(F.array(*[F.col(f"_e_{c}.edit_id") for c in editable])))
+    each = probe.select(*keys, F.explode(ids).alias("edit_id"), _missed(editable).alias("_missed"))
+    hits = each.groupBy(*keys, "edit_id").agg(F.max(~F.array_contains("_missed", F.col("edit_id"))).alias("_hit"))
+    return cut(hits.where("NOT _hit").select("edit_id").distinct(), "refused")
+
+
 def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str], editable: list[str]) -> DataFrame:
     """The table after the edits.
 
-    A row changes only where the key matches and every cell of the edit still has its old value.
-    Edits that touch the same cell twice are refused as a whole.
+    All cells of an edit apply, over all its rows, or none does: every key must be there and every
+    cell must still have its old value. Edits that touch the same cell twice are refused as a whole.
     """
     keys, editable, checked = _prepare(base, edits, keys, editable)
-    wide = _wide_edits(checked, base.schema, keys, editable)
-    joined = base.join(wide, keys, "left").withColumn("_missed", _missed(editable))
+    refused = _refused(base, _wide_edits(checked, base.schema, keys, editable), keys, editable)
+    wide = _wide_edits(checked.join(refused, "edit_id", "left_anti"), base.schema, keys, editable)
+    joined = base.withColumn("_there", F.lit(True)).join(wide, keys, "left").withColumn("_missed", _missed(editable))
 
     def value(name: str) -> Column:
         if name not in editable:
@@ -132,23 +146,15 @@ def apply_edits(base: DataFrame, edits: DataFrame, keys: list[str], editable: li
 
 
 def edit_status(base: DataFrame, edits: DataFrame, keys: list[str], editable: list[str]) -> DataFrame:
-    """Per edit: ``applied``, ``conflict`` (row changed or gone) or ``error``."""
+    """Per edit: ``applied``, ``conflict`` (some row changed or gone) or ``error``."""
     keys, editable, checked = _prepare(base, edits, keys, editable)
-    wide = _wide_edits(checked, base.schema, keys, editable)
-    ids = F.array_distinct(F.array_compact(F.array(*[F.col(f"_e_{c}.edit_id") for c in editable])))
-    hits = (
-        base.select(*keys, *editable)
-        .join(wide, keys)
-        .select(F.explode(F.array_except(ids, _missed(editable))).alias("edit_id"))
-        .distinct()
-        .withColumn("_hit", F.lit(True))
-    )
+    refused = _refused(base, _wide_edits(checked, base.schema, keys, editable), keys, editable)
     return (
         _bad_edits(checked)
-        .join(hits, "edit_id", "left")
+        .join(refused.withColumn("_refused", F.lit(True)), "edit_id", "left")
         .select(
             "edit_id",
-            F.when(F.col("_bad"), "error").when(F.col("_hit"), "applied").otherwise("conflict").alias("status"),
+            F.when(F.col("_bad"), "error").when(F.col("_refused"), "conflict").otherwise("applied").alias("status"),
         )
     )
 
@@ -192,28 +198,30 @@ def edit_diff(baseline: DataFrame, edited: DataFrame, keys: list[str]) -> DataFr
 
 # -- keyed change feed ---------------------------------------------------------------------------
 
-TIME_SLICES = 64
+
+
+def _moment() -> Column:
+    """Order of the events of a key: an entry that no event has touched comes first."""
+    return F.struct(F.col("seq").isNotNull(), F.col("seq"))
 
 
 def _with_previous(events: DataFrame) -> DataFrame:
     """Each event of a key with the event before it (columns ``prev_*``), also for hot keys.
 
-    The order range is cut into slices. Inside a slice a window finds the neighbour; the first
-    event of a slice takes the last event of the nearest earlier slice of the key, of which there
-    are `TIME_SLICES` at most per key. So a key that holds a third of the feed is still worked on
-    by many tasks.
+    The events are ranged by key and order over partitions of even size, so a hot key is cut into as
+    many parts as its events fill. Inside a part a window finds the neighbour; the first event of a
+    part takes the last event of the key's nearest earlier part.
     """
     fields = [c for c in events.columns if c != "key"]
-    lo, hi = events.agg(F.min("seq"), F.max("seq")).first()
-    slice_no = F.floor((F.col("seq") - F.lit(lo)) * TIME_SLICES / F.lit((hi or 0) - (lo or 0) + 1))
-    sliced = events.withColumn("_slice", slice_no.cast("int"))
     entry = F.struct(*fields)
-    inside = Window.partitionBy("key", "_slice").orderBy("seq")
-    near = sliced.withColumn("_prev", F.lag(entry).over(inside))
-    last = sliced.groupBy("key", "_slice").agg(F.max_by(entry, "seq").alias("_last"))
-    before = Window.partitionBy("key").orderBy("_slice")
-    carried = last.select("key", "_slice", F.lag("_last").over(before).alias("_carry"))
-    joined = near.join(carried, ["key", "_slice"], "left")
+    order = [F.col("key"), F.col("seq").asc_nulls_first()]
+    ranged = cut(events.repartitionByRange(sized_parts(events), *order).withColumn("_part", F.spark_partition_id()), "events")
+    inside = Window.partitionBy("key", "_part").orderBy(F.col("seq").asc_nulls_first())
+    near = ranged.withColumn("_prev", F.lag(entry).over(inside))
+    last = ranged.groupBy("key", "_part").agg(F.max_by(entry, _moment()).alias("_last"))
+    before = Window.partitionBy("key").orderBy("_part")
+    carried = last.select("key", "_part", F.lag("_last").over(before).alias("_carry"))
+    joined = near.join(carried, ["key", "_part"], "left")
     prev = F.coalesce("_prev", "_carry")
     return joined.select(*events.columns, *[prev[f].alias(f"prev_{f}") for f in fields])
 
@@ -248,9 +256,13 @@ def _settle_links(links: DataFrame) -> DataFrame:
     return _settle_links(cut(rest.unionByName(moved), "links"))
 
 
-def apply_change_feed(index: DataFrame, feed: DataFrame, fields: list[str]) -> DataFrame:
+def apply_change_feed(index: DataFrame, feed: DataFrame, fields: list[str], tombstones: bool = False) -> DataFrame:
     """A keyed index after a feed of changes.
 
+    With `tombstones` the keys that are gone stay, marked in a column ``deleted`` with the order
+    number that ended them; an index that has that column counts them as gone. So a result that is
+    stored and goes on as the next index still refuses older events.
+
     `index`: ``key``, `fields`, ``seq`` (the order number of its last change, null for none).
     `feed`: ``seq`` (unique), ``op`` (upsert, delete, rename), ``key``, ``new_key`` and `fields`.
     The latest change of a key wins, wherever older ones arrive. A rename moves the entry as it
@@ -261,13 +273,13 @@ def apply_change_feed(index: DataFrame, feed: DataFrame, fields: list[str]) -> D
     value = F.struct(*fields)
 
     def event(key: str, act: Column, source: Column) -> list[Column]:
-        seq = F.coalesce(F.col("seq"), F.lit(-1)).cast("bigint")
-        return [F.col(key).alias("key"), seq.alias("seq"), act.alias("act"), source.alias("source"), value.alias("value")]
+        return [F.col(key).alias("key"), F.col("seq").cast("bigint").alias("seq"), act.alias("act"), source.alias("source"), value.alias("value")]
 
     renames = feed.where((F.col("op") == "rename") & ~F.col("key").eqNullSafe(F.col("new_key")))
+    held = F.when(F.col("deleted"), "gone").otherwise("set") if "deleted" in index.columns else F.lit("set")
     # A rename ends one key and starts another at the same moment.
     events = (
-        index.select(*event("key", F.lit("set"), no_source))
+        index.select(*event("key", held, no_source))
         .unionByName(
             feed.where(F.col("op") != "rename").select(
                 *event("key", F.when(F.col("op") == "delete", "gone").otherwise("set"), no_source)
@@ -277,7 +289,7 @@ def apply_change_feed(index: DataFrame, feed: DataFrame, fields: list[str]) -> D
         .unionByName(renames.select(*event("new_key", F.lit("from"), F.col("key"))))
     )
     entry = F.struct("seq", "act", "source", "value")
-    final = events.groupBy("key").agg(F.max_by(entry, "seq").alias("_e")).select("key", "_e.*")
+    final = events.groupBy("key").agg(F.max_by(entry, _moment()).alias("_e")).select("key", "_e.*")
     plain = final.where(F.col("act") == "set").select("key", "value", "seq")
     if not is_empty(renames):
         links = _with_previous(events).where(F.col("act") == "away").select(
@@ -297,4 +309,10 @@ def apply_change_feed(index: DataFrame, feed: DataFrame, fields: list[str]) -> D
                 "key", F.when(F.col("_act") == "set", F.col("found")).otherwise(F.col("value")).alias("value"), "seq"
             )
         )
-    return plain.select("key", *[F.col("value")[f].alias(f) for f in fields], "seq")
+    entries = plain.select("key", *[F.col("value")[f].alias(f) for f in fields], "seq")
+    if not tombstones:
+        return entries
+    gone = final.where(F.col("act").isin("gone", "away")).select(
+        "key", *[F.lit(None).cast(entries.schema[f].dataType).alias(f) for f in fields], "seq", F.lit(True).alias("deleted")
+    )
+    return entries.withColumn("deleted", F.lit(False)).unionByName(gone)

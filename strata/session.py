@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
@@ -22,11 +21,17 @@ RUN_LOG_SCHEMA = (
     "started_at timestamp, rows bigint, elapsed_ms bigint, status string, error string"
 )
 
-_local_roots: dict[str, str] = {}
+_scratch_roots: set[str] = set()
 _mounts: dict[tuple[str, str], str] = {}
 _versions: dict[tuple[str, str], list[str]] = {}
 
 
+def literal(text: str) -> str:
+    """A text as a SQL literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
+
+
 class StrataError(ValueError):
     """A request the toolkit refuses, with the reason."""
 
@@ -34,23 +39,23 @@ class StrataError(ValueError):
 def work_root(spark: SparkSession) -> str:
     """The shared folder for cuts and layer tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local master may go without: it gets
-    a fresh temporary folder, once per application.
+    A cluster names it in ``spark.checkpoint.dir``; without it the folder lies in the warehouse,
+    which every executor has to reach anyway.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise StrataError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = context.applicationId
-    if app not in _local_roots:
-        _local_roots[app] = tempfile.mkdtemp(prefix="strata-")
-    return _local_roots[app]
+    return named.rstrip("/") if named else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/strata-work"
 
 
 def scratch_root(spark: SparkSession) -> str:
-    return f"{work_root(spark)}/strata-scratch/{spark.sparkContext.applicationId}"
+    """The folder of this application's cuts; the file system removes it when the application ends."""
+    root = f"{work_root(spark)}/strata-scratch/{spark.sparkContext.applicationId}"
+    if root not in _scratch_roots:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+        files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        _scratch_roots.add(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -89,6 +94,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
 def is_empty(df: DataFrame) -> bool:
     return df.limit(1).count() == 0
 
@@ -111,7 +121,7 @@ class Workbench:
     def init_layers(self) -> "Workbench":
         """Create the layer databases and the run log; existing ones are kept."""
         for layer in RESERVED_SCHEMAS:
-            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION '{self.root}/{layer}'")
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {layer} LOCATION {literal(f'{self.root}/{layer}')}")
         if not self.exists(RUN_LOG):
             empty = self.spark.createDataFrame([], RUN_LOG_SCHEMA)
             empty.write.mode("overwrite").saveAsTable(RUN_LOG)

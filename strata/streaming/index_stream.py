@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strata.operators.edits import apply_change_feed
 from strata.operators.history import KEEP_DAYS, KEEP_ROWS, retain
+from strata.session import delete_path, path_exists
 
 
 def _batch_path(folder: str, batch_id: int) -> str:
@@ -46,11 +47,35 @@ def stream_changes(feed: DataFrame, folder: str, checkpoint: str, once: bool = T
 def current_index(base: DataFrame, folder: str, feed_schema, fields: list[str], after: int = -1) -> DataFrame:
     """The index after the changes logged so far.
 
-    To keep the fold short, store the result now and then and pass it as the new `base` with the
-    last batch it holds as `after`. A stored entry keeps the order number of its last change, so
-    late older events still lose; only a deleted key is forgotten by then.
+    To keep the fold short, `fold_index` stores a base now and then.
     """
-    return apply_change_feed(base, read_log(base.sparkSession, folder, feed_schema, after), fields)
+    found = apply_change_feed(base, read_log(base.sparkSession, folder, feed_schema, after), fields)
+    return found.select("key", *fields, "seq")
+
+
+def fold_index(
+    base: DataFrame, folder: str, feed_schema, fields: list[str], path: str, upto: int, after: int = -1
+) -> DataFrame:
+    """Store the index after the batches `after` + 1 to `upto` at `path` and give it as the next base.
+
+    It keeps the order number of every entry and the deleted keys with theirs, so late older events
+    lose and bring nothing back. Pass `upto` as the next `after`; the folders up to it are then no
+    longer read and may go (`drop_batches`).
+    """
+    spark = base.sparkSession
+    log = spark.read.schema(feed_schema).parquet(folder).where(F.col("batch").between(after + 1, upto)).drop("batch")
+    done = apply_change_feed(base, log, fields, tombstones=True)
+    done.write.parquet(path)
+    return spark.read.schema(done.schema).parquet(path)
+
+
+def drop_batches(spark: SparkSession, folder: str, upto: int) -> None:
+    """Remove the folders of batches up to `upto`, once a base that holds them is stored."""
+    for batch in range(upto, -1, -1):
+        path = _batch_path(folder, batch)
+        if not path_exists(spark, path):
+            break
+        delete_path(spark, path)
 
 
 def stream_history(runs: DataFrame, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:

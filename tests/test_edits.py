@@ -100,13 +100,13 @@ def replay(index, feed):
         elif key != new_key:
             found = state.pop(key, None)
             state[new_key] = (found[0] if found else title, seq)
-    return sorted((k, t, s) for k, (t, s) in state.items())
+    return sorted(((k, t, s) for k, (t, s) in state.items()), key=repr)
 
 
 def apply(spark, index, feed):
-    base = spark.createDataFrame([(k, t, None) for k, (t, _) in index.items()], "key string, title string, seq long")
+    base = spark.createDataFrame([(k, t, s) for k, (t, s) in index.items()], "key string, title string, seq long")
     out = ed.apply_change_feed(base, spark.createDataFrame(feed, FEED).repartition(3), ["title"])
-    return sorted((r.key, r.title, r.seq) for r in out.collect())
+    return sorted(((r.key, r.title, r.seq) for r in out.collect()), key=repr)
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -118,15 +118,34 @@ def test_change_feed_equals_replay(spark, seed):
         for i in range(200 if seed else 60)
     ]
     rnd.shuffle(feed)
-    index = {k: (f"start {k}", -1) for k in keys[:3]}
+    index = {k: (f"start {k}", None) for k in keys[:3]}
     assert apply(spark, index, feed) == replay(index, feed)
 
 
 def test_long_chain_of_renames(spark):
     feed = [(0, "upsert", "k0", None, "origin")] + [(i, "rename", f"k{i - 1}", f"k{i}", "none") for i in range(1, 40)]
-    assert apply(spark, {"x": ("kept", -1)}, feed) == [("k39", "origin", 39), ("x", "kept", -1)]
+    assert apply(spark, {"x": ("kept", None)}, feed) == [("k39", "origin", 39), ("x", "kept", None)]
 
 
 def test_feed_without_renames(spark):
     feed = [(3, "upsert", "a", None, "new"), (1, "upsert", "a", None, "late"), (2, "delete", "b", None, None)]
-    assert apply(spark, {"a": ("old", -1), "b": ("old", -1)}, feed) == [("a", "new", 3)]
+    assert apply(spark, {"a": ("old", None), "b": ("old", None)}, feed) == [("a", "new", 3)]
+
+
+def test_order_numbers_in_nanoseconds(spark):
+    start = 1_700_000_000_000_000_000
+    feed = [(start + 3_600_000_000_000 * i, "upsert", "hot", None, f"t{i}") for i in range(300)]
+    feed.append((start + 3_600_000_000_000 * 150 + 1, "rename", "hot", "moved", "none"))
+    assert apply(spark, {"x": ("kept", None)}, feed) == [
+        ("hot", "t299", start + 3_600_000_000_000 * 299), ("moved", "t150", start + 3_600_000_000_000 * 150 + 1), ("x", "kept", None)
+    ]
+
+
+def test_an_edit_of_two_rows_applies_as_a_whole(spark):
+    base = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id int, name string")
+    edits = spark.createDataFrame(
+        [("half", 1, "name", "a", "A"), ("half", 2, "name", "stale", "B"), ("gone", 3, "name", "c", "C"), ("gone", 9, "name", "x", "X")],
+        "edit_id string, id int, column string, old_value string, new_value string",
+    )
+    assert sorted(map(tuple, ed.apply_edits(base, edits, ["id"], ["name"]).collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted(map(tuple, ed.edit_status(base, edits, ["id"], ["name"]).collect())) == [("gone", "conflict"), ("half", "conflict")]

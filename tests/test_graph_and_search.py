@@ -232,6 +232,8 @@ def test_merge_and_stale(spark, rows):
     old = spark.createDataFrame([("a", "A", "ai", True), ("m", "M", "manual", True), ("k", "K", "ai", False)], cols)
     new = spark.createDataFrame([("a", "A2", "ai", None), ("m", "M2", "ai", None), ("n", "N", "ai", None), ("k", "", "ai", None)], cols)
     assert rows(corpus.merge_descriptions(old, new)) == [("a", "A2", "ai", False), ("k", "K", "ai", False), ("m", "M", "manual", True), ("n", "N", "ai", False)]
+    twice = spark.createDataFrame([("a", "late", "ai", None, 2), ("a", "sooner", "ai", None, 1)], cols + ", block_no int")
+    assert ("a", "late", "ai", False) in rows(corpus.merge_descriptions(old, twice))
     known = spark.createDataFrame([("a",)], "key string")
     assert rows(corpus.stale_descriptions(old, known), "key", "stale") == [("a", False), ("k", True), ("m", True)]
 
@@ -239,11 +241,11 @@ def test_merge_and_stale(spark, rows):
 def test_description_blocks(spark, rows):
     texts = [
         (1, 'Here:\n```json\n{"table": {"key": "s.t", "description": "d"}\n}\n```\nand {broken\n}\n{"columns": [{"key": "s.t.c", "description": "e"}]\n}'),
-        (2, '{"schemaDescription": "only"}'), (3, "[]"), (4, ""), (5, '[{"columns": [{"key": "a", "description": ""}, {"key": "b", "description": "x"}]}]'),
+        (2, '{"schemaDescription": "only"}'), (6, '{"schemaDescription": "all", "table": {"key": "s.u", "description": "w"}}'), (3, "[]"), (4, ""), (5, '[{"columns": [{"key": "a", "description": ""}, {"key": "b", "description": "x"}]}]'),
     ]
     df = spark.createDataFrame(texts, "id int, text string")
     got = rows(corpus.description_blocks(df, "id"), "id", "kind", "target")
-    assert got == [(1, "column", "s.t.c"), (1, "table", "s.t"), (5, "column", "b")]
+    assert got == [(1, "column", "s.t.c"), (1, "table", "s.t"), (5, "column", "b"), (6, "schema", "s"), (6, "table", "s.u")]
 
 
 def test_cleanup(spark, rows):
@@ -264,14 +266,26 @@ def test_late_events_and_repeated_batches(spark):
     def run():
         feed = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(incoming)
         index_stream.stream_changes(feed, log, point).awaitTermination()
-        return sorted(tuple(r) for r in index_stream.current_index(base, log, schema, ["title"]).collect())
+        return sorted((tuple(r) for r in index_stream.current_index(base, log, schema, ["title"]).collect()), key=repr)
 
     batch([(5, "upsert", "a", None, "five")])
-    assert run() == [("a", "five", 5), ("x", "old", -1)]
+    assert run() == [("a", "five", 5), ("x", "old", None)]
     batch([(3, "delete", "a", None, None), (6, "rename", "x", "y", "none")])
     assert run() == [("a", "five", 5), ("y", "old", 6)]
     assert run() == [("a", "five", 5), ("y", "old", 6)]
     # The first batch as stored base, the second from the log.
-    stored = spark.createDataFrame([("x", "old", -1), ("a", "five", 5)], base.schema)
+    stored = spark.createDataFrame([("x", "old", None), ("a", "five", 5)], base.schema)
     rest = index_stream.current_index(stored, log, schema, ["title"], after=0)
     assert sorted(tuple(r) for r in rest.collect()) == [("a", "five", 5), ("y", "old", 6)]
+
+
+def test_a_folded_base_remembers_deleted_keys(spark):
+    schema = "seq long, op string, key string, new_key string, title string"
+    log, path = scratch_path(spark, "log"), scratch_path(spark, "base")
+    base = spark.createDataFrame([("x", "old", None), ("y", "old", None)], "key string, title string, seq long")
+    for i, row in enumerate([(9, "delete", "x", None, None), (4, "upsert", "x", None, "late"), (10, "rename", "x", "z", "own")]):
+        spark.createDataFrame([row], schema).write.parquet(f"{log}/batch={i:012d}")
+    folded = index_stream.fold_index(base, log, schema, ["title"], path, upto=0)
+    index_stream.drop_batches(spark, log, 0)
+    found = index_stream.current_index(folded, log, schema, ["title"], after=0)
+    assert sorted(tuple(r) for r in found.collect()) == [("y", "old", None), ("z", "own", 10)]

@@ -107,8 +107,8 @@ def feed_text(text_type: str) -> str:
     "apply_change_feed",
     with_inputs(
         """SELECT key, title, score, seq FROM (
-          SELECT key, op, title, score, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM (
-            SELECT key, 'upsert' AS op, title, score, CAST(-1 AS bigint) AS seq FROM idx
+          SELECT key, op, title, score, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC NULLS LAST) AS rn FROM (
+            SELECT key, 'upsert' AS op, title, score, CAST(NULL AS bigint) AS seq FROM idx
             UNION ALL SELECT key, op, title, score, seq FROM feed)) WHERE rn = 1 AND op <> 'delete'""",
         idx=INDEX,
         feed=feed_text("varchar"),
@@ -119,7 +119,9 @@ def apply_change_feed(spark, sf):
     return edits.apply_change_feed(base, derive(spark, sf, feed_text("string")), FIELDS)
 
 
-# Entries are created, renamed twice in a row, and partly changed again under the old name.
+# Entries are created, renamed twice in a row, and partly changed again under the old name. The
+# index holds the first new names already: renames replace what is there, or move it on.
+HELD = "SELECT concat('b', o_orderkey) AS key, 'held' AS title, CAST(0 AS double) AS score FROM {orders}"
 RENAMES = """
 SELECT o_orderkey * 10 AS seq, 'upsert' AS op, concat('a', o_orderkey) AS key, CAST(NULL AS {text_type}) AS new_key, o_orderpriority AS title, o_totalprice AS score FROM {{orders}}
 UNION ALL SELECT o_orderkey * 10 + 1, 'rename', concat('a', o_orderkey), concat('b', o_orderkey), 'none', 0.0 FROM {{orders}} WHERE o_orderkey % 2 = 0
@@ -134,10 +136,11 @@ UNION ALL SELECT o_orderkey * 10 + 4, 'delete', concat('c', o_orderkey), NULL, N
     """SELECT concat('a', o_orderkey) AS key, CASE WHEN o_orderkey % 6 = 0 THEN 'again' ELSE o_orderpriority END AS title,
       CASE WHEN o_orderkey % 6 = 0 THEN 2.0 ELSE o_totalprice END AS score, o_orderkey * 10 + CASE WHEN o_orderkey % 6 = 0 THEN 3 ELSE 0 END AS seq
       FROM orders WHERE o_orderkey % 2 = 1 OR o_orderkey % 6 = 0
+    UNION ALL SELECT concat('b', o_orderkey), 'held', 0.0, NULL FROM orders WHERE o_orderkey % 4 = 3
     UNION ALL SELECT concat('b', o_orderkey), o_orderpriority, o_totalprice, o_orderkey * 10 + 1 FROM orders WHERE o_orderkey % 4 = 2
-    UNION ALL SELECT concat('c', o_orderkey), CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE 'new' END,
-      CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 1.0 END, o_orderkey * 10 + 2 FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey % 8 <> 4""",
+    UNION ALL SELECT concat('c', o_orderkey), CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority ELSE 'held' END,
+      CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice ELSE 0.0 END, o_orderkey * 10 + 2 FROM orders WHERE o_orderkey % 4 < 2 AND o_orderkey % 8 <> 4""",
 )
 def rename_change_feed(spark, sf):
-    empty = derive(spark, sf, INDEX).where("false").withColumn("seq", F.lit(None).cast("bigint"))
-    return edits.apply_change_feed(empty, derive(spark, sf, RENAMES.format(text_type="string")), FIELDS)
+    base = derive(spark, sf, HELD).withColumn("seq", F.lit(None).cast("bigint"))
+    return edits.apply_change_feed(base, derive(spark, sf, RENAMES.format(text_type="string")), FIELDS)

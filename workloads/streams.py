@@ -15,8 +15,8 @@ from workloads.scalars import NOW, now
     "stream_index_upsert",
     with_inputs(
         """SELECT key, title, score, seq FROM (
-          SELECT key, op, title, score, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM (
-            SELECT key, 'upsert' AS op, title, score, CAST(-1 AS bigint) AS seq FROM idx
+          SELECT key, op, title, score, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC NULLS LAST) AS rn FROM (
+            SELECT key, 'upsert' AS op, title, score, CAST(NULL AS bigint) AS seq FROM idx
             UNION ALL SELECT key, op, title, score, seq FROM feed)) WHERE rn = 1 AND op <> 'delete'""",
         idx=INDEX,
         feed=feed_text("varchar"),
@@ -33,6 +33,36 @@ def stream_index_upsert(spark, sf):
     return index_stream.current_index(base, log, feed.schema, FIELDS)
 
 
+@query(
+    "stream_index_fold",
+    with_inputs(
+        """SELECT key, title, score, seq FROM (
+          SELECT key, op, title, score, seq, row_number() OVER (PARTITION BY key ORDER BY seq DESC NULLS LAST) AS rn FROM (
+            SELECT key, 'upsert' AS op, title, score, CAST(NULL AS bigint) AS seq FROM idx
+            UNION ALL SELECT key, op, title, score, seq FROM feed)) WHERE rn = 1 AND op <> 'delete'""",
+        idx=INDEX,
+        feed=feed_text("varchar"),
+    ),
+)
+def stream_index_fold(spark, sf):
+    """The newest half of the feed comes first and is folded into the base; older events of deleted keys come after."""
+    incoming, log, point, base_path = (scratch_path(spark, n) for n in ("feed", "change-log", "stream-point", "base"))
+    feed = derive(spark, sf, feed_text("string"))
+    base = derive(spark, sf, INDEX).withColumn("seq", F.lit(None).cast("bigint"))
+
+    def follow(part):
+        part.write.mode("append").parquet(incoming)
+        source = spark.readStream.schema(feed.schema).parquet(incoming)
+        index_stream.stream_changes(source, log, point).awaitTermination()
+
+    middle = feed.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0]
+    follow(feed.where(F.col("seq") >= middle))
+    folded = index_stream.fold_index(base, log, feed.schema, FIELDS, base_path, upto=0)
+    follow(feed.where(F.col("seq") < middle))
+    index_stream.drop_batches(spark, log, 0)
+    return index_stream.current_index(folded, log, feed.schema, FIELDS, after=0)
+
+
 @query(
     "stream_history_append",
     f"""SELECT event_id, ts, event_type FROM (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id) AS rn FROM events)
