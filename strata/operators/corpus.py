@@ -260,10 +260,12 @@ def stale_descriptions(descriptions: DataFrame, known_keys: DataFrame) -> DataFr
 def merge_descriptions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Descriptions after an import: new ones replace absent or machine-made ones, manual ones stay.
 
-    Both sides: key, description, source, stale. Incoming keys are unique; blank texts are skipped.
+    Both sides: key, description, source, stale; blank texts are skipped. Of several texts for a key
+    the one of the last block counts (``block_no``, where the import has it), then the greatest.
     """
     usable = incoming.where(F.coalesce("description", F.lit("")) != "")
-    new = usable.select("key", F.col("description").alias("_new"))
+    order = F.struct(*[c for c in ("block_no", "description") if c in incoming.columns])
+    new = usable.groupBy("key").agg(F.max_by("description", order).alias("_new"))
     takes = F.col("_new").isNotNull() & (F.col("source").isNull() | (F.col("source") == "ai"))
     return existing.join(new, "key", "full").select(
         "key",
@@ -284,7 +286,8 @@ def description_blocks(texts: DataFrame, key: str, text: str = "text") -> DataFr
 
     A text is one object, an array of objects, or several objects that each end on a line of
     their own; what does not parse, or names neither table nor columns, is skipped. Columns:
-    `key`, block_no, kind, target, description, sample_value.
+    `key`, block_no, kind (schema, table or column), target, description, sample_value. The schema
+    is that of the block's table, or of its first column.
     """
     clean = tx.strip(F.regexp_replace(F.regexp_replace(F.col(text), r"```json\s*", ""), r"```\s*", ""))
     listed = F.from_json(clean, f"array<{_BLOCK}>")
@@ -300,11 +303,16 @@ def description_blocks(texts: DataFrame, key: str, text: str = "text") -> DataFr
     blocks = F.when(single, good).otherwise(F.filter(pieces, valid))
     rows = texts.select(key, F.posexplode(blocks).alias("block_no", "b"))
     none = F.lit(None).cast("string")
+    first = F.coalesce(F.col("b.table.key"), F.get("b.columns.key", F.lit(0)))
     table = F.array(
+        F.struct(
+            F.lit("schema").alias("kind"), F.when(first.contains("."), F.substring_index(first, ".", 1)).alias("target"),
+            F.col("b.schemaDescription").alias("description"), none.alias("sample_value"),
+        ),
         F.struct(
             F.lit("table").alias("kind"), F.col("b.table.key").alias("target"),
             F.col("b.table.description").alias("description"), none.alias("sample_value"),
-        )
+        ),
     )
     columns = F.transform(
         F.coalesce("b.columns", F.array().cast("array<struct<key:string,description:string,sampleValue:string>>")),

@@ -108,14 +108,57 @@ def fk_on_delete(
 
 
 def fk_on_update(
-    child: DataFrame, changes: DataFrame, column: str, old: str = "old_key", new: str = "new_key", min_rows: int = HOT_ROWS
+    child: DataFrame,
+    changes: DataFrame,
+    columns: str | list[str],
+    old: str | list[str] = "old_key",
+    new: str | list[str] = "new_key",
+    action: str = "CASCADE",
+    default: dict[str, object] | None = None,
+    min_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """The child table after parent keys changed from `old` to `new` (ON UPDATE CASCADE)."""
-    (column,) = _columns(child, [column], "foreign key")
-    moves = changes.select(F.col(old).alias(column), F.col(new).alias("_new"), F.lit(True).alias("_moved"))
-    joined = spread_join(child, moves, [column], "left", min_rows)
-    moved = F.when(F.col("_moved"), F.col("_new")).otherwise(F.col(column)).alias(column)
-    return joined.select(*[moved if c == column else F.col(c) for c in child.columns])
+    """What changing parent keys from `old` to `new` does to the child table.
+
+    CASCADE, SET NULL and SET DEFAULT give all rows with the key they have afterwards, RESTRICT and
+    NO ACTION the rows that stand in the way. A change to the same key is none; the same change
+    given twice is one, and two different new keys for an old one fail.
+    """
+    action = action.strip().upper()
+    if action not in ACTIONS:
+        raise StrataError(f"invalid ON UPDATE action '{action}'")
+    columns, old, new = ([x] if isinstance(x, str) else list(x) for x in (columns, old, new))
+    columns = _columns(child, columns, "foreign key")
+    if not len(columns) == len(old) == len(new):
+        raise StrataError("foreign key, old and new key differ in their number of columns")
+    target = F.struct(*[F.col(n).alias(f"_new_{i}") for i, n in enumerate(new)])
+    moves = changes.select(*[F.col(o).alias(c) for o, c in zip(old, columns)], target.alias("_to")).groupBy(*columns)
+    several = F.raise_error(F.lit("an old key changes to two new ones")).cast(changes.select(target.alias("t")).schema["t"].dataType)
+    moves = moves.agg(F.min("_to").alias("_lo"), F.max("_to").alias("_hi")).select(
+        *columns, F.when(F.col("_lo").eqNullSafe(F.col("_hi")), F.col("_lo")).otherwise(several).alias("_to")
+    )
+    moves = moves.where(~_same_key(columns))
+    if action in ("RESTRICT", "NO ACTION"):
+        return spread_join(child, moves.select(*columns), columns, "left_semi", min_rows)
+    joined = spread_join(child, moves, columns, "left", min_rows)
+
+    def value(name: str) -> Column:
+        if name not in columns:
+            return F.col(name)
+        if action == "CASCADE":
+            after = F.col("_to")[f"_new_{columns.index(name)}"]
+        else:
+            after = F.lit(None if action == "SET NULL" else (default or {}).get(name))
+        kept = F.col(name)
+        return F.when(F.col("_to").isNotNull(), after.cast(child.schema[name].dataType)).otherwise(kept).alias(name)
+
+    return joined.select(*[value(c) for c in child.columns])
+
+
+def _same_key(columns: list[str]) -> Column:
+    same = F.lit(True)
+    for i, name in enumerate(columns):
+        same &= F.col(name).eqNullSafe(F.col("_to")[f"_new_{i}"])
+    return same
 
 
 def column_defaults(df: DataFrame, defaults: dict[str, str]) -> DataFrame:

@@ -17,10 +17,12 @@ def constraint_join(
 ) -> DataFrame:
     """Primary and foreign key columns, the latter with the column they refer to.
 
-    Target columns are matched by position within the referenced constraint.
+    Target columns are matched by position within the referenced constraint. Where the list of
+    references names the table (an addition some catalogs have), equal names of different tables are told apart.
     """
     tc = constraints.where(F.col("constraint_type").isin("PRIMARY KEY", "FOREIGN KEY"))
-    kcu = key_usage.select("table_schema", "constraint_name", "column_name", "ordinal_position")
+    # A constraint's name is unique within its table only.
+    kcu = key_usage.select("table_schema", "table_name", "constraint_name", "column_name", "ordinal_position")
     target = key_usage.select(
         F.col("constraint_name").alias("unique_constraint_name"),
         F.col("constraint_schema").alias("unique_constraint_schema"),
@@ -29,12 +31,11 @@ def constraint_join(
         F.col("table_name").alias("foreign_table"),
         F.col("column_name").alias("foreign_column"),
     )
-    rc = referential.select(
-        "constraint_name", "constraint_schema", "unique_constraint_name", "unique_constraint_schema"
-    )
+    name = ["constraint_name", "constraint_schema"] + [c for c in ("table_name",) if c in referential.columns]
+    rc = referential.select(*name, "unique_constraint_name", "unique_constraint_schema").distinct()
     return (
-        tc.join(kcu, ["table_schema", "constraint_name"])
-        .join(rc, ["constraint_name", "constraint_schema"], "left")
+        tc.join(kcu, ["table_schema", "table_name", "constraint_name"])
+        .join(rc, name, "left")
         .join(target, ["unique_constraint_name", "unique_constraint_schema", "ordinal_position"], "left")
         .where(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
         .select(

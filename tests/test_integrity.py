@@ -68,6 +68,15 @@ def test_unknown_action(users, orgs):
 def test_on_update(spark, users, rows):
     moves = spark.createDataFrame([(10, 100), (98, 980)], "old_key long, new_key long")
     assert rows(integrity.fk_on_update(users, moves, "ORG_ID"), "org_id") == [(100,), (11,), (99,), (None,)]
+    twice = moves.unionByName(moves)
+    assert rows(integrity.fk_on_update(users, twice, "org_id"), "org_id") == [(100,), (11,), (99,), (None,)]
+    assert rows(integrity.fk_on_update(users, moves, "org_id", action="set null"), "org_id") == [(11,), (99,), (None,), (None,)]
+    assert rows(integrity.fk_on_update(users, moves, "org_id", action="SET DEFAULT", default={"org_id": 0}), "org_id") == [(0,), (11,), (99,), (None,)]
+    assert rows(integrity.fk_on_update(users, moves, "org_id", action="RESTRICT"), "org_id") == [(10,)]
+    same = spark.createDataFrame([(10, 10)], "old_key long, new_key long")
+    assert rows(integrity.fk_on_update(users, same, "org_id", action="NO ACTION")) == []
+    with pytest.raises(Exception, match="two new ones"):
+        integrity.fk_on_update(users, spark.createDataFrame([(10, 1), (10, 2)], "old_key long, new_key long"), "org_id").collect()
 
 
 def test_defaults(users):

@@ -15,7 +15,7 @@ from workloads.scalars import CANONICAL, SQL_TEXTS
 QUERIES_OF_DOCS = """
 SELECT concat('queries/', lang, '/', source, '/Q', doc_id, '.sql') AS path, CASE WHEN doc_id % 4 = 0 THEN concat('-- Report ', doc_id, chr(10), 'SELECT * FROM silver.', source)
   ELSE concat('SELECT count(*) FROM gold.', lang, ' /* ', doc_id % 10, ' */') END AS sql, e.ts AS created, e.ts AS updated
-FROM {documents} JOIN {events} e ON event_id = doc_id
+FROM {documents} LEFT JOIN {events} e ON event_id = doc_id
 """
 NOTES_OF_DOCS = """
 SELECT concat('queries/', lang, '/', source, '/Q', doc_id, '.md') AS path, concat('---', chr(10), 'title: ', CASE doc_id % 5 WHEN 0 THEN 'report' WHEN 1 THEN 'Report two' WHEN 2 THEN 'The report' ELSE source END,
@@ -27,7 +27,7 @@ SELECT concat('queries/', lang, '/', source, '/Q', doc_id, '.sql') AS path, CASE
   CASE WHEN doc_id % 3 <> 2 THEN CASE doc_id % 5 WHEN 0 THEN 'report' WHEN 1 THEN 'Report two' WHEN 2 THEN 'The report' ELSE source END END AS md_title,
   CASE WHEN doc_id % 3 <> 2 THEN concat(lang, ' ', source, ' weekly_report') END AS tags, CASE WHEN doc_id % 3 <> 2 THEN text END AS md_body,
   concat('select ', source, ' ', lang) AS search_text, lang, source, doc_id, e.ts AS updated, CASE WHEN doc_id % 7 = 0 THEN e.ts END AS last_run
-FROM {documents} JOIN {events} e ON event_id = doc_id
+FROM {documents} LEFT JOIN {events} e ON event_id = doc_id
 """
 
 

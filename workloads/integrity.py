@@ -103,6 +103,45 @@ def fk_on_update(spark, sf):
     return integrity.fk_on_update(derive(spark, sf, BROKEN), derive(spark, sf, MOVES), "o_custkey")
 
 
+_MOVED = "o_custkey IN (SELECT old_key FROM moves)"
+
+
+def _on_update(name, action, sql, default=None):
+    @query(name, with_inputs(sql, broken=BROKEN, moves=MOVES))
+    def run(spark, sf):
+        return integrity.fk_on_update(derive(spark, sf, BROKEN), derive(spark, sf, MOVES), "o_custkey", action=action, default=default)
+
+
+_on_update(
+    "fk_on_update_set_null",
+    "SET NULL",
+    f"SELECT o_orderkey, CASE WHEN {_MOVED} THEN NULL ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM broken",
+)
+_on_update(
+    "fk_on_update_set_default",
+    "SET DEFAULT",
+    f"SELECT o_orderkey, CASE WHEN {_MOVED} THEN 0 ELSE o_custkey END AS o_custkey, o_orderstatus, o_totalprice FROM broken",
+    {"o_custkey": 0},
+)
+_on_update("fk_on_update_restrict", "RESTRICT", f"SELECT * FROM broken WHERE {_MOVED}")
+
+
+@query(
+    "fk_on_update_two_columns",
+    """SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey % 3 = 1 THEN l_partkey + 5000000 ELSE l_partkey END AS l_partkey,
+    CASE WHEN l_partkey % 3 = 1 THEN l_suppkey + 1 ELSE l_suppkey END AS l_suppkey FROM lineitem""",
+)
+def fk_on_update_two_columns(spark, sf):
+    lines = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    pairs = lines.select("l_partkey", "l_suppkey").distinct()
+    moves = pairs.select(
+        F.col("l_partkey").alias("p0"), F.col("l_suppkey").alias("s0"),
+        F.when(F.col("l_partkey") % 3 == 1, F.col("l_partkey") + 5000000).otherwise(F.col("l_partkey")).alias("p1"),
+        F.when(F.col("l_partkey") % 3 == 1, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey")).alias("s1"),
+    )
+    return integrity.fk_on_update(lines, moves, ["l_partkey", "l_suppkey"], ["p0", "s0"], ["p1", "s1"])
+
+
 @query(
     "column_defaults",
     with_inputs(
