@@ -67,7 +67,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document, dropped ones too: the id, keep_id, group_size, kept, text_sha256 and `__row`.
 
     `__row` is the row's place in the scan of `docs`, which must be a stored table. The keys of the
-    documents (no texts) are stored once, as they are read for the join and for ties between rows.
+    documents and the winners (no texts) are stored once, as both are read for the join and for ties between rows.
     """
     keys = cut(
         docs.select(
@@ -78,7 +78,7 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "digests",
     )
-    judged = keys.join(winners(docs, id_col, text_col, salts), "text_sha256")
+    judged = keys.join(cut(winners(docs, id_col, text_col, salts), "winners"), "text_sha256")
     first = (
         judged.where(F.col("__mine") == F.col("__best")).groupBy("text_sha256").agg(F.min("__row").alias("__first"))
     )
