@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.operators import evolve, integrity, profile
-from workloads.registry import derive, query, read, with_inputs
+from workloads.registry import derive, query, read, stored, with_inputs
 
 # Orders with null customers, doubled keys and orphans.
 BROKEN = """
@@ -171,28 +171,46 @@ SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE conca
 """
 
 
-@query(
-    "column_profile",
-    with_inputs(
-        "\nUNION ALL ".join(
-            _profile_row(c, t)
-            for c, t in (
-                ("c_custkey", "CAST(c_custkey AS varchar)"),
-                ("c_mktsegment", "c_mktsegment"),
-                ("contact", "contact"),
-                ("in_credit", "CAST(in_credit AS varchar)"),
-            )
-        ),
-        people=PEOPLE,
-    ),
+PROFILE = "\nUNION ALL ".join(
+    _profile_row(c, t)
+    for c, t in (
+        ("c_custkey", "CAST(c_custkey AS varchar)"),
+        ("c_mktsegment", "c_mktsegment"),
+        ("contact", "contact"),
+        ("in_credit", "CAST(in_credit AS varchar)"),
+    )
 )
+
+
+@query("column_profile", with_inputs(PROFILE, people=PEOPLE))
 def column_profile(spark, sf):
     return profile.column_profile(derive(spark, sf, PEOPLE))
 
 
-@query("column_profile_approx")
+@query(
+    "column_profile_approx",
+    with_inputs(f"SELECT column_name, n_rows, n_present, min_text, max_text, pii, true AS near FROM ({PROFILE})", people=PEOPLE),
+)
 def column_profile_approx(spark, sf):
-    return profile.column_profile(read(spark, sf, "lineitem"), exact=False)
+    """The approximate distinct counts are within a tenth of the exact ones."""
+    people = stored(spark, sf, PEOPLE)
+    exact = profile.column_profile(people).select("column_name", F.col("n_distinct").alias("exact"))
+    near = F.abs(F.col("n_distinct") - F.col("exact")) * 10 <= F.col("exact")
+    rough = profile.column_profile(people, exact=False).join(exact, "column_name")
+    return rough.select("column_name", "n_rows", "n_present", "min_text", "max_text", "pii", near.alias("near"))
+
+
+# Nine of ten lines belong to one part; a few lines have no part.
+SKEWED = "SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 10 > 0 THEN 1 WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_partkey END AS l_partkey FROM {lineitem}"
+
+
+@query(
+    "skewed_foreign_key",
+    with_inputs("SELECT * FROM lines WHERE l_partkey NOT IN (SELECT p_partkey FROM part)", lines=SKEWED),
+)
+def skewed_foreign_key(spark, sf):
+    """Splits the hot part into tasks of a hundredth of a million lines."""
+    return integrity.check_foreign_key(stored(spark, sf, SKEWED), read(spark, sf, "part"), ["l_partkey"], ["p_partkey"], min_rows=10_000)
 
 
 @query(
