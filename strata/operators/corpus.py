@@ -261,17 +261,22 @@ def merge_descriptions(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Descriptions after an import: new ones replace absent or machine-made ones, manual ones stay.
 
     Both sides: key, description, source, stale; blank texts are skipped. Of several texts for a key
-    the one of the last block counts (``block_no``, where the import has it), then the greatest.
+    the one of the last block counts (``block_no``, where the import has it), then the greatest. A
+    ``sample_value`` on both sides goes with the text that stays.
     """
     usable = incoming.where(F.coalesce("description", F.lit("")) != "")
     order = F.struct(*[c for c in ("block_no", "description") if c in incoming.columns])
-    new = usable.groupBy("key").agg(F.max_by("description", order).alias("_new"))
+    samples = ["sample_value"] if {"sample_value"} <= set(existing.columns) & set(incoming.columns) else []
+    new = usable.groupBy("key").agg(
+        F.max_by("description", order).alias("_new"), *[F.max_by(s, order).alias("_sample") for s in samples]
+    )
     takes = F.col("_new").isNotNull() & (F.col("source").isNull() | (F.col("source") == "ai"))
     return existing.join(new, "key", "full").select(
         "key",
         F.when(takes, F.col("_new")).otherwise(F.col("description")).alias("description"),
         F.when(takes, "ai").otherwise(F.col("source")).alias("source"),
         F.when(takes, F.lit(False)).otherwise(F.col("stale")).alias("stale"),
+        *[F.when(takes, F.col("_sample")).otherwise(F.col(s)).alias(s) for s in samples],
     )
 
 

@@ -59,8 +59,7 @@ def affected_rows_total(results: DataFrame, by: list[str]) -> DataFrame:
     """
     n = F.count_if("is_tabular")
     warning = F.concat(
-        F.lit("Query returned "), n.cast("string"),
-        F.lit(" result sets. Only the first tabular result is displayed."),
+        n.cast("string"), F.lit(" statements gave rows; the first of them is shown."),
     )
     return results.groupBy(*by).agg(
         F.sum(F.coalesce("affected_rows", F.lit(0))).alias("affected_rows"),

@@ -45,6 +45,27 @@ def constraint_join(
     )
 
 
+def constraint_marks(columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    """The same rows as `constraint_join` from a catalog that marks key columns.
+
+    `columns`: table_schema, table_name, column_name, column_key (``PRI`` for primary keys).
+    `foreign_keys`, one row per column: table_schema, table_name, column_name, constraint_name,
+    referenced_table_schema, referenced_table_name, referenced_column_name; rows that refer to nothing are no foreign keys.
+    """
+    place = ["table_schema", "table_name", "column_name"]
+    none = F.lit(None).cast("string")
+    primary = columns.where(F.upper("column_key") == "PRI").select(
+        *place, F.lit("PRIMARY").alias("constraint_name"), F.lit("PRIMARY KEY").alias("constraint_type"),
+        none.alias("foreign_schema"), none.alias("foreign_table"), none.alias("foreign_column"),
+    )
+    foreign = foreign_keys.where(F.col("referenced_table_name").isNotNull()).select(
+        *place, "constraint_name", F.lit("FOREIGN KEY").alias("constraint_type"),
+        F.coalesce("referenced_table_schema", "table_schema").alias("foreign_schema"),
+        F.col("referenced_table_name").alias("foreign_table"), F.col("referenced_column_name").alias("foreign_column"),
+    )
+    return primary.unionByName(foreign).where(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
+
+
 def column_kind_join(columns: DataFrame, table_types: DataFrame) -> DataFrame:
     """Columns with short type names and the kind of their table (BASE TABLE when unlisted)."""
     return columns.join(table_types, ["table_schema", "table_name"], "left").select(

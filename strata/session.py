@@ -153,7 +153,7 @@ class Workbench:
         """Replace a table by `df`, which may read the table itself; returns the row count.
 
         The rows go to a new folder first and the name is switched over afterwards, so a failed
-        write leaves the old table as it was. The version before the new one stays on disk for
+        write leaves the old table as it was; a table of the same columns is switched without a gap. The version before the new one stays on disk for
         readers that hold it; older ones are removed. `cluster_by` sorts the files by those
         columns, so that key look-ups skip row groups. With `keep_empty=False` an empty result
         leaves everything untouched.
@@ -163,8 +163,13 @@ class Workbench:
         if rows == 0 and not keep_empty:
             delete_path(self.spark, path)
             return 0
-        self.drop(fqn)
-        self.spark.catalog.createTable(fqn, path=path, source="parquet", schema=df.schema)
+        if self.kind(fqn) == "BASE TABLE" and self.table(fqn).schema == df.schema:
+            # One catalog operation: a reader sees the old rows or the new ones.
+            self.spark.sql(f"ALTER TABLE {fqn} SET LOCATION {literal(path)}")
+            self.spark.catalog.refreshTable(fqn)
+        else:
+            self.drop(fqn)
+            self.spark.catalog.createTable(fqn, path=path, source="parquet", schema=df.schema)
         history = _versions.setdefault((self.spark.sparkContext.applicationId, path.rsplit("/", 1)[0]), [])
         history.append(path)
         while len(history) > 2:

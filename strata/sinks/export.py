@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.values import csv_minimal, csv_quoted, json_object, json_value, row_text, sql_literal, value_text
@@ -47,11 +47,20 @@ def csv_header(columns: list[str], quote_all: bool = False) -> str:
 
 
 def write_csv_text(df: DataFrame, folder: str, quote_all: bool = False) -> None:
-    """Write the text style as files of lines, each file headed by the column names."""
+    """Write the text style: the header line in ``part=0``, the rows in files of ``part=1``.
+
+    In order of their names the files make one CSV text, with the header alone if there are no rows.
+    """
     lines = csv_quoted_lines(df) if quote_all else csv_minimal_lines(df)
     header = csv_header(df.columns, quote_all)
-    lines.write.option("header", False).text(f"{folder}/rows")
-    df.sparkSession.createDataFrame([(header,)], "line string").coalesce(1).write.text(f"{folder}/header")
+    df.sparkSession.createDataFrame([(header,)], "line string").coalesce(1).write.text(f"{folder}/part=0")
+    lines.write.text(f"{folder}/part=1")
+
+
+def read_csv_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of a written text: ``is_header`` and ``line`` (values that hold line ends give several)."""
+    found = spark.read.schema("value string, part int").text(folder)
+    return found.select((F.col("part") == 0).alias("is_header"), F.col("value").alias("line"))
 
 
 def insert_dump(df: DataFrame, table: str, order_by: list[Column | str], batch: int = INSERT_BATCH) -> DataFrame:

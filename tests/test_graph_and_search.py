@@ -234,6 +234,9 @@ def test_merge_and_stale(spark, rows):
     assert rows(corpus.merge_descriptions(old, new)) == [("a", "A2", "ai", False), ("k", "K", "ai", False), ("m", "M", "manual", True), ("n", "N", "ai", False)]
     twice = spark.createDataFrame([("a", "late", "ai", None, 2), ("a", "sooner", "ai", None, 1)], cols + ", block_no int")
     assert ("a", "late", "ai", False) in rows(corpus.merge_descriptions(old, twice))
+    sampled = spark.createDataFrame([("a", "A", "ai", True, "1"), ("m", "M", "manual", True, "2")], cols + ", sample_value string")
+    fresh = spark.createDataFrame([("a", "A2", "ai", None, "9"), ("m", "M2", "ai", None, "8")], cols + ", sample_value string")
+    assert rows(corpus.merge_descriptions(sampled, fresh), "key", "sample_value") == [("a", "9"), ("m", "2")]
     known = spark.createDataFrame([("a",)], "key string")
     assert rows(corpus.stale_descriptions(old, known), "key", "stale") == [("a", False), ("k", True), ("m", True)]
 

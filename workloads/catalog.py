@@ -104,6 +104,30 @@ def constraint_join(spark, sf):
     return metadata.constraint_join(*[derive(spark, sf, t) for t in (CONSTRAINTS, KEY_USAGE, REFERENTIAL)])
 
 
+MARKED = """
+SELECT 'silver' AS table_schema, concat('t', o_orderkey) AS table_name, 'id' AS column_name, 'PRI' AS column_key FROM {orders}
+UNION ALL SELECT 'silver', concat('t', o_orderkey), 'tenant', CASE WHEN o_orderkey % 2 = 0 THEN 'pri' ELSE 'MUL' END FROM {orders}
+UNION ALL SELECT 'information_schema', concat('s', o_orderkey), 'oid', 'PRI' FROM {orders} WHERE o_orderkey % 50 = 0
+"""
+LISTED = """
+SELECT 'silver' AS table_schema, concat('t', l_orderkey) AS table_name, concat('t', l_partkey, '_id') AS column_name, concat('fk_', l_partkey) AS constraint_name,
+  CASE WHEN l_partkey % 2 = 0 THEN 'gold' END AS referenced_table_schema, CASE WHEN l_partkey % 5 > 0 THEN concat('t', l_partkey) END AS referenced_table_name,
+  'id' AS referenced_column_name FROM {lineitem} GROUP BY l_orderkey, l_partkey
+"""
+
+
+@query(
+    "constraint_marks",
+    """SELECT 'silver' AS table_schema, concat('t', o_orderkey) AS table_name, 'id' AS column_name, 'PRIMARY' AS constraint_name,
+      'PRIMARY KEY' AS constraint_type, NULL AS foreign_schema, NULL AS foreign_table, NULL AS foreign_column FROM orders
+    UNION ALL SELECT 'silver', concat('t', o_orderkey), 'tenant', 'PRIMARY', 'PRIMARY KEY', NULL, NULL, NULL FROM orders WHERE o_orderkey % 2 = 0
+    UNION ALL SELECT DISTINCT 'silver', concat('t', l_orderkey), concat('t', l_partkey, '_id'), concat('fk_', l_partkey), 'FOREIGN KEY',
+      CASE WHEN l_partkey % 2 = 0 THEN 'gold' ELSE 'silver' END, concat('t', l_partkey), 'id' FROM lineitem WHERE l_partkey % 5 > 0""",
+)
+def constraint_marks(spark, sf):
+    return metadata.constraint_marks(derive(spark, sf, MARKED), derive(spark, sf, LISTED))
+
+
 INDEXES = """
 SELECT 'silver' AS table_schema, concat('t', l_orderkey) AS table_name, concat('ix', l_suppkey % 3) AS index_name,
   min(l_linenumber) AS seq_in_index, concat('c', l_partkey) AS column_name, l_suppkey % 3 AS non_unique FROM {lineitem}

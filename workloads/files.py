@@ -135,21 +135,27 @@ def _csv_field(c: str) -> str:
 @query(
     "export_csv_minimal",
     f"""SELECT concat(event_id, ',', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 'Z,', coalesce(CAST(nullif(user_id, 3) AS varchar), ''), ',',
-    {_csv_field('event_type')}, ',', {js_number('value')}, ',', {_csv_field('props')}) AS line FROM events""",
+    {_csv_field('event_type')}, ',', {js_number('value')}, ',', {_csv_field('props')}) AS line, false AS is_header FROM events
+    UNION ALL SELECT 'event_id,ts,user_id,event_type,value,props', true""",
 )
 def export_csv_minimal(spark, sf):
     e = read(spark, sf, "events").withColumn("user_id", F.nullif("user_id", F.lit(3)))
-    return export.csv_minimal_lines(e)
+    folder = scratch_path(spark, "csv")
+    export.write_csv_text(e, folder)
+    return export.read_csv_text(spark, folder)
 
 
 @query(
     "export_csv_quoted",
     f"""SELECT concat('"', event_id, '","', strftime(ts, '%Y-%m-%dT%H:%M:%S.%g'), 'Z","', coalesce(CAST(nullif(user_id, 3) AS varchar), ''), '","',
-    event_type, '","', {js_number('value')}, '","', replace(props, '"', '""'), '"') AS line FROM events""",
+    event_type, '","', {js_number('value')}, '","', replace(props, '"', '""'), '"') AS line, false AS is_header FROM events
+    UNION ALL SELECT '"event_id","ts","user_id","event_type","value","props"', true""",
 )
 def export_csv_quoted(spark, sf):
     e = read(spark, sf, "events").withColumn("user_id", F.nullif("user_id", F.lit(3)))
-    return export.csv_quoted_lines(e)
+    folder = scratch_path(spark, "csv")
+    export.write_csv_text(e, folder, quote_all=True)
+    return export.read_csv_text(spark, folder)
 
 
 @query(

@@ -198,7 +198,7 @@ def script_summary(spark, sf):
     with_inputs(
         """SELECT script_id, CAST(coalesce(sum(affected_rows), 0) AS bigint) AS affected_rows,
         count(*) FILTER (is_tabular) AS n_tabular, CASE WHEN count(*) FILTER (is_tabular) > 1 THEN
-        concat('Query returned ', count(*) FILTER (is_tabular), ' result sets. Only the first tabular result is displayed.') END AS warning
+        concat(count(*) FILTER (is_tabular), ' statements gave rows; the first of them is shown.') END AS warning
         FROM st GROUP BY script_id""",
         st=STATEMENTS,
     ),
