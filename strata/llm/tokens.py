@@ -12,9 +12,10 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
@@ -25,11 +26,12 @@ END_ID = 2
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _RUNS = re.compile(rf"[{_LETTERS}]+|[.,;:!?]+|\n")
-_PLAIN = re.compile(rf"(?:[{_LETTERS}]+|[.,;:!?]+)(?:[{_LETTERS}]+|[.,;:!?]+|\n(?!\n|\Z))*")
+# Possessive runs: a word that is not plain fails at once instead of trying every split of its letters.
+_PLAIN = re.compile(rf"(?:[{_LETTERS}]++|[.,;:!?]++)(?:[{_LETTERS}]++|[.,;:!?]++|\n(?!\n|\Z))*+")
 #: A space beside other blanks or an end of the text is no cut.
 _UNSURE = re.compile(r"\A | \Z| \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_MEMO = 250_000
+_MEMO = 400_000
 _MEMO_WORD = 64
 
 
@@ -40,6 +42,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _Memo(dict):
+    """Remembers what `make` gives for short words; hands its content to `full` and starts anew at `_MEMO` words."""
+
+    def __init__(self, make: Callable[[str], bytes], full: Callable[[dict[str, bytes]], None]):
+        super().__init__()
+        self.make, self.full = make, full
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.make(word)
+        if len(word) <= _MEMO_WORD:
+            if len(self) >= _MEMO:
+                self.full(dict(self))
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Encoder:
     """Encodes texts to ids as little-endian unsigned 32-bit integers in bytes."""
 
@@ -60,38 +79,37 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self._model = self.tokenizer.model
         self._letters = _byte_letters()
-        self._runs: dict[str, bytes] = {}
-        self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._new = _Memo(self._spaced, self._keep)
+        self._runs = _Memo(self._run, lambda full: None)
+
+    def _keep(self, full: dict[str, bytes]) -> None:
+        """A full memo becomes the old generation, from which words that are met again come back."""
+        self._old = full
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _run(self, run: str) -> bytes:
-        found = self._runs.get(run)
-        if found is None:
-            if len(self._runs) >= _MEMO:
-                self._runs.clear()
+        """Ids of a run of letters or of marks, with its space."""
+        if run.isascii():
+            shown = run.replace(" ", "\u0120").replace("\n", "\u010a")
+        else:
             shown = run.encode().decode("latin-1").translate(self._letters)
-            found = np.array([t.id for t in self._model.tokenize(shown)], "<u4").tobytes()
-            if len(run) <= _MEMO_WORD:
-                self._runs[run] = found
-        return found
+        return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _spaced(self, word: str) -> bytes:
-        """Ids of a word behind its space; two generations bound the memo."""
+        """Ids of a word behind its space."""
         found = self._old.get(word)
-        if found is None:
-            if len(word) <= 4 * _MEMO_WORD and _PLAIN.fullmatch(word):
-                first, *more = _RUNS.findall(word)
-                found = self._run(" " + first) + b"".join(map(self._run, more))
-            else:
-                found = self.whole(" " + word)
-        if len(word) <= _MEMO_WORD:
-            if len(self._new) >= _MEMO:
-                self._old, self._new = self._new, {}
-            self._new[word] = found
-        return found
+        if found is not None:
+            return found
+        if word.isascii() and word.isalpha():
+            return self._run(" " + word)
+        if len(word) > 4 * _MEMO_WORD or not _PLAIN.fullmatch(word):
+            return self.whole(" " + word)
+        first, *more = _RUNS.findall(word)
+        runs = self._runs
+        return runs[" " + first] + b"".join([runs[r] for r in more])
 
     def words(self, text: str) -> list[str]:
         """The parts that are encoded on their own; each but the first stands behind one space that belongs to it."""
@@ -106,13 +124,7 @@ class Encoder:
             ids = [len(self.whole(first)), *(len(self.whole(" " + w)) for w in words)]
         else:
             known = self._new
-            ids = [len(self.whole(first))]
-            for word in words:
-                found = known.get(word)
-                if found is None:
-                    found = self._spaced(word)
-                    known = self._new
-                ids.append(len(found))
+            ids = [len(self.whole(first)), *[len(known[w]) for w in words]]
         return [len(first), *(len(w) + 1 for w in words)], [n // 4 for n in ids]
 
     def encode(self, text: str | None) -> bytes:
@@ -123,14 +135,7 @@ class Encoder:
             return self.whole(text)
         first, *words = self.words(text)
         known = self._new
-        out = [self.whole(first)]
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._spaced(word)
-                known = self._new
-            out.append(ids)
-        return b"".join(out)
+        return self.whole(first) + b"".join([known[w] for w in words])
 
 
 @lru_cache(maxsize=2)
