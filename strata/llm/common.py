@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from strata.session import cut, delete_path, scratch_path
 
 __all__ = [
-    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "open_fs", "scratch_path", "table", "text_batches",
+    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "open_fs", "sample_rows", "scratch_path", "table", "text_batches",
 ]
 
 #: The six ASCII blanks that separate words: space and U+0009 to U+000D.
@@ -34,6 +35,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def sample_rows(rows: DataFrame, id_col: str, most: int) -> list[Row]:
+    """At most `most` rows, chosen by a hash of their id, on the driver.
+
+    The hash lets about twice as many rows through, at any size of the input; the limit then stops at `most`, and only
+    rows that are taken travel.
+    """
+    total = rows.count()
+    share = min(1.0, 2 * most / total) if total else 0.0
+    chosen = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
+    return rows.where(chosen).limit(most).collect()
+
+
 def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
     """The file system of a path or URI in the shared folder, and the path inside it.
 

@@ -6,7 +6,7 @@ trailer. The index has, per document: the id, whether it is null, the frame's pl
 the shard and its own. `fetch` reads one document with the index and one frame.
 
 The dictionary is trained on the id arrays of at most `SAMPLE_DOCS` documents of at most `SAMPLE_CHARS`
-characters, those with the smallest hash of their id; it changes the size of the files, never what is read back.
+characters, chosen by a hash of their id; it changes the size of the files, never what is read back.
 
 Shards are named by task and attempt and only those of attempts that ended are listed, so tasks may
 run again. Order: null ids first, then ascending; rows that repeat an id by a hash of the text, then the text, so that one id
@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import open_fs, text_batches
+from strata.llm.common import open_fs, sample_rows, text_batches
 from strata.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder
 
 SAMPLE_DOCS = 1000
@@ -43,9 +43,9 @@ _END = np.array([END_ID], "<u4").tobytes()
 
 def train_dictionary(rows: DataFrame, tokenizer: str, width: int) -> bytes:
     """A dictionary over serialised id arrays; empty if there are too few samples to train on."""
-    sample = rows.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS)
+    sample = sample_rows(rows.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)), "doc_id", SAMPLE_DOCS)
     encode = encoder(tokenizer).encode
-    arrays = [_narrow(encode(r["text"]) + _END, width) for r in sample.collect()]
+    arrays = [_narrow(encode(r["text"]) + _END, width) for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=LEVEL).as_bytes() if arrays else b""
     except zstandard.ZstdError:

@@ -2,7 +2,7 @@
 
 An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dictionary, then one frame
 per record, as described for `.warc.zst`. The dictionary is trained on the records of at most
-`SAMPLE_RECORDS` pages of at most `SAMPLE_CHARS` characters, those with the smallest hash of their id.
+`SAMPLE_RECORDS` pages of at most `SAMPLE_CHARS` characters, chosen by a hash of their id.
 
 Of pages with equal payloads of at least `least_bytes` bytes the one with the smallest id is a
 response and the others revisit it. Equality is that of SHA-256 and length; the digest in the archive is the customary
@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import open_fs, text_batches
+from strata.llm.common import open_fs, sample_rows, text_batches
 
 SAMPLE_RECORDS = 1000
 SAMPLE_CHARS = 20_000
@@ -78,8 +78,8 @@ def label_copies(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 def train_dictionary(rows: DataFrame, date: str) -> bytes:
     """A dictionary over whole records; empty if there are too few to train on."""
-    sample = rows.where(F.octet_length("payload") <= SAMPLE_CHARS).orderBy(F.xxhash64("page_id"), "page_id", "payload").limit(SAMPLE_RECORDS)
-    records = [record(r["page_id"], r["url"], bytes(r["payload"]), None, False, date) for r in sample.collect()]
+    sample = sample_rows(rows.where(F.octet_length("payload") <= SAMPLE_CHARS), "page_id", SAMPLE_RECORDS)
+    records = [record(r["page_id"], r["url"], bytes(r["payload"]), None, False, date) for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, records, level=LEVEL).as_bytes() if records else b""
     except zstandard.ZstdError:
