@@ -40,6 +40,7 @@ from strata.llm.common import cut, delete_path, scratch_path, text_batches
 LENGTH = 200
 STEP = 16
 BLOCK = 1 << 19
+NODE_BATCH = 50_000
 _PLACE = np.uint64((1 << 20) - 1)
 _MIX = tuple(
     tuple(np.uint64(c) for c in pair) for pair in ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
@@ -75,10 +76,10 @@ class Buckets:
             self.levels[2 * size] = [_refine(b[:k], b[size : size + k], _MIX[i]) for i, b in enumerate(self.levels[size])]
             size *= 2
 
-    def at(self, starts: np.ndarray, size: int, salt: int = 0) -> list[np.ndarray]:
+    def at(self, starts: np.ndarray, size: int, salt: np.ndarray | int = 0) -> list[np.ndarray]:
         """The buckets of `size` bytes from each of `starts`: two overlapping buckets of a power of two."""
         part = 1 << (size.bit_length() - 1)
-        salted = np.uint64(size * 1000 + salt)
+        salted = np.uint64(size * 1000) + np.asarray(salt).astype(np.uint64)
         return [_refine(b[starts] ^ salted, b[starts + (size - part)], _MIX[i]) for i, b in enumerate(self.levels[part])]
 
     def of_all(self, size: int) -> np.ndarray:
@@ -160,7 +161,7 @@ def find_anchors(rows: DataFrame, length: int) -> DataFrame:
 
 def _blocks(data: np.ndarray, a: np.ndarray, length: int) -> Iterator[tuple[slice, int, np.ndarray]]:
     """Runs of anchors (ascending) with the bytes around them that any of their windows can have."""
-    reach, i = length - length // 4, 0
+    reach, i = length - length // 4 + STEP, 0
     while i < len(a):
         base = max(0, int(a[i]) - reach)
         end = int(np.searchsorted(a, base + BLOCK, side="left"))
@@ -176,29 +177,30 @@ def _nodes(level: int, data: bytes, row: int, state: list[np.ndarray], length: i
     most = length - q  # a window starts at most so far before its anchor
 
     for part, base, view in _blocks(raw, a, length):
-        buckets = Buckets(view, length + most if level == 1 else length + STEP)
+        buckets = Buckets(view, length + (most if level == 1 else STEP - 1 if level == 2 else 0))
         A, L, H, O = (x[part] for x in (a, lo, hi, own))
         if level == 3:
             n = H - L + 1
             start = np.repeat(L - (np.cumsum(n) - n), n) + np.arange(n.sum())
             wh, wl = buckets.at(start - base, length)
-            yield {"core": wh, "wh": wh, "wl": wl, "a": np.repeat(A, n), "t": 0, "lo": start, "hi": start, "own": np.repeat(O, n)}
+            yield {"core": wh, "wh": wh, "wl": wl, "whole": None, "a": np.repeat(A, n), "t": 0, "lo": start, "hi": start, "own": np.repeat(O, n)}
             continue
-        for t in range(1 if level == 1 else most // STEP + 1):
-            near, far = (0, most) if level == 1 else (t * STEP, min(t * STEP + STEP - 1, most))
-            mine = (A - H <= far) & (A - L >= near)
-            if not mine.any():
-                continue
-            am, lm, hm = A[mine], L[mine], H[mine]
-            core = buckets.at(am - near - base, length - (far - near), t)[0] if level == 2 else buckets.at(am - base, q)[0]
-            fits = (am - far >= 0) & (am - near + length <= len(raw))
-            wh, wl = (np.zeros(len(am), np.uint64) for _ in range(2))
-            if fits.any():
-                wh[fits], wl[fits] = buckets.at(am[fits] - far - base, length + (far - near), t)
-            yield {
-                "core": core, "wh": np.ma.array(wh, mask=~fits), "wl": np.ma.array(wl, mask=~fits), "a": am, "t": t,
-                "lo": np.maximum(lm, am - far), "hi": np.minimum(hm, am - near), "own": O[mine],
-            }
+        # Step t holds the windows that start t * size to t * size + width bytes before their anchor.
+        width = most if level == 1 else STEP - 1
+        steps = np.arange(most // (width + 1) + 1) if level == 2 else np.zeros(1, np.int64)
+        i, k = np.nonzero(((A - H)[:, None] <= steps * (width + 1) + width) & ((A - L)[:, None] >= steps * (width + 1)))
+        am, t = A[i], steps[k]
+        near = t * (width + 1)
+        far = near + width
+        core = buckets.at(am - near - base, length - width, t)[0] if level == 2 else buckets.at(am - base, q)[0]
+        fits = (am - far >= 0) & (am - near + length <= len(raw))
+        wh, wl = np.zeros((2, len(am)), np.uint64)
+        if fits.any():
+            wh[fits], wl[fits] = buckets.at(am[fits] - far[fits] - base, length + width, t[fits])
+        yield {
+            "core": core, "wh": wh, "wl": wl, "whole": fits, "a": am, "t": t,
+            "lo": np.maximum(L[i], am - far), "hi": np.minimum(H[i], am - near), "own": O[i],
+        }
 
 
 def expand(texts: DataFrame, state: DataFrame, level: int, length: int) -> DataFrame:
@@ -206,21 +208,30 @@ def expand(texts: DataFrame, state: DataFrame, level: int, length: int) -> DataF
     listed = state.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("a", "lo", "hi", "own"))).alias("state"))
     joined = texts.join(listed, "row").select("row", "text", "state")
 
+    def packed(held: list[dict]) -> pa.RecordBatch:
+        arrays = []
+        for name, kind in _NODE_TYPES.items():
+            value = np.concatenate([n[name] for n in held])
+            value = value.view(np.int64) if value.dtype == np.uint64 else value.astype(kind.to_pandas_dtype())
+            absent = ~np.concatenate([n["whole"] for n in held]) if name in ("wh", "wl") and level < 3 else None
+            arrays.append(pa.array(value, mask=absent))
+        return pa.RecordBatch.from_arrays(arrays, list(_NODE_TYPES))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for row, text, state in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 fields = state.values.flatten()
                 columns = [f.to_numpy(zero_copy_only=False).astype(kind) for f, kind in zip(fields, (np.int64, np.int64, np.int64, bool), strict=True)]
                 for node in _nodes(level, text.encode(), row, columns, length):
                     n = len(node["a"])
-                    arrays = []
-                    for name, kind in _NODE_TYPES.items():
-                        value = np.full(n, row) if name == "row" else np.full(n, node["t"]) if name == "t" else node[name]
-                        mask = value.mask if isinstance(value, np.ma.MaskedArray) else None
-                        value = np.asarray(value)
-                        value = value.view(np.int64) if value.dtype == np.uint64 else value
-                        arrays.append(pa.array(value.astype(kind.to_pandas_dtype()), mask=mask))
-                    yield pa.RecordBatch.from_arrays(arrays, list(_NODE_TYPES))
+                    held.append(node | {"row": np.full(n, row), "t": np.broadcast_to(node["t"], n)})
+                    size += n
+                if size > NODE_BATCH:
+                    yield packed(held)
+                    held, size = [], 0
+        if held:
+            yield packed(held)
 
     return joined.mapInArrow(work, _NODE)
 
@@ -268,6 +279,7 @@ def _bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     name, path = f"{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
     df.write.bucketBy(count, key).option("path", path).saveAsTable(name)
     stored = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: the files stay, and the frame knows their buckets
     return stored
 
 
