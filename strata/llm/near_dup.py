@@ -7,12 +7,15 @@
    alone are skipped, and so are classes with fewer than `matches` postings left: they have no partner.
 3. Prefix: two sets that agree in m coordinates share a posting among the rarest s - m + 1 of either's s
    postings, whatever the order as long as it is the same. Only those form lists; the hot ones come last in the order.
-4. In a list, members are compared with a leader first, chosen anew per list and round by a hash. A pair's collisions are counted on
-   the signatures, those with `matches` or more are confirmed on the full sets. Members that have met in one component need
-   no further comparison; after the rounds the pairs of a list that still lie in different components are compared, so that none is left out.
+4. In a list, members are compared with a leader, chosen anew per list and round by a hash; a pair's collisions are counted on
+   the signatures, and those with `matches` or more put both into one cluster. Pairs of a list that still lie in different
+   clusters after the rounds are compared as well, so every link lies inside a cluster.
+5. The pairs with their leaders are confirmed on the full sets, which gives the components so far: in a group of near copies most
+   members are near some leader. What is left of a cluster is compared with all of the cluster, in blocks of bounded size: a task
+   takes two blocks, counts the common hashes of all their pairs by a product of incidence matrices, and gives only the links that
+   join components. No pair that is compared becomes a row.
 
-So a group of n near copies costs a number of pairs in proportion to n, as long as its members hang together; lists of
-documents that agree in half of their coordinates and still are no copies of each other cost the square of their length.
+So a group costs pairs in proportion to its members, and block work for those that no leader caught.
 
 Defined results: no word (or a null text) gives an empty set, linked with nothing; fewer words than a shingle count
 as one shingle; rows that repeat an id or a text are documents of their own; a null id is larger than any id. `docs` must be
@@ -40,7 +43,9 @@ from strata.session import is_empty
 COORDINATES = 64
 SHINGLE = 5
 PERCENT = 80
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
+#: Hashes that a block of sets has on average.
+BLOCK_HASHES = 100_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = np.random.default_rng(20240501).integers(0, 2**64, (2, COORDINATES), np.uint64) | np.array([[0], [1]], np.uint64)
@@ -180,15 +185,11 @@ def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, s
     return rows.select("node", "text", "fp").mapInArrow(work, "node bigint, hashes binary")
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
-    """node, comp of the classes that are linked with another one (but the first of each component)."""
-    matches = least_matches(percent)
-    lists = prefix_lists(classes, matches)
-    members = cut(classes.join(lists.select("node").distinct(), "node", "left_semi"), "members")
-    sets = cut(full_sets(docs, members, id_col, text_col, shingle), "sets")
-    edges, comps, tested = None, None, None
+def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """Collisions found with leaders, and node, comp of the clusters that hold every pair of a list with enough collisions."""
+    hits, clusters, tested = None, None, None
     for step in range(LEADER_ROUNDS + 1):
-        placed = lists.withColumn("comp", F.col("node")) if comps is None else lists.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        placed = lists.withColumn("comp", F.col("node")) if clusters is None else lists.join(clusters, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         placed = cut(placed.join(mixed, "token"), "mixed")
         if is_empty(placed):
@@ -204,11 +205,98 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
         pairs = met.where(_sizes_fit(F.col("n"), F.col("n2"), percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut(confirmed(cut(colliding(pairs, members, matches), "collisions"), sets, percent), "links")
+        new = cut(colliding(pairs, members, matches), "collisions")
         if not is_empty(new):
-            edges = new if edges is None else edges.unionByName(new)
-            comps = components(edges)
-    return comps if comps is not None else classes.select("node", F.col("node").alias("comp")).limit(0)
+            hits = new if hits is None else hits.unionByName(new)
+            clusters = components(hits)
+    return hits, clusters
+
+
+def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Sizes of the intersections of each set of `a` with each of `b`."""
+    flat = [np.frombuffer(s, np.uint64) for s in (*a, *b)]
+    owner = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
+    values, at = np.unique(np.concatenate(flat), return_inverse=True)
+    left = owner < len(a)
+    both = (np.bincount(at[left], minlength=len(values)) > 0) & (np.bincount(at[~left], minlength=len(values)) > 0)
+    column = np.cumsum(both) - 1
+    kept = both[at]
+    owner, at = owner[kept], column[at[kept]]
+    out = np.zeros((len(a), len(b)), np.float32)
+    for lo in range(0, int(both.sum()), 4096):
+        here = (at >= lo) & (at < lo + 4096)
+        incidence = np.zeros((len(flat), 4096), np.float32)
+        incidence[owner[here], at[here] - lo] = 1
+        out += incidence[: len(a)] @ incidence[len(a) :].T
+    return out.astype(np.int64)
+
+
+def block_links(clusters: DataFrame, comps: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join the components within each cluster.
+
+    The largest component of a cluster is taken as settled in itself; every other member is compared with all of the cluster.
+    """
+    named = clusters.select("node", F.col("comp").alias("cluster"))
+    roots = named.select(F.col("cluster").alias("node"), "cluster").distinct()
+    rows = named.unionByName(roots).join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).join(members.select("node", "n"), "node")
+    rows = cut(rows, "clusters")
+    sizes = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("found"), F.sum("n").alias("hashes"))
+    largest = sizes.groupBy("cluster").agg(
+        F.max_by("comp", F.struct("found", "comp")).alias("main"), F.sum("hashes").alias("hashes"), F.count(F.lit(1)).alias("parts"),
+        (F.sum("hashes") - F.max_by("hashes", F.struct("found", "comp"))).alias("others"),
+    ).where("parts > 1")
+    blocks = largest.select(
+        "cluster", "main", F.ceil(F.col("hashes") / BLOCK_HASHES).cast("int").alias("columns"), F.ceil(F.col("others") / BLOCK_HASHES).cast("int").alias("lines")
+    )
+    dealt = rows.join(blocks, "cluster").join(sets, "node")
+    spot = F.xxhash64("node")
+    line, column = F.pmod(spot, F.col("lines")).cast("int"), F.pmod(spot, F.col("columns")).cast("int")
+    every = [F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(n[:-1]) for n in ("lines", "columns")]
+    left = dealt.where("comp <> main").select("cluster", "node", "comp", "hashes", line.alias("line"), every[1])
+    # Aliases tell the two sides of the same table apart.
+    right = dealt.select(*[F.col(c).alias(c) for c in ("cluster", "node", "comp", "hashes")], every[0], column.alias("column"))
+    key = ["cluster", "line", "column"]
+
+    def work(lines: pa.Table, columns: pa.Table) -> pa.Table:
+        found: list[tuple[int, int]] = []
+        if lines.num_rows and columns.num_rows:
+            x, y = (t.column("hashes").to_pylist() for t in (lines, columns))
+            common = _common(x, y)
+            n, m = (np.array([len(s) // 8 for s in side]) for side in (x, y))
+            linked = 100 * common >= percent * (n[:, None] + m[None, :] - common)
+            own, other = (t.column("comp").to_numpy() for t in (lines, columns))
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.get(c, c) != c:
+                    c = parent[c]
+                return c
+
+            nodes, others = (t.column("node").to_numpy() for t in (lines, columns))
+            for i, j in np.argwhere(linked & (own[:, None] != other[None, :])):
+                p, q = root(int(own[i])), root(int(other[j]))
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    found.append((int(nodes[i]), int(others[j])))
+        a, b = [min(f) for f in found], [max(f) for f in found]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(work, "a bigint, b bigint")
+
+
+def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, shingle: int, percent: int) -> DataFrame:
+    """node, comp of the classes that are linked with another one (but the first of each component)."""
+    matches = least_matches(percent)
+    lists = prefix_lists(classes, matches)
+    members = cut(classes.join(lists.select("node").distinct(), "node", "left_semi"), "members")
+    hits, clusters = clusters_of(lists, members, matches, percent)
+    if hits is None:
+        return classes.select("node", F.col("node").alias("comp")).limit(0)
+    met = members.join(hits.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    sets = cut(full_sets(docs, met, id_col, text_col, shingle), "sets")
+    edges = cut(confirmed(hits, sets, percent), "links")
+    rest = cut(block_links(clusters, components(edges), members, sets, percent), "links")
+    return components(edges.unionByName(rest))
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
