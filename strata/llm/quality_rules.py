@@ -71,12 +71,15 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField(m, T.LongType()) for m in MEASURES]))
-def _measures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def _measure_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
         yield pd.DataFrame([measure_text(t) for t in texts], columns=list(MEASURES), dtype="int64")
 
 
+# Marked as not deterministic, so that no rule of the optimizer runs it once for a filter and once more for its columns.
+_measures = F.pandas_udf(_measure_batches, T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])).asNondeterministic()
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with the measures, the rates of `RULES` and `base_failed`."""
     text_batches(docs.sparkSession)
