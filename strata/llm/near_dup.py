@@ -7,7 +7,8 @@
    alone are skipped, and so are classes with fewer than `matches` postings left: they have no partner.
 3. Prefix: two sets that agree in m coordinates share a posting among the rarest s - m + 1 of either's s
    postings, whatever the order as long as it is the same. Only those form lists; the hot ones come last in the order.
-4. In a list, members are compared with a leader, chosen anew per list and round by a hash; a pair's collisions are counted on
+4. In a list, members are compared with a leader, chosen anew per list and round by a hash (a member with a few of the
+   leaders of its lists); a pair's collisions are counted on
    the signatures, and those with `matches` or more put both into one cluster. Pairs of a list that still lie in different
    clusters after the rounds are compared as well, so every link lies inside a cluster.
 5. The pairs with their leaders are confirmed on the full sets, which gives the components so far: in a group of near copies most
@@ -44,6 +45,8 @@ COORDINATES = 64
 SHINGLE = 5
 PERCENT = 80
 LEADER_ROUNDS = 2
+#: Leaders that a member is compared with in a round, of those of its lists.
+LEADERS = 8
 #: Hashes that a block of sets has on average.
 BLOCK_HASHES = 100_000
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -198,7 +201,10 @@ def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int
             rank = F.xxhash64("token", "node", F.lit(step))
             leader = placed.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "node", "n", "comp")).alias("first"))
             other = leader.select("token", F.col("first.node").alias("node2"), F.col("first.n").alias("n2"), F.col("first.comp").alias("comp2"))
-            met = placed.join(other, "token").where("comp <> comp2")
+            met = placed.join(other, "token").where("comp <> comp2").select("node", "n", "node2", "n2").distinct()
+            # A few leaders per member and round; what they miss is left to the comparisons that follow, which leave out nothing.
+            chosen = Window.partitionBy("node").orderBy(F.xxhash64("node", "node2"), "node2")
+            met = met.withColumn("place", F.row_number().over(chosen)).where(F.col("place") <= LEADERS)
         else:
             other = placed.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
             met = placed.join(other, "token").where("comp < comp2")
