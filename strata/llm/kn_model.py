@@ -11,8 +11,9 @@ Scoring: documents stand in chunks of consecutive rows. A chunk asks for its dis
 chunks are joined with the shards order by order, and each chunk gets the answers it asked for, next to its texts, so what
 moves grows with distinct n-grams and not with text. Perplexity is exp of the mean negative log-probability of a text's bytes and its end.
 
-A document stays if its perplexity is at most the `QUANTILE` of the trusted documents of its language times `SLACK`; quantiles come
-from counts over cells of 1 % (mergeable, independent of order). Languages without trusted text use those of all trusted documents.
+A document stays if its perplexity is at most the `QUANTILE` of the trusted documents of its language times `slack` (1 in the
+registered query; the operator's default is `SLACK`); quantiles come from counts over cells of 1 % (mergeable, independent of
+order), so a limit lies up to 1 % above the quantile. Languages without trusted text use those of all trusted documents.
 
 Defined results: null and empty texts have the end symbol alone; labels with null ids do not match; a document is trusted if any
 of its labels says quality 1 and none says toxic; rows that repeat an id share its labels; with no trusted text at all the model is uniform and

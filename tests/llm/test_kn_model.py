@@ -1,9 +1,10 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 
-from strata.llm import kn_model
+from strata.llm import kn_model, queries
 
 
 def brute(texts, trusted):
@@ -82,3 +83,27 @@ def test_no_trusted_text_and_empty(spark, stored, rows):
     found = kn_model.classify(stored(rows[:5]), labels(spark, [])).collect()
     assert all(r.kept and r.perplexity == pytest.approx(256) for r in found)
     assert kn_model.classify(stored([]), labels(spark, [(1, 1, 0)])).count() == 0
+
+
+PROSE = ("the quick brown fox jumps over a lazy dog while seven old men watch from the garden wall and talk about rain".split(),
+         "в начале было слово потом пришли люди построили город посадили сад написали книги стали жить долго мирно".split())
+
+
+def judged(spark, folder, rows, marks):
+    """The registered query over documents (doc_id, text, lang) and labels."""
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    labels(spark, marks).write.parquet(f"{folder}/labels.parquet")
+    return queries.op2_quality_model(spark, str(folder)).collect()
+
+
+def clean(words, n, seed):
+    rng = random.Random(seed)
+    return [" ".join(rng.choices(words, k=rng.randint(30, 60))) for _ in range(n)]
+
+
+def test_query_limits_by_the_quantile_itself(spark, tmp_path):
+    rows = [(i, t, "en") for i, t in enumerate(clean(PROSE[0], 120, 1))]
+    found = judged(spark, tmp_path, rows, [(i, 1, 0) for i in range(110)])
+    mine = sorted(r.perplexity for r in found if r.trusted)
+    limit = mine[math.ceil(len(mine) * kn_model.QUANTILE) - 1]
+    assert all(limit <= r.threshold <= limit * 1.011 and r.kept == (r.perplexity <= r.threshold) for r in found)
