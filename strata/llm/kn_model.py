@@ -13,7 +13,9 @@ moves grows with distinct n-grams and not with text. Perplexity is exp of the me
 
 A document stays if its perplexity is at most the `QUANTILE` of the trusted documents of its language times `slack` (1 in the
 registered query; the operator's default is `SLACK`); quantiles come from counts over cells of 1 % (mergeable, independent of
-order), so a limit lies up to 1 % above the quantile. Languages without trusted text use those of all trusted documents.
+order), so a limit lies up to 1 % above the quantile. The model has not seen a language without trusted text: with `own_limits`
+(as in the registered query) the quantile of all its own documents is its limit, else that of the trusted documents of all
+languages, which rejects most of such a language, clean documents too.
 
 Defined results: null and empty texts have the end symbol alone; labels with null ids do not match; a document is trusted if any
 of its labels says quality 1 and none says toxic; rows that repeat an id share its labels; with no trusted text at all the model is uniform and
@@ -208,14 +210,21 @@ def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     return _compressed(rows).groupBy("chunk").cogroup(answers.select("chunk", "gram", "log_p").groupBy("chunk")).applyInArrow(empty_safe, schema)
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
-    """language, threshold from the trusted rows of `scored`; the row with `every` true is over all languages."""
+def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, own_limits: bool = False) -> DataFrame:
+    """language, threshold from the trusted rows of `scored`; the row with `every` true is over all languages.
+
+    With `own_limits` a language without trusted rows has one from all its rows.
+    """
     cells = (
-        scored.where("trusted").groupBy("lang", F.floor(F.log("perplexity") * CELLS).alias("cell")).agg(F.count(F.lit(1)).alias("docs"))
+        scored.groupBy("lang", F.floor(F.log("perplexity") * CELLS).alias("cell")).agg(F.count_if("trusted").alias("docs"), F.count(F.lit(1)).alias("any"))
         .withColumn("every", F.explode(F.array(F.lit(False), F.lit(True))))
-        .groupBy("every", F.when(~F.col("every"), F.col("lang")).alias("lang"), "cell").agg(F.sum("docs").alias("docs"))
+        .groupBy("every", F.when(~F.col("every"), F.col("lang")).alias("lang"), "cell").agg(F.sum("docs").alias("docs"), F.sum("any").alias("any"))
     )
     group = Window.partitionBy("every", "lang")
+    if own_limits:
+        untrusted = ~F.col("every") & (F.sum("docs").over(group) == 0)
+        cells = cells.withColumn("docs", F.when(untrusted, F.col("any")).otherwise(F.col("docs")))
+    cells = cells.where("docs > 0")
     upto = F.sum("docs").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
     reached = cells.withColumn("upto", upto).withColumn("all", F.sum("docs").over(group)).where(F.col("upto") >= F.ceil(F.col("all") * quantile))
     return reached.groupBy("every", F.col("lang").alias("language")).agg((F.exp((F.min("cell") + 1) / CELLS) * slack).alias("threshold"))
@@ -223,7 +232,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = QUANTILE, slack: float = SLACK,
+    quantile: float = QUANTILE, slack: float = SLACK, own_limits: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, row, lang, trusted, n_symbols, perplexity, threshold and kept.
 
@@ -238,7 +247,7 @@ def classify(
     scored = cut(perplexities(rows, model), "perplexities")
     named = rows.select("row", "lang").join(scored, "row").join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
     named = named.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    limits = cut(thresholds(named, quantile, slack).coalesce(1), "thresholds")
+    limits = cut(thresholds(named, quantile, slack, own_limits).coalesce(1), "thresholds")
     overall = limits.where("every").collect()
     own = limits.where("NOT every").select("language", "threshold")
     judged = named.join(own, F.col("lang").eqNullSafe(F.col("language")), "left")

@@ -107,3 +107,21 @@ def test_query_limits_by_the_quantile_itself(spark, tmp_path):
     mine = sorted(r.perplexity for r in found if r.trusted)
     limit = mine[math.ceil(len(mine) * kn_model.QUANTILE) - 1]
     assert all(limit <= r.threshold <= limit * 1.011 and r.kept == (r.perplexity <= r.threshold) for r in found)
+
+
+def test_query_keeps_clean_documents_of_unlabelled_languages(spark, tmp_path):
+    rows = [(i, t, "en") for i, t in enumerate(clean(PROSE[0], 80, 2))]
+    rows += [(100 + i, t, "ru") for i, t in enumerate(clean(PROSE[1], 40, 3))] + [(200 + i, t, None) for i, t in enumerate(clean(PROSE[1], 5, 4))]
+    rows += [(300, "слово" * 40, "bg")]
+    # A label that is not trusted makes no trusted language.
+    found = judged(spark, tmp_path, rows, [(i, 1, 0) for i in range(80)] + [(100, 0, 0), (101, 1, 1)])
+    assert {r.doc_id for r in found if r.doc_id >= 100 and not r.kept} == set()
+    assert max(r.threshold for r in found if r.lang == "en") < min(r.perplexity for r in found if r.lang == "ru")
+
+
+def test_an_outlier_of_an_unlabelled_language_goes(spark, tmp_path):
+    rows = [(i, t, "en") for i, t in enumerate(clean(PROSE[0], 40, 5))] + [(100 + i, t, "ru") for i, t in enumerate(clean(PROSE[1], 200, 6))]
+    junk = (999, "".join(chr(0x4E00 + i * 37 % 5000) for i in range(200)), "ru")
+    found = judged(spark, tmp_path, [*rows, junk], [(i, 1, 0) for i in range(40)])
+    gone = {r.doc_id for r in found if r.lang == "ru" and not r.kept}
+    assert 999 in gone and len(gone) <= 3
