@@ -7,11 +7,13 @@ import re
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from strata.session import cut, delete_path, scratch_path
+from strata.session import StrataError, cut, delete_path, scratch_path
 
 __all__ = [
-    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "open_fs", "sample_rows", "scratch_path", "table", "text_batches",
+    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "numbered", "open_fs", "sample_rows", "scratch_path", "stored", "table",
+    "text_batches",
 ]
 
 #: The six ASCII blanks that separate words: space and U+0009 to U+000D.
@@ -35,6 +37,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def is_stored(docs: DataFrame) -> bool:
+    """Whether `docs` gives rows of one Parquet folder, each at most once: a scan with projections and filters only."""
+    plan = docs._jdf.queryExecution().analyzed()
+    if not plan.deterministic() or "_metadata" in docs.columns:
+        return False
+    while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.child()
+    if plan.getClass().getSimpleName() != "LogicalRelation":
+        return False
+    relation = plan.relation()
+    if relation.getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    return relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and relation.location().rootPaths().size() == 1
+
+
+def stored(docs: DataFrame) -> DataFrame:
+    """`docs` itself if its rows can be numbered, else a stored copy."""
+    return docs if is_stored(docs) else cut(docs, "docs")
+
+
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """`docs` with a bigint that names each stored row: the number of its file, by path, and its place in the file.
+
+    It is the same in every scan, while `monotonically_increasing_id` follows the splits, and those the number of cores.
+    """
+    if not is_stored(docs):
+        raise StrataError("rows can be numbered in a stored Parquet table only")
+    path = F.col("_metadata.file_path").alias("__file")
+    files = docs.select(path).distinct().select("__file", F.row_number().over(Window.orderBy("__file")).alias("__number"))
+    files = cut(files, "files")
+    rows = docs.select("*", path, F.col("_metadata.row_index").alias("__place")).join(F.broadcast(files), "__file")
+    row = F.shiftleft((F.col("__number") - 1).cast("bigint"), 33) + F.col("__place")
+    return rows.withColumn(name, row).drop("__file", "__number", "__place")
+
+
 def sample_rows(rows: DataFrame, id_col: str, most: int) -> list[Row]:
     """At most `most` rows, chosen by a hash of their id, on the driver.
 

@@ -12,7 +12,7 @@ by the length of the text.
 
 Defined results: a null text is empty; null or negative `at` and `remove` count as 0, places behind the end as the end; a null `put`
 inserts nothing; edits whose id is null or unknown change nothing; rows that repeat an id get the edits each; empty tables
-give empty results. `docs` must be a stored table, as trees find their texts by place in its scan.
+give empty results. `docs` must be a stored table, as trees find their texts by file and place in it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, text_batches
+from strata.llm.common import cut, numbered, text_batches
 from strata.llm.tokens import DEFAULT_TOKENIZER, Encoder, encoder
 
 LEAF = 64
@@ -122,7 +122,7 @@ def apply_edits(tree: Tree, text: str, edits: list[tuple[int, int, str]], encode
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text, F.monotonically_increasing_id().alias("row"))
+    return numbered(docs, "__row").select(F.col(id_col).cast("bigint").alias("doc_id"), text, F.col("__row").alias("row"))
 
 
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

@@ -19,7 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import BLANKS, cut
+from strata.llm.common import BLANKS, cut, numbered, stored
 
 SALTS = 32
 _TOP = Decimal(2**63)
@@ -66,15 +66,16 @@ def winners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sal
 def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row per document, dropped ones too: the id, keep_id, group_size, kept, text_sha256 and `__row`.
 
-    `__row` is the row's place in the scan of `docs`, which must be a stored table. The keys of the
+    `__row` numbers the stored rows of `docs` (`common.numbered`; a frame that is no stored table is stored). The keys of the
     documents and the winners (no texts) are stored once, as both are read for the join and for ties between rows.
     """
+    docs = stored(docs.drop("__row"))
     keys = cut(
-        docs.select(
+        numbered(docs, "__row").select(
             F.col(id_col),
             F.sha2(normalised(text_col), 256).alias("text_sha256"),
             _priority(text_col, id_col).alias("__mine"),
-            F.monotonically_increasing_id().alias("__row"),
+            "__row",
         ),
         "digests",
     )
@@ -89,5 +90,6 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """`docs` with one row of each group of equal texts and all its columns."""
+    docs = stored(docs.drop("__row"))
     stays = find_copies(docs, id_col, text_col, salts).where("kept").select("__row")
-    return docs.drop("__row").withColumn("__row", F.monotonically_increasing_id()).join(stays, "__row", "left_semi").drop("__row")
+    return numbered(docs, "__row").join(stays, "__row", "left_semi").drop("__row")

@@ -19,7 +19,8 @@ languages, which rejects most of such a language, clean documents too.
 
 Defined results: null and empty texts have the end symbol alone; labels with null ids do not match; a document is trusted if any
 of its labels says quality 1 and none says toxic; rows that repeat an id share its labels; with no trusted text at all the model is uniform and
-all documents stay; empty tables give empty results. `docs` must be a stored table: chunks are found again by place in its scan.
+all documents stay; empty tables give empty results. Chunks are found again by file and place
+in the stored table; a frame that is none is stored first.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import cut, text_batches
+from strata.llm.common import cut, numbered, stored, text_batches
 
 ORDER = 4
 START, END = 0xFF, 0xFE
@@ -138,10 +139,9 @@ class Model:
 
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    row = F.monotonically_increasing_id()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text, row.alias("row"))
-    # The high bits of a row number are its task; its chunk keeps them.
+    rows = numbered(stored(docs), "__row").select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text, F.col("__row").alias("row"))
+    # The high bits of a row number are its file; its chunk keeps them.
     return rows.withColumn("chunk", F.expr(f"(row >> 33 << 33) + (row & 8589934591) DIV {CHUNK_ROWS}"))
 
 

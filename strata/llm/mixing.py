@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import WORD_PATTERN, cut
+from strata.llm.common import WORD_PATTERN, cut, numbered, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -71,12 +71,12 @@ def mix(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weight_col: str | None = None, seed: str = SEED, share: float = SHARE, bins: int = BINS,
 ) -> DataFrame:
-    """One row per document: the id, `source`, `size`, `source_size`, `target`, `copies` (0 to 2) and `__row`, its place in the scan."""
+    """One row per document: the id, `source`, `size`, `source_size`, `target`, `copies` (0 to 2) and `__row`, its number (`common.numbered`)."""
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
     sized = cut(
-        docs.select(
+        numbered(stored(docs.drop("__row")), "__row").select(
             F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-            weight.alias("weight"), uniform(id_col, seed).alias("u"), F.monotonically_increasing_id().alias("__row"),
+            weight.alias("weight"), uniform(id_col, seed).alias("u"), "__row",
         ),
         "sizes",
     )
@@ -119,7 +119,8 @@ def mix(
 
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: `docs` (a stored table) with all its columns, each row as often as the mix takes it."""
+    """The mix itself: `docs` with all its columns, each row as often as the mix takes it."""
+    docs = stored(docs.drop("__row", "__copies"))
     copies = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    rows = docs.drop("__row", "__copies").withColumn("__row", F.monotonically_increasing_id()).join(copies, "__row")
+    rows = numbered(docs, "__row").join(copies, "__row")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__row", "__copies", "__copy")
