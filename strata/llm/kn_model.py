@@ -1,7 +1,11 @@
 """Quality classifier (2): interpolated modified Kneser-Ney over byte n-grams, trained on trusted text.
 
 Symbols are the bytes of the UTF-8 text, with three start symbols before and one end symbol behind it (values that UTF-8
-never uses), so an n-gram of `ORDER` bytes is one integer and the model needs no word list in any language.
+never uses), so an n-gram of up to seven bytes is one integer and the model needs no word list in any language. The order is an argument:
+with four bytes (the operator's default) contexts hardly cross a word and the distinct n-grams saturate, so the registered query
+takes seven, whose contexts of six bytes see the word before. Such a model knows the texts it has counted too well for a limit: with
+`held_out` (as in the query) limits come from a tenth of the trusted documents, by a hash of the id, scored by a second model of the
+other nine tenths. A language without a trusted document in the tenth has its limit from all its trusted ones by the first model.
 
 Training counts the n-grams of every trusted document; lower orders count distinct left neighbours (n-grams that begin with
 a start symbol keep plain counts). The counts of an order are a table sharded by n-gram; sums per context, discounts, back-off weights and
@@ -36,6 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strata.llm.common import cut, numbered, stored, text_batches
+from strata.session import StrataError
 
 ORDER = 4
 START, END = 0xFF, 0xFE
@@ -45,33 +50,44 @@ SLACK = 1.25
 #: Consecutive rows of one task that share their n-gram requests.
 CHUNK_ROWS = 2048
 CELLS = 100
+#: One document in so many is held out.
+FOLDS = 10
 
 
-def grams_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of some texts one after the other, and how many each text has."""
-    padded = b"".join(bytes([START]) * (ORDER - 1) + t + bytes([END]) for t in texts)
-    data = np.frombuffer(padded, np.uint8).astype(np.uint32)
+    padded = b"".join(bytes([START]) * (order - 1) + t + bytes([END]) for t in texts)
+    data = np.frombuffer(padded, np.uint8).astype(np.int64)
     sizes = np.array([len(t) + 1 for t in texts], np.int64)
-    n = len(data) - ORDER + 1
-    keys = np.zeros(n, np.uint32)
-    for i in range(ORDER):
-        keys = (keys << np.uint32(8)) | data[i : i + n]
-    starts = np.cumsum(sizes + ORDER - 1) - (sizes + ORDER - 1)
+    n = len(data) - order + 1
+    keys = np.zeros(n, np.int64)
+    for i in range(order):
+        keys = (keys << 8) | data[i : i + n]
+    starts = np.cumsum(sizes + order - 1) - (sizes + order - 1)
     inside = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
     return keys[inside], sizes
 
 
-def count_grams(frames: DataFrame) -> DataFrame:
-    """gram, n over all rows of `frames` (data, a Zstandard frame of a text); tasks add up before they send."""
+def held(id_col: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("held"), F.col(id_col)), F.lit(FOLDS)) == 0
+
+
+def count_grams(frames: DataFrame, order: int = ORDER) -> DataFrame:
+    """gram, n over all rows of `frames` (data, a Zstandard frame of a text) and rest, n without those that a second column marks.
+
+    Tasks add up before they send.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened = zstandard.ZstdDecompressor()
         for batch in batches:
-            keys, _ = grams_of([opened.decompress(d) for d in batch.column(0).to_pylist()])
-            gram, n = np.unique(keys, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], ["gram", "n"])
+            keys, sizes = grams_of([opened.decompress(d) for d in batch.column(0).to_pylist()], order)
+            gram, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+            marked = batch.column(1).to_numpy(zero_copy_only=False) if batch.num_columns > 1 else np.zeros(len(sizes), bool)
+            rest = n - np.bincount(at[np.repeat(marked.astype(bool), sizes)], minlength=len(gram))
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in (gram, n, rest)], ["gram", "n", "rest"])
 
-    return frames.mapInArrow(work, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return frames.mapInArrow(work, "gram bigint, n bigint, rest bigint").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("rest").alias("rest"))
 
 
 def _first_byte(gram: Column, order: int) -> Column:
@@ -94,11 +110,12 @@ def discounts(counts: DataFrame) -> tuple[float, float, float]:
 
 
 class Model:
-    """`probabilities[k]` (gram, p) and `backoffs[k]` (context, weight) for orders 1 to ORDER, as stored tables."""
+    """`probabilities[k]` (gram, p) and `backoffs[k]` (context, weight) for orders 1 to `order`, as stored tables."""
 
-    def __init__(self, counts: DataFrame):
-        tables = {ORDER: cut(counts, "counts")}
-        for order in range(ORDER, 1, -1):
+    def __init__(self, counts: DataFrame, most: int = ORDER):
+        self.order = most
+        tables = {most: cut(counts, "counts")}
+        for order in range(most, 1, -1):
             lower = _suffix(F.col("gram"), order)
             plain = _first_byte(lower, order - 1) == START
             tables[order - 1] = cut(
@@ -106,7 +123,7 @@ class Model:
             )
         self.probabilities: dict[int, DataFrame] = {}
         self.backoffs: dict[int, DataFrame] = {}
-        for order in range(1, ORDER + 1):
+        for order in range(1, most + 1):
             d1, d2, d3 = discounts(tables[order])
             n = F.col("n")
             off = F.when(n == 1, d1).when(n == 2, d2).otherwise(d3)
@@ -127,13 +144,13 @@ class Model:
     def score(self, grams: DataFrame) -> DataFrame:
         """gram, log_p of each distinct n-gram of `grams`, by joins with the shards of each order."""
         rows = grams.select("gram").distinct().withColumn("key", F.col("gram"))
-        for order in range(ORDER, 0, -1):
+        for order in range(self.order, 0, -1):
             p = self.probabilities[order].select(F.col("gram").alias("key"), F.col("p").alias(f"p{order}"))
             w = self.backoffs[order].select("context", F.col("weight").alias(f"w{order}"))
             rows = rows.join(p, "key", "left").withColumn("context", F.shiftright("key", 8)).join(w, "context", "left")
             rows = rows.withColumn("key", _suffix(F.col("key"), order)).drop("context")
         value = F.lit(1.0 / VOCABULARY)
-        for order in range(1, ORDER + 1):
+        for order in range(1, self.order + 1):
             value = F.coalesce(F.col(f"p{order}"), F.coalesce(F.col(f"w{order}"), F.lit(1.0)) * value)
         return rows.select("gram", F.log(value).alias("log_p"))
 
@@ -145,12 +162,12 @@ def _chunked(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> Data
     return rows.withColumn("chunk", F.expr(f"(row >> 33 << 33) + (row & 8589934591) DIV {CHUNK_ROWS}"))
 
 
-def requests(rows: DataFrame) -> DataFrame:
+def requests(rows: DataFrame, order: int = ORDER) -> DataFrame:
     """chunk, gram: the distinct n-grams of each chunk, from the scan itself."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asked(chunk: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-            gram = np.unique(np.concatenate(parts)).astype(np.int64)
+            gram = np.unique(np.concatenate(parts))
             return pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), chunk)), pa.array(gram)], ["chunk", "gram"])
 
         now, parts = None, []
@@ -163,7 +180,7 @@ def requests(rows: DataFrame) -> DataFrame:
                     yield asked(now, parts)
                     parts = []
                 now = int(c)
-                parts.append(np.unique(grams_of([t.encode() for t in texts])[0]))
+                parts.append(np.unique(grams_of([t.encode() for t in texts], order)[0]))
         if parts:
             yield asked(now, parts)
 
@@ -184,18 +201,19 @@ def _compressed(rows: DataFrame) -> DataFrame:
 
 def perplexities(rows: DataFrame, model: Model) -> DataFrame:
     """row, doc_id, n_symbols, perplexity of every document of `rows`."""
-    asked = cut(requests(rows), "requests")
+    asked = cut(requests(rows, model.order), "requests")
     answers = asked.join(model.score(asked), "gram")
     schema = "row bigint, doc_id bigint, n_symbols bigint, perplexity double"
+    model_order = model.order
 
     def work(docs: pa.Table, table: pa.Table) -> pa.Table:
         opened = zstandard.ZstdDecompressor()
         order = np.argsort(table.column("gram").to_numpy())
-        known, log_p = table.column("gram").to_numpy()[order].astype(np.uint32), table.column("log_p").to_numpy()[order]
+        known, log_p = table.column("gram").to_numpy()[order], table.column("log_p").to_numpy()[order]
         texts = [opened.decompress(d) for d in docs.column("data").to_pylist()]
         sizes, means = [], []
         for at in range(0, len(texts), 64):
-            keys, n = grams_of(texts[at : at + 64])
+            keys, n = grams_of(texts[at : at + 64], model_order)
             found = np.searchsorted(known, keys)
             if len(keys) and (found.max() >= len(known) or (known[found] != keys).any()):
                 raise ValueError("the rows of the input changed their places between two scans")
@@ -232,22 +250,36 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
 
 def classify(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-    quantile: float = QUANTILE, slack: float = SLACK, own_limits: bool = False,
+    quantile: float = QUANTILE, slack: float = SLACK, own_limits: bool = False, order: int = ORDER, held_out: bool = False,
 ) -> DataFrame:
     """One row per document: doc_id, row, lang, trusted, n_symbols, perplexity, threshold and kept.
 
     `labels` has doc_id, quality and toxic.
     """
+    if not 1 <= order <= 7:
+        raise StrataError("the order of the model is 1 to 7 bytes")
     text_batches(docs.sparkSession)
     rows = _chunked(docs, id_col, text_col, lang_col)
     good = labels.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     good = cut(good.where("quality = 1 AND toxic = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id")), "trusted")
     # A merge join at any number of labels, so that the plan does not change with the size.
-    model = Model(count_grams(_compressed(rows).join(good.hint("merge"), "doc_id", "left_semi").select("data")))
-    scored = cut(perplexities(rows, model), "perplexities")
-    named = rows.select("row", "lang").join(scored, "row").join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
-    named = named.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    limits = cut(thresholds(named, quantile, slack, own_limits).coalesce(1), "thresholds")
+    frames = _compressed(rows).join(good.hint("merge"), "doc_id", "left_semi")
+    counts = cut(count_grams(frames.select("data", held("doc_id").alias("held")), order), "counts")
+    marks = good.withColumn("trusted", F.lit(True))
+
+    def scored_by(model: Model, some: DataFrame) -> DataFrame:
+        named = some.select("row", "lang").join(cut(perplexities(some, model), "perplexities"), "row").join(marks, "doc_id", "left")
+        return named.withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+    named = scored_by(Model(counts.select("gram", "n"), order), rows)
+    limits = thresholds(named, quantile, slack, own_limits)
+    if held_out:
+        outside = scored_by(Model(counts.where("rest > 0").select("gram", F.col("rest").alias("n")), order), rows.where(held("doc_id")))
+        fresh = thresholds(outside, quantile, slack).select("every", F.col("language").alias("__language"), F.col("threshold").alias("__threshold"))
+        same = (F.col("every") == F.col("__every")) & F.col("language").eqNullSafe(F.col("__language"))
+        limits = limits.join(fresh.withColumnRenamed("every", "__every"), same, "left")
+        limits = limits.select("every", "language", F.coalesce("__threshold", "threshold").alias("threshold"))
+    limits = cut(limits.coalesce(1), "thresholds")
     overall = limits.where("every").collect()
     own = limits.where("NOT every").select("language", "threshold")
     judged = named.join(own, F.col("lang").eqNullSafe(F.col("language")), "left")

@@ -69,7 +69,7 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return kn_model.classify(docs, table(spark, sf_dir, "labels"), slack=1.0, own_limits=True).drop("row")
+    return kn_model.classify(docs, table(spark, sf_dir, "labels"), slack=1.0, own_limits=True, order=7, held_out=True).drop("row")
 
 
 OP3_SQL = r"""

@@ -104,9 +104,24 @@ def clean(words, n, seed):
 def test_query_limits_by_the_quantile_itself(spark, tmp_path):
     rows = [(i, t, "en") for i, t in enumerate(clean(PROSE[0], 120, 1))]
     found = judged(spark, tmp_path, rows, [(i, 1, 0) for i in range(110)])
-    mine = sorted(r.perplexity for r in found if r.trusted)
+    docs, marks = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels"))
+    out = kn_model.classify(docs, marks, slack=1.0, own_limits=True, order=7, held_out=True).withColumn("held", kn_model.held("doc_id"))
+    again = {r.doc_id: r for r in out.collect()}
+    assert all(r.threshold == again[r.doc_id].threshold and r.kept == (r.perplexity <= r.threshold) for r in found)
+    # Nine tenths of the labels make the second model; its quantile over the others is the limit.
+    inside = [r.doc_id for r in again.values() if r.trusted and not r.held]
+    second = kn_model.classify(docs, labels(spark, [(i, 1, 0) for i in inside]), slack=1.0, order=7).collect()
+    mine = sorted(r.perplexity for r in second if r.doc_id < 110 and again[r.doc_id].held)
     limit = mine[math.ceil(len(mine) * kn_model.QUANTILE) - 1]
-    assert all(limit <= r.threshold <= limit * 1.011 and r.kept == (r.perplexity <= r.threshold) for r in found)
+    assert mine and all(limit <= r.threshold <= limit * 1.011 for r in found)
+
+
+def test_query_keeps_clean_documents_it_has_not_counted(spark, tmp_path):
+    rng = random.Random(9)
+    starts = [a + b + c for a in "bdfg" for b in "aeiou" for c in "lmn"]
+    rows = [(i, " ".join(ordered(rng, starts, 40)), "en") for i in range(300)]
+    found = judged(spark, tmp_path, rows, [(i, 1, 0) for i in range(200)])
+    assert sum(r.kept for r in found if r.doc_id >= 200) >= 92
 
 
 def test_query_keeps_clean_documents_of_unlabelled_languages(spark, tmp_path):
@@ -125,3 +140,36 @@ def test_an_outlier_of_an_unlabelled_language_goes(spark, tmp_path):
     found = judged(spark, tmp_path, [*rows, junk], [(i, 1, 0) for i in range(40)])
     gone = {r.doc_id for r in found if r.lang == "ru" and not r.kept}
     assert 999 in gone and len(gone) <= 3
+
+
+def ordered(rng, starts, n):
+    """Words that all end alike, each followed by one of two others: only a context that sees the whole word tells which."""
+    at, out = rng.randrange(len(starts)), []
+    for _ in range(n):
+        out.append(starts[at] + "er")
+        at = (2 * at + rng.randrange(2)) % len(starts)
+    return out
+
+
+def test_query_tells_shuffled_words(spark, tmp_path):
+    rng = random.Random(8)
+    starts = [a + b + c for a in "bdfg" for b in "aeiou" for c in "lmn"]
+    texts = [ordered(rng, starts, 80) for _ in range(150)]
+    rows = [(i, " ".join(t), "en") for i, t in enumerate(texts)]
+    rows += [(1000 + i, " ".join(rng.sample(t, len(t))), "en") for i, t in enumerate(texts[:30])]
+    found = judged(spark, tmp_path, rows, [(i, 1, 0) for i in range(150)])
+    assert all(not r.kept for r in found if r.doc_id >= 1000)
+    assert sum(r.kept for r in found if r.doc_id < 150) >= 148
+
+
+@pytest.mark.parametrize("order", [2, 7])
+def test_orders_give_chances_that_sum_to_one(spark, stored, rows, order):
+    frames = spark.createDataFrame([(kn_model.zstandard.compress(r[1].encode()),) for r in rows[:60] if r[1]], "data binary")
+    model = kn_model.Model(kn_model.count_grams(frames, order), order)
+    seen = kn_model.grams_of([rows[0][1].encode()], order)[0].tolist()
+    contexts = {seen[0] >> 8, seen[30] >> 8, seen[60] >> 8, int.from_bytes(b"qzqzqz"[: order - 1], "big")}
+    asked = spark.createDataFrame([(c << 8 | b,) for c in contexts for b in range(256)], "gram bigint")
+    total = {}
+    for r in model.score(asked).collect():
+        total[r.gram >> 8] = total.get(r.gram >> 8, 0) + math.exp(r.log_p)
+    assert set(total) == contexts and all(x == pytest.approx(1, rel=1e-9) for x in total.values())
