@@ -126,7 +126,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
-    """doc_id, row, n_tokens and tree of every document."""
+    """doc_id, row, n_tokens, n_chars and tree of every document."""
     text_batches(docs.sparkSession)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +134,11 @@ def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             trees = [Tree.build(encode, t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())],
-                ["doc_id", "row", "n_tokens", "tree"],
+                [batch.column(0), batch.column(2), pa.array([t.tokens for t in trees], pa.int64()), pa.array([t.points for t in trees], pa.int64()), pa.array([t.dump() for t in trees], pa.binary())],
+                ["doc_id", "row", "n_tokens", "n_chars", "tree"],
             )
 
-    return _rows(docs, id_col, text_col).mapInArrow(work, "doc_id bigint, row bigint, n_tokens bigint, tree binary")
+    return _rows(docs, id_col, text_col).mapInArrow(work, "doc_id bigint, row bigint, n_tokens bigint, n_chars bigint, tree binary")
 
 
 def recount(
@@ -178,9 +178,8 @@ def recount(
 
     changed = texts.join(work_list, "row").select("row", "text", "doc_id", "n_tokens", "tree", "edits").mapInArrow(work, schema)
     zero = F.lit(0).cast("bigint")
-    points = F.lit(None).cast("bigint")
     same = trees.join(listed.select("row"), "row", "left_anti").select(
-        "doc_id", "row", F.col("n_tokens").alias("n_tokens_before"), "n_tokens", points.alias("n_chars"), zero.alias("n_edits"), zero.alias("n_refused"),
+        "doc_id", "row", F.col("n_tokens").alias("n_tokens_before"), "n_tokens", "n_chars", zero.alias("n_edits"), zero.alias("n_refused"),
         zero.alias("chars_encoded"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("tree"),
     )
     return changed.unionByName(same)

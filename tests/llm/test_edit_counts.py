@@ -66,3 +66,10 @@ def test_empty(spark, stored):
     none = spark.createDataFrame([], "doc_id bigint, at bigint, remove bigint, put string")
     docs = stored([])
     assert e.recount(docs, e.stored_trees(docs), none).count() == 0
+
+
+def test_documents_without_edits_keep_their_length(spark, stored):
+    docs = stored([(1, "one two é", "en", "a"), (2, None, "en", "a"), (None, "日本語 x", "ja", "b")])
+    edits = spark.createDataFrame([(1, 0, 1, "")], "doc_id bigint, at bigint, remove bigint, put string")
+    found = e.recount(docs, e.stored_trees(docs), edits).collect()
+    assert {r.doc_id: r.n_chars for r in found} == {1: 8, 2: 0, None: 5}
