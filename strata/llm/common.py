@@ -7,12 +7,11 @@ import re
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from strata.session import StrataError, cut, delete_path, scratch_path
 
 __all__ = [
-    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "numbered", "open_fs", "sample_rows", "scratch_path", "stored", "table",
+    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "fresh", "numbered", "open_fs", "sample_rows", "scratch_path", "shared_path", "stored", "table",
     "text_batches",
 ]
 
@@ -23,6 +22,9 @@ WORD = re.compile(WORD_PATTERN)
 
 #: Rows of one Arrow batch that carries whole texts; bounds a Python worker's memory by rows x text.
 TEXT_BATCH = 500
+#: Files of a folder whose rows are numbered by a broadcast list of paths (about 4 MB at 200 bytes each).
+MOST_FILES = 20_000
+_numbers: dict[tuple[str, str], tuple[int, list[tuple[str, int]]]] = {}
 _BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -37,39 +39,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def is_stored(docs: DataFrame) -> bool:
-    """Whether `docs` gives rows of one Parquet folder, each at most once: a scan with projections and filters only."""
+def _relation(docs: DataFrame):
+    """The Parquet relation of one folder that `docs` scans with projections and filters only, else None."""
     plan = docs._jdf.queryExecution().analyzed()
-    if not plan.deterministic() or "_metadata" in docs.columns:
-        return False
+    if not plan.deterministic():
+        return None
     while plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
         plan = plan.child()
     if plan.getClass().getSimpleName() != "LogicalRelation":
-        return False
+        return None
     relation = plan.relation()
-    if relation.getClass().getSimpleName() != "HadoopFsRelation":
-        return False
-    return relation.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" and relation.location().rootPaths().size() == 1
+    if relation.getClass().getSimpleName() != "HadoopFsRelation" or relation.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    return relation if relation.location().rootPaths().size() == 1 else None
+
+
+def is_stored(docs: DataFrame) -> bool:
+    """Whether `docs` gives rows of one Parquet folder of at most `MOST_FILES` files, each row at most once."""
+    return _relation(docs) is not None and len(docs.inputFiles()) <= MOST_FILES
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """`docs` itself if its rows can be numbered, else a stored copy."""
-    return docs if is_stored(docs) else cut(docs, "docs")
+    """`docs` itself if its rows can be numbered, else a stored copy; of a folder of too many files one of fewer files."""
+    if is_stored(docs):
+        return docs
+    return cut(docs if _relation(docs) is None else docs.coalesce(MOST_FILES // 2), "docs")
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, or with a number behind it where `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if n.lower() not in taken)
+
+
+def _file_numbers(docs: DataFrame) -> list[tuple[str, int]]:
+    """Path and number of each file that holds rows of the folder of `docs`; listed once per folder and list of files."""
+    spark = docs.sparkSession
+    root = _relation(docs).location().rootPaths().head().toString()
+    key = (spark.sparkContext.applicationId, root)
+    files = hash(tuple(sorted(docs.inputFiles())))
+    if _numbers.get(key, (None,))[0] != files:
+        folder = spark.read.parquet(root)
+        paths = folder.select(folder.metadataColumn("_metadata")["file_path"]).distinct().collect()
+        _numbers[key] = (files, [(path, i) for i, path in enumerate(sorted(r[0] for r in paths))])
+    return _numbers[key][1]
 
 
 def numbered(docs: DataFrame, name: str) -> DataFrame:
     """`docs` with a bigint that names each stored row: the number of its file, by path, and its place in the file.
 
-    It is the same in every scan, while `monotonically_increasing_id` follows the splits, and those the number of cores.
+    It is the same in every scan, while `monotonically_increasing_id` follows the splits, and those the number of cores. The
+    list of files has at most `MOST_FILES` rows and is broadcast. Columns of any name may be there, but none called `name`.
     """
     if not is_stored(docs):
         raise StrataError("rows can be numbered in a stored Parquet table only")
-    path = F.col("_metadata.file_path").alias("__file")
-    files = docs.select(path).distinct().select("__file", F.row_number().over(Window.orderBy("__file")).alias("__number"))
-    files = cut(files, "files")
-    rows = docs.select("*", path, F.col("_metadata.row_index").alias("__place")).join(F.broadcast(files), "__file")
-    row = F.shiftleft((F.col("__number") - 1).cast("bigint"), 33) + F.col("__place")
-    return rows.withColumn(name, row).drop("__file", "__number", "__place")
+    if fresh(docs, name) != name:
+        raise StrataError(f"the rows have a column {name!r} already")
+    path, number, place = (fresh(docs, n) for n in ("__file", "__number", "__place"))
+    meta = docs.metadataColumn("_metadata")
+    files = docs.sparkSession.createDataFrame(_file_numbers(docs), "path string, number bigint")
+    files = files.select(F.col("path").alias(path + "_of"), F.col("number").alias(number))
+    rows = docs.select("*", meta["file_path"].alias(path), meta["row_index"].alias(place))
+    rows = rows.join(F.broadcast(files), F.col(path) == F.col(path + "_of"), "left")
+    found = F.coalesce(number, F.raise_error(F.lit("a file came into the folder of the table meanwhile")).cast("bigint"))
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], (F.shiftleft(found, 33) + F.col(place)).alias(name))
 
 
 def sample_rows(rows: DataFrame, id_col: str, most: int) -> list[Row]:
@@ -87,10 +120,17 @@ def sample_rows(rows: DataFrame, id_col: str, most: int) -> list[Row]:
 def open_fs(path: str) -> tuple[arrow_fs.FileSystem, str]:
     """The file system of a path or URI in the shared folder, and the path inside it.
 
-    Tasks use it to write and read archive files that no Spark format covers.
+    Tasks use it to write and read archive files that no Spark format covers. A path without a scheme is local;
+    `shared_path` gives those of the shared folder the scheme that Spark itself would use.
     """
     if "://" not in path and not path.startswith("file:"):
         return arrow_fs.LocalFileSystem(), path
     if path.startswith("file:"):
         return arrow_fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     return arrow_fs.FileSystem.from_uri(path)
+
+
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared folder, qualified by Hadoop's default file system, so that tasks write where Spark does."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, label))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()

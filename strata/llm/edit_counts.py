@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, numbered, text_batches
+from strata.llm.common import cut, fresh, numbered, text_batches
 from strata.llm.tokens import DEFAULT_TOKENIZER, Encoder, encoder
 
 LEAF = 64
@@ -122,7 +122,8 @@ def apply_edits(tree: Tree, text: str, edits: list[tuple[int, int, str]], encode
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    return numbered(docs, "__row").select(F.col(id_col).cast("bigint").alias("doc_id"), text, F.col("__row").alias("row"))
+    place = fresh(docs, "__row")
+    return numbered(docs, place).select(F.col(id_col).cast("bigint").alias("doc_id"), text, F.col(place).alias("row"))
 
 
 def build_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

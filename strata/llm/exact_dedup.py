@@ -19,7 +19,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import BLANKS, cut, numbered, stored
+from strata.llm.common import BLANKS, cut, fresh, numbered, stored
 
 SALTS = 32
 _TOP = Decimal(2**63)
@@ -69,13 +69,14 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `__row` numbers the stored rows of `docs` (`common.numbered`; a frame that is no stored table is stored). The keys of the
     documents and the winners (no texts) are stored once, as both are read for the join and for ties between rows.
     """
-    docs = stored(docs.drop("__row"))
+    docs = stored(docs)
+    row = fresh(docs, "__row")
     keys = cut(
-        numbered(docs, "__row").select(
-            F.col(id_col),
+        numbered(docs, row).select(
+            F.col(id_col).alias("__id"),
             F.sha2(normalised(text_col), 256).alias("text_sha256"),
             _priority(text_col, id_col).alias("__mine"),
-            "__row",
+            F.col(row).alias("__row"),
         ),
         "digests",
     )
@@ -84,12 +85,13 @@ def find_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         judged.where(F.col("__mine") == F.col("__best")).groupBy("text_sha256").agg(F.min("__row").alias("__first"))
     )
     return judged.join(first, "text_sha256").select(
-        id_col, "keep_id", "group_size", (F.col("__row") == F.col("__first")).alias("kept"), "text_sha256", "__row"
+        F.col("__id").alias(id_col), "keep_id", "group_size", (F.col("__row") == F.col("__first")).alias("kept"), "text_sha256", "__row"
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """`docs` with one row of each group of equal texts and all its columns."""
-    docs = stored(docs.drop("__row"))
-    stays = find_copies(docs, id_col, text_col, salts).where("kept").select("__row")
-    return numbered(docs, "__row").join(stays, "__row", "left_semi").drop("__row")
+    docs = stored(docs)
+    row = fresh(docs, "__row")
+    stays = find_copies(docs, id_col, text_col, salts).where("kept").select(F.col("__row").alias(row))
+    return numbered(docs, row).join(stays, row, "left_semi").drop(row)

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import cut, numbered, stored, text_batches
+from strata.llm.common import cut, fresh, numbered, stored, text_batches
 from strata.session import StrataError
 
 ORDER = 4
@@ -157,7 +157,9 @@ class Model:
 
 def _chunked(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
-    rows = numbered(stored(docs), "__row").select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text, F.col("__row").alias("row"))
+    docs = stored(docs)
+    place = fresh(docs, "__row")
+    rows = numbered(docs, place).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), text, F.col(place).alias("row"))
     # The high bits of a row number are its file; its chunk keeps them.
     return rows.withColumn("chunk", F.expr(f"(row >> 33 << 33) + (row & 8589934591) DIV {CHUNK_ROWS}"))
 

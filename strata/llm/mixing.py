@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import WORD_PATTERN, cut, numbered, stored
+from strata.llm.common import WORD_PATTERN, cut, fresh, numbered, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -73,10 +73,12 @@ def mix(
 ) -> DataFrame:
     """One row per document: the id, `source`, `size`, `source_size`, `target`, `copies` (0 to 2) and `__row`, its number (`common.numbered`)."""
     weight = F.lit(1.0) if weight_col is None else F.greatest(F.coalesce(F.col(weight_col).cast("double"), F.lit(0.0)), F.lit(0.0))
+    docs = stored(docs)
+    row = fresh(docs, "__row")
     sized = cut(
-        numbered(stored(docs.drop("__row")), "__row").select(
+        numbered(docs, row).select(
             F.col(id_col).alias("__id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"),
-            weight.alias("weight"), uniform(id_col, seed).alias("u"), "__row",
+            weight.alias("weight"), uniform(id_col, seed).alias("u"), F.col(row).alias("__row"),
         ),
         "sizes",
     )
@@ -120,7 +122,8 @@ def mix(
 
 def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: `docs` with all its columns, each row as often as the mix takes it."""
-    docs = stored(docs.drop("__row", "__copies"))
-    copies = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select("__row", F.col("copies").alias("__copies"))
-    rows = numbered(docs, "__row").join(copies, "__row")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__row", "__copies", "__copy")
+    docs = stored(docs)
+    row, times = fresh(docs, "__row"), fresh(docs, "__copies")
+    copies = mix(docs, id_col, text_col, source_col, **options).where("copies > 0").select(F.col("__row").alias(row), F.col("copies").alias(times))
+    rows = numbered(docs, row).join(copies, row)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(times)).drop(times)

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import cut, numbered, stored, text_batches
+from strata.llm.common import cut, fresh, numbered, stored, text_batches
 from strata.llm.components import components
 from strata.session import is_empty
 
@@ -88,7 +88,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text_batches(docs.sparkSession)
-    return numbered(docs, "__row").select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col("__row").alias("row"))
+    row = fresh(docs, "__row")
+    return numbered(docs, row).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(row).alias("row"))
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -307,7 +308,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, row, n_shingles, component_id (smallest id of its component) and first (one row of each component)."""
-    docs = stored(docs.drop("__row"))
+    docs = stored(docs)
     sketched = cut(sketch(docs, id_col, text_col, shingle), "sketches")
     classes = cut(
         sketched.where("n > 0").groupBy("fp").agg(F.min("row").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes"
@@ -325,6 +326,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """`docs` with one document of each component and all its columns."""
-    docs = stored(docs.drop("__row"))
-    stays = near_components(docs, id_col, text_col, shingle, percent).where("first").select(F.col("row").alias("__row"))
-    return numbered(docs, "__row").join(stays, "__row", "left_semi").drop("__row")
+    docs = stored(docs)
+    row = fresh(docs, "__row")
+    stays = near_components(docs, id_col, text_col, shingle, percent).where("first").select(F.col("row").alias(row))
+    return numbered(docs, row).join(stays, row, "left_semi").drop(row)

@@ -162,3 +162,11 @@ def apply_rules(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     measured = measure(docs.drop("kept", "base_failed", *RULES), text_col)
     bounds = cut(fences(sketch(measured, lang_col, source_col)).coalesce(1), "fences")
     return judge(measured, bounds, lang_col, source_col)
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The rows of `docs` that `apply_rules` keeps, with all their columns as they are, whatever their names."""
+    judged = apply_rules(
+        docs.select(F.struct("*").alias("document"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"))
+    )
+    return judged.where("kept").select("document.*")

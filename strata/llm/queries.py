@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm import edit_counts, exact_dedup, kn_model, mixing, near_dup, packing, quality_rules, suffix_dedup, token_store, warc
-from strata.llm.common import scratch_path, table
+from strata.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,7 +207,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "tokens")
+    path = shared_path(spark, "tokens")
     token_store.write_store(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
     return token_store.read_store(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
@@ -238,6 +238,6 @@ FROM fives
 
 @query(OP10_SQL)
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch_path(spark, "warc")
+    path = shared_path(spark, "warc")
     names = warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path, names).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, delete_path, numbered, scratch_path, stored, text_batches
+from strata.llm.common import cut, delete_path, fresh, numbered, scratch_path, stored, text_batches
 
 LENGTH = 200
 STEP = 16
@@ -287,8 +287,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Documents that lose bytes: row, spans (array of lo, hi; hi exclusive), kept (the remaining bytes)."""
     spark = docs.sparkSession
     text_batches(spark)
-    docs = stored(docs.drop("__row"))
-    rows = numbered(docs, "__row").select(F.col("__row").alias("row"), F.col(text_col).cast("string").alias("text"))
+    docs = stored(docs)
+    place = fresh(docs, "__row")
+    rows = numbered(docs, place).select(F.col(place).alias("row"), F.col(text_col).cast("string").alias("text"))
     found = cut(find_anchors(rows, length), "anchors")
     shared = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
     first = cut(found.join(shared, "core").select("row", "a", "lo", "hi", F.lit(True).alias("own")), "state0")
@@ -314,13 +315,14 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """One row per document: the id, n_bytes, n_removed, n_spans and kept_sha256. Texts are read in place, only the
     lines of documents that lose bytes are joined to them."""
-    docs = stored(docs.drop("__row"))
+    docs = stored(docs)
+    place = fresh(docs, "__row")
     cuts = find_repeats(docs, id_col, text_col, length).select(
         "row", F.size("spans").cast("bigint").alias("cut_spans"), F.octet_length("kept").cast("bigint").alias("left"), F.sha2("kept", 256).alias("cut_sha")
     )
     data = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    rows = numbered(docs, "__row").select(
-        F.col("__row").alias("row"), F.col(id_col), F.octet_length(data).cast("bigint").alias("n_bytes"), F.sha2(data, 256).alias("sha")
+    rows = numbered(docs, place).select(
+        F.col(place).alias("row"), F.col(id_col), F.octet_length(data).cast("bigint").alias("n_bytes"), F.sha2(data, 256).alias("sha")
     )
     return rows.join(cuts, "row", "left").select(
         id_col, "n_bytes", (F.col("n_bytes") - F.coalesce("left", "n_bytes")).alias("n_removed"),
