@@ -14,7 +14,7 @@ from strata.llm.common import cut, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the fences of their language and source."""
-    return quality_rules.apply_rules(docs).where("kept").select(docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
