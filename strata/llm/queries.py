@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm import edit_counts, exact_dedup, kn_model, mixing, near_dup, packing, quality_rules, suffix_dedup, token_store, warc
+from strata.llm import edit_counts, exact_dedup, kn_model, mixing, near_dup, packing, quality_rules, ranked_search, resample, suffix_dedup, token_store, warc, window_dedup
 from strata.llm.common import shared_path, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,3 +241,114 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "warc")
     names = warc.write_archives(table(spark, sf_dir, "pages"), path)
     return warc.read_archives(spark, path, names).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = r"""
+WITH steps AS (
+  SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS step
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), found AS (
+  SELECT r, unnest(words) AS word FROM docs
+), wanted AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word
+  FROM benchmark
+), vocabulary AS (
+  SELECT word, hex(word) AS h FROM (SELECT word FROM found UNION SELECT word FROM wanted)
+), hashed AS (
+  SELECT word, xor(4294967295, list_reduce(
+    list_concat([4294967295], list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]))) % 10000 AS bucket
+  FROM vocabulary, steps
+), s AS (
+  SELECT bucket, count(*) AS n FROM found JOIN hashed USING (word) GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS n FROM wanted JOIN hashed USING (word) GROUP BY bucket
+), gain AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+    / ((s.n + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)
+), weights AS (
+  SELECT r, sum(gain)::BIGINT AS weight FROM found JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY r
+), scored AS (
+  SELECT doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))))::BIGINT AS score
+  FROM docs LEFT JOIN weights USING (r)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place, count(*) FILTER (n_features >= 20) OVER () AS enough FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * enough // 100 THEN place END AS rank FROM ranked
+"""
+
+
+@query(OP11_SQL)
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ranked = resample.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+OP12_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT row_number() OVER () AS i, item_id,
+    unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), asked AS (
+  SELECT i, item_id, term, count(*) AS times FROM items GROUP BY ALL
+), size AS (
+  SELECT count(*) AS n_docs, sum(len(words))::HUGEINT AS n_terms FROM docs WHERE len(words) > 0
+), counts AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), rated AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM counts, size GROUP BY term, n_docs
+), lengths AS (
+  SELECT r, doc_id, 100 - 25 + (25 * len(words)::HUGEINT * n_docs) // n_terms AS m FROM docs, size WHERE len(words) > 0
+), scored AS (
+  SELECT i, item_id, r, doc_id, sum(times * w * ((1000000000 * tf::HUGEINT) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM asked JOIN counts USING (term) JOIN rated USING (term) JOIN lengths USING (r) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM scored WHERE score > 0
+)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+
+@query(OP12_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return ranked_search.search(docs, items).select("item_id", "rank", "doc_id", "score")
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT r, doc_id, place, sha256(array_to_string(list_slice(words, place, place + 49), ' ')) AS content
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - 48)) AS place FROM docs WHERE len(words) >= 50)
+), firsts AS (
+  SELECT content, min(doc_id) AS first FROM windows GROUP BY content
+), starts AS (
+  SELECT r, place FROM windows JOIN firsts USING (content) WHERE first < doc_id
+), places AS (
+  SELECT r, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS place FROM docs
+), marked AS (
+  SELECT p.r, p.place, word, max(s.place IS NOT NULL) OVER (PARTITION BY p.r ORDER BY p.place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM places p LEFT JOIN starts s ON p.r = s.r AND p.place = s.place
+), kept AS (
+  SELECT r, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS text FROM marked GROUP BY r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept k USING (r)
+"""
+
+
+@query(OP13_SQL)
+def op13_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = window_dedup.remove_windows(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
