@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -57,19 +58,21 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.data = bytearray()
+        self.digest = np.empty((1 << 16, 2), np.uint64)
 
     def __missing__(self, word: bytes) -> int:
-        found = self[word] = len(self.data) // 16
-        self.data += hashlib.blake2b(word, digest_size=16, key=b"window").digest()
+        found = self[word] = len(self)
+        if found == len(self.digest):
+            self.digest = np.concatenate([self.digest, np.empty_like(self.digest)])
+        self.digest[found] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=b"window").digest(), np.uint64)
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        """The hash values of words, two lines."""
         if len(self) > _MEMO:
             self.clear()
-            self.data = bytearray()
-        number = list(map(self.__getitem__, words))
-        return np.frombuffer(bytes(self.data), np.uint64).reshape(-1, 2)[number].T
+        number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return np.ascontiguousarray(self.digest[number].T)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -96,6 +99,16 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
+class Block(NamedTuple):
+    """Windows of some texts: the text's number, the window's first word in it, its key gram and place in `digest`, the hash values of all words."""
+
+    text: np.ndarray
+    at: np.ndarray
+    grams: np.ndarray
+    place: np.ndarray
+    digest: np.ndarray
+
+
 class Windows:
     """Fingerprints and key grams of the windows of texts, with a memo of word digests."""
 
@@ -112,16 +125,38 @@ class Windows:
         rest = span - wide
         return np.minimum(out[:-rest], out[rest:]) if rest else out
 
-    def chunks(self, text: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """start, digests and key grams of the windows of each chunk of a text; chunks share no window."""
-        words = text.encode().split() if text else []
-        step = CHUNK_WORDS - self.window + 1
-        for start in range(0, len(words) - self.window + 1, step):
-            digest = self.words.of(words[start : start + CHUNK_WORDS])
-            yield start, digest, self._least(_mixed(self.hashers[0].runs(np.ascontiguousarray(digest[0]), self.key)))
-
-    def fingerprints(self, digest: np.ndarray) -> list[np.ndarray]:
-        return [h.runs(np.ascontiguousarray(d), self.window) for h, d in zip(self.hashers, digest, strict=True)]
+    def blocks(self, texts: list[str | None]) -> Iterator[Block]:
+        """The windows of all texts, about `CHUNK_WORDS` words at a time; a longer text goes over several blocks."""
+        parts: list[tuple[int, int, list[bytes]]] = []
+        size = 0
+        for number, text in enumerate(texts):
+            words = text.encode().split() if text else []
+            for start in range(0, len(words) - self.window + 1, CHUNK_WORDS - self.window + 1):
+                part = words[start : start + CHUNK_WORDS]
+                if size + len(part) > CHUNK_WORDS:
+                    yield self._block(parts)
+                    parts, size = [], 0
+                parts.append((number, start, part))
+                size += len(part)
+        if parts:
+            yield self._block(parts)
+
+    def _block(self, parts: list[tuple[int, int, list[bytes]]]) -> Block:
+        digest = self.words.of([w for _, _, words in parts for w in words])
+        sizes = np.array([len(words) for _, _, words in parts])
+        begins = np.cumsum(sizes) - sizes
+        counts = sizes - self.window + 1
+        # Windows that lie in one text.
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        place = np.repeat(begins, counts) + inside
+        grams = self._least(_mixed(self.hashers[0].runs(digest[0], self.key)))[place]
+        text = np.repeat([number for number, _, _ in parts], counts)
+        at = np.repeat([start for _, start, _ in parts], counts) + inside
+        return Block(text, at, grams, place, digest)
+
+    def fingerprints(self, block: Block, some: np.ndarray) -> list[np.ndarray]:
+        """The two fingerprints of some windows of a block."""
+        return [h.runs(d, self.window)[block.place[some]] for h, d in zip(self.hashers, block.digest, strict=True)]
 
 
 def key_grams(rows: DataFrame, window: int) -> DataFrame:
@@ -130,11 +165,14 @@ def key_grams(rows: DataFrame, window: int) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(window)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                found = [np.unique(np.concatenate([g for _, _, g in windows.chunks(t)] or [np.empty(0, np.uint64)])) for t in part.column(1).to_pylist()]
-                row = np.repeat(part.column(0).to_numpy(), [len(f) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(found).view(np.int64))], ["row", "gram"])
+            row = batch.column(0).to_numpy()
+            for block in windows.blocks(batch.column(1).to_pylist()):
+                new = np.append(True, (block.grams[1:] != block.grams[:-1]) | (block.text[1:] != block.text[:-1]))
+                text, gram = block.text[new], block.grams[new]
+                order = np.lexsort((gram, text))
+                text, gram = text[order], gram[order]
+                one = np.append(True, (gram[1:] != gram[:-1]) | (text[1:] != text[:-1]))
+                yield pa.RecordBatch.from_arrays([pa.array(row[text[one]]), pa.array(gram[one].view(np.int64))], ["row", "gram"])
 
     return rows.select("row", "text").mapInArrow(work, "row bigint, gram bigint")
 
@@ -210,6 +248,13 @@ def repeated_grams(grams: DataFrame, cells: int, slices: int) -> DataFrame:
     return kept.groupBy("row").agg(F.sort_array(F.collect_list("gram")).alias("grams"))  # bounded by the document
 
 
+def _pairs(text: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    """(text, gram) as values that can be compared and sorted."""
+    out = np.empty(len(text), [("text", np.int64), ("gram", np.int64)])
+    out["text"], out["gram"] = text, gram
+    return out
+
+
 def candidates(rows: DataFrame, window: int, bits: np.ndarray | None) -> DataFrame:
     """hi, lo (the fingerprint), doc_id, row, at of the windows whose key gram is estimated repeated.
 
@@ -221,17 +266,24 @@ def candidates(rows: DataFrame, window: int, bits: np.ndarray | None) -> DataFra
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows(window)
         for batch in batches:
-            doc, row, text = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for i, t in enumerate(text):
-                known = None if sent is not None else batch.column(3)[i].values.to_numpy()
-                for start, digest, grams in windows.chunks(t):
-                    keep = repeated(grams, sent.value) if sent is not None else np.isin(grams.view(np.int64), known)
-                    if not keep.any():
-                        continue
-                    at = np.flatnonzero(keep)
-                    prints = [pa.array(f[at].view(np.int64)) for f in windows.fingerprints(digest)]
-                    same = [pa.array(np.full(len(at), v, np.int64)) for v in (doc[i].as_py(), row[i])]
-                    yield pa.RecordBatch.from_arrays([*prints, *same, pa.array(at + start)], ["hi", "lo", "doc_id", "row", "at"])
+            doc, row = (batch.column(i).to_numpy() for i in (0, 1))
+            known = None
+            if sent is None:
+                lists = batch.column(3)
+                known = _pairs(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy())
+            for block in windows.blocks(batch.column(2).to_pylist()):
+                if sent is not None:
+                    keep = repeated(block.grams, sent.value)
+                else:
+                    # A text holds a repeated gram under its own row only.
+                    new = np.append(True, (block.grams[1:] != block.grams[:-1]) | (block.text[1:] != block.text[:-1]))
+                    some = np.isin(_pairs(block.text[new], block.grams[new].view(np.int64)), known)
+                    keep = np.repeat(some, np.diff(np.append(np.flatnonzero(new), len(new))))
+                at = np.flatnonzero(keep)
+                if len(at):
+                    prints = [pa.array(f.view(np.int64)) for f in windows.fingerprints(block, at)]
+                    text = block.text[at]
+                    yield pa.RecordBatch.from_arrays([*prints, pa.array(doc[text]), pa.array(row[text]), pa.array(block.at[at])], ["hi", "lo", "doc_id", "row", "at"])
 
     columns = ["doc_id", "row", "text"] + (["grams"] if sent is None else [])
     return rows.select(*columns).mapInArrow(work, "hi bigint, lo bigint, doc_id bigint, row bigint, at bigint")
