@@ -88,12 +88,12 @@ def pieces_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", t
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task = encoder(tokenizer).encode, TaskContext.get().partitionId()
+        encode, task = encoder(tokenizer).encode_all, TaskContext.get().partitionId()
         seen = [0] * (size + 1)
         for batch in batches:
             out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + end
+            for doc, found in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                ids = found.tobytes() + end
                 n = len(ids) // 4
                 start, piece = 0, 0
                 while start < n:

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from strata.llm import tokens
@@ -22,6 +23,24 @@ def test_ids_equal_the_library(rows, name):
         assert sum(points) == len(text) and sum(counts) == len(want)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_equal_the_library(rows, name, monkeypatch):
+    monkeypatch.setattr(tokens, "_MEMO", 200)
+    monkeypatch.setattr(tokens, "_TOGETHER", 7)
+    encode = tokens.Encoder(public_tokenizers.path(name))
+    rng = random.Random(6)
+    odd = [None, "", " a", "a ", "a  b", "a\n b", "x<|endoftext|>y z", "日本 語 é a b\x1c d", "a\u3000 b", "a b\n", "é x", "A" * 300 + " b", "it's we'll x\ty"]
+    odd += ["".join(rng.choices(["a", "é", " ", "\n", ".", "1", "the", " x", "\t", "'s", "😀", " 日本", "\xa0"], k=rng.randint(1, 30))) for _ in range(3000)]
+    texts = odd + [r[1] for r in rows]
+    for _ in range(2):
+        for at in range(0, len(texts), 251):
+            part = texts[at : at + 251]
+            got = encode.encode_all(pa.array(["cut", *part], pa.string()).slice(1))
+            want = encode.tokenizer.encode_batch([t or "" for t in part], add_special_tokens=False)
+            assert [g.tolist() for g in got] == [w.ids for w in want]
+        assert len(encode._new) <= 201 and len(encode._old) <= 201
+
+
 def test_memo_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "_MEMO", 50)
     encode = tokens.Encoder()
