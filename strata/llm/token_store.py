@@ -5,11 +5,14 @@ order, `TOKZ1`, the width of an id (2 or 4), the SHA-256 of the dictionary, the
 trailer. The index has, per document: the id, whether it is null, the frame's place, the count of token ids before it in
 the shard and its own. `fetch` reads one document with the index and one frame.
 
-The dictionary is trained on the id arrays of at most `SAMPLE_DOCS` documents of at most `SAMPLE_CHARS`
-characters, chosen by a hash of their id; it changes the size of the files, never what is read back.
+Texts are encoded where they are read, and the arrays of ids are stored and then ranged; no text crosses the network. A
+task goes on to another shard at `SHARD_BYTES` bytes or `SHARD_DOCS` documents, which bounds what it holds of the index.
+
+The dictionary is trained on the id arrays of at most `SAMPLE_DOCS` documents of at most `SAMPLE_IDS`
+ids, chosen by a hash of their id; it changes the size of the files, never what is read back.
 
 Shards are named by task and attempt and only those of attempts that ended are listed, so tasks may
-run again. Order: null ids first, then ascending; rows that repeat an id by a hash of the text, then the text, so that one id
+run again. Order: null ids first, then ascending; rows that repeat an id by a hash of the ids, then the ids, so that one id
 may spread over shards. A null or empty text is the end id alone. An empty table gives a store without shards.
 """
 
@@ -19,6 +22,7 @@ import hashlib
 import json
 import struct
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,32 +32,41 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import open_fs, sample_rows, text_batches
+from strata.llm.common import cut, open_fs, sample_rows, text_batches
 from strata.llm.tokens import DEFAULT_TOKENIZER, END_ID, encoder
 
 SAMPLE_DOCS = 1000
-SAMPLE_CHARS = 20_000
+SAMPLE_IDS = 5_000
+SHARD_BYTES = 256 << 20
+SHARD_DOCS = 1_000_000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 MAGIC = b"TOKZ1"
 INDEX = np.dtype([("doc", "<i8"), ("null", "u1"), ("place", "<u8"), ("before", "<u8"), ("count", "<u8")])
 TRAILER = "<QQ5s"
-_END = np.array([END_ID], "<u4").tobytes()
 
 
-def train_dictionary(rows: DataFrame, tokenizer: str, width: int) -> bytes:
+def train_dictionary(encoded: DataFrame, width: int) -> bytes:
     """A dictionary over serialised id arrays; empty if there are too few samples to train on."""
-    sample = sample_rows(rows.where((F.length("text") <= SAMPLE_CHARS) & (F.length("text") > 0)), "doc_id", SAMPLE_DOCS)
-    encode = encoder(tokenizer).encode
-    arrays = [_narrow(encode(r["text"]) + _END, width) for r in sample]
+    size = F.octet_length("ids")
+    sample = sample_rows(encoded.where((size <= SAMPLE_IDS * width) & (size > width)), "doc_id", SAMPLE_DOCS)
+    arrays = [bytes(r["ids"]) for r in sample]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, arrays, level=LEVEL).as_bytes() if arrays else b""
     except zstandard.ZstdError:
         return b""
 
 
-def _narrow(ids: bytes, width: int) -> bytes:
-    return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+def encode_rows(rows: DataFrame, tokenizer: str, width: int) -> DataFrame:
+    """doc_id and ids (with the end id, in `width` bytes each) of rows (doc_id, text)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, kind = encoder(tokenizer).encode_all, f"<u{width}"
+        for batch in batches:
+            ids = [np.append(found, np.uint32(END_ID)).astype(kind).tobytes() for found in encode(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    return rows.mapInArrow(work, "doc_id bigint, ids binary")
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
@@ -66,49 +79,62 @@ def write_store(
 ) -> dict:
     """Encode all documents into a store at `path` (in the shared folder); returns the manifest.
 
-    The manifest has a line per shard, so it grows with the number of tasks only.
+    The manifest has a line per shard, one per task and `SHARD_BYTES`.
     """
     spark = docs.sparkSession
     text_batches(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     width = 2 if encoder(tokenizer).size <= 1 << 16 else 4
-    words = train_dictionary(rows, tokenizer, width)
+    encoded = cut(encode_rows(rows, tokenizer, width), "encoded")
+    words = train_dictionary(encoded, width)
     digest = hashlib.sha256(words).hexdigest()
     fs, root = open_fs(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary.zdict") as f:
         f.write(words)
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(count, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(
-        F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text"
+    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    count = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+    ordered = encoded.repartitionByRange(count, F.col("doc_id").asc_nulls_first(), F.xxhash64("ids")).sortWithinPartitions(
+        F.col("doc_id").asc_nulls_first(), F.xxhash64("ids"), "ids"
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
         pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(words)).compress
         task = TaskContext.get().partitionId()
-        name = f"shard-{task:06d}-{uuid.uuid4().hex}.tok"
         out, folder = open_fs(path)
-        index, place, before = [], len(MAGIC) + 1 + 32, 0
-        file = None
+        head = MAGIC + bytes([width]) + bytes.fromhex(digest)
+        file, seq = None, -1
+
+        def close() -> pa.RecordBatch:
+            rows = [np.frombuffer(c, k) for c, k in zip(index, ("<i8", "u1", "<u8", "<u8", "<u8"), strict=True)]
+            file.write(np.rec.fromarrays(rows, dtype=INDEX).tobytes() + struct.pack(TRAILER, place, len(index[0]), MAGIC))
+            file.close()
+            return pa.RecordBatch.from_pydict(
+                {"task": pa.array([task], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "docs": [len(index[0])], "tokens": [before]}
+            )
+
         for batch in batches:
-            if file is None:
-                file = out.open_output_stream(f"{folder}/{name}")
-                file.write(MAGIC + bytes([width]) + bytes.fromhex(digest))
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text) + _END
-                frame = pack(_narrow(ids, width))
+            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file is not None and (place >= SHARD_BYTES or len(index[0]) >= SHARD_DOCS):
+                    yield close()
+                    file = None
+                if file is None:
+                    seq += 1
+                    name = f"shard-{task:06d}-{seq:04d}-{uuid.uuid4().hex}.tok"
+                    file = out.open_output_stream(f"{folder}/{name}")
+                    file.write(head)
+                    index, place, before = [array(k) for k in "qBQQQ"], len(head), 0
+                frame = pack(ids)
                 file.write(frame)
-                index.append((doc or 0, doc is None, place, before, len(ids) // 4))
-                place, before = place + len(frame), before + len(ids) // 4
+                for column, value in zip(index, (doc or 0, doc is None, place, before, len(ids) // width), strict=True):
+                    column.append(value)
+                place, before = place + len(frame), before + len(ids) // width
         if file is not None:
-            file.write(np.array(index, INDEX).tobytes() + struct.pack(TRAILER, place, len(index), MAGIC))
-            file.close()
-            yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "file": [name], "docs": [len(index)], "tokens": [before]})
+            yield close()
 
-    done = ordered.mapInArrow(write, "task int, file string, docs bigint, tokens bigint").collect()
+    done = ordered.mapInArrow(write, "task int, seq int, file string, docs bigint, tokens bigint").collect()
     listed, base = [], 0
-    for r in sorted(done, key=lambda r: r["task"]):
+    for r in sorted(done, key=lambda r: (r["task"], r["seq"])):
         listed.append({"file": r["file"], "docs": r["docs"], "tokens": r["tokens"], "base": base})
         base += r["tokens"]
     manifest = {"tokenizer": tokenizer.rsplit("/", 1)[-1], "end_id": END_ID, "width": width, "dictionary_sha256": digest, "tokens": base, "shards": listed}
