@@ -47,8 +47,12 @@ PERCENT = 80
 LEADER_ROUNDS = 2
 #: Leaders that a member is compared with in a round, of those of its lists.
 LEADERS = 8
-#: Hashes that a block of sets has on average.
+#: Hashes, and sets, that a block of sets has on average at most.
 BLOCK_HASHES = 100_000
+BLOCK_SETS = 1000
+#: Members that a block of a list has on average at most, and cells of a comparison that a task holds at once.
+LIST_BLOCK = 1000
+_CELLS = 1 << 18
 _WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _KEYS = np.random.default_rng(20240501).integers(0, 2**64, (2, COORDINATES), np.uint64) | np.array([[0], [1]], np.uint64)
@@ -189,6 +193,66 @@ def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, s
     return rows.select("node", "text", "fp").mapInArrow(work, "node bigint, hashes binary")
 
 
+def list_hits(lists: DataFrame, members: DataFrame, matches: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a list's members (token, node, n, comp) in different clusters whose signatures agree in `matches` coordinates.
+
+    Lists are cut into blocks of about `LIST_BLOCK` members; a task compares two blocks (or one with itself) and gives only the hits.
+    """
+    blocks = lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
+    dealt = lists.join(blocks, "token").join(members.select("node", "sig"), "node")
+    own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
+    sides = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), (x < own).cast("int").alias("side")),
+    )
+    key = ["token", "i", "j"]
+    rows = dealt.select("token", "node", "n", "comp", "sig", F.explode(sides).alias("s")).select("token", "s.*", "node", "n", "comp", "sig")
+    ordered = rows.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, "side")
+
+    def compare(table: pa.Table) -> list[np.ndarray]:
+        """Hits of the rows of one pair of blocks."""
+        side, node, n, comp = (table.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        out = []
+        step = max(1, _CELLS // max(1, len(right)))
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            small, large = np.minimum(n[some, None], n[right]), np.maximum(n[some, None], n[right])
+            x, y = np.nonzero((comp[some, None] != comp[right]) & (100 * small >= percent * large))
+            x, y = some[x], right[y]
+            if same:
+                x, y = x[x < y], y[x < y]
+            for lo in range(0, len(x), _CELLS):
+                a, b = x[lo : lo + _CELLS], y[lo : lo + _CELLS]
+                hit = (sig[a] == sig[b]).sum(axis=1) >= matches
+                out.append(np.stack([np.minimum(node[a], node[b])[hit], np.maximum(node[a], node[b])[hit]]))
+        return out
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def found(table: pa.Table, all_of_it: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            """Hits of the groups that are whole, and the rows of the last group where it may go on."""
+            keys = [table.column(k).to_numpy() for k in key]
+            new = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
+            edges = [*np.flatnonzero(new).tolist(), *([table.num_rows] if all_of_it else [])]
+            out = [h for a, b in zip(edges, edges[1:], strict=False) if b - a > 1 for h in compare(table.slice(a, b - a))]
+            both = np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(both[0], pa.int64()), pa.array(both[1], pa.int64())], ["a", "b"]), table.slice(edges[-1])
+
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                hits, rest = found(table if rest is None else pa.concat_tables([rest, table]).combine_chunks(), False)
+                yield hits
+        if rest is not None:
+            yield found(rest, True)[0]
+
+    return ordered.mapInArrow(work, "a bigint, b bigint").distinct()
+
+
 def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int) -> tuple[DataFrame | None, DataFrame | None]:
     """Collisions found with leaders, and node, comp of the clusters that hold every pair of a list with enough collisions."""
     hits, clusters, tested = None, None, None
@@ -207,8 +271,11 @@ def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int
             chosen = Window.partitionBy("node").orderBy(F.xxhash64("node", "node2"), "node2")
             met = met.withColumn("place", F.row_number().over(chosen)).where(F.col("place") <= LEADERS)
         else:
-            other = placed.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-            met = placed.join(other, "token").where("comp < comp2")
+            new = cut(list_hits(placed, members, matches, percent), "collisions")
+            if not is_empty(new):
+                hits = new if hits is None else hits.unionByName(new)
+                clusters = components(hits)
+            break
         pairs = met.where(_sizes_fit(F.col("n"), F.col("n2"), percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
@@ -219,8 +286,11 @@ def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int
     return hits, clusters
 
 
-def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Sizes of the intersections of each set of `a` with each of `b`."""
+def _common(a: list[bytes], b: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Sizes of the intersections of each set of `a` with each of `b`, in strips of lines: the first line and its strip.
+
+    A strip has `_CELLS` cells at most, and an incidence matrix at most eight times as many.
+    """
     flat = [np.frombuffer(s, np.uint64) for s in (*a, *b)]
     owner = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
     values, at = np.unique(np.concatenate(flat), return_inverse=True)
@@ -229,13 +299,23 @@ def _common(a: list[bytes], b: list[bytes]) -> np.ndarray:
     column = np.cumsum(both) - 1
     kept = both[at]
     owner, at = owner[kept], column[at[kept]]
-    out = np.zeros((len(a), len(b)), np.float32)
-    for lo in range(0, int(both.sum()), 4096):
-        here = (at >= lo) & (at < lo + 4096)
-        incidence = np.zeros((len(flat), 4096), np.float32)
-        incidence[owner[here], at[here] - lo] = 1
-        out += incidence[: len(a)] @ incidence[len(a) :].T
-    return out.astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    wide = max(1, 8 * _CELLS // max(1, len(b)))
+    step = max(1, _CELLS // max(1, len(b)))
+    for first in range(0, len(a), step):
+        lines = min(step, len(a) - first)
+        out = np.zeros((lines, len(b)), np.float32)
+        for lo in range(0, int(both.sum()), wide):
+            here = slice(*np.searchsorted(at, [lo, lo + wide]))
+            who, spot = owner[here], at[here] - lo
+            mine, theirs = (who >= first) & (who < first + lines), who >= len(a)
+            if mine.any():
+                x, y = np.zeros((lines, wide), np.float32), np.zeros((len(b), wide), np.float32)
+                x[who[mine] - first, spot[mine]] = 1
+                y[who[theirs] - len(a), spot[theirs]] = 1
+                out += x @ y.T
+        yield first, out.astype(np.int32)
 
 
 def block_links(clusters: DataFrame, comps: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -250,10 +330,13 @@ def block_links(clusters: DataFrame, comps: DataFrame, members: DataFrame, sets:
     sizes = rows.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("found"), F.sum("n").alias("hashes"))
     largest = sizes.groupBy("cluster").agg(
         F.max_by("comp", F.struct("found", "comp")).alias("main"), F.sum("hashes").alias("hashes"), F.count(F.lit(1)).alias("parts"),
+        F.sum("found").alias("sets"), (F.sum("found") - F.max_by("found", F.struct("found", "comp"))).alias("other_sets"),
         (F.sum("hashes") - F.max_by("hashes", F.struct("found", "comp"))).alias("others"),
     ).where("parts > 1")
     blocks = largest.select(
-        "cluster", "main", F.ceil(F.col("hashes") / BLOCK_HASHES).cast("int").alias("columns"), F.ceil(F.col("others") / BLOCK_HASHES).cast("int").alias("lines")
+        "cluster", "main",
+        F.ceil(F.greatest(F.col("hashes") / BLOCK_HASHES, F.col("sets") / BLOCK_SETS)).cast("int").alias("columns"),
+        F.ceil(F.greatest(F.col("others") / BLOCK_HASHES, F.col("other_sets") / BLOCK_SETS)).cast("int").alias("lines"),
     )
     dealt = rows.join(blocks, "cluster").join(sets, "node")
     spot = F.xxhash64("node")
@@ -268,9 +351,7 @@ def block_links(clusters: DataFrame, comps: DataFrame, members: DataFrame, sets:
         found: list[tuple[int, int]] = []
         if lines.num_rows and columns.num_rows:
             x, y = (t.column("hashes").to_pylist() for t in (lines, columns))
-            common = _common(x, y)
-            n, m = (np.array([len(s) // 8 for s in side]) for side in (x, y))
-            linked = 100 * common >= percent * (n[:, None] + m[None, :] - common)
+            n, m = (np.array([len(s) // 8 for s in side], np.int64) for side in (x, y))
             own, other = (t.column("comp").to_numpy() for t in (lines, columns))
             parent: dict[int, int] = {}
 
@@ -280,11 +361,15 @@ def block_links(clusters: DataFrame, comps: DataFrame, members: DataFrame, sets:
                 return c
 
             nodes, others = (t.column("node").to_numpy() for t in (lines, columns))
-            for i, j in np.argwhere(linked & (own[:, None] != other[None, :])):
-                p, q = root(int(own[i])), root(int(other[j]))
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    found.append((int(nodes[i]), int(others[j])))
+            for first, common in _common(x, y):
+                part = slice(first, first + len(common))
+                # 100 * common >= percent * (n + m - common)
+                linked = (100 + percent) * common >= percent * (n[part, None] + m)
+                for i, j in np.argwhere(linked & (own[part, None] != other)):
+                    p, q = root(int(own[first + i])), root(int(other[j]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        found.append((int(nodes[first + i]), int(others[j])))
         a, b = [min(f) for f in found], [max(f) for f in found]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
