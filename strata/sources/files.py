@@ -7,11 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strata.session import StrataError, Workbench, error_text, is_empty
+from strata.sources import multiline
 
 REPORT_SCHEMA = "file string, target string, status string, rows bigint, message string"
 # Separators tried on .txt files, and suffixes of query texts.
@@ -61,22 +62,36 @@ def has_line_ends_in_fields(spark: SparkSession, path: str) -> bool:
     return not is_empty(spark.read.text(path).where(quotes % 2 == 1))
 
 
+def _of_records(reader: DataFrameReader, texts: DataFrame) -> DataFrame:
+    """What the reader makes of a column of records."""
+    strings = getattr(texts._jdf, "as")(texts.sparkSession._jvm.org.apache.spark.sql.Encoders.STRING())
+    return DataFrame(reader._jreader.csv(strings), texts.sparkSession)
+
+
 def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """Delimited text with a header. Types come from a full pass unless `schema` is given.
 
     A schema read off a sample could turn later values into nulls, so none is sampled. Files are
-    split among tasks unless a field holds line ends, in which case each file is one task's.
+    split among tasks, also where fields hold line ends (`multiline`). Only files with quotes that do
+    not enclose whole fields are then one task's each.
     """
-    reader = (
-        spark.read.option("header", True)
-        .option("sep", pick_separator(spark, path))
-        .option("escape", '"')
-        .option("multiLine", has_line_ends_in_fields(spark, path))
-        .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]")
-    )
+    sep, several = pick_separator(spark, path), has_line_ends_in_fields(spark, path)
+
+    def reader(header: bool, infer: bool) -> DataFrameReader:
+        options = {"header": header, "sep": sep, "escape": '"', "multiLine": several, "inferSchema": infer}
+        return spark.read.options(**options, timestampNTZFormat="yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]")
+
+    found = multiline.read_records(spark, path, sep) if several else None
+    if found is None:
+        if schema is None:
+            schema = widen(reader(True, True).csv(path).schema)
+        return reader(True, False).schema(schema).csv(path)
+    texts, header = found
     if schema is None:
-        schema = widen(reader.option("inferSchema", True).csv(path).schema)
-    return reader.option("inferSchema", False).schema(schema).csv(path)
+        names = _of_records(reader(True, False), spark.createDataFrame([(header,)], "text string")).columns
+        types = widen(_of_records(reader(False, True), texts).schema).fields
+        schema = T.StructType([T.StructField(n, types[i].dataType if i < len(types) else T.StringType(), True) for i, n in enumerate(names)])
+    return _of_records(reader(False, False).schema(schema), texts)
 
 
 def read_file(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
