@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import edits
+from strata.operators import edits, treediff
 from workloads.registry import derive, query, read, with_inputs
 
 # Edits on orders, in long form. Values are texts; prices are edited in whole numbers.
@@ -87,6 +87,26 @@ def edit_diff(spark, sf):
     return edits.edit_diff(base, edited, ["o_orderkey"])
 
 
+@query(
+    "state_diff",
+    """WITH n AS (SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 1 THEN NULL ELSE o_custkey END AS o_custkey,
+        CASE WHEN o_orderkey % 89 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 101 <> 3
+      UNION ALL SELECT -o_orderkey, o_custkey, NULL FROM orders WHERE o_orderkey % 103 = 4),
+    j AS (SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'inserted' WHEN n.o_orderkey IS NULL THEN 'deleted' ELSE 'updated' END AS change,
+        CAST(o.o_custkey AS varchar) AS c1, CAST(n.o_custkey AS varchar) AS c2, o.o_orderstatus AS s1, n.o_orderstatus AS s2 FROM orders o FULL JOIN n ON o.o_orderkey = n.o_orderkey)
+    SELECT o_orderkey, change, 'o_custkey' AS "column", c1 AS old_value, c2 AS new_value FROM j WHERE change <> 'updated' OR c1 IS DISTINCT FROM c2
+    UNION ALL SELECT o_orderkey, change, 'o_orderstatus', s1, s2 FROM j WHERE change <> 'updated' OR s1 IS DISTINCT FROM s2""",
+)
+def state_diff(spark, sf):
+    base = read(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    k = F.col("o_orderkey")
+    kept = base.where(k % 101 != 3).select(
+        k, F.when(k % 97 != 1, F.col("o_custkey")).alias("o_custkey"), F.when(k % 89 == 2, "X").otherwise(F.col("o_orderstatus")).alias("o_orderstatus")
+    )
+    added = base.where(k % 103 == 4).select((-k).alias("o_orderkey"), "o_custkey", F.lit(None).cast("string").alias("o_orderstatus"))
+    return treediff.state_diff(base, kept.unionByName(added), ["o_orderkey"])
+
+
 # A change feed over 40 keys per part of the day; late events are part of it (seq is the truth).
 FEED = """
 SELECT event_id AS seq, CASE event_type WHEN 'error' THEN 'delete' ELSE 'upsert' END AS op,
