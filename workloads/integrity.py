@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import evolve, integrity, profile
+from strata.operators import evolve, inclusion, integrity, profile
 from workloads.registry import derive, query, read, stored, with_inputs
 
 # Orders with null customers, doubled keys and orphans.
@@ -244,6 +244,37 @@ def relationship_profile(spark, sf):
     return profile.relationship_profile(derive(spark, sf, BROKEN), read(spark, sf, "customer"), "o_custkey", "c_custkey")
 
 
+# Every column of the star schema against every other, by a join of their counted values.
+STAR = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal", "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus",
+}
+_TEXTS = {"name", "mktsegment", "brand", "type", "orderstatus", "orderpriority", "returnflag", "linestatus"}
+_COUNTS = "\n UNION ALL ".join(
+    f"SELECT '{t}.{c}' AS col, {'NULL' if c[2:] in _TEXTS else f'CAST({c} AS double)'} AS num, {c if c[2:] in _TEXTS else 'NULL'} AS txt, count(*) AS n FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+    for t, columns in STAR.items()
+    for c in columns.split()
+)
+
+
+@query(
+    "inclusion_dependencies",
+    f"""WITH v AS ({_COUNTS}), t AS (SELECT col, count(*) AS n_distinct, sum(n)::BIGINT AS n_rows, max(n) AS most FROM v GROUP BY col),
+    s AS (SELECT a.col AS child, b.col AS parent, count(*) AS n_shared, sum(a.n)::BIGINT AS n_matched FROM v a JOIN v b
+      ON a.num = b.num AND a.col <> b.col GROUP BY ALL
+      UNION ALL SELECT a.col, b.col, count(*), sum(a.n)::BIGINT FROM v a JOIN v b ON a.txt = b.txt AND a.col <> b.col GROUP BY ALL)
+    SELECT child, parent, CASE WHEN c.most > 1 AND p.most > 1 THEN 'many-to-many' WHEN c.most > 1 THEN 'many-to-one' WHEN p.most > 1 THEN 'one-to-many' ELSE 'one-to-one' END AS relationship,
+      round(n_shared / c.n_distinct, 6) AS share, c.n_distinct, n_shared, c.n_rows AS n_child, n_matched
+    FROM s JOIN t c ON c.col = child JOIN t p ON p.col = parent WHERE n_shared >= 0.9 * c.n_distinct""",
+)
+def inclusion_dependencies(spark, sf):
+    """Columns nine tenths of whose values another column has, over the whole star schema."""
+    tables = {t: read(spark, sf, t) for t in STAR}
+    return inclusion.inclusions(tables, {t: c.split() for t, c in STAR.items()}, 0.9)
+
+
 # -- schema changes ------------------------------------------------------------------------------
 
 # Each order is a table whose columns are its lines; the new state drops, adds and changes some.
