@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strata.functions import text as tx
-from strata.operators import corpus
+from strata.operators import corpus, searchindex
 from strata.session import cut
 from workloads.catalog import COLUMNS
 from workloads.registry import derive, query, texts, with_inputs
@@ -136,6 +136,39 @@ def corpus_search_many(spark, sf):
     return corpus.corpus_search_many(index_rows(spark, sf), {"a": "report", "b": "weekly fr", "c": "und Q1"})
 
 
+# A line per customer: a phrase or word and a number, in a few hundred different lines.
+LINES = """
+SELECT c_custkey AS line_id, CASE c_custkey % 5 WHEN 0 THEN '"the report"' WHEN 1 THEN 'REPORT' WHEN 2 THEN 'weekly' WHEN 3 THEN 'src1' ELSE 'e' END AS first,
+  concat('q', c_custkey % 120) AS second FROM {customer}
+"""
+_TOKENS = """tokens AS (SELECT DISTINCT lower(trim(replace(first, '"', ''))) AS token FROM l UNION SELECT DISTINCT second FROM l)"""
+_TITLE = "lower(coalesce(md_title, title, ''))"
+
+
+@query(
+    "corpus_search_lines",
+    with_inputs(
+        f"""SELECT * FROM (WITH {_TOKENS}, s AS (SELECT token, path, coalesce(last_run, updated) AS at, CASE WHEN best > 0 THEN best WHEN contains(lower(search_text), token) THEN 10 ELSE 0 END AS score
+          FROM (SELECT *, greatest(CASE WHEN {_TITLE} = token THEN 100 WHEN starts_with({_TITLE}, token) THEN 80 WHEN contains({_TITLE}, token) THEN 60 ELSE 0 END,
+            CASE WHEN list_contains(string_split(lower(coalesce(tags, '')), ' '), token) THEN 50 WHEN contains(lower(coalesce(tags, '')), token) AND NOT contains(token, ' ') THEN 40 ELSE 0 END,
+            CASE WHEN contains(lower(coalesce(md_body, '')), token) THEN 30 ELSE 0 END,
+            CASE WHEN contains(string_split(lower(path), '/')[-1], token) THEN 25 WHEN contains(lower(path), token) THEN 20 ELSE 0 END) AS best FROM i, tokens)),
+        hits AS (SELECT * FROM s WHERE score > 0),
+        pairs AS (SELECT DISTINCT first, second FROM l),
+        found AS (SELECT first, second, a.path, a.score + b.score AS score, row_number() OVER (PARTITION BY first, second ORDER BY a.score + b.score DESC, a.at DESC NULLS LAST, a.path) AS rank
+          FROM pairs JOIN hits a ON a.token = lower(trim(replace(first, '"', ''))) JOIN hits b ON b.token = second AND a.path = b.path)
+        SELECT line_id, rank::INT AS rank, path, score::INT AS score FROM l JOIN found USING (first, second) WHERE rank <= 25)""",
+        i=INDEXED,
+        l=LINES,
+    ),
+)
+def corpus_search_lines(spark, sf):
+    """One search line per customer, through a stored index."""
+    index = searchindex.build_search_index(index_rows(spark, sf))
+    lines = derive(spark, sf, LINES).select("line_id", F.concat_ws(" ", "first", "second").alias("line"))
+    return searchindex.search_lines(index, lines, rows=25).select("line_id", "rank", "path", "score")
+
+
 @query(
     "recent_entries",
     with_inputs("SELECT path, last_run, updated FROM i ORDER BY coalesce(last_run, updated) DESC, path LIMIT 50", i=INDEXED),
