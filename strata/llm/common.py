@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs as arrow_fs
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from strata.session import StrataError, cut, delete_path, scratch_path
 
 __all__ = [
-    "BLANKS", "WORD", "WORD_PATTERN", "cut", "delete_path", "fresh", "numbered", "open_fs", "sample_rows", "scratch_path", "shared_path", "stored", "table",
+    "BLANKS", "WORD", "WORD_PATTERN", "batch_rows", "cut", "delete_path", "fresh", "numbered", "open_fs", "sample_rows", "scratch_path", "shared_path", "stored", "table",
     "text_batches",
 ]
 
@@ -35,6 +37,17 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, str(TEXT_BATCH))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of `rows` rows for what is run inside, where rows are short; the session's setting comes back."""
+    before = spark.conf.get(_BATCH_KEY, None)
+    spark.conf.set(_BATCH_KEY, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_KEY) if before is None else spark.conf.set(_BATCH_KEY, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

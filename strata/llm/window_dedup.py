@@ -6,13 +6,13 @@ smaller id.
 1. Every window has a key gram: the run of half its words with the least hash value of those in it. Equal windows have equal key grams, and
    neighbouring windows mostly share one, so a document of n words has about n / 13 distinct ones (window 50). One pass
    over the texts stores them.
-2. Tasks count their documents' key grams in a count-min sketch of fixed size (`ROWS` rows of `CELLS` cells), the sketches are merged cell by
-   cell. The count of a window's key gram is at least the number of documents that hold the window, so no repeated window is lost; a
-   cell needs to know only none, one, or more. The key grams are dealt by hash into slices of `CELLS` / 4, and each slice has its own
-   sketch, so the sketch does not fill up as the input grows.
+2. Tasks count their documents' key grams in a count-min sketch of `ROWS` rows, the sketches are merged cell by cell. The count of a
+   window's key gram is at least the number of documents that hold the window, so no repeated window is lost; a
+   cell needs to know only none, one, or more. A row has four cells per key gram, up to `CELLS`; more key grams are dealt by hash into slices
+   of `CELLS` / 4, and each slice has its own sketch, so sketches do not fill up as the input grows.
 3. A second pass over the texts gives the windows whose key gram is estimated in two or more documents, by a 128-bit fingerprint. While
-   there is one slice, tasks take its merged sketch with them (`CELLS` / 8 bytes a row); with more, a document's repeated key grams are
-   joined to it by its row.
+   there is one slice, tasks take its merged sketch with them (`CELLS` / 8 bytes a row at most, 64 MB in all); with more, a document's
+   repeated key grams are joined to it by its row, which costs a shuffle of the texts.
 4. These windows are ranged by (fingerprint, document id) and sorted, which puts the document that a window starts in first before its
    other rows; bounds lie inside a fingerprint that has many rows, so no key is hot. A task drops what it sees behind a smaller
    id; rows of the fingerprint that its range begins with are settled against the ends of the ranges before.
@@ -39,16 +39,18 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, fresh, numbered, stored, text_batches
+from strata.llm.common import batch_rows, cut, fresh, numbered, stored, text_batches
 
 WINDOW = 50
 ROWS = 2
-CELLS = 1 << 25
+CELLS = 1 << 28
+#: Cells of a part of a sketch that tasks hand on, and rows of a batch of numbers.
+_BLOCK = 1 << 22
+_BATCH = 1 << 16
 #: Words of a document that are hashed at once; bounds a worker's memory for very long texts.
 CHUNK_WORDS = 1 << 18
 #: Rows that one range of windows has on average.
 RANGE_ROWS = 500_000
-_BLOCK = 1 << 16
 _MEMO = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -58,20 +60,24 @@ class _Words(dict):
 
     def __init__(self) -> None:
         super().__init__()
-        self.digest = np.empty((1 << 16, 2), np.uint64)
+        self.digest, self.new = np.empty((1 << 16, 2), np.uint64), []
 
     def __missing__(self, word: bytes) -> int:
         found = self[word] = len(self)
-        if found == len(self.digest):
-            self.digest = np.concatenate([self.digest, np.empty_like(self.digest)])
-        self.digest[found] = np.frombuffer(hashlib.blake2b(word, digest_size=16, key=b"window").digest(), np.uint64)
+        self.new.append(hashlib.blake2b(word, digest_size=16, key=b"window").digest())
         return found
 
     def of(self, words: list[bytes]) -> np.ndarray:
         """The hash values of words, two lines."""
         if len(self) > _MEMO:
             self.clear()
+        known = len(self)
         number = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            while len(self) > len(self.digest):
+                self.digest = np.concatenate([self.digest, np.empty_like(self.digest)])
+            self.digest[known : len(self)] = np.frombuffer(b"".join(self.new), np.uint64).reshape(-1, 2)
+            self.new = []
         return np.ascontiguousarray(self.digest[number].T)
 
 
@@ -183,40 +189,47 @@ def _cells(grams: np.ndarray, cells: int, slices: int) -> list[np.ndarray]:
     return [(_mixed(rest * np.uint64(2 * i + 1) + np.uint64(i)) & np.uint64(cells - 1)).astype(np.int64) for i in range(ROWS)]
 
 
+def _mark(seen: np.ndarray, twice: np.ndarray, at: np.ndarray) -> None:
+    """Count cells in two bitmaps."""
+    cell, n = np.unique(at, return_counts=True)
+    for cells, several in ((cell, False), (cell[n > 1], True)):
+        if len(cells):
+            byte, bit = cells >> 3, (128 >> (cells & 7)).astype(np.uint8)
+            edge = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))
+            byte, bits = byte[edge], np.bitwise_or.reduceat(bit, edge)
+            twice[byte] |= bits if several else seen[byte] & bits
+            seen[byte] |= bits
+
+
 def sketch(grams: DataFrame, cells: int, slices: int) -> np.ndarray:
     """The merged sketch of the grams of one slice: one bit per cell, set where two or more documents fall into it."""
-    block = min(_BLOCK, cells)
+    block = min(_BLOCK, cells) // 8
+    schema = "block bigint, seen binary, twice binary"
+    pack, unpack = (lambda a: zstandard.compress(a.tobytes(), 1)), (lambda b: np.frombuffer(zstandard.decompress(b), np.uint8))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((ROWS, cells), np.uint8)
+        seen, twice = np.zeros((2, ROWS, cells // 8), np.uint8)
         for batch in batches:
-            for line, at in zip(table, _cells(batch.column(0).to_numpy(), cells, slices), strict=True):
-                some, n = np.unique(at, return_counts=True)
-                line[some] = np.minimum(line[some] + n, 2)
-        pack = zstandard.ZstdCompressor(level=1).compress
-        parts = table.reshape(-1, block)
-        for at in np.flatnonzero(parts.any(axis=1)).tolist():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pack(parts[at].tobytes())], pa.binary())], ["block", "data"])
-
-    def merged(table: pa.Table) -> np.ndarray:
-        unpack = zstandard.ZstdDecompressor().decompress
-        out = np.zeros(block, np.uint8)
-        for data in table.column("data").to_pylist():
-            out = np.minimum(out + np.frombuffer(unpack(data), np.uint8), 2)
-        return out
+            for line, at in enumerate(_cells(batch.column(0).to_numpy(), cells, slices)):
+                _mark(seen[line], twice[line], at)
+        seen, twice = seen.reshape(-1, block), twice.reshape(-1, block)
+        for at in np.flatnonzero(seen.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([pack(seen[at])], pa.binary()), pa.array([pack(twice[at])], pa.binary())], ["block", "seen", "twice"])
 
     def merge(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([zstandard.compress(merged(table).tobytes(), 1)], pa.binary())})
-
-    def finish(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([zstandard.compress(np.packbits(merged(table) > 1).tobytes(), 1)], pa.binary())})
-
-    schema = "block bigint, data binary"
-    parts = grams.select("gram").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(32)))
-    whole = parts.groupBy("block", "salt").applyInArrow(merge, schema).groupBy("block").applyInArrow(finish, schema)
-    bits = np.zeros((ROWS * cells // block, block // 8), np.uint8)
-    for row in whole.toLocalIterator():  # ROWS * cells / 8 bytes at most, whatever the input
-        bits[row["block"]] = np.frombuffer(zstandard.decompress(row["data"]), np.uint8)
+        seen, twice = np.zeros((2, block), np.uint8)
+        for one, two in zip(table.column("seen").to_pylist(), table.column("twice").to_pylist(), strict=True):
+            one = unpack(one)
+            twice |= unpack(two) | (seen & one)
+            seen |= one
+        return pa.table({"block": table.column("block")[:1], "seen": pa.array([pack(seen)], pa.binary()), "twice": pa.array([pack(twice)], pa.binary())})
+
+    parts = grams.select("gram").mapInArrow(count, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(8)))
+    whole = parts.groupBy("block", "salt").applyInArrow(merge, schema).groupBy("block").applyInArrow(merge, schema)
+    bits = np.zeros((ROWS * (cells // 8) // block, block), np.uint8)
+    with batch_rows(grams.sparkSession, _BATCH):
+        for row in whole.select("block", "twice").toLocalIterator():  # ROWS * cells / 8 bytes at most, whatever the input
+            bits[row["block"]] = unpack(row["twice"])
     return bits.reshape(ROWS, -1)
 
 
@@ -242,7 +255,8 @@ def repeated_grams(grams: DataFrame, cells: int, slices: int) -> DataFrame:
             for batch in batches:
                 yield batch.filter(pa.array(repeated(batch.column(1).to_numpy(), bits.value, slices)))
 
-        part = cut(mine.select("row", "gram").mapInArrow(sieve, "row bigint, gram bigint"), "repeated")
+        with batch_rows(spark, _BATCH):
+            part = cut(mine.select("row", "gram").mapInArrow(sieve, "row bigint, gram bigint"), "repeated")
         kept = part if kept is None else kept.unionByName(part)
         bits.unpersist()
     return kept.groupBy("row").agg(F.sort_array(F.collect_list("gram")).alias("grams"))  # bounded by the document
@@ -319,7 +333,8 @@ def later_windows(found: DataFrame) -> DataFrame:
         if last is not None:
             yield pa.RecordBatch.from_arrays([pa.array([int(v)], pa.int64()) for v in (*last, least, 0, 0)] + [pa.array([2], pa.int32())], ["hi", "lo", "doc_id", "row", "at", "kind"])
 
-    judged = cut(ranged.mapInArrow(work, schema), "judged")
+    with batch_rows(found.sparkSession, _BATCH):
+        judged = cut(ranged.mapInArrow(work, schema), "judged")
     # One row per range at most; and of the open rows only those of one id per range.
     ends = judged.where("kind = 2").groupBy("hi", "lo").agg(F.min("doc_id").alias("smallest"))
     late = judged.where("kind = 1").join(ends, ["hi", "lo"]).where("smallest < doc_id")
@@ -344,24 +359,27 @@ def spans(later: DataFrame, window: int) -> DataFrame:
 
 
 def find_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cells: int = CELLS) -> DataFrame:
-    """row (`common.numbered`), spans of the documents of a stored table that lose words."""
+    """row (`common.numbered`), spans of the documents of a stored table that lose words, as a stored table."""
     place = fresh(docs, "__row")
     rows = numbered(docs, place).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(place).alias("row"), F.col(text_col).cast("string").alias("text"))
     rows = rows.where("doc_id IS NOT NULL")
     grams = cut(key_grams(rows, window), "grams")
-    slices = max(1, -(-grams.count() // (cells // 4)))
+    n = grams.count()
+    slices = max(1, -(-n // (cells // 4)))
     if slices == 1:
-        found = candidates(rows, window, sketch(grams, cells, 1))
+        found = candidates(rows, window, sketch(grams, min(cells, max(1 << 10, 1 << (4 * n).bit_length())), 1))
     else:
         found = candidates(rows.join(repeated_grams(grams, cells, slices), "row"), window, None)
-    return spans(later_windows(cut(found, "windows")), window)
+    later = later_windows(cut(found, "windows"))
+    with batch_rows(docs.sparkSession, _BATCH):
+        return cut(spans(later, window), "spans")
 
 
 def remove_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, cells: int = CELLS) -> DataFrame:
     """One row per document: row, doc_id, n_words, n_removed and kept (the words that stay, joined by one space)."""
     text_batches(docs.sparkSession)
     docs = stored(docs)
-    lost = cut(find_windows(docs, id_col, text_col, window, cells), "spans")
+    lost = find_windows(docs, id_col, text_col, window, cells)
     place = fresh(docs, "__row")
     rows = numbered(docs, place).select(F.col(place).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
