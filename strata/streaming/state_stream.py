@@ -20,6 +20,7 @@ from strata.operators.history import KEEP_DAYS, KEEP_ROWS, retain
 from strata.session import StrataError
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_EPOCH = datetime(1970, 1, 1)
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,7 +65,7 @@ class KeptRuns(StatefulProcessor):
     def _prune(self, timerValues: Any) -> None:
         """Drop what is neither young nor among the newest, and wake up when the oldest young run is no longer young."""
         now = timerValues.getCurrentWatermarkInMs()
-        since = datetime.fromtimestamp(now / 1000) - self.youth if now > 0 else datetime.min
+        since = _EPOCH + timedelta(milliseconds=now) - self.youth if now > 0 else datetime.min
         # Newest first; equal times by the tie.
         runs = sorted((tuple(k) for k in self.kept.keys()), key=lambda k: (-_micros(k[0]), k[1]))
         late = [k for k in runs[self.keep :] if k[0] <= since]
@@ -74,7 +75,7 @@ class KeptRuns(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if young:
-            self.handle.registerTimer(int((min(young) + self.youth).timestamp() * 1000) + 1)
+            self.handle.registerTimer(_micros(min(young) + self.youth) // 1000 + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         n = 0
@@ -93,7 +94,7 @@ class KeptRuns(StatefulProcessor):
 
 
 def _micros(ts: datetime) -> int:
-    return (ts - datetime(1970, 1, 1)) // timedelta(microseconds=1)
+    return (ts - _EPOCH) // timedelta(microseconds=1)
 
 
 def _start(spark: SparkSession, out: DataFrame, checkpoint: str, once: bool) -> StreamingQuery:
@@ -147,8 +148,9 @@ def follow_history(
     order = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("tie", types[tie])])
     # A state value has a column at least.
     values = T.StructType([T.StructField(c, types[c]) for c in columns or [tie]])
-    # Watermarks go by a timestamp with zone, runs by their own.
-    timed = runs.withColumn("_at", F.col(ts).cast("timestamp")).withWatermark("_at", delay or f"{days} days").withColumn(ts, F.col(ts).cast("timestamp_ntz"))
+    # Watermarks go by a timestamp with zone; the runs' times are read as UTC, whatever the session's zone.
+    at = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', CAST(`{ts}` AS timestamp_ntz))"))
+    timed = runs.withColumn("_at", at).withWatermark("_at", delay or f"{days} days").withColumn(ts, F.col(ts).cast("timestamp_ntz"))
     processor = KeptRuns(ts, tie, columns or [tie], order, values, keep, days)
     out_type = T.StructType([T.StructField("key", types[key]), T.StructField("added", T.LongType())])
     out = timed.groupBy(key).transformWithState(processor, out_type, "Update", "EventTime")
@@ -158,8 +160,9 @@ def follow_history(
 def history_state(spark: SparkSession, checkpoint: str, key: str, ts: str, tie: str) -> DataFrame:
     """The runs that the state holds."""
     state = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
+    others = [c for c in state.schema["user_map_value"].dataType.names if c != tie]
     return state.select(
-        F.col(f"key.{key}").alias(key), F.col("user_map_key.ts").alias(ts), F.col("user_map_key.tie").alias(tie), F.col("user_map_value.*")
+        F.col(f"key.{key}").alias(key), F.col("user_map_key.ts").alias(ts), F.col("user_map_key.tie").alias(tie), *[F.col(f"user_map_value.{c}").alias(c) for c in others]
     )
 
 
