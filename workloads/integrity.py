@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strata.operators import evolve, inclusion, integrity, profile
+from strata.operators import evolve, inclusion, integrity, profile, profilestore
+from strata.session import scratch_path
 from workloads.registry import derive, query, read, stored, with_inputs
 
 # Orders with null customers, doubled keys and orphans.
@@ -244,6 +245,39 @@ def relationship_profile(spark, sf):
     return profile.relationship_profile(derive(spark, sf, BROKEN), read(spark, sf, "customer"), "o_custkey", "c_custkey")
 
 
+_PROFILED = "l_orderkey l_partkey l_suppkey l_extendedprice l_discount l_returnflag".split()
+
+
+@query(
+    "column_profile_stored",
+    "\nUNION ALL ".join(
+        f"SELECT '{c}' AS column_name, count(*) AS n_rows, count({c}) AS n_present, true AS distinct_close, {'NULL' if c == 'l_returnflag' else 'true'} AS median_close, 2 AS scans FROM lineitem"
+        for c in _PROFILED
+    ),
+)
+def column_profile_stored(spark, sf):
+    """The profile after a second part has come: only its files are scanned; estimates are held against exact counts."""
+    folder, store = (scratch_path(spark, n) for n in ("profiled", "profiles"))
+    df = read(spark, sf, "lineitem").select(*_PROFILED)
+    scanned = []
+    for part in (df.where("l_orderkey % 3 > 0"), df.where("l_orderkey % 3 = 0")):
+        part.write.mode("append").parquet(folder)
+        scanned.append(profilestore.refresh(spark, folder, store))
+    scans = 2 if scanned[0] and scanned[1] and not set(scanned[0]) & set(scanned[1]) else 0
+    found = profilestore.profile(spark, folder, store)
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in _PROFILED]).unpivot([], _PROFILED, "column_name", "n_exact")
+    numbers = [c for c in _PROFILED if c != "l_returnflag"]
+    medians = found.where(F.col("quantiles").isNotNull()).groupBy().pivot("column_name", numbers).agg(F.first(F.col("quantiles")[2]))
+    held = df.join(F.broadcast(medians.select(*[F.col(c).alias(f"m_{c}") for c in numbers])))  # one row
+    below = held.agg(*[(F.count_if(F.col(c) < F.col(f"m_{c}")) / F.count(c) <= 0.5 + profilestore.RANK_ERROR).alias(c) for c in numbers])
+    upto = held.agg(*[(F.count_if(F.col(c) <= F.col(f"m_{c}")) / F.count(c) >= 0.5 - profilestore.RANK_ERROR).alias(c) for c in numbers])
+    sides = below.unpivot([], numbers, "column_name", "low").join(upto.unpivot([], numbers, "column_name", "high"), "column_name")
+    error = F.abs(F.col("n_distinct") - F.col("n_exact")) <= profilestore.DISTINCT_ERROR * F.col("n_exact") + 1
+    return found.join(exact, "column_name").join(sides, "column_name", "left").select(
+        "column_name", "n_rows", "n_present", error.alias("distinct_close"), (F.col("low") & F.col("high")).alias("median_close"), F.lit(scans).alias("scans")
+    )
+
+
 # Every column of the star schema against every other, by a join of their counted values.
 STAR = {
     "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
