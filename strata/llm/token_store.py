@@ -61,9 +61,10 @@ def encode_rows(rows: DataFrame, tokenizer: str, width: int) -> DataFrame:
     """doc_id and ids (with the end id, in `width` bytes each) of rows (doc_id, text)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, kind = encoder(tokenizer).encode_all, f"<u{width}"
+        encode, end = encoder(tokenizer).encode, np.array([END_ID], "<u4").tobytes()
         for batch in batches:
-            ids = [np.append(found, np.uint32(END_ID)).astype(kind).tobytes() for found in encode(batch.column(1))]
+            found = [encode(t) + end for t in batch.column(1).to_pylist()]
+            ids = found if width == 4 else [np.frombuffer(f, "<u4").astype("<u2").tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return rows.mapInArrow(work, "doc_id bigint, ids binary")

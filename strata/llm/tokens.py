@@ -2,10 +2,10 @@
 
 A byte-level BPE without normaliser cuts a text before each single space that stands between two
 visible characters, and encodes what lies between on its own. So a text's ids are its words' ids one
-after the other, and a worker needs the library only for words it has not met lately. `encode_all`
-takes a batch: Arrow splits the texts and numbers their distinct words, the words that are new go through the
-library as one text, and NumPy gathers the ids. Texts that hold a special token's string, and files of another
-kind of tokenizer, go through the library as they are.
+after the other, and a worker needs the library only for words it has not met lately; of such a word
+it encodes the runs of letters, digits or marks, which it remembers as well. Texts that hold
+a special token's string, words with other characters, and files of another kind of
+tokenizer go through the library as they are.
 """
 
 from __future__ import annotations
@@ -17,10 +17,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
-import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,17 +26,16 @@ DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_RUNS = re.compile(rf"[{_LETTERS}]+|[.,;:!?]+|\n")
+#: Marks of ASCII but for the apostrophe, which may begin a run of letters.
+_MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+_RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
 # Possessive runs: a word that is not plain fails at once instead of trying every split of its letters.
-_PLAIN = re.compile(rf"(?:[{_LETTERS}]++|[.,;:!?]++)(?:[{_LETTERS}]++|[.,;:!?]++|\n(?!\n|\Z))*+")
+_PLAIN = re.compile(rf"(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++)(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++|\n(?!\n|\Z))*+")
 #: A space beside other blanks or an end of the text is no cut.
 _UNSURE = re.compile(r"\A | \Z| \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: The same for Arrow, whose class of blanks is smaller.
-_BLANK = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_UNSURE_ARROW = rf"\A | \z|{_BLANK} | {_BLANK}"
-#: New words that go through the library as one text.
-_TOGETHER = 2000
+#: Blanks other than the space and the line feed.
+_RARE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _MEMO = 400_000
 _MEMO_WORD = 64
 
@@ -52,17 +48,19 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """Remembers what `make` gives for short words; hands its content to `full` and starts anew at `_MEMO` words."""
+    """Remembers what `make` gives for short words. At `_MEMO` words it becomes the old generation, from which words that are met again come back."""
 
-    def __init__(self, make: Callable[[str], bytes], full: Callable[[dict[str, bytes]], None]):
+    def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
-        self.make, self.full = make, full
+        self.make, self.old = make, {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.make(word)
+        found = self.old.get(word)
+        if found is None:
+            found = self.make(word)
         if len(word) <= _MEMO_WORD:
             if len(self) >= _MEMO:
-                self.full(dict(self))
+                self.old = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -88,13 +86,8 @@ class Encoder:
         self.size = self.tokenizer.get_vocab_size()
         self._model = self.tokenizer.model
         self._letters = _byte_letters()
-        self._old: dict[str, bytes] = {}
-        self._new = _Memo(self._spaced, self._keep)
-        self._runs = _Memo(self._run, lambda full: None)
-
-    def _keep(self, full: dict[str, bytes]) -> None:
-        """A full memo becomes the old generation, from which words that are met again come back."""
-        self._old = full
+        self._words = _Memo(self._spaced)
+        self._runs = _Memo(self._run)
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -109,11 +102,8 @@ class Encoder:
 
     def _spaced(self, word: str) -> bytes:
         """Ids of a word behind its space."""
-        found = self._old.get(word)
-        if found is not None:
-            return found
         if word.isascii() and word.isalpha():
-            return self._run(" " + word)
+            return self._runs[" " + word]
         if len(word) > 4 * _MEMO_WORD or not _PLAIN.fullmatch(word):
             return self.whole(" " + word)
         first, *more = _RUNS.findall(word)
@@ -124,7 +114,14 @@ class Encoder:
         """The parts that are encoded on their own; each but the first stands behind one space that belongs to it."""
         if not self.by_word:
             return [text]
-        return _CUT.split(text) if _UNSURE.search(text) else text.split(" ")
+        return _CUT.split(text) if self._unsure(text) else text.split(" ")
+
+    @staticmethod
+    def _unsure(text: str) -> bool:
+        """Whether some space stands beside another blank or at an end."""
+        if text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text:
+            return True
+        return any(c in text for c in _RARE) and _UNSURE.search(text) is not None
 
     def counts(self, text: str) -> tuple[list[int], list[int]]:
         """Code points (with the space) and number of ids of each of the parts of a text."""
@@ -132,7 +129,7 @@ class Encoder:
         if any(s in text for s in self.special):
             ids = [len(self.whole(first)), *(len(self.whole(" " + w)) for w in words)]
         else:
-            known = self._new
+            known = self._words
             ids = [len(self.whole(first)), *[len(known[w]) for w in words]]
         return [len(first), *(len(w) + 1 for w in words)], [n // 4 for n in ids]
 
@@ -143,75 +140,10 @@ class Encoder:
         if not self.by_word or any(s in text for s in self.special):
             return self.whole(text)
         first, *words = self.words(text)
-        known = self._new
+        known = self._words
         return self.whole(first) + b"".join([known[w] for w in words])
 
 
-    def _joined(self, words: list[str]) -> list[bytes]:
-        """Ids of words behind their spaces, through the library as one text, which it cuts before each of the spaces."""
-        found = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
-        owner = np.searchsorted(begins, [o[0] for o in found.offsets], side="right") - 1
-        ids, edges = np.array(found.ids, "<u4"), np.searchsorted(owner, np.arange(len(words) + 1))
-        return [ids[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-
-    def _known(self, words: list[str]) -> list[bytes]:
-        """Ids of distinct words behind their spaces."""
-        new, old = self._new, self._old
-        found = [new.get(w) or old.get(w) for w in words]
-        missing = [i for i, f in enumerate(found) if f is None]
-        for at in range(0, len(missing), _TOGETHER):
-            part = missing[at : at + _TOGETHER]
-            for i, ids in zip(part, self._joined([words[i] for i in part]), strict=True):
-                found[i] = ids
-        for word, ids in zip(words, found, strict=True):
-            if len(word) <= _MEMO_WORD:
-                if len(new) >= _MEMO:
-                    self._keep(dict(new))
-                    new.clear()
-                new[word] = ids
-        return found
-
-    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
-        """The ids of each text of a batch as unsigned 32-bit integers; null counts as empty."""
-        texts = texts.fill_null("")
-        out = [np.empty(0, "<u4")] * len(texts)
-        odd = np.ones(len(texts), bool)
-        if self.by_word and not any(" " in s for s in self.special):
-            odd = pc.match_substring_regex(texts, _UNSURE_ARROW).to_numpy(zero_copy_only=False)
-            for s in self.special:
-                odd = odd | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        filled = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
-        for i in np.flatnonzero(odd & filled).tolist():
-            out[i] = np.frombuffer(self.encode(texts[i].as_py()), "<u4")
-        plain = np.flatnonzero(~odd & filled)
-        if not len(plain):
-            return out
-        lists = pc.split_pattern(texts.take(pa.array(plain)), " ")
-        edges = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        coded = lists.flatten().dictionary_encode()
-        number, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        first = edges[:-1]
-        own = [self.whole(w) for w in words.take(pa.array(number[first])).to_pylist()]
-        rest = np.ones(len(number), bool)
-        rest[first] = False
-        used = np.unique(number[rest])
-        ids = self._known(words.take(pa.array(used)).to_pylist())
-        place = np.zeros(len(words), np.int64)
-        place[used] = np.arange(len(used))
-        number = place[number]
-        number[first] = len(used) + np.arange(len(first))
-        pool = np.frombuffer(b"".join([*ids, *own]), "<u4")
-        sizes = np.array([len(x) // 4 for x in (*ids, *own)], np.int64)
-        begins, width = (np.cumsum(sizes) - sizes)[number], sizes[number]
-        ends = np.cumsum(width)
-        flat = pool[np.repeat(begins - (ends - width), width) + np.arange(ends[-1])]
-        upto = np.concatenate([[0], ends])[edges]
-        for i, a, b in zip(plain.tolist(), upto[:-1].tolist(), upto[1:].tolist(), strict=True):
-            out[i] = flat[a:b]
-        return out
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str = DEFAULT_TOKENIZER) -> Encoder:
     """One encoder per worker process and file, kept across tasks."""
