@@ -14,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.session import StrataError, is_empty
+from strata.operators import integrity
+from strata.session import StrataError, Workbench, is_empty
 
 COLUMN_KEY = ["table_schema", "table_name", "column_name"]
 
@@ -188,3 +189,81 @@ def evolve_table(
         return Evolved(df.select(*out), df.sparkSession.createDataFrame([], "column_name string, n_failed bigint"))
     counts = df.agg(*[lost(c).alias(c) for c in names])
     return Evolved(df.select(*out), counts.unpivot([], names, "column_name", "n_failed"))
+
+
+@dataclass(frozen=True)
+class Planned:
+    """Data after a plan's column changes, and per step of the plan that the data break: step, action, name, n_failed."""
+
+    rows: DataFrame
+    failures: DataFrame
+
+
+def plan_rows(df: DataFrame, plan: DataFrame, defaults: dict[str, str] | None = None, parents: dict[str, DataFrame] | None = None) -> Planned:
+    """What the rows of `alter_plan` for one table make of its data, and what stands against them.
+
+    Columns are dropped, added and retyped by the plan, in its order. Checked are: values that do not convert, nulls in columns that
+    must have none, and rows against the primary key, unique sets and checks that the plan adds; foreign keys (``definition``
+    is the column) against the first column of the table given in `parents` under the constraint's name, others are left to their own check. `defaults` are expressions for
+    added columns. A plan has a few rows per column, which the driver reads.
+    """
+    steps = sorted(plan.collect(), key=lambda r: (r["step"], r["name"] or "", r["new_value"] or ""))
+    known = {c.lower(): c for c in df.columns}
+    given = {k.lower(): v for k, v in (defaults or {}).items()}
+
+    def named(action: str) -> list:
+        return [r for r in steps if r["action"] == action]
+
+    def column(name: str) -> str:
+        if name.lower() not in known:
+            raise StrataError(f"the plan names a column {name!r} that the table has not")
+        return known[name.lower()]
+
+    casts = {column(r["name"]): r["new_value"] for r in named("alter type")}
+    added = {r["name"]: (r["new_value"], given.get(r["name"].lower())) for r in named("add column")}
+    for name in added:
+        if name.lower() in known:
+            raise StrataError(f"the plan adds a column {name!r} that the table has already")
+    evolved = evolve_table(df, [column(r["name"]) for r in named("drop column")], added, casts)
+    rows = evolved.rows
+    checks: list[DataFrame] = []
+
+    def failed(row, found: DataFrame) -> None:
+        counted = found.agg(F.count(F.lit(1)).alias("n_failed"))
+        checks.append(counted.select(F.lit(row["step"]).alias("step"), F.lit(row["action"]).alias("action"), F.lit(row["name"]).cast("string").alias("name"), "n_failed"))
+
+    lists = lambda row: [c.strip() for c in row["new_value"].split(",") if c.strip()]
+    for row in named("alter type"):
+        before = column(row["name"])
+        failed(row, df.where(F.col(f"`{before}`").isNotNull() & F.col(f"`{before}`").try_cast(row["new_value"]).isNull()))
+    for row in named("set nullability"):
+        if row["new_value"] == "false":
+            failed(row, integrity.check_not_null(rows, [row["name"]]))
+    for row in named("add primary_key"):
+        failed(row, integrity.check_primary_key(rows, lists(row)))
+    for row in named("add unique"):
+        failed(row, integrity.check_unique(rows, lists(row)))
+    for row in named("add check"):
+        failed(row, integrity.check_expression(rows, row["new_value"]))
+    for row in named("add foreign_key"):
+        parent = (parents or {}).get(row["name"])
+        if parent is not None:
+            failed(row, integrity.check_foreign_key(rows, parent, lists(row), parent.columns[: len(lists(row))]))
+    failures = df.sparkSession.createDataFrame([], "step int, action string, name string, n_failed bigint")
+    for check in checks:
+        failures = failures.unionByName(check)
+    return Planned(rows, failures.where("n_failed > 0"))
+
+
+def apply_plan(wb: Workbench, fqn: str, plan: DataFrame, defaults: dict[str, str] | None = None, parents: dict[str, DataFrame] | None = None) -> int:
+    """Change a table by its plan, all of it or nothing; the number of rows.
+
+    The new rows are stored and checked before the name is switched; with a failure the table stays as it was.
+    """
+    require_changes(plan)
+    done = plan_rows(wb.table(fqn), plan, defaults, parents)
+    bad = done.failures.orderBy("step", "name").collect()
+    if bad:
+        text = "; ".join(f"{r['action']} {r['name'] or ''}".strip() + f": {r['n_failed']} rows" for r in bad)
+        raise StrataError(f"the data break the plan ({text})")
+    return wb.replace_table(fqn, done.rows)

@@ -11,8 +11,11 @@ from pyspark.sql import types as T
 
 from strata.functions.values import chart_number
 from strata.operators.spread import number_rows
+from strata.session import cut
 
 PAGE_ROWS = 100
+#: Pages that end by this row come from a top-k, which takes that many rows of each task at most.
+SHALLOW_ROWS = 10_000
 
 
 @dataclass(frozen=True)
@@ -72,13 +75,15 @@ def grid_sort(df: DataFrame, keys: list[tuple[str, str]]) -> DataFrame:
 
 
 def grid_page(df: DataFrame, keys: list[tuple[str, str]], page: int, size: int = PAGE_ROWS) -> DataFrame:
-    """One page of a sorted grid, counted from 1, by one plan for any depth.
+    """One page of a sorted grid, counted from 1.
 
-    Only the sort columns are numbered; the page's sort values then fetch its rows. The list of sort
-    columns must end in a unique one, as for `grid_sort`.
+    Of deep pages only the sort columns are numbered; the page's sort values then fetch its rows. Who turns many pages
+    should store a `page_index`. The list of sort columns must end in a unique one, as for `grid_sort`.
     """
     first = (page - 1) * size
     order, names = grid_order(keys), [name for name, _ in keys]
+    if first + size <= SHALLOW_ROWS:
+        return df.orderBy(*order).offset(first).limit(size)
     numbered = number_rows(df.select(*[F.col(f"`{n}`") for n in names]), order, "_row")
     wanted = numbered.where(F.col("_row").between(first + 1, first + size)).drop("_row")
     wanted = wanted.select(*[F.col(f"`{n}`").alias(f"_at{i}") for i, n in enumerate(names)])
@@ -86,6 +91,20 @@ def grid_page(df: DataFrame, keys: list[tuple[str, str]], page: int, size: int =
     return df.join(wanted, reduce(lambda a, b: a & b, same), "left_semi").orderBy(*order).limit(size)
 
 
+def page_index(df: DataFrame, keys: list[tuple[str, str]], partitions: int | None = None) -> DataFrame:
+    """The grid's rows as a stored table in order, with their numbers (``row_no``, from 1): sorted once, for any number of pages.
+
+    The numbers rise in each part, so Parquet's statistics tell which part, and which of its pages, hold a range of them.
+    """
+    return cut(number_rows(df, grid_order(keys), "row_no", partitions).sortWithinPartitions("row_no"), "pages")
+
+
+def indexed_page(index: DataFrame, page: int, size: int = PAGE_ROWS) -> DataFrame:
+    """One page, counted from 1, of a stored `page_index`."""
+    first = (page - 1) * size
+    return index.where(F.col("row_no").between(first + 1, first + size)).orderBy("row_no").drop("row_no")
+
+
 def chart_columns(df: DataFrame, label: str | None, series: list[str] | None) -> tuple[str, list[str]]:
     names = df.columns
     chosen = label if label in names else names[0]

@@ -300,9 +300,9 @@ def run_log_append(spark, sf):
 
 @query(
     "script_run",
-    """SELECT 1 AS idx, 'success' AS status, 'tabular' AS kind, count(*) AS row_count FROM (SELECT * FROM orders LIMIT 10000)
-    UNION ALL SELECT 2, 'success', 'non_tabular', NULL UNION ALL SELECT 3, 'success', 'tabular', 50
-    UNION ALL SELECT 4, 'error', NULL, NULL UNION ALL SELECT 5, 'skipped', NULL, NULL""",
+    """SELECT 1 AS idx, 'success' AS status, 'tabular' AS kind, least(count(*), 10000) AS row_count, count(*) > 10000 AS capped FROM orders
+    UNION ALL SELECT 2, 'success', 'non_tabular', NULL, NULL UNION ALL SELECT 3, 'success', 'tabular', 50, false
+    UNION ALL SELECT 4, 'error', NULL, NULL, NULL UNION ALL SELECT 5, 'skipped', NULL, NULL, NULL""",
 )
 def script_run(spark, sf):
     wb = mounted(spark, sf, "orders")
@@ -314,7 +314,7 @@ def script_run(spark, sf):
         "SELECT no_such_column FROM imports.orders",
         "SELECT 1",
     ]
-    return script.run_script(wb, statements).status.select("idx", "status", "kind", "row_count")
+    return script.run_script(wb, statements).status.select("idx", "status", "kind", "row_count", "capped")
 
 
 @query(

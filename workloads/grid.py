@@ -52,6 +52,20 @@ def grid_page(spark, sf):
     return grid.grid_page(df, keys, 7)
 
 
+@query(
+    "grid_page_indexed",
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey
+    LIMIT 200 OFFSET (SELECT count(*) // 200 * 100 FROM lineitem)""",
+)
+def grid_page_indexed(spark, sf):
+    """Two pages from the middle of a stored index."""
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    keys = [("l_extendedprice", "desc")] + [(c, "asc") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    index = grid.page_index(df, keys)
+    page = index.count() // 200 + 1
+    return grid.indexed_page(index, page).unionByName(grid.indexed_page(index, page + 1))
+
+
 @query(
     "chart_series",
     """SELECT o_orderpriority AS label, o_totalprice, CASE WHEN o_orderkey % 3 = 0 THEN 0.0 ELSE CAST(o_custkey AS double) END AS shown

@@ -430,6 +430,26 @@ def evolve_table(spark, sf):
     return _evolved(spark, sf).rows
 
 
+# A plan as rows: what `alter_plan` gives for one table, here over the documents.
+PLAN = [
+    (0, "drop column", "lang", "string", None), (1, "add column", "reviewed", None, "boolean"), (2, "alter type", "N_CHARS", "bigint", "double"),
+    (3, "set nullability", "text", "true", "false"), (6, "add primary_key", None, None, "doc_id"), (8, "add unique", "by_text", None, "text"),
+    (12, "add check", "long", None, "n_chars > 500.0"),
+]
+
+
+@query(
+    "evolve_by_plan",
+    """SELECT 8 AS step, 'add unique' AS action, 'by_text' AS name, count(*) AS n_failed FROM (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1) HAVING count(*) > 0
+    UNION ALL SELECT 12, 'add check', 'long', count(*) FILTER (n_chars <= 500) FROM documents HAVING count(*) FILTER (n_chars <= 500) > 0
+    UNION ALL SELECT 3, 'set nullability', 'text', count(*) FILTER (text IS NULL) FROM documents HAVING count(*) FILTER (text IS NULL) > 0""",
+)
+def evolve_by_plan(spark, sf):
+    """What stands against a plan over the documents."""
+    plan = spark.createDataFrame(PLAN, "step int, action string, name string, old_value string, new_value string")
+    return evolve.plan_rows(read(spark, sf, "documents"), plan, {"reviewed": "false"}).failures
+
+
 @query(
     "evolve_failures",
     """SELECT 'mark' AS column_name, count(*) FILTER (doc_id % 4 = 0) AS n_failed FROM documents
