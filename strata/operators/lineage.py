@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import sqlparts
 from strata.functions.text import edge_label
-from strata.operators.spread import HOT_ROWS, spread_join
+from strata.operators.spread import HOT_ROWS, number_rows, spread_join
 from strata.session import PIPELINE_LAYERS, cut, scratch_path, write_counted
 
 CELL = ["pipeline_id", "cell_id"]
@@ -224,3 +224,48 @@ def upstream_trace(
     columns = seen().select(F.col("target").alias("table_fqn"), F.col("target_column").alias("column_name"), "distance")
     # Every edge into a column that was reached has been followed.
     return columns, slim.join(seen().select(*key), key, "left_semi").select(*ends)
+
+
+#: Start columns whose reach one row holds, as bits of a bigint.
+_WORD = 64
+
+
+def upstream_traces(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """What feeds each of many columns: start_table, start_column, table_fqn, column_name, distance; safe on cycles.
+
+    `starts`: table_fqn, column_name. Columns are numbered; a row of a round holds, for a column and 64 starts, the bits of the starts that reached
+    it just then. A round joins the edges once for all starts, ors the bits per column before they travel, and keeps what was not seen. So there
+    are as many rounds as the longest of the shortest ways, and rows for columns times starts / 64.
+    """
+    spark = edges.sparkSession
+    pairs = edges.select("source", "source_column", "target", "target_column").distinct()
+    wanted = starts.select(F.col("table_fqn").alias("t"), F.col("column_name").alias("c")).distinct()
+    ends = pairs.select(F.col("source").alias("t"), F.col("source_column").alias("c")).unionByName(pairs.select(F.col("target").alias("t"), F.col("target_column").alias("c")))
+    nodes = cut(number_rows(ends.unionByName(wanted).distinct(), [F.col("t"), F.col("c")], "node"), "nodes")
+    named = lambda table, column, name: nodes.select(F.col("t").alias(table), F.col("c").alias(column), F.col("node").alias(name))
+    slim = cut(
+        pairs.join(named("source", "source_column", "src"), ["source", "source_column"]).join(named("target", "target_column", "node"), ["target", "target_column"]).select("src", "node"),
+        "edges",
+    )
+    begun = cut(number_rows(wanted.join(nodes, ["t", "c"]), [F.col("node")], "start").withColumn("start", F.col("start") - 1), "starts")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("start") % _WORD).cast("int"))
+    folder = scratch_path(spark, "traces")
+    schema = "node bigint, word bigint, bits bigint, distance int"
+    first = begun.groupBy("node", F.expr(f"start DIV {_WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
+    first.write.parquet(f"{folder}/distance=0")
+    seen = lambda: spark.read.schema(schema).parquet(folder)
+    # Ends by itself: each round adds a bit at least, and bits are finite.
+    for distance in count(1):
+        level = seen().where(F.col("distance") == distance - 1)
+        reached = slim.join(level, "node").groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        held = seen().groupBy("node", "word").agg(F.bit_or("bits").alias("_held"))
+        fresh = reached.join(held, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("bigint")))))
+        path = f"{folder}/distance={distance}"
+        if write_counted(fresh.where("bits <> 0").select("node", "word", "bits"), path) == 0:
+            break
+    set_bits = F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    long = seen().select("node", "distance", "word", F.explode(set_bits).alias("i")).select("node", "distance", (F.col("word") * _WORD + F.col("i")).alias("start"))
+    by_start = begun.select("start", F.col("t").alias("start_table"), F.col("c").alias("start_column"))
+    return long.join(by_start, "start").join(named("table_fqn", "column_name", "node"), "node").select(
+        "start_table", "start_column", "table_fqn", "column_name", "distance"
+    )

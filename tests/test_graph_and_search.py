@@ -292,3 +292,26 @@ def test_a_folded_base_remembers_deleted_keys(spark):
     index_stream.drop_batches(spark, log, 0)
     found = index_stream.current_index(folded, log, schema, ["title"], after=0)
     assert sorted(tuple(r) for r in found.collect()) == [("y", "old", None), ("z", "own", 10)]
+
+
+def test_many_traces_equal_single_ones(spark):
+    """Diamonds, cycles, a self-edge, starts without edges, and more starts than a word has bits."""
+
+    rng = random.Random(8)
+    edges = [(f"t{rng.randrange(30)}", f"c{rng.randrange(3)}", f"t{rng.randrange(30)}", f"c{rng.randrange(3)}") for _ in range(110)]
+    edges += [("t1", "c1", "t1", "c1"), edges[0], ("a", "x", "b", "y"), ("b", "y", "a", "x")]
+    df = spark.createDataFrame(edges, "source string, source_column string, target string, target_column string")
+    into = {}
+    for s, sc, t, tc in edges:
+        into.setdefault((t, tc), set()).add((s, sc))
+    starts = [(f"t{i}", f"c{j}") for i in range(30) for j in range(3)] + [("alone", "z"), ("a", "x")]
+    want = []
+    for start in starts:
+        distance, level, seen = 0, {start}, {}
+        while level:
+            seen |= {n: distance for n in level}
+            level, distance = {s for n in level for s in into.get(n, ())} - seen.keys(), distance + 1
+        want += [(*start, *n, d) for n, d in seen.items()]
+    got = lineage.upstream_traces(df, spark.createDataFrame(starts, "table_fqn string, column_name string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(starts) > 64
+    assert lineage.upstream_traces(df, spark.createDataFrame([], "table_fqn string, column_name string")).count() == 0

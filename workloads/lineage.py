@@ -215,6 +215,28 @@ def upstream_trace_edges(spark, sf):
     return lineage.upstream_trace(graph, *spark.sql(START, graph=graph).first())[1]
 
 
+# All columns of the twenty last tables at once.
+STARTS = """SELECT DISTINCT target AS table_fqn, target_column AS column_name FROM {graph} g WHERE CAST(substr(target, 9) AS bigint) >
+  (SELECT max(CAST(substr(target, 9) AS bigint)) - 20 FROM {graph} h)"""
+
+
+@query(
+    "upstream_traces",
+    with_inputs(
+        f"""SELECT * FROM (WITH RECURSIVE reached(start_table, start_column, t, c, distance) USING KEY (start_table, start_column, t, c) AS (
+          SELECT table_fqn, column_name, table_fqn, column_name, 0 FROM ({STARTS.format(graph='graph')})
+          UNION SELECT r.start_table, r.start_column, g.source, g.source_column, min(r.distance) + 1 FROM graph g JOIN reached r ON g.target = r.t AND g.target_column = r.c
+            LEFT JOIN recurring.reached x ON x.start_table = r.start_table AND x.start_column = r.start_column AND x.t = g.source AND x.c = g.source_column
+          WHERE x.t IS NULL GROUP BY ALL)
+        SELECT start_table, start_column, t AS table_fqn, c AS column_name, distance FROM reached)""",
+        graph=GRAPH,
+    ),
+)
+def upstream_traces(spark, sf):
+    graph = derive(spark, sf, GRAPH)
+    return lineage.upstream_traces(graph, spark.sql(STARTS, graph=graph))
+
+
 # -- lifecycle -----------------------------------------------------------------------------------
 
 
