@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.values import text_class, value_text
+from strata.session import scratch_path, write_counted
 
 # Looks of personal data.
 EMAIL = r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$"
@@ -78,6 +82,51 @@ def table_grain(df: DataFrame, candidates: list[list[str]]) -> DataFrame:
     )
 
 
+#: Standard error of the distinct counts that refute key sets, and how many of them a set must fall short by.
+_KEY_ERROR, _KEY_DOUBT = 0.01, 5
+#: Sets whose distinct counts one pass estimates.
+_KEY_BATCH = 40
+
+
+def minimal_keys(df: DataFrame, max_width: int = 3, columns: list[str] | None = None) -> DataFrame:
+    """key_columns, n_columns: all sets of at most `max_width` columns that tell the rows of a table apart, none within another.
+
+    A null counts as a value. The sets are searched level by level. One pass estimates the distinct values of many sets, which refutes
+    most; a set that may be a key is grouped, but only over the rows that one of its subsets leaves together, as the others
+    are apart already. Supersets of keys are not looked at. An estimate that falls short by five standard errors of its own refutes, so a
+    key is missed with a chance below one in a million a set. Pass a stored table; only names and counts are on the driver.
+    """
+    names = columns or df.columns
+    rows = df.select(*[F.col(f"`{c}`") for c in names])
+    n = rows.count()
+    # A hash of the values and of what is null, as hashes leave nulls out.
+    mark = lambda s: F.xxhash64(*[F.col(f"`{c}`") for c in s], *[F.col(f"`{c}`").isNull() for c in s])
+    keys: list[tuple[str, ...]] = []
+    left: dict[tuple[str, ...], tuple[int, DataFrame]] = {}
+    level = [(c,) for c in names]
+    while level:
+        possible = []
+        for at in range(0, len(level), _KEY_BATCH):
+            part = level[at : at + _KEY_BATCH]
+            found = rows.agg(*[F.approx_count_distinct(mark(s), _KEY_ERROR).alias(f"n{i}") for i, s in enumerate(part)]).first()
+            possible += [s for i, s in enumerate(part) if found[i] >= n * (1 - _KEY_DOUBT * _KEY_ERROR)]
+        for s in possible:
+            _, held = min((left[p] for p in combinations(s, len(s) - 1) if p in left), key=lambda c: c[0], default=(n, rows))
+            many = held.groupBy(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(s)]).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+            same = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(s)])
+            path = scratch_path(df.sparkSession, "together")
+            together = write_counted(held.join(many, same, "left_semi"), path)
+            if together:
+                left[s] = (together, df.sparkSession.read.schema(rows.schema).parquet(path))
+            else:
+                keys.append(s)
+        width = len(level[0]) + 1
+        open_sets = set(level) - set(keys)
+        grown = {(*a, b[-1]) for a in open_sets for b in open_sets if a[:-1] == b[:-1] and names.index(a[-1]) < names.index(b[-1])}
+        level = sorted(s for s in grown if width <= max_width and all(p in open_sets for p in combinations(s, width - 1)))
+    return df.sparkSession.createDataFrame([(",".join(k), len(k)) for k in keys], "key_columns string, n_columns int")
+
+
 def relationship_profile(
     child: DataFrame, parent: DataFrame, child_column: str, parent_column: str
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from strata.operators import evolve, inclusion, integrity, profile, profilestore
@@ -309,6 +311,22 @@ def inclusion_dependencies(spark, sf):
     return inclusion.inclusions(tables, {t: c.split() for t, c in STAR.items()}, 0.9)
 
 
+_KEYED = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_shipdate"]
+_SETS = [s for n in (1, 2, 3) for s in combinations(_KEYED, n)]
+
+
+@query(
+    "minimal_keys",
+    "WITH k AS ("
+    + " UNION ALL ".join(f"SELECT {list(s)} AS cols FROM (SELECT count(*) AS n FROM (SELECT DISTINCT {', '.join(s)} FROM lineitem)) WHERE n = (SELECT count(*) FROM lineitem)" for s in _SETS)
+    + """) SELECT array_to_string(cols, ',') AS key_columns, len(cols)::INT AS n_columns FROM k
+    WHERE NOT EXISTS (SELECT 1 FROM k b WHERE len(b.cols) < len(k.cols) AND list_has_all(k.cols, b.cols))""",
+)
+def minimal_keys(spark, sf):
+    """All key sets of up to three of six columns of the lines."""
+    return profile.minimal_keys(read(spark, sf, "lineitem"), 3, _KEYED)
+
+
 # -- schema changes ------------------------------------------------------------------------------
 
 # Each order is a table whose columns are its lines; the new state drops, adds and changes some.
