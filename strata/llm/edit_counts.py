@@ -151,9 +151,14 @@ def recount(
     `trees` is a stored table of `build_trees`.
     """
     text_batches(docs.sparkSession)
-    one = F.struct(F.col("at").cast("bigint").alias("at"), F.col("remove").cast("bigint").alias("remove"), F.col("put").cast("string").alias("put"))
-    known = trees.select("doc_id", "row").join(edits.select(F.col("doc_id").cast("bigint").alias("doc_id"), one.alias("edit")), "doc_id")
-    listed = known.groupBy("row").agg(F.collect_list("edit").alias("edits"))
+    zero = F.lit(0).cast("bigint")
+    given = edits.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("at").cast("bigint").alias("at"), F.col("remove").cast("bigint").alias("remove"), F.col("put").cast("string").alias("put"))
+    known = trees.select("doc_id", "row", "n_chars").join(given, "doc_id")
+    place = F.least(F.greatest(F.coalesce("at", zero), zero), F.col("n_chars")).alias("at")
+    one = F.struct(F.greatest(F.coalesce("remove", zero), zero).alias("remove"), F.coalesce("put", F.lit("")).alias("put"))
+    # Of the edits at a place only the first is ever taken; the others are counted before anything is gathered.
+    first = known.groupBy("row", place).agg(F.min(one).alias("e"), F.count(F.lit(1)).alias("n"))
+    listed = first.groupBy("row").agg(F.collect_list(F.struct("at", "e.remove", "e.put")).alias("edits"), F.sum("n").alias("given"))
     work_list = trees.join(listed, "row")
     texts = _rows(docs, id_col, text_col).select("row", "text")
     schema = (
@@ -165,20 +170,19 @@ def recount(
         encode = encoder(tokenizer)
         for batch in batches:
             out = []
-            for row, text, doc, before, data, edits in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for row, text, doc, before, data, edits, given in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 tree = Tree.load(data)
                 if tree.points != len(text):
                     raise ValueError("a tree does not belong to its text")
                 taken = accepted([(e["at"], e["remove"], e["put"]) for e in edits], len(text))
                 new, again = apply_edits(tree, text, taken, encode)
-                out.append((doc, row, before, tree.tokens, tree.points, len(taken), len(edits) - len(taken), again, new, tree.dump()))
+                out.append((doc, row, before, tree.tokens, tree.points, len(taken), given - len(taken), again, new, tree.dump()))
             if out:
                 kinds = [*[pa.int64()] * 8, pa.string(), pa.binary()]
                 names = [f.split()[0] for f in schema.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    changed = texts.join(work_list, "row").select("row", "text", "doc_id", "n_tokens", "tree", "edits").mapInArrow(work, schema)
-    zero = F.lit(0).cast("bigint")
+    changed = texts.join(work_list, "row").select("row", "text", "doc_id", "n_tokens", "tree", "edits", "given").mapInArrow(work, schema)
     same = trees.join(listed.select("row"), "row", "left_anti").select(
         "doc_id", "row", F.col("n_tokens").alias("n_tokens_before"), "n_tokens", "n_chars", zero.alias("n_edits"), zero.alias("n_refused"),
         zero.alias("chars_encoded"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("binary").alias("tree"),
