@@ -196,25 +196,27 @@ def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, s
 def list_hits(lists: DataFrame, members: DataFrame, matches: int, percent: int) -> DataFrame:
     """Pairs (a, b) of a list's members (token, node, n, comp) in different clusters whose signatures agree in `matches` coordinates.
 
-    Lists are cut into blocks of about `LIST_BLOCK` members; a task compares two blocks (or one with itself) and gives only the hits.
+    The cluster with most members of a list is settled in itself there; every other member is compared with all of the list. Both sides
+    are cut into blocks of about `LIST_BLOCK` members; a task compares two blocks and gives only the hits.
     """
-    blocks = lists.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCK).cast("int").alias("blocks"))
-    dealt = lists.join(blocks, "token").join(members.select("node", "sig"), "node")
-    own = F.pmod(F.xxhash64("node", "token"), F.col("blocks")).cast("int")
-    sides = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda x: F.struct(F.least(x, own).alias("i"), F.greatest(x, own).alias("j"), (x < own).cast("int").alias("side")),
+    sizes = lists.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("found"))
+    blocks = sizes.groupBy("token").agg(F.max_by("comp", F.struct("found", "comp")).alias("main"), F.sum("found").alias("all"), F.max("found").alias("most")).select(
+        "token", "main", F.ceil((F.col("all") - F.col("most")) / LIST_BLOCK).cast("int").alias("lines"), F.ceil(F.col("all") / LIST_BLOCK).cast("int").alias("columns")
     )
+    dealt = lists.join(blocks.where("lines > 0"), "token").join(members.select("node", "sig"), "node")
+    spot = F.xxhash64("node", "token")
+    line, column = F.pmod(spot, F.col("lines")).cast("int"), F.pmod(spot, F.col("columns")).cast("int")
+    every = {n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)) for n in ("lines", "columns")}
+    left = dealt.where("comp <> main").select("token", line.alias("i"), every["columns"].alias("j"), F.lit(0).alias("side"), "node", "n", "comp", "sig")
+    right = dealt.select("token", every["lines"].alias("i"), column.alias("j"), F.lit(1).alias("side"), "node", "n", "comp", "sig")
     key = ["token", "i", "j"]
-    rows = dealt.select("token", "node", "n", "comp", "sig", F.explode(sides).alias("s")).select("token", "s.*", "node", "n", "comp", "sig")
-    ordered = rows.repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, "side")
+    ordered = left.unionByName(right).repartition(*[F.col(k) for k in key]).sortWithinPartitions(*key, "side")
 
     def compare(table: pa.Table) -> list[np.ndarray]:
         """Hits of the rows of one pair of blocks."""
         side, node, n, comp = (table.column(c).to_numpy() for c in ("side", "node", "n", "comp"))
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint32).reshape(-1, COORDINATES)
-        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        left, right = (np.arange(len(node)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         out = []
         step = max(1, _CELLS // max(1, len(right)))
         for at in range(0, len(left), step):
@@ -222,10 +224,8 @@ def list_hits(lists: DataFrame, members: DataFrame, matches: int, percent: int)
             small, large = np.minimum(n[some, None], n[right]), np.maximum(n[some, None], n[right])
             x, y = np.nonzero((comp[some, None] != comp[right]) & (100 * small >= percent * large))
             x, y = some[x], right[y]
-            if same:
-                x, y = x[x < y], y[x < y]
-            for lo in range(0, len(x), _CELLS):
-                a, b = x[lo : lo + _CELLS], y[lo : lo + _CELLS]
+            for lo in range(0, len(x), _CELLS // 8):
+                a, b = x[lo : lo + _CELLS // 8], y[lo : lo + _CELLS // 8]
                 hit = (sig[a] == sig[b]).sum(axis=1) >= matches
                 out.append(np.stack([np.minimum(node[a], node[b])[hit], np.maximum(node[a], node[b])[hit]]))
         return out
