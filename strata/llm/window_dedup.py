@@ -399,5 +399,6 @@ def remove_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             arrays = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *arrays], ["row", "doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(lost, "row", "left").select("row", "doc_id", "text", "spans")
+    # A merge join at any number of spans, so that the plan does not change with the size.
+    joined = rows.join(lost.hint("merge"), "row", "left").select("row", "doc_id", "text", "spans")
     return joined.mapInArrow(work, "row bigint, doc_id bigint, n_words bigint, n_removed bigint, kept string")
