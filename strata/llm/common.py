@@ -7,13 +7,13 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyarrow import fs as arrow_fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from strata.session import StrataError, cut, delete_path, scratch_path
+from strata.session import StrataError, cut, delete_path, scratch_path, write_counted
 
 __all__ = [
-    "BLANKS", "WORD", "WORD_PATTERN", "batch_rows", "cut", "delete_path", "fresh", "numbered", "open_fs", "sample_rows", "scratch_path", "shared_path", "stored", "table",
+    "BLANKS", "WORD", "WORD_PATTERN", "batch_rows", "counted", "cut", "delete_path", "fresh", "numbered", "open_fs", "sample_rows", "scratch_path", "shared_path", "stored", "table",
     "text_batches",
 ]
 
@@ -52,6 +52,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def counted(df: DataFrame, label: str, condition: Column | None = None) -> tuple[DataFrame, int]:
+    """`cut`, and the number of rows (that meet `condition`), counted while they are written."""
+    path = scratch_path(df.sparkSession, label)
+    rows = write_counted(df, path, condition)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows
+
+
 def _relation(docs: DataFrame):
     """The Parquet relation of one folder that `docs` scans with projections and filters only, else None."""
     plan = docs._jdf.queryExecution().analyzed()

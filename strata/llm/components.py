@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut
-from strata.session import is_empty
+from strata.llm.common import counted, cut
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,25 +15,30 @@ def components(edges: DataFrame) -> DataFrame:
     doubling and contracts the edges; a star takes one round. Every step is stored, so a lost executor costs one step.
     """
     mapping: DataFrame | None = None
-    while not is_empty(edges):
-        parent = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")), "parents")
+    given = edges
+    while True:
+        parent, found = counted(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("comp")), "parents")
+        if not found:
+            break
         while True:
             up = parent.select(F.col("node").alias("comp"), F.col("comp").alias("above"))
-            longer = cut(
+            longer, moved = counted(
                 parent.join(up, "comp", "left").select("node", F.coalesce("above", "comp").alias("comp"), F.col("above").isNotNull().alias("moved")),
-                "parents",
-            )
+                "parents", F.col("moved"),
+            )
             parent = longer.select("node", "comp")
-            if is_empty(longer.where("moved")):
+            if not moved:
                 break
         if mapping is None:
             mapping = parent
         else:
             mapping = cut(_relabel(mapping, parent, "comp").unionByName(parent), "components")
         ends = _relabel(_relabel(edges, parent, "a"), parent, "b").where("a <> b")
-        edges = cut(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        edges, left = counted(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        if not left:
+            break
     if mapping is None:
-        return edges.select(F.col("b").alias("node"), F.col("a").alias("comp"))
+        return given.select(F.col("b").alias("node"), F.col("a").alias("comp")).limit(0)
     return mapping
 
 

@@ -37,9 +37,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from strata.llm.common import cut, fresh, numbered, stored, text_batches
+from strata.llm.common import counted, cut, fresh, numbered, stored, text_batches
 from strata.llm.components import components
-from strata.session import is_empty
 
 COORDINATES = 64
 SHINGLE = 5
@@ -259,8 +258,8 @@ def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int
     for step in range(LEADER_ROUNDS + 1):
         placed = lists.withColumn("comp", F.col("node")) if clusters is None else lists.join(clusters, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        placed = cut(placed.join(mixed, "token"), "mixed")
-        if is_empty(placed):
+        placed, open_rows = counted(placed.join(mixed, "token"), "mixed")
+        if not open_rows:
             break
         if step < LEADER_ROUNDS:
             rank = F.xxhash64("token", "node", F.lit(step))
@@ -271,16 +270,16 @@ def clusters_of(lists: DataFrame, members: DataFrame, matches: int, percent: int
             chosen = Window.partitionBy("node").orderBy(F.xxhash64("node", "node2"), "node2")
             met = met.withColumn("place", F.row_number().over(chosen)).where(F.col("place") <= LEADERS)
         else:
-            new = cut(list_hits(placed, members, matches, percent), "collisions")
-            if not is_empty(new):
+            new, collisions = counted(list_hits(placed, members, matches, percent), "collisions")
+            if collisions:
                 hits = new if hits is None else hits.unionByName(new)
                 clusters = components(hits)
             break
         pairs = met.where(_sizes_fit(F.col("n"), F.col("n2"), percent)).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        new = cut(colliding(pairs, members, matches), "collisions")
-        if not is_empty(new):
+        new, collisions = counted(colliding(pairs, members, matches), "collisions")
+        if collisions:
             hits = new if hits is None else hits.unionByName(new)
             clusters = components(hits)
     return hits, clusters
