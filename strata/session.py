@@ -79,11 +79,11 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def write_counted(df: DataFrame, path: str, condition: Column | None = None) -> int:
+def write_counted(df: DataFrame, path: str, condition: Column | None = None, options: dict[str, str] | None = None) -> int:
     """Write `df` as parquet and give the number of rows (that meet `condition`), taken on the way."""
     seen = Observation()
     met = F.count(F.lit(1)) if condition is None else F.count_if(condition)
-    df.observe(seen, met.alias("rows")).write.parquet(path)
+    df.observe(seen, met.alias("rows")).write.options(**(options or {})).parquet(path)
     return int(seen.get["rows"])
 
 
@@ -148,18 +148,17 @@ class Workbench:
             self.spark.sql(f"DROP {'VIEW' if kind == 'VIEW' else 'TABLE'} IF EXISTS {fqn}")
 
     def replace_table(
-        self, fqn: str, df: DataFrame, cluster_by: list[str] | None = None, keep_empty: bool = True
+        self, fqn: str, df: DataFrame, keep_empty: bool = True, options: dict[str, str] | None = None
     ) -> int:
         """Replace a table by `df`, which may read the table itself; returns the row count.
 
         The rows go to a new folder first and the name is switched over afterwards, so a failed
         write leaves the old table as it was; a table of the same columns is switched without a gap. The version before the new one stays on disk for
-        readers that hold it; older ones are removed. `cluster_by` sorts the files by those
-        columns, so that key look-ups skip row groups. With `keep_empty=False` an empty result
-        leaves everything untouched.
+        readers that hold it; older ones are removed. `options` go to the Parquet writer. With
+        `keep_empty=False` an empty result leaves everything untouched.
         """
         path = f"{self.root}/{fqn.replace('.', '/')}/{uuid.uuid4().hex}"
-        rows = write_counted(df.sortWithinPartitions(*cluster_by) if cluster_by else df, path)
+        rows = write_counted(df, path, options=options)
         if rows == 0 and not keep_empty:
             delete_path(self.spark, path)
             return 0

@@ -85,6 +85,22 @@ def cache_table(spark, sf):
     return spark.table(cache.cache_table(wb, "remote.lineitem", "Main DB", keys=["l_orderkey"]).target)
 
 
+@query(
+    "cache_table_lookup",
+    """SELECT * FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey IN
+    (SELECT o_custkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10))""",
+)
+def cache_table_lookup(spark, sf):
+    """The items of all orders of the customers with the ten dearest orders."""
+    wb = mounted(spark, sf, "orders")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS remote LOCATION '{wb.root}/remote'")
+    wb.mount("remote.lineitem", f"{sf}/lineitem.parquet")
+    target = cache.cache_table(wb, "remote.lineitem", "Main DB", "items by order", keys=["l_orderkey", "l_partkey"]).target
+    orders = wb.table("imports.orders")
+    customers = orders.orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_custkey")
+    return cache.lookup(wb, target, "l_orderkey", orders.join(customers, "o_custkey", "left_semi").select("o_orderkey"))
+
+
 @query("table_preview", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100")
 def table_preview(spark, sf):
     return catalog.table_preview(mounted(spark, sf, "orders").table("imports.orders"), ["o_orderkey"])
