@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strata.functions import text as tx
 from strata.functions.sqlparts import table_refs
@@ -22,6 +23,7 @@ TAG_EQUAL, TAG_PART, NOTE, FILE_NAME, PATH, TEXT = 50, 40, 30, 25, 20, 10
 SEARCH_ROWS = 200
 RECENT_ROWS = 50
 CONTEXT_CHARS = 150_000
+CONTEXT_START = '{"tables":['
 CONTEXT_END = "\n...truncated..."
 
 
@@ -237,14 +239,20 @@ def query_context(texts: DataFrame, key: str, described: DataFrame, max_chars: i
         "description",
         F.transform("_cols", lambda x: x["c"]).alias("columns"),
     )
-    shown = tables.select("table_ref", F.to_json(entry).alias("entry"))
+    shown = cut(tables.select("table_ref", F.to_json(entry).alias("entry")), "entries")
     refs = cut(texts.select(key, F.explode(table_refs("sql")).alias("table_ref")), "refs")
+    # Ranks and lengths go first; an entry travels only to the texts in which it begins before the cut.
+    sizes = shown.select("table_ref", F.length("entry").alias("_size"))
+    ranked = top_per_key(spread_join(refs, sizes, ["table_ref"], "inner"), [key], [F.col("table_ref")], enough)
+    before = Window.partitionBy(key).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.lit(len(CONTEXT_START)) + F.coalesce(F.sum(F.col("_size") + 1).over(before), F.lit(0))
+    visible = cut(ranked.withColumn("_begin", begin).where(F.col("_begin") <= max_chars).select(key, "table_ref", "_rn"), "visible")
     listed = (
-        top_per_key(spread_join(refs, shown, ["table_ref"], "inner"), [key], [F.col("table_ref")], enough)
+        spread_join(visible, shown, ["table_ref"], "inner")
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("_rn", "entry"))).alias("_t"))
     )
-    body = F.concat(F.lit('{"tables":['), F.array_join(F.transform("_t", lambda x: x["entry"]), ","), F.lit("]}"))
+    body = F.concat(F.lit(CONTEXT_START), F.array_join(F.transform("_t", lambda x: x["entry"]), ","), F.lit("]}"))
     cut_off = F.concat(F.substring(body, 1, max_chars), F.lit(CONTEXT_END))
     return listed.select(key, F.when(F.length(body) > max_chars, cut_off).otherwise(body).alias("context"))
 

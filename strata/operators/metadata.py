@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.values import normalize_type_name
-from strata.operators.spread import top_per_key
-from strata.session import LAYERS
+from strata.operators.spread import spread_join, top_per_key
+from strata.session import LAYERS, cut
 
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog")
 
@@ -33,10 +33,14 @@ def constraint_join(
     )
     name = ["constraint_name", "constraint_schema"] + [c for c in ("table_name",) if c in referential.columns]
     rc = referential.select(*name, "unique_constraint_name", "unique_constraint_schema").distinct()
+    own = tc.join(kcu, ["table_schema", "table_name", "constraint_name"]).join(rc, name, "left")
+    # A central table's key is referred to by a large share of all rows, and primary keys refer to nothing.
+    own = cut(own.select(
+        "table_schema", "table_name", "column_name", "constraint_name", "constraint_type",
+        "unique_constraint_name", "unique_constraint_schema", "ordinal_position",
+    ), "keys")
     return (
-        tc.join(kcu, ["table_schema", "table_name", "constraint_name"])
-        .join(rc, name, "left")
-        .join(target, ["unique_constraint_name", "unique_constraint_schema", "ordinal_position"], "left")
+        spread_join(own, target, ["unique_constraint_name", "unique_constraint_schema", "ordinal_position"], "left")
         .where(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
         .select(
             "table_schema", "table_name", "column_name", "constraint_name", "constraint_type",
