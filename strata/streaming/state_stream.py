@@ -8,9 +8,12 @@ state from one key to another and cannot be settled key by key.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from itertools import repeat
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,7 +23,11 @@ from strata.operators.history import KEEP_DAYS, KEEP_ROWS, retain
 from strata.session import StrataError
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_EPOCH = datetime(1970, 1, 1)
+_DAY = 86_400_000_000
+#: Microseconds of a slice of time, whose young runs of a key are one state value.
+_SLICE = _DAY // 4
+#: Before the name of a further column of a run in the state.
+_OTHER = "of_"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -52,49 +59,83 @@ class NewestEvent(StatefulProcessor):
 
 
 class KeptRuns(StatefulProcessor):
-    """Keeps the newest `keep` runs of a key and those younger than `days` days of event time; a timer ends the youth of the oldest."""
+    """Keeps the runs of a key in one slice of time while they are younger than `days` days of event time, until a timer ends the youth of the oldest;
+    without a slice, the newest `keep` runs of the key. A state value has an array per column."""
 
-    def __init__(self, ts: str, tie: str, columns: list[str], order: T.StructType, values: T.StructType, keep: int, days: int):
-        self.ts, self.tie, self.columns, self.order, self.values = ts, tie, columns, order, values
-        self.keep, self.youth = keep, timedelta(days=days)
+    def __init__(self, schema: T.StructType, keep: int, days: int):
+        self.schema, self.keep, self.youth = schema, keep, days * _DAY
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.kept = handle.getMapState("kept", self.order, self.values)
-
-    def _prune(self, timerValues: Any) -> None:
-        """Drop what is neither young nor among the newest, and wake up when the oldest young run is no longer young."""
+        self.kept = handle.getValueState("kept", self.schema)
+
+    def _held(self) -> dict[tuple, tuple]:
+        held = self.kept.get()
+        if held is None:
+            return {}
+        others = zip(*held[2:], strict=True) if len(held) > 2 else repeat(())
+        return dict(zip(zip(held[0], held[1], strict=True), others))
+
+    def _store(self, runs: dict[tuple, tuple]) -> None:
+        if runs:
+            self.kept.update(tuple(list(c) for c in zip(*((*k, *v) for k, v in runs.items()), strict=True)))
+        else:
+            self.kept.clear()
+
+    def _prune(self, runs: dict[tuple, tuple], timerValues: Any) -> None:
+        """Store what is young, and wake up when the oldest of it no longer is."""
         now = timerValues.getCurrentWatermarkInMs()
-        since = _EPOCH + timedelta(milliseconds=now) - self.youth if now > 0 else datetime.min
-        # Newest first; equal times by the tie.
-        runs = sorted((tuple(k) for k in self.kept.keys()), key=lambda k: (-_micros(k[0]), k[1]))
-        late = [k for k in runs[self.keep :] if k[0] <= since]
-        for k in late:
-            self.kept.removeKey(k)
-        young = [k[0] for k in runs[self.keep :] if k[0] > since]
+        young = {k: v for k, v in runs.items() if k[0] > now * 1000 - self.youth} if now > 0 else runs
+        self._store(young)
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         if young:
-            self.handle.registerTimer(_micros(min(young) + self.youth) // 1000 + 1)
+            self.handle.registerTimer((min(k[0] for k in young) + self.youth) // 1000 + 1)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        n = 0
+        runs, n = self._held(), 0
         for row in rows:
-            self.kept.updateValue((row[self.ts], row[self.tie]), tuple(row[c] for c in self.columns))
+            runs[row[3], row[4]] = tuple(row[5:])
             n += 1
-        self._prune(timerValues)
-        yield Row(key=key[0], added=n)
+        if key[1] is None:
+            # Newest first; equal times by the tie.
+            newest = sorted(runs, key=lambda k: (-k[0], k[1] is not None, k[1]))[: self.keep]
+            self._store({k: runs[k] for k in newest})
+        else:
+            self._prune(runs, timerValues)
+            yield Row(key=key[0], added=n)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        self._prune(timerValues)
+        old = (key[1] + 1) * _SLICE <= timerValues.getCurrentWatermarkInMs() * 1000 - self.youth
+        self._prune({} if old else self._held(), timerValues)
         yield Row(key=key[0], added=0)
 
     def close(self) -> None:
         pass
 
 
-def _micros(ts: datetime) -> int:
-    return (ts - _EPOCH) // timedelta(microseconds=1)
+def _with_newest(runs: DataFrame, key: str, tie: str, keep: int) -> DataFrame:
+    """All runs, and once more, marked as `_newest`, the newest `keep` of every key in an input partition: no others can be the newest of all."""
+
+    def first(rows: pa.Table) -> pa.Table:
+        order = [(key, "ascending"), ("_us", "descending"), (tie, "ascending")]
+        rows = rows.take(pc.sort_indices(rows, order, null_placement="at_start"))
+        codes = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        begins = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+        rank = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+        return rows.filter(pa.array(rank < keep))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        newest = None
+        for batch in batches:
+            if batch.num_rows:
+                rows = pa.Table.from_batches([batch])
+                newest = first(rows if newest is None else pa.concat_tables([newest, rows]))
+                yield batch.append_column("_newest", pa.array(np.zeros(batch.num_rows, bool)))
+        if newest is not None:
+            yield from newest.append_column("_newest", pa.array(np.ones(newest.num_rows, bool))).to_batches()
+
+    return runs.mapInArrow(work, T.StructType([*runs.schema.fields, T.StructField("_newest", T.BooleanType())]))
 
 
 def _start(spark: SparkSession, out: DataFrame, checkpoint: str, once: bool) -> StreamingQuery:
@@ -143,27 +184,28 @@ def follow_history(
     """
     if {key, ts, tie} - set(runs.columns):
         raise StrataError("the runs lack the key, the time or the tie")
-    types = {f.name: f.dataType for f in runs.schema.fields}
     columns = [c for c in runs.columns if c not in (key, ts, tie)]
-    order = T.StructType([T.StructField("ts", T.TimestampNTZType()), T.StructField("tie", types[tie])])
-    # A state value has a column at least.
-    values = T.StructType([T.StructField(c, types[c]) for c in columns or [tie]])
     # Watermarks go by a timestamp with zone; the runs' times are read as UTC, whatever the session's zone.
-    at = F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', CAST(`{ts}` AS timestamp_ntz))"))
-    timed = runs.withColumn("_at", at).withWatermark("_at", delay or f"{days} days").withColumn(ts, F.col(ts).cast("timestamp_ntz"))
-    processor = KeptRuns(ts, tie, columns or [tie], order, values, keep, days)
+    micros = F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', CAST(`{ts}` AS timestamp_ntz))")
+    placed = runs.select(key, F.coalesce(micros, F.raise_error(F.lit("a run has no time"))).cast("bigint").alias("_us"), tie, *columns)
+    types = {f.name: f.dataType for f in placed.schema.fields}
+    schema = T.StructType([T.StructField(n, T.ArrayType(types[c])) for n, c in (("ts", "_us"), ("tie", tie), *((f"{_OTHER}{c}", c) for c in columns))])
+    at, time_slice = F.timestamp_micros("_us"), F.when(~F.col("_newest"), F.expr(f"_us DIV {_SLICE}"))
+    copied = _with_newest(placed, key, tie, keep).select(key, time_slice.alias("_slice"), at.alias("_at"), "_us", tie, *columns)
+    timed = copied.withWatermark("_at", delay or f"{days} days")
     out_type = T.StructType([T.StructField("key", types[key]), T.StructField("added", T.LongType())])
-    out = timed.groupBy(key).transformWithState(processor, out_type, "Update", "EventTime")
+    out = timed.groupBy(key, "_slice").transformWithState(KeptRuns(schema, keep, days), out_type, "Update", "EventTime")
     return _start(runs.sparkSession, out, checkpoint, once)
 
 
 def history_state(spark: SparkSession, checkpoint: str, key: str, ts: str, tie: str) -> DataFrame:
-    """The runs that the state holds."""
+    """The runs that the state holds; one that is young and among the newest is listed once."""
     state = spark.read.format("statestore").option("stateVarName", "kept").load(checkpoint)
-    others = [c for c in state.schema["user_map_value"].dataType.names if c != tie]
-    return state.select(
-        F.col(f"key.{key}").alias(key), F.col("user_map_key.ts").alias(ts), F.col("user_map_key.tie").alias(tie), *[F.col(f"user_map_value.{c}").alias(c) for c in others]
-    )
+    names = state.schema["value"].dataType.names
+    runs = state.select(F.col(f"key.{key}").alias(key), F.explode(F.arrays_zip(*[F.col(f"value.{n}").alias(n) for n in names])).alias("_r"))
+    at = F.expr("timestampadd(MICROSECOND, _r.ts, timestamp_ntz'1970-01-01')")
+    others = [F.col(f"_r.{n}").alias(n.removeprefix(_OTHER)) for n in names[2:]]
+    return runs.select(key, at.alias(ts), F.col("_r.tie").alias(tie), *others).dropDuplicates([key, ts, tie])
 
 
 def kept_history(

@@ -71,3 +71,25 @@ def test_history_is_kept_by_rank_and_youth_and_stays_bounded(spark, tmp_path):
     got = [(r.run_id, r.kind, r.ts, r.note) for r in kept.collect()]
     assert sorted(got) == sorted(want)
     assert max(s["busy"] for s in sizes) <= 24 * 3 + 1 and sizes[-1]["gone"] == 5 and sizes[-1]["rare"] == 5
+
+
+def test_a_hot_key_of_the_history_is_spread_over_slices_of_time(spark, tmp_path):
+    """No group of the state holds all runs of a key; runs told again, also in a later batch, are held once, as told last."""
+    day = datetime(2024, 3, 1)
+    schema = "run_id bigint, kind string, ts timestamp_ntz, note string"
+    rows = [(i, "hot", day + timedelta(minutes=i), "first") for i in range(3 * 24 * 60)] + [(0, None, day, None)]
+    again = [(*r[:3], "again") for r in rows[-50:-1]]
+    incoming, point = str(tmp_path / "in"), str(tmp_path / "point")
+    for part in (rows, again):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(incoming)
+        source = spark.readStream.schema(schema).parquet(incoming)
+        state_stream.follow_history(source, "kind", "ts", "run_id", point, keep=5, days=2).awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "kept").load(point)
+    sizes = [r[0] for r in held.select(F.size("value.ts")).collect()]
+    assert max(sizes) <= 6 * 60 and len(sizes) >= 12
+    end = rows[-2][2]
+    kept = state_stream.kept_history(spark, point, "kind", "ts", "run_id", F.lit(end).cast("timestamp_ntz"), keep=5, days=2)
+    want = [r for r in rows[:-1] if r[2] > end - timedelta(days=2)]
+    want = [(*r[:3], "again") if r in rows[-50:-1] else r for r in want] + rows[-1:]
+    got = [(r.run_id, r.kind, r.ts, r.note) for r in kept.collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
