@@ -1,4 +1,4 @@
-"""Change streams whose state is the table: the newest event of every key, and a history that prunes itself by timers.
+"""Change streams whose state is the table: the newest event of every key by a streaming aggregation, and a history that prunes itself by timers.
 
 The state lives in the state store (RocksDB) below the checkpoint and is read as a table from there, so nothing is folded on reading and nothing
 of a batch is kept but what still counts. A restart goes on from the checkpoint. `index_stream` keeps logs instead; it also takes renames, which move
@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from strata.operators.history import KEEP_DAYS, KEEP_ROWS, retain
-from strata.session import StrataError
+from strata.session import StrataError, path_exists
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _DAY = 86_400_000_000
@@ -31,33 +31,6 @@ _OTHER = "of_"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class NewestEvent(StatefulProcessor):
-    """Keeps seq, whether the key is deleted, and the fields of a key's event with the highest seq; gives that event when it changes."""
-
-    def __init__(self, fields: list[str], schema: T.StructType):
-        self.fields, self.schema = fields, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.latest = handle.getValueState("latest", self.schema)
-
-    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        held = self.latest.get()
-        best, found = (held[0] if held is not None else None), None
-        for row in rows:
-            if row["seq"] is not None and (best is None or row["seq"] > best):
-                best, found = row["seq"], row
-        if found is not None:
-            deleted = found["op"] == "delete"
-            self.latest.update((best, deleted, *[None if deleted else found[f] for f in self.fields]))
-            yield Row(key=key[0], seq=best, deleted=deleted)
-
-    def handleInitialState(self, key: Any, initialState: Row, timerValues: Any) -> None:
-        self.latest.update((initialState["seq"], False, *[initialState[f] for f in self.fields]))
-
-    def close(self) -> None:
-        pass
-
-
 class KeptRuns(StatefulProcessor):
     """Keeps the runs of a key in one slice of time while they are younger than `days` days of event time, until a timer ends the youth of the oldest;
     without a slice, the newest `keep` runs of the key. A state value has an array per column."""
@@ -154,24 +127,33 @@ def follow_index(feed: DataFrame, fields: list[str], checkpoint: str, base: Data
     """Keep the newest event of each key of a feed (seq, op, key and `fields`; op is upsert or delete) as state.
 
     Late older events change nothing, also those of deleted keys. `base` (key, seq, `fields`) is the state that a new checkpoint begins
-    with; entries that no event has touched have a null seq.
+    with; entries that no event has touched have a null seq. It is stored beside the checkpoint and joins the feed as its first
+    batch; a base entry wins over events up to its seq.
     """
-    types = {f.name: f.dataType for f in feed.schema.fields}
-    schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType()), *[T.StructField(f, types[f]) for f in fields]])
-    rows = feed.select("key", F.col("seq").cast("bigint").alias("seq"), "op", *fields)
-    known = F.when(F.col("op").isin("upsert", "delete"), F.col("op")).otherwise(F.raise_error(F.lit("the state takes upserts and deletes only")))
-    out_type = T.StructType([T.StructField("key", types["key"]), T.StructField("seq", T.LongType()), T.StructField("deleted", T.BooleanType())])
-    start = None if base is None else base.select("key", F.col("seq").cast("bigint").alias("seq"), *fields).groupBy("key")
-    grouped = rows.withColumn("op", known).groupBy("key")
-    out = grouped.transformWithState(NewestEvent(fields, schema), out_type, "Update", "None", initialState=start)
-    return _start(feed.sparkSession, out, checkpoint, once)
+    spark = feed.sparkSession
+    stored = f"{checkpoint.rstrip('/')}-base"
+    known = F.when(F.col("op").isin("upsert", "delete"), F.col("seq").isNotNull()).otherwise(F.raise_error(F.lit("the state takes upserts and deletes only")))
+    seq, deleted = F.col("seq").cast("bigint").alias("seq"), F.col("op") == "delete"
+    events = feed.where(known).select("key", seq, F.lit(False).alias("based"), deleted.alias("deleted"), *[F.when(~deleted, F.col(f)).alias(f) for f in fields])
+    begun = path_exists(spark, f"{checkpoint}/offsets")
+    if base is not None and not begun:
+        types = {f.name: f.dataType for f in events.schema.fields}
+        held = [F.col(c).cast(types[c]).alias(c) for c in ("key", "seq", *fields)]
+        entries = base.select(*held[:2], F.lit(True).alias("based"), F.lit(False).alias("deleted"), *held[2:])
+        entries.write.mode("overwrite").parquet(stored)
+    if path_exists(spark, stored) and (begun or base is not None):
+        schema = T.StructType([T.StructField(f.name, f.dataType) for f in events.schema.fields])
+        events = events.unionByName(spark.readStream.schema(schema).parquet(stored))
+    newest = F.max_by(F.struct("seq", "deleted", *fields), F.struct("seq", "based"))
+    return _start(spark, events.groupBy("key").agg(newest.alias("latest")), checkpoint, once)
 
 
 def index_state(spark: SparkSession, checkpoint: str, fields: list[str]) -> DataFrame:
     """The index as the state has it: key, `fields`, seq of the keys that are not deleted."""
-    state = spark.read.format("statestore").option("stateVarName", "latest").load(checkpoint)
-    live = state.where(~F.col("value.deleted"))
-    return live.select("key.key", *[F.col(f"value.{f}").alias(f) for f in fields], F.col("value.seq").alias("seq"))
+    state = spark.read.format("statestore").load(checkpoint)
+    # The first part of the aggregate's state is its value, the second what it goes by.
+    latest = state.select("key.key", F.col(f"value.{state.schema['value'].dataType.names[0]}").alias("latest")).where("NOT latest.deleted")
+    return latest.select("key", *[F.col(f"latest.{f}").alias(f) for f in fields], F.col("latest.seq").alias("seq"))
 
 
 def follow_history(

@@ -93,3 +93,18 @@ def test_a_hot_key_of_the_history_is_spread_over_slices_of_time(spark, tmp_path)
     want = [(*r[:3], "again") if r in rows[-50:-1] else r for r in want] + rows[-1:]
     got = [(r.run_id, r.kind, r.ts, r.note) for r in kept.collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_a_feed_of_many_keys_is_aggregated_without_a_python_call_per_key(spark, tmp_path):
+    """Base entries win over events up to their seq; events without a seq are none; keys of the base alone stay."""
+    base = spark.createDataFrame([("a", 5, "base"), ("b", None, "base"), ("c", None, "base"), ("d", 5, "base"), (None, None, "base")], "key string, seq bigint, title string")
+    rows = [(5, "upsert", "a", "same seq"), (6, "delete", "d", "gone"), (1, "upsert", "b", "new"), (None, "upsert", "c", "no seq"), (None, "upsert", "e", "no seq")]
+    incoming, point = str(tmp_path / "in"), str(tmp_path / "point")
+    schema = "seq bigint, op string, key string, title string"
+    for part, start in ((rows[:2], base), (rows[2:], None)):
+        spark.createDataFrame(part, schema).write.mode("append").parquet(incoming)
+        query = state_stream.follow_index(spark.readStream.schema(schema).parquet(incoming), ["title"], point, start)
+        query.awaitTermination()
+        assert "Python" not in query._jsq.explainInternal(False)
+    got = sorted((tuple(r) for r in state_stream.index_state(spark, point, ["title"]).collect()), key=repr)
+    assert got == sorted([("a", "base", 5), ("b", "new", 1), ("c", "base", None), (None, "base", None)], key=repr)
