@@ -13,6 +13,10 @@ from strata.session import cut
 HOT_ROWS = 1_000_000
 #: Bytes that a partition of a sorted copy should have.
 PART_BYTES = 128 << 20
+#: Bytes in a row's memory that a byte of a stored table may unpack to.
+UNPACKED = 8
+#: From here on a source's size is Spark's word for not knowing it.
+_UNKNOWN = 1 << 60
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
@@ -72,8 +76,14 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], k: int, nam
 
 
 def sized_parts(df: DataFrame) -> int:
-    """Partitions of about `PART_BYTES`, by the plan's estimate, and no fewer than the session's."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Partitions of about `PART_BYTES`, by the plan's estimate, and no fewer than the session's.
+
+    An estimate multiplies the sides of a join, so it counts only up to what the tables read can unpack to; a source of unknown size counts nothing.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = min(int(str(plan.stats().sizeInBytes())), UNPACKED * sum(s for s in sizes if s < _UNKNOWN))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 1_000_000))
 
 

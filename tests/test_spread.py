@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strata.operators.spread import hot_keys, number_rows, spread_join, spread_scan, top_per_key
+from strata.operators.spread import hot_keys, number_rows, sized_parts, spread_join, spread_scan, top_per_key
+from strata.session import cut
 
 
 @pytest.fixture
@@ -83,3 +84,12 @@ def test_spread_scan(spark, sf):
     wide = spread_scan(df)
     assert wide.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert wide.count() == df.count()
+
+
+def test_a_join_is_not_sized_by_the_product_of_its_sides(spark):
+    """Spark estimates a join at the product of its sides: two tables of a few hundred kB would go over thousands of partitions."""
+    sides = [cut(spark.range(60_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias(f"t{i}")), "side") for i in (0, 1)]
+    joined = sides[0].join(sides[1], "id", "left")
+    estimate = int(str(joined._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert estimate > 100 * (128 << 20)
+    assert sized_parts(joined) == int(spark.conf.get("spark.sql.shuffle.partitions"))
