@@ -189,52 +189,71 @@ def reconcile_lineage(tables: DataFrame, catalog: DataFrame, min_rows: int = HOT
     return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in tables.columns])
 
 
-def upstream_trace(
-    edges: DataFrame, table: str, column: str, hops: int = 4
-) -> tuple[DataFrame, DataFrame]:
+#: Rows of a round that are sent to every task that reads edges, up to some 50 MB; with more, edges and rows are joined by a shuffle.
+MOST_SENT = 500_000
+
+
+def _sent(rows: DataFrame, n: int, most: int) -> DataFrame:
+    return F.broadcast(rows) if n <= most else rows
+
+
+def _stored_count(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """`rows` as a stored table, and how many there are."""
+    path = scratch_path(rows.sparkSession, label)
+    n = write_counted(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path), n
+
+
+def upstream_trace(edges: DataFrame, table: str, column: str, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
     """Columns and edges that feed one column, breadth first; safe on cycles.
 
-    Returns (columns with their distance, edges). A round starts from the columns found last and
-    takes `hops` steps in one plan; only what is new is written, to a sub-folder of its own, so
-    what was seen stays one scan and no lineage builds up. Several hops save rounds; with one, the
-    edges are read least often, which suits graphs that are large for the cluster.
+    Returns (columns with their distance, edges). A round follows the edges into the columns found last; only what is new is written, to a
+    sub-folder of its own, so what was seen stays one scan and no lineage builds up. Up to `most_sent` columns are sent to the scans of the
+    edges and of what was seen, which are then not shuffled; only rounds with more shuffle them, of which there are at most columns / `most_sent`.
     """
     spark = edges.sparkSession
     ends, key = ["source", "source_column", "target", "target_column"], ["target", "target_column"]
     folder = scratch_path(spark, "trace")
     slim = cut(edges.select(*ends).distinct(), "trace")
-    seen = lambda: spark.read.schema("target string, target_column string, distance int").parquet(folder)
+    schema = "target string, target_column string, distance int"
+    seen = lambda: spark.read.schema(schema).parquet(folder)
     start = spark.sql("SELECT :t AS target, :c AS target_column, 0 AS distance", {"t": table, "c": column})
     start.write.parquet(f"{folder}/round=0")
+    new = total = 1
     # Ends by itself: a round that finds nothing new is the last, and columns are finite.
-    for done in count(0, hops):
-        level = seen().where(F.col("distance") == done).select(*key)
-        found = []
-        for step in range(1, hops + 1):
-            # A semi-join gives each edge once at most, so levels do not multiply.
-            level = slim.join(level, key, "left_semi").select(
-                F.col("source").alias("target"), F.col("source_column").alias("target_column")
-            )
-            found.append(level.withColumn("distance", F.lit(done + step)))
-        nearest = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("distance").alias("distance"))
-        fresh = nearest.join(seen().select(*key), key, "left_anti")
-        last = F.col("distance") == done + hops
-        if write_counted(fresh, f"{folder}/round={done + hops}", last) == 0:
+    for done in count():
+        level = spark.read.schema(schema).parquet(f"{folder}/round={done}").select(*key)
+        fed = slim.join(_sent(level, new, most_sent), key, "left_semi")
+        reached, n = _stored_count(fed.select(F.col("source").alias("target"), F.col("source_column").alias("target_column")).distinct(), "reached")
+        fresh = _unseen(reached, n, seen().select(*key), key, most_sent).withColumn("distance", F.lit(done + 1))
+        new = write_counted(fresh, f"{folder}/round={done + 1}")
+        total += new
+        if new == 0:
             break
     columns = seen().select(F.col("target").alias("table_fqn"), F.col("target_column").alias("column_name"), "distance")
     # Every edge into a column that was reached has been followed.
-    return columns, slim.join(seen().select(*key), key, "left_semi").select(*ends)
+    return columns, slim.join(_sent(seen().select(*key), total, most_sent), key, "left_semi").select(*ends)
+
+
+def _unseen(reached: DataFrame, n: int, seen: DataFrame, key: list[str], most_sent: int) -> DataFrame:
+    """The reached columns that were not seen; a missing name is one name."""
+    named = [f"_{c}" for c in key]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    # What was seen may be long: it is cut to what was reached before the two are set off.
+    met = seen.toDF(*named).join(_sent(reached, n, most_sent), same, "left_semi")
+    return reached.join(_sent(met, n, most_sent), same, "left_anti")
 
 
 #: Start columns whose reach one row holds, as bits of a bigint.
 _WORD = 64
 
 
-def upstream_traces(edges: DataFrame, starts: DataFrame) -> DataFrame:
+def upstream_traces(edges: DataFrame, starts: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """What feeds each of many columns: start_table, start_column, table_fqn, column_name, distance; safe on cycles.
 
     `starts`: table_fqn, column_name. Columns are numbered; a row of a round holds, for a column and 64 starts, the bits of the starts that reached
-    it just then. A round joins the edges once for all starts, ors the bits per column before they travel, and keeps what was not seen. So there
+    it just then. A round joins the edges once for all starts, ors the bits per column before they travel, and keeps what was not seen. Rounds of up
+    to `most_sent` rows are sent to the scans of the edges and of what was seen, which are then not shuffled. There
     are as many rounds as the longest of the shortest ways, and rows for columns times starts / 64.
     """
     spark = edges.sparkSession
@@ -252,16 +271,19 @@ def upstream_traces(edges: DataFrame, starts: DataFrame) -> DataFrame:
     folder = scratch_path(spark, "traces")
     schema = "node bigint, word bigint, bits bigint, distance int"
     first = begun.groupBy("node", F.expr(f"start DIV {_WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
-    first.write.parquet(f"{folder}/distance=0")
+    new = write_counted(first, f"{folder}/distance=0")
     seen = lambda: spark.read.schema(schema).parquet(folder)
     # Ends by itself: each round adds a bit at least, and bits are finite.
     for distance in count(1):
-        level = seen().where(F.col("distance") == distance - 1)
-        reached = slim.join(level, "node").groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
-        held = seen().groupBy("node", "word").agg(F.bit_or("bits").alias("_held"))
-        fresh = reached.join(held, ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("bigint")))))
-        path = f"{folder}/distance={distance}"
-        if write_counted(fresh.where("bits <> 0").select("node", "word", "bits"), path) == 0:
+        level = spark.read.schema("node bigint, word bigint, bits bigint").parquet(f"{folder}/distance={distance - 1}")
+        fed = slim.join(_sent(level, new, most_sent), "node")
+        reached, n = _stored_count(fed.groupBy(F.col("src").alias("node"), "word").agg(F.bit_or("bits").alias("bits")), "reached")
+        # What was seen may be long: it is cut to the nodes that were reached before bits are gathered.
+        met = seen().join(_sent(reached.select("node", "word"), n, most_sent), ["node", "word"], "left_semi")
+        held = met.groupBy("node", "word").agg(F.bit_or("bits").alias("_held"))
+        fresh = reached.join(_sent(held, n, most_sent), ["node", "word"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_held", F.lit(0).cast("bigint")))))
+        new = write_counted(fresh.where("bits <> 0").select("node", "word", "bits"), f"{folder}/distance={distance}")
+        if new == 0:
             break
     set_bits = F.filter(F.sequence(F.lit(0), F.lit(_WORD - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
     long = seen().select("node", "distance", "word", F.explode(set_bits).alias("i")).select("node", "distance", (F.col("word") * _WORD + F.col("i")).alias("start"))

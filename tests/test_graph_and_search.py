@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from strata.operators import corpus, history, lineage, metadata, relations
@@ -315,3 +316,48 @@ def test_many_traces_equal_single_ones(spark):
     got = lineage.upstream_traces(df, spark.createDataFrame(starts, "table_fqn string, column_name string")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(starts) > 64
     assert lineage.upstream_traces(df, spark.createDataFrame([], "table_fqn string, column_name string")).count() == 0
+
+
+@pytest.mark.parametrize("most_sent", [0, 3, 10**6])
+def test_traces_are_the_same_whether_rounds_are_sent_or_shuffled(spark, most_sent):
+    rnd = random.Random(8)
+    edges = [(f"t{rnd.randrange(25)}", f"c{rnd.randrange(2)}", f"t{rnd.randrange(25)}", f"c{rnd.randrange(2)}") for _ in range(60)]
+    edges += [(None, "c0", "t1", "c0"), (None, "c0", "t2", "c0"), (None, "c0", "t3", "c1")]
+    into = {}
+    for a, b, c, d in edges:
+        into.setdefault((c, d), set()).add((a, b))
+
+    def reach(start):
+        at, level = {start: 0}, [start]
+        while level:
+            level = [s for n in level if n[0] is not None for s in into.get(n, ()) if s not in at and not at.update({s: at[n] + 1})]
+        return at
+
+    df = spark.createDataFrame(edges, EDGES)
+    want = reach(("t1", "c0"))
+    columns, used = lineage.upstream_trace(df, "t1", "c0", most_sent=most_sent)
+    assert sorted(map(repr, columns.collect())) == sorted(repr(Row(table_fqn=t, column_name=c, distance=d)) for (t, c), d in want.items())
+    assert {tuple(r) for r in used.collect()} == {e for e in edges if (e[2], e[3]) in want}
+    starts = [(f"t{i}", f"c{i % 2}") for i in range(12)]
+    # Edges without a name at one end are not numbered.
+    named = [e for e in edges if e[0] is not None]
+    got = lineage.upstream_traces(spark.createDataFrame(named, EDGES), spark.createDataFrame(starts, "table_fqn string, column_name string"), most_sent)
+    whole = {(*s, *n, d) for s in starts for n, d in reach(s).items() if n[0] is not None}
+    assert {tuple(r) for r in got.select("start_table", "start_column", "table_fqn", "column_name", "distance").collect()} == whole
+
+
+def test_rounds_of_a_trace_do_not_shuffle_the_edges(spark, monkeypatch):
+    plans, write = [], lineage.write_counted
+    monkeypatch.setattr(lineage, "write_counted", lambda df, *a: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = spark.createDataFrame([(f"t{i + 1}", "c", f"t{i}", "c") for i in range(4)], EDGES)
+        columns, used = lineage.upstream_trace(df, "t0", "c")
+        assert columns.count() == 5 and used.count() == 4
+        assert "SortMergeJoin" not in used._jdf.queryExecution().executedPlan().toString()
+        found = lineage.upstream_traces(df, spark.createDataFrame([("t0", "c")], "table_fqn string, column_name string"))
+        assert found.count() == 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) >= 15 and not [p for p in plans if "SortMergeJoin" in p]
