@@ -93,3 +93,17 @@ def test_only_records_of_several_lines_are_shuffled(spark, small_splits, tmp_pat
     assert len(grouped) == 1 and grouped[0].text == '9999,"a\nb"'
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(file") == plan.count("hashpartitioning(file#") and "from_line" in plan
+
+
+def test_the_csv_query_does_not_pass_all_documents_through_one_task(spark, tmp_path, monkeypatch):
+    from workloads import files as query
+
+    rows = [(i, f'line\n"{i}", end', "en", "src", i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    written, take = [], files.import_file
+    monkeypatch.setattr(query.files, "import_file", lambda wb, path, **kw: written.append(spark.read.format("binaryFile").load(f"{path}/*.csv").count()) or take(wb, path, **kw))
+    monkeypatch.setattr(query, "read", lambda spark, sf, t: spark.read.parquet(f"{sf}/{t}.parquet").repartition(6))
+    got = query.import_csv_multiline(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in got.collect()) == rows
+    assert written[0] == 6

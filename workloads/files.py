@@ -25,9 +25,9 @@ def import_csv(spark, sf):
 
 @query("import_csv_multiline", "SELECT doc_id, text, lang, source, n_chars FROM documents")
 def import_csv_multiline(spark, sf):
-    """One file of documents, whose texts hold line ends, quotes and separators."""
+    """Files of documents, whose texts hold line ends, quotes and separators."""
     folder = f"{scratch_path(spark, 'incoming')}/documents.csv"
-    d = read(spark, sf, "documents").coalesce(1)
+    d = read(spark, sf, "documents")
     d.write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue='""').csv(folder)
     done = files.import_file(workbench(spark), folder, name="documents from csv")
     return spark.table(done.view)
