@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strata.functions import sqlparts
 from strata.functions.text import edge_label
-from strata.operators.spread import HOT_ROWS, number_rows, spread_join
+from strata.operators.spread import HOT_ROWS, deal, number_rows, sized_parts, spread_join
 from strata.session import PIPELINE_LAYERS, cut, scratch_path, write_counted
 
 CELL = ["pipeline_id", "cell_id"]
@@ -119,15 +119,17 @@ def lineage_column_nodes(cells: DataFrame, columns: DataFrame, edges: DataFrame
     """Columns of the outputs with their types, and source columns (type unknown) the edges name."""
     if edges is None:
         edges = lineage_column_edges(cells, columns)
-    outputs = lineage_cells(cells).select("pipeline_id", F.col("fqn").alias("table_fqn")).distinct()
+    key = ["pipeline_id", "table_fqn", "column_name"]
+    parts = max(sized_parts(columns), sized_parts(edges))
+    outputs = deal(lineage_cells(cells).select("pipeline_id", F.col("fqn").alias("table_fqn")), parts, ["table_fqn"]).distinct()
     catalog = columns.select(
         F.concat_ws(".", "table_schema", "table_name").alias("table_fqn"), "column_name", "data_type"
     )
-    own = catalog.join(outputs, "table_fqn").select("pipeline_id", "table_fqn", "column_name", "data_type")
+    own = deal(catalog, parts, ["table_fqn"]).join(outputs, "table_fqn").select("pipeline_id", "table_fqn", "column_name", "data_type")
     named = edges.where("reason = 'select_expr'").select(
         "pipeline_id", F.col("source").alias("table_fqn"), F.col("source_column").alias("column_name")
-    ).distinct()
-    outside = named.join(own, ["pipeline_id", "table_fqn", "column_name"], "left_anti")
+    )
+    outside = deal(named, parts, key).distinct().join(deal(own, parts, key), key, "left_anti")
     return own.unionByName(outside.withColumn("data_type", F.lit("unknown")))
 
 

@@ -13,20 +13,29 @@ from strata.session import cut
 HOT_ROWS = 1_000_000
 #: Bytes that a partition of a sorted copy should have.
 PART_BYTES = 128 << 20
+#: Stored bytes whose rows one task of a spread scan should have to take.
+SCAN_BYTES = 4 << 20
 #: Bytes in a row's memory that a byte of a stored table may unpack to.
 UNPACKED = 8
 #: From here on a source's size is Spark's word for not knowing it.
 _UNKNOWN = 1 << 60
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give every core a share of a scan that has fewer splits than there are cores.
+def spread_scan(df: DataFrame, part_bytes: int = SCAN_BYTES) -> DataFrame:
+    """Give every core a share of a scan that has fewer splits than there are cores, and no task more than about `part_bytes` of it.
 
     For costly row work on a few large files, which cannot be split. Meant for plans without a shuffle,
     whose number of partitions is known from the files.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, min(-(-_stored_bytes(df) // part_bytes), 1_000_000))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
+def _stored_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that a plan reads; a source of unknown size counts nothing."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < _UNKNOWN)
 
 
 def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
@@ -80,13 +89,16 @@ def sized_parts(df: DataFrame) -> int:
 
     An estimate multiplies the sides of a join, so it counts only up to what the tables read can unpack to; a source of unknown size counts nothing.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    leaves = plan.collectLeaves()
-    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
-    size = min(int(str(plan.stats().sizeInBytes())), UNPACKED * sum(s for s in sizes if s < _UNKNOWN))
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = min(estimate, UNPACKED * _stored_bytes(df))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // PART_BYTES), 1_000_000))
 
 
+def deal(df: DataFrame, parts: int, on: list[str]) -> DataFrame:
+    """`df` dealt by the keys of the join that follows, if it takes more partitions than the session's to keep a task's share small."""
+    return df.repartition(parts, *on) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def number_rows(df: DataFrame, order: list[Column], name: str = "row_no", partitions: int | None = None) -> DataFrame:
     """1-based row number over the whole order, without a window in one task.
 

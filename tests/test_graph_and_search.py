@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from strata.operators import corpus, history, lineage, metadata, relations
+from strata.operators import corpus, history, lineage, metadata, relations, spread
 from strata.streaming import index_stream
-from strata.session import scratch_path
+from strata.session import cut, scratch_path
 
 EDGES = "source string, source_column string, target string, target_column string"
 CELLS = "pipeline_id string, cell_id string, ordinal int, cell_type string, layer string, output_name string, materialize string, sql string"
@@ -361,3 +361,19 @@ def test_rounds_of_a_trace_do_not_shuffle_the_edges(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert len(plans) >= 15 and not [p for p in plans if "SortMergeJoin" in p]
+
+
+def test_joins_of_column_nodes_get_partitions_by_their_input(spark, monkeypatch):
+    """The tasks of a join grow with its tables, so that a task's share does not."""
+    cells = cut(spark.createDataFrame([(f"p{i % 3}", f"c{i}", i, "sql", "gold", f"o{i}", "table", f"SELECT a.x AS y, a.z FROM silver.s{i % 5} a") for i in range(200)], CELLS), "cells")
+    catalog = cut(spark.createDataFrame([("gold", f"o{i}", c, "int") for i in range(200) for c in ("y", "z", "w") if i % 7], "table_schema string, table_name string, column_name string, data_type string"), "catalog")
+    edges = cut(lineage.lineage_column_edges(cells, catalog), "edges")
+    plain = lineage.lineage_column_nodes(cells, catalog, edges)
+    want = sorted(map(repr, plain.collect()))
+    monkeypatch.setattr(spread, "PART_BYTES", 500)
+    dealt = lineage.lineage_column_nodes(cells, catalog, edges)
+    assert sorted(map(repr, dealt.collect())) == want and len(want) > 500
+    parts = spread.sized_parts(catalog)
+    assert parts > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") >= 4

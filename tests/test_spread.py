@@ -93,3 +93,11 @@ def test_a_join_is_not_sized_by_the_product_of_its_sides(spark):
     estimate = int(str(joined._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     assert estimate > 100 * (128 << 20)
     assert sized_parts(joined) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_spread_scan_has_tasks_by_what_is_stored(spark):
+    stored = cut(spark.range(0, 200_000, 1, 1).select("id", F.sha2(F.col("id").cast("string"), 256).alias("t")), "scan")
+    size = int(str(stored._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert spread_scan(stored, size // 40).rdd.getNumPartitions() >= 40
+    assert spread_scan(stored, size).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert spread_scan(stored, size // 40).count() == 200_000
