@@ -206,46 +206,49 @@ def _stored_count(rows: DataFrame, label: str) -> tuple[DataFrame, int]:
     return rows.sparkSession.read.schema(rows.schema).parquet(path), n
 
 
-def upstream_trace(edges: DataFrame, table: str, column: str, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
+def upstream_trace(
+    edges: DataFrame, table: str, column: str, hops: int = 4, most_sent: int = MOST_SENT
+) -> tuple[DataFrame, DataFrame]:
     """Columns and edges that feed one column, breadth first; safe on cycles.
 
-    Returns (columns with their distance, edges). A round follows the edges into the columns found last; only what is new is written, to a
-    sub-folder of its own, so what was seen stays one scan and no lineage builds up. Up to `most_sent` columns are sent to the scans of the
-    edges and of what was seen, which are then not shuffled; only rounds with more shuffle them, of which there are at most columns / `most_sent`.
+    Returns (columns with their distance, edges). A round starts from the columns found last and takes `hops` steps; only what is new is
+    written, to a sub-folder of its own, so what was seen stays one scan and no lineage builds up. Up to `most_sent` columns of a step are sent
+    to the scans of the edges and of what was seen, which are then not shuffled; only larger steps shuffle them. Several hops compare with what
+    was seen less often.
     """
     spark = edges.sparkSession
     ends, key = ["source", "source_column", "target", "target_column"], ["target", "target_column"]
     folder = scratch_path(spark, "trace")
     slim = cut(edges.select(*ends).distinct(), "trace")
-    schema = "target string, target_column string, distance int"
-    seen = lambda: spark.read.schema(schema).parquet(folder)
+    seen = lambda: spark.read.schema("target string, target_column string, distance int").parquet(folder)
     start = spark.sql("SELECT :t AS target, :c AS target_column, 0 AS distance", {"t": table, "c": column})
     start.write.parquet(f"{folder}/round=0")
-    new = total = 1
+    last = total = 1
     # Ends by itself: a round that finds nothing new is the last, and columns are finite.
-    for done in count():
-        level = spark.read.schema(schema).parquet(f"{folder}/round={done}").select(*key)
-        fed = slim.join(_sent(level, new, most_sent), key, "left_semi")
-        reached, n = _stored_count(fed.select(F.col("source").alias("target"), F.col("source_column").alias("target_column")).distinct(), "reached")
-        fresh = _unseen(reached, n, seen().select(*key), key, most_sent).withColumn("distance", F.lit(done + 1))
-        new = write_counted(fresh, f"{folder}/round={done + 1}")
-        total += new
-        if new == 0:
+    for done in count(0, hops):
+        level, n, found, rows = seen().where(F.col("distance") == done).select(*key), last, [], 0
+        for step in range(1, hops + 1):
+            fed = slim.join(_sent(level, n, most_sent), key, "left_semi")
+            level, n = _stored_count(fed.select(F.col("source").alias("target"), F.col("source_column").alias("target_column")).distinct(), "reached")
+            if n == 0:
+                break
+            found.append(level.withColumn("distance", F.lit(done + step)))
+            rows += n
+        if not found:
+            break
+        nearest = reduce(DataFrame.unionByName, found).groupBy(*key).agg(F.min("distance").alias("distance"))
+        # What was seen may be long: it is cut to what was reached before the two are set off.
+        met = seen().select(*key).join(_sent(nearest.select(*key), rows, most_sent), key, "left_semi")
+        path = f"{folder}/round={done + hops}"
+        total += write_counted(nearest.join(_sent(met, rows, most_sent), key, "left_anti"), path)
+        last = spark.read.schema("distance int").parquet(path).where(F.col("distance") == done + hops).count()
+        if last == 0:
             break
     columns = seen().select(F.col("target").alias("table_fqn"), F.col("target_column").alias("column_name"), "distance")
     # Every edge into a column that was reached has been followed.
     return columns, slim.join(_sent(seen().select(*key), total, most_sent), key, "left_semi").select(*ends)
 
 
-def _unseen(reached: DataFrame, n: int, seen: DataFrame, key: list[str], most_sent: int) -> DataFrame:
-    """The reached columns that were not seen; a missing name is one name."""
-    named = [f"_{c}" for c in key]
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
-    # What was seen may be long: it is cut to what was reached before the two are set off.
-    met = seen.toDF(*named).join(_sent(reached, n, most_sent), same, "left_semi")
-    return reached.join(_sent(met, n, most_sent), same, "left_anti")
-
-
 #: Start columns whose reach one row holds, as bits of a bigint.
 _WORD = 64
 
