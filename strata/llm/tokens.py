@@ -31,6 +31,8 @@ _MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
 _RUNS = re.compile(rf"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
 # Possessive runs: a word that is not plain fails at once instead of trying every split of its letters.
 _PLAIN = re.compile(rf"(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++)(?:[{_LETTERS}]++|[0-9]++|[{_MARKS}]++|\n(?!\n|\Z))*+")
+#: Letters, and what most words end with.
+_ENDED = re.compile(rf"([{_LETTERS}]++)([{_MARKS}]*+)")
 #: A space beside other blanks or an end of the text is no cut.
 _UNSURE = re.compile(r"\A | \Z| \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -101,14 +103,20 @@ class Encoder:
         return array("I", [t.id for t in self._model.tokenize(shown)]).tobytes()
 
     def _spaced(self, word: str) -> bytes:
-        """Ids of a word behind its space."""
+        """Ids of a word behind its space; its first run is a word of its own, so that letters are held once with and without marks."""
         if word.isascii() and word.isalpha():
-            return self._runs[" " + word]
-        if len(word) > 4 * _MEMO_WORD or not _PLAIN.fullmatch(word):
+            return self._run(" " + word)
+        if len(word) > 4 * _MEMO_WORD:
+            return self.whole(" " + word)
+        ended = _ENDED.fullmatch(word)
+        if ended:
+            letters, marks = ended.groups()
+            return self._words[letters] + self._runs[marks] if marks else self._run(" " + letters)
+        if not _PLAIN.fullmatch(word):
             return self.whole(" " + word)
         first, *more = _RUNS.findall(word)
         runs = self._runs
-        return runs[" " + first] + b"".join([runs[r] for r in more])
+        return (self._words[first] if more else self._run(" " + first)) + b"".join([runs[r] for r in more])
 
     def words(self, text: str) -> list[str]:
         """The parts that are encoded on their own; each but the first stands behind one space that belongs to it."""

@@ -40,3 +40,13 @@ def test_memo_stays_bounded(monkeypatch):
     text = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(600))
     assert np.frombuffer(encode.encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
     assert max(map(len, (encode._words, encode._words.old, encode._runs, encode._runs.old))) <= 51
+
+
+def test_letters_are_held_once_with_and_without_marks():
+    encode, runs = tokens.Encoder(), []
+    run = encode._run
+    encode._run = encode._runs.make = lambda text: runs.append(text) or run(text)
+    text = "x über tree über, tree. tree\nüber"
+    assert np.frombuffer(encode.encode(text), "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    assert sorted(runs) == sorted([" über", " tree", ",", ".", "\n", "über"])
+    assert " tree" not in encode._runs and " über" not in encode._runs
