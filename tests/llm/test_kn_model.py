@@ -173,3 +173,42 @@ def test_orders_give_chances_that_sum_to_one(spark, stored, rows, order):
     for r in model.score(asked).collect():
         total[r.gram >> 8] = total.get(r.gram >> 8, 0) + math.exp(r.log_p)
     assert set(total) == contexts and all(x == pytest.approx(1, rel=1e-9) for x in total.values())
+
+
+def test_texts_of_a_small_model_are_scored_where_they_are_read(spark, tmp_path, monkeypatch):
+    def moved(*_):
+        raise AssertionError("n-grams were asked for, or texts were packed to be moved")
+
+    rows = [(i, t, "en") for i, t in enumerate(clean(PROSE[0], 60, 10))] + [(None, None, None), (3, "", "en")]
+    monkeypatch.setattr(kn_model, "requests", moved)
+    monkeypatch.setattr(kn_model, "_compressed", moved)
+    assert len(judged(spark, tmp_path, rows, [(i, 1, 0) for i in range(50)])) == 62
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 7])
+def test_a_large_model_and_many_labels_give_the_same(spark, stored, rows, monkeypatch, order):
+    marks = labels(spark, [(i, 1, 0) for i in range(0, 90, 2)])
+    docs = stored(rows)
+
+    def found():
+        out = kn_model.classify(docs, marks, order=order, held_out=True).collect()
+        return sorted((repr(r.doc_id), r.lang or "", r.n_symbols, r.trusted, r.kept, r.row, r.perplexity, r.threshold) for r in out)
+
+    monkeypatch.setattr(kn_model, "SCORED_BYTES", 700)
+    small = found()
+    monkeypatch.setattr(kn_model, "MOST_HELD", 0)
+    monkeypatch.setattr(kn_model, "MOST_SENT", 0)
+    monkeypatch.setattr(kn_model, "TASK_GRAMS", 50)
+    large = found()
+    assert [r[:6] for r in small] == [r[:6] for r in large] and len(small) == len(rows)
+    for a, b in zip(small, large, strict=True):
+        assert a[6:] == pytest.approx(b[6:], rel=1e-9)
+
+
+def test_counts_are_packed_once_per_shard(spark):
+    texts = ["aab", "", "ab" * 40, "ж и ж"]
+    frames = spark.createDataFrame([(t, i % 2 == 1) for i, t in enumerate(texts)], "text string, held boolean")
+    got = {r.gram: (r.n, r.rest) for r in kn_model.count_grams(frames, 5).collect()}
+    n, rest = (Counter(kn_model.grams_of([t.encode() for t in some], 5)[0].tolist()) for some in (texts, texts[::2]))
+    assert got == {g: (n[g], rest[g]) for g in n}
+    assert kn_model.shard_counts(frames, 5).groupBy("shard").count().where("count > 1").count() == 0
