@@ -33,20 +33,18 @@ def constraint_join(
     )
     name = ["constraint_name", "constraint_schema"] + [c for c in ("table_name",) if c in referential.columns]
     rc = referential.select(*name, "unique_constraint_name", "unique_constraint_schema").distinct()
-    own = tc.join(kcu, ["table_schema", "table_name", "constraint_name"]).join(rc, name, "left")
-    # A central table's key is referred to by a large share of all rows, and primary keys refer to nothing.
-    own = cut(own.select(
-        "table_schema", "table_name", "column_name", "constraint_name", "constraint_type",
-        "unique_constraint_name", "unique_constraint_schema", "ordinal_position",
-    ), "keys")
-    return (
-        spread_join(own, target, ["unique_constraint_name", "unique_constraint_schema", "ordinal_position"], "left")
-        .where(~F.col("table_schema").isin(*SYSTEM_SCHEMAS))
-        .select(
-            "table_schema", "table_name", "column_name", "constraint_name", "constraint_type",
-            "foreign_schema", "foreign_table", "foreign_column",
-        )
-    )
+    # References meet constraints before these are many columns; names that differ most come first, as rows are sorted by them.
+    place = ["constraint_name", "table_name", "table_schema"]
+    own = tc.join(rc, name, "left").join(kcu, place)
+    on = ["unique_constraint_name", "unique_constraint_schema", "ordinal_position"]
+    shown = ~F.col("table_schema").isin(*SYSTEM_SCHEMAS)
+    own = cut(own.where(shown).select("table_schema", "table_name", "column_name", "constraint_name", "constraint_type", *on), "keys")
+    result = ["table_schema", "table_name", "column_name", "constraint_name", "constraint_type", "foreign_schema", "foreign_table", "foreign_column"]
+    # A central table's key is referred to by a large share of all rows, and primary keys refer to nothing: they stay where they are.
+    refers = F.col("unique_constraint_name").isNotNull()
+    found = spread_join(own.where(refers), target, on, "left").select(*result)
+    nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in result[5:]]
+    return found.unionByName(own.where(~refers).select(*result[:5], *nothing))
 
 
 def constraint_marks(columns: DataFrame, foreign_keys: DataFrame) -> DataFrame:

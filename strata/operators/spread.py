@@ -11,6 +11,8 @@ from strata.session import cut
 
 #: Rows of one key that a single task should have to take.
 HOT_ROWS = 1_000_000
+#: Groups of keys, by a hash, whose rows are counted before those of keys are.
+KEY_GROUPS = 1 << 14
 #: Bytes that a partition of a sorted copy should have.
 PART_BYTES = 128 << 20
 #: Stored bytes whose rows one task of a spread scan should have to take.
@@ -41,9 +43,12 @@ def _stored_bytes(df: DataFrame) -> int:
 def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `min_rows` rows, and the number of tasks (``_salts``) that should share each.
 
-    There are at most rows / `min_rows` of them. Keys with a null are left out: they match nothing.
+    There are at most rows / `min_rows` of them. Keys with a null are left out: they match nothing. Groups of keys are counted first, which
+    moves a row per group and task; only keys of a group with that many rows are then counted one by one.
     """
-    counts = df.dropna(subset=on).groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
+    grouped = df.dropna(subset=on).withColumn("_group", F.pmod(F.xxhash64(*on), F.lit(KEY_GROUPS)))
+    full = cut(grouped.groupBy("_group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows).select("_group"), "hot")
+    counts = grouped.join(full, "_group", "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > min_rows)
     return counts.select(*on, F.ceil(F.col("_n") / min_rows).cast("int").alias("_salts"))
 
 

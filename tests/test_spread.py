@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strata.operators import spread
 from strata.operators.spread import hot_keys, number_rows, sized_parts, spread_join, spread_scan, top_per_key
 from strata.session import cut
 
@@ -42,6 +43,14 @@ def test_every_hot_key_gets_tasks_by_its_rows(skewed, spark):
     assert hot_keys(many, ["k"], 40).groupBy("_salts").count().collect() == [(3, 600)]
 
 
+@pytest.mark.parametrize("groups", [1, 7])
+def test_hot_keys_are_exact_with_few_groups(skewed, spark, monkeypatch, groups):
+    monkeypatch.setattr(spread, "KEY_GROUPS", groups)
+    left, _ = skewed
+    counts = {r.k: r["count"] for r in left.dropna().groupBy("k").count().collect()}
+    assert {r.k: r._salts for r in hot_keys(left, ["k"], 50).collect()} == {k: -(-n // 50) for k, n in counts.items() if n > 50}
+
+
 def test_hot_rows_go_to_many_partitions(spark):
     left = spark.range(0, 20000, 1, 40).select(F.lit(1).alias("k"), "id")
     right = spark.createDataFrame([(1, "x")], "k int, v string")
