@@ -92,7 +92,7 @@ def lineage_column_edges(cells: DataFrame, columns: DataFrame) -> DataFrame:
     )
     known = columns.select(
         F.concat_ws(".", "table_schema", "table_name").alias("target"), F.col("column_name").alias("target_column")
-    ).distinct()
+    )
     named = found.where("NOT star").select(*edge).join(known, ["target", "target_column"], "left_semi")
     edges = named.select(*edge, F.lit("select_expr").alias("reason"))
     return edges.unionByName(stars)
@@ -144,7 +144,8 @@ def lineage_valid_edges(
     key = ["pipeline_id", "table_fqn", "column_name"]
     ids = nodes.select("pipeline_id", F.col("fqn").alias("table_fqn")).distinct()
     stars = ids.withColumn("column_name", F.lit("*"))
-    ends = columns.select(*key).join(ids, ["pipeline_id", "table_fqn"], "left_semi").unionByName(stars).distinct()
+    # The edges only look whether an end is there, so it may be listed twice.
+    ends = columns.select(*key).join(ids, ["pipeline_id", "table_fqn"], "left_semi").unionByName(stars)
 
     def end(side: str) -> DataFrame:
         return ends.select("pipeline_id", F.col("table_fqn").alias(side), F.col("column_name").alias(f"{side}_column"))

@@ -70,6 +70,19 @@ def test_lineage_of_cells(spark, rows):
     assert rows(valid, "source_column", "label") == [("*", None), ("id", "c.id"), ("name", "upper(c.name)")]
 
 
+def test_ends_of_edges_are_looked_up_without_being_made_distinct(spark, rows):
+    edges = spark.createDataFrame(
+        [("p", "c", "b.a", "id", "s.o", "id", "id", 0.9, "select_expr"), ("p", "c", "b.a", "no", "s.o", "id", "x.no", 0.9, "select_expr"), ("q", "c", "b.a", "*", "s.o", "*", "*", 0.4, "wildcard")],
+        "pipeline_id string, cell_id string, source string, source_column string, target string, target_column string, transform string, confidence double, reason string",
+    )
+    nodes = spark.createDataFrame([(p, t) for p in "pq" for t in ("b.a", "s.o", "s.o")], "pipeline_id string, fqn string")
+    columns = spark.createDataFrame([("p", "b.a", "id"), ("p", "b.a", "id"), ("p", "s.o", "id"), ("p", "x.y", "no")], "pipeline_id string, table_fqn string, column_name string")
+    valid = lineage.lineage_valid_edges(edges, nodes, columns)
+    assert rows(valid, "pipeline_id", "source_column", "label") == [("p", "id", None), ("q", "*", None)]
+    # The nodes are made distinct, twice for each of two sides; ends are not.
+    assert valid._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 4
+
+
 def test_inferred_relationships(spark, rows):
     cols = spark.createDataFrame(
         [
