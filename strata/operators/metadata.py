@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strata.functions.values import normalize_type_name
-from strata.operators.spread import spread_join, top_per_key
-from strata.session import LAYERS, cut
+from strata.operators.spread import HOT_ROWS, hot_keys, slices, spread_join, top_per_key
+from strata.session import LAYERS, cut, cut_in_turn
 
 SYSTEM_SCHEMAS = ("information_schema", "pg_catalog")
 
@@ -35,14 +35,27 @@ def constraint_join(
     rc = referential.select(*name, "unique_constraint_name", "unique_constraint_schema").distinct()
     # References meet constraints before these are many columns; names that differ most come first, as rows are sorted by them.
     place = ["constraint_name", "table_name", "table_schema"]
-    own = tc.join(rc, name, "left").join(kcu, place)
     on = ["unique_constraint_name", "unique_constraint_schema", "ordinal_position"]
     shown = ~F.col("table_schema").isin(*SYSTEM_SCHEMAS)
-    own = cut(own.where(shown).select("table_schema", "table_name", "column_name", "constraint_name", "constraint_type", *on), "keys")
+    kept = ["table_schema", "table_name", "column_name", "constraint_name", "constraint_type", *on]
+    sources = constraints, key_usage, referential
+    # Large catalogs are joined slice by slice, so that the disk does not hold the shuffle files of all.
+    own = cut_in_turn(
+        [
+            tc.where(part).join(rc.where(part), name, "left").join(kcu.where(part), place).where(shown).select(*kept)
+            for part in slices("constraint_name", *sources)
+        ],
+        "keys",
+    )
     result = ["table_schema", "table_name", "column_name", "constraint_name", "constraint_type", "foreign_schema", "foreign_table", "foreign_column"]
     # A central table's key is referred to by a large share of all rows, and primary keys refer to nothing: they stay where they are.
     refers = F.col("unique_constraint_name").isNotNull()
-    found = spread_join(own.where(refers), target, on, "left").select(*result)
+    hot = cut(hot_keys(own.where(refers), on), "hot")
+    parts = [
+        spread_join(own.where(refers & part), target.where(part), on, "left", HOT_ROWS, hot).select(*result)
+        for part in slices("unique_constraint_name", *sources)
+    ]
+    found = parts[0] if len(parts) == 1 else cut_in_turn(parts, "found")
     nothing = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in result[5:]]
     return found.unionByName(own.where(~refers).select(*result[:5], *nothing))
 

@@ -19,6 +19,10 @@ PART_BYTES = 128 << 20
 SCAN_BYTES = 4 << 20
 #: Bytes in a row's memory that a byte of a stored table may unpack to.
 UNPACKED = 8
+#: Bytes of stored tables that a join of which only a slice is shuffled at a time reads for a slice.
+SLICE_BYTES = 512 << 20
+#: Slices of such a join at most: each reads its sources anew.
+MOST_SLICES = 4
 #: From here on a source's size is Spark's word for not knowing it.
 _UNKNOWN = 1 << 60
 
@@ -40,6 +44,15 @@ def _stored_bytes(df: DataFrame) -> int:
     return sum(s for s in sizes if s < _UNKNOWN)
 
 
+def slices(key: str, *sources: DataFrame) -> list[Column]:
+    """Conditions that deal the rows of a join on `key`, and maybe more columns, to as many slices as the tables read are large.
+
+    A slice can be joined alone, as equal keys meet in it, so that the disk holds the shuffle files of one only. All rows of a hot key are in one slice.
+    """
+    n = max(1, min(-(-sum(map(_stored_bytes, sources)) // SLICE_BYTES), MOST_SLICES))
+    return [F.pmod(F.xxhash64(key), F.lit(n)) == i if n > 1 else F.lit(True) for i in range(n)]
+
+
 def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `min_rows` rows, and the number of tasks (``_salts``) that should share each.
 
@@ -53,7 +66,7 @@ def hot_keys(df: DataFrame, on: list[str], min_rows: int = HOT_ROWS) -> DataFram
 
 
 def spread_join(
-    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", min_rows: int = HOT_ROWS
+    left: DataFrame, right: DataFrame, on: list[str], how: str = "left", min_rows: int = HOT_ROWS, hot: DataFrame | None = None
 ) -> DataFrame:
     """Equi-join for a left side whose keys may be badly skewed and a right side that is not.
 
@@ -62,10 +75,10 @@ def spread_join(
     it at any size. Rows with a null key are spread over all tasks; they match nothing. `how`: inner,
     left, left_semi or left_anti. The salt comes from a row's place in the scan, so a task that runs
     again gives the same salt. The keys of `left` are read twice, so pass a stored table, or `cut`
-    what is costly to compute. The list of hot keys is stored: Spark sees its size when it joins it.
+    what is costly to compute. The list of hot keys is stored: Spark sees its size when it joins it. `hot` is that list where it is known.
     Elsewhere plain joins are left to adaptive execution, which splits skewed partitions.
     """
-    hot = cut(hot_keys(left, on, min_rows), "hot")
+    hot = cut(hot_keys(left, on, min_rows), "hot") if hot is None else hot
     some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in on])
     placed = left.withColumn("_spot", F.xxhash64(F.monotonically_increasing_id())).join(hot, on, "left")
     salt = F.when(some_null, F.col("_spot")).otherwise(F.pmod("_spot", F.coalesce("_salts", F.lit(1))).cast("bigint"))
